@@ -11,6 +11,7 @@ from tickloom.llm.decontaminate import longest_matches
 from tickloom.llm.language import held_out, identify_language, language_prototypes
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.quality import repetition
+from tickloom.llm.suffix_dedup import repeated_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
 }
