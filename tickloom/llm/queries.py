@@ -12,6 +12,8 @@ from tickloom.llm.language import held_out, identify_language, language_prototyp
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.quality import repetition
 from tickloom.llm.suffix_dedup import repeated_bytes
+from tickloom.llm.tables import new_path
+from tickloom.llm.warc import page_records, read_records, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    return page_records(read_records(spark, path))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_warc": op4_warc,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
