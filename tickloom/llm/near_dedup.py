@@ -4,7 +4,8 @@ Two small collections of half keys are computed for each distinct shingle set. A
 of one half key from each collection, so halves * halves tables need only 2 * halves * rows minhashes.
 Halves that no other document has cannot meet in any table, so only shared halves are combined.
 
-Within a table bucket each member is compared with one random member (a star), never with all. Buckets
+Within a table bucket each member is compared with one member (a star), never with all; the member
+first in one random order is taken, so the buckets of a large group mostly share their centre. Buckets
 that still hold several components afterwards have their pairs across components compared, so no link
 between bucket mates is lost. Every link is confirmed on the full shingle sets.
 
@@ -119,7 +120,7 @@ def near_duplicates(
     classes = written(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min_by("halves", "id").alias("halves")), "classes")
 
     keys = _table_keys(classes, halves)
-    hub = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    hub = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hub = written(hub.select("key", F.col("hub.rep").alias("hub")), "hubs")
     star = keys.join(hub, "key").where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
     links = _linked(star, classes, source, percent, words)
