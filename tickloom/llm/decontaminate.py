@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.tables import without_ids, written
 from tickloom.llm.textcodes import ALNUM, Texts, slices
 
 WINDOW = 10
@@ -186,6 +187,6 @@ def _arrow(field) -> pa.DataType:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Documents without any verbatim match, with all their columns; rows are those of docs otherwise."""
+    """docs without the documents that have a verbatim match; a row with a null id stays."""
     hit = longest_matches(docs, benchmark, id_col, text_col, window=window).where("n_hit > 0").select(id_col)
-    return docs.join(hit.distinct(), id_col, "left_anti").select(*docs.columns)
+    return without_ids(docs, written(hit.distinct(), "contaminated"), id_col)

@@ -138,11 +138,11 @@ def language_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str =
     return dict(sorted(out.items()))
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], names: list[str], prototypes: np.ndarray, dimensions: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _nearest(batches: Iterator[pa.RecordBatch], text: str, names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     encoder = _Encoder(dimensions, seed)
     for batch in batches:
-        for part in slices(batch, "text", 512 << 10):
-            table, vectors = encoder.counts(Texts(part.column("text")))
+        for part in slices(batch, text, 512 << 10):
+            table, vectors = encoder.counts(Texts(part.column(text)))
             best, score = np.full(len(table), -1), np.zeros(len(table))
             for lo, hi in _blocks(len(table), table.shape[1]):
                 own = table[lo:hi] @ vectors
@@ -152,7 +152,8 @@ def _nearest(batches: Iterator[pa.RecordBatch], names: list[str], prototypes: np
                 best[lo:hi] = np.where(seen & bool(len(names)), cosine.argmax(1), -1)
                 score[lo:hi] = np.where(seen, np.clip(cosine.max(1), 0, 1), 0)
             label = [names[b] if b >= 0 else UNKNOWN for b in best]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(label, pa.string()), pa.array(score, pa.float64())], ["id", "held_out", "lang_pred", "score"])
+            others = [c for c in part.schema.names if keep_text or c != text]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(label, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
 
 
 def held_out(id_col: str | Column = "doc_id", parts: int = 5) -> Column:
@@ -161,17 +162,26 @@ def held_out(id_col: str | Column = "doc_id", parts: int = 5) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % parts == 0, F.lit(False))
 
 
-def identify_language(docs: DataFrame, prototypes: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """Language of every text by its nearest prototype.
+def with_language(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED, keep_text: bool = True) -> DataFrame:
+    """docs with the columns lang_pred and score, which replace columns of those names.
 
-    Returns id_col, held_out, lang_pred and score (the cosine, at least 0). lang_pred is `und` and the
-    score 0 if the text is null, empty or has no letter, or if there is no prototype. Ties go to the
-    language first by name. Repeated rows give a row each; texts are taken whole.
+    The language is that of the nearest prototype by cosine; score is that cosine, at least 0. lang_pred
+    is `und` and the score 0 if the text is null, empty or has no letter, or if there is no prototype.
+    Ties go to the language first by name. Repeated rows give a row each; texts are taken whole.
     """
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), dimensions)
     matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInArrow(lambda it: _nearest(it, names, matrix, dimensions, seed), f"id {kind}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = docs.select(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") if c == text_col else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    text = f"c{columns.index(text_col)}"
+    kept = [(f"c{i}", c) for i, c in enumerate(columns) if keep_text or c != text_col]
+    schema = ", ".join([*(f"{c} {own.schema[c].dataType.simpleString()}" for c, _ in kept), "lang_pred string", "score double"])
+    out = own.mapInArrow(lambda it: _nearest(it, text, names, matrix, dimensions, seed, keep_text), schema)
+    return out.toDF(*(c for _, c in kept), "lang_pred", "score")
+
+
+def identify_language(docs: DataFrame, prototypes: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """Language of every text: id_col, held_out, lang_pred and score, as with_language has them."""
+    own = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
+    return with_language(own, prototypes, "_text", dimensions, seed, keep_text=False)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import connected_components
-from tickloom.llm.tables import only_ids, written
+from tickloom.llm.tables import only_ids, without_ids, written
 from tickloom.llm.textcodes import SPACED, Texts, mix64, slices
 
 WORDS, HALVES, ROWS, SEED = 5, 12, 2, 11
@@ -149,6 +149,12 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """docs with one document of each component, that with the smallest id; all columns stay."""
+    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(id_col)
+    return without_ids(docs, written(gone.distinct(), "near_copies"), id_col)
+
+
 def _table_keys(classes: DataFrame, halves: int) -> DataFrame:
     """(key, rep) for every pair of shared half keys, one from each collection."""
     each = classes.select("rep", F.posexplode("halves").alias("place", "half"))

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from tickloom.llm.chat import TURN_TOOLS, calls_from_turns, link_tool_calls
 from tickloom.llm.decontaminate import longest_matches
 from tickloom.llm.html import extract_text, train
 from tickloom.llm.language import held_out, identify_language, language_prototypes
+from tickloom.llm.licenses import scan_licenses
+from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.quality import repetition
 from tickloom.llm.suffix_dedup import repeated_bytes
@@ -53,24 +57,42 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    mixed = mix(docs.withColumn("domain", corpus_pipeline.domain_of("source")), corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(calls_from_turns(_table(spark, sf_dir, "conversations")), TURN_TOOLS)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learned = language_prototypes(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     return identify_language(docs, learned)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_warc": op4_warc,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_chat_tool_calls": op8_chat_tool_calls,
     "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}

@@ -37,3 +37,10 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids.select(column), column, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose id is not in ids (a written table with that column); null ids stay. Broadcast only after counting."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids.select(F.col(column).alias("_gone")), F.col(column) == F.col("_gone"), "left_anti")
