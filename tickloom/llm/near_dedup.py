@@ -6,8 +6,11 @@ Halves that no other document has cannot meet in any table, so only shared halve
 
 Within a table bucket each member is compared with one member (a star), never with all; the member
 first in one random order is taken, so the buckets of a large group mostly share their centre. Buckets
-that still hold several components afterwards have their pairs across components compared, so no link
-between bucket mates is lost. Every link is confirmed on the full shingle sets.
+that still hold several components have their documents compared again, by one half key at a time (a
+wider net than a table key): those outside a half key's largest component are looked up, in blocks of
+bounded size, in an inverted index of all the others. A block returns one link for each document and
+component that it meets, so no link between components is lost and no pairs are listed. Every link is
+confirmed on the full shingle sets.
 
 With 12 halves of 2 rows on each side, a pair of Jaccard similarity 0.75 misses all 144 tables with
 probability 1e-4; at 0.8 it is 1e-5.
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ from tickloom.llm.tables import only_ids, without_ids, written
 from tickloom.llm.textcodes import SPACED, Texts, mix64, slices
 
 WORDS, HALVES, ROWS, SEED = 5, 12, 2, 11
+#: Documents that a block looks up, and those that it looks them up in.
+QUERIES, TARGETS = 512, 256
 
 
 def shingle_sets(texts: Texts, words: int = WORDS) -> list[np.ndarray]:
@@ -126,14 +132,12 @@ def near_duplicates(
     links = _linked(star, classes, source, percent, words)
     labels = connected_components(links)
 
-    # what the stars left apart: pairs across components inside one bucket
+    # what the stars left apart: documents of buckets that hold several components
     marked = keys.join(hub.select("key"), "key", "left_semi").join(labels, keys["rep"] == labels["id"], "left")
     marked = written(marked.select("key", "rep", F.coalesce("label", "rep").alias("part")), "marked")
     mixed = written(marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"), "mixed")
-    apart = written(marked.join(mixed, "key", "left_semi"), "apart")
-    one, other = (apart.select("key", F.col("rep").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
-    across = one.join(other, "key").where("a < b AND part_a <> part_b").select("a", "b").join(links, ["a", "b"], "left_anti")
-    more = _linked(across, classes, source, percent, words)
+    apart = written(marked.join(mixed, "key", "left_semi").select("rep", "part").distinct(), "apart")
+    more = _linked_apart(apart, classes, source, percent, words, halves)
     labels = connected_components(links.unionByName(more))
 
     by_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
@@ -168,6 +172,48 @@ def _table_keys(classes: DataFrame, halves: int) -> DataFrame:
     return written(pairs.select(F.xxhash64("x", "y").alias("key"), "rep"), "keys")
 
 
+def _look_up(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of the queries of a block to its targets, one for each query and component of targets."""
+    targets, queries = group[~group["asks"]], group[group["asks"]]
+    sets = [np.frombuffer(c, np.uint64) for c in targets["codes"]]
+    reps, parts, sizes = targets["rep"].to_numpy(), targets["part"].to_numpy(), np.array([len(x) for x in sets])
+    found_a, found_b = [], []
+    if sets:
+        code, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        for rep, part, raw in zip(queries["rep"], queries["part"], queries["codes"], strict=True):
+            own = np.frombuffer(raw, np.uint64)
+            lo, count = (x := np.searchsorted(code, own)), np.searchsorted(code, own, "right") - x
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            common = np.bincount(owner[at], minlength=len(sets))
+            alike = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (parts != part))
+            _, first = np.unique(parts[alike], return_index=True)
+            found_a += [rep] * len(first)
+            found_b += reps[alike[first]].tolist()
+    return pd.DataFrame({"a": np.minimum(found_a, found_b).astype("int64"), "b": np.maximum(found_a, found_b).astype("int64")})
+
+
+def _linked_apart(apart: DataFrame, classes: DataFrame, source: DataFrame, percent: int, words: int, halves: int) -> DataFrame:
+    """Links across components between documents (rep, part) that share a half key of the first collection."""
+    sets = written(only_ids(source, apart.select(F.col("rep").alias("id")), "id").mapInArrow(lambda it: _full_sets(it, words), "id long, codes binary"), "apart_sets")
+    own = apart.join(classes.select("rep", F.slice("halves", 1, halves).alias("halves")), "rep")
+    own = written(own.select("rep", "part", F.explode("halves").alias("half")), "apart_halves")
+    counts = own.groupBy("half", "part").agg(F.count("*").alias("n"))
+    nets = counts.groupBy("half").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most")).where("parts > 1")
+    nets = nets.select("half", "largest", F.ceil(F.col("size") / TARGETS).alias("target_blocks"), F.ceil((F.col("size") - F.col("most")) / QUERIES).alias("query_blocks"))
+    own = own.join(written(nets, "nets"), "half")
+    block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["half", "rep", "part", "asks", "target_block", "query_block"]
+    targets = own.withColumn("asks", F.lit(False)).withColumn("target_block", block("target_blocks", 1)).withColumn("query_block", every("query_blocks"))
+    queries = own.where("part <> largest").withColumn("asks", F.lit(True)).withColumn("query_block", block("query_blocks", 2)).withColumn("target_block", every("target_blocks"))
+    rows = written(targets.select(*columns).unionByName(queries.select(*columns)), "blocks")
+    rows = rows.join(sets.select(F.col("id").alias("rep"), "codes"), "rep").select(*columns, "codes")
+    found = rows.groupBy("half", "target_block", "query_block").applyInPandas(lambda g: _look_up(g, percent), "a long, b long")
+    return written(found.distinct(), "more_links")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, percent: int, words: int) -> DataFrame:
     """Pairs (a, b) that are similar by their full sets."""
     pairs = written(pairs.distinct(), "pairs")
