@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.textcodes import Texts, mix64, slices
 
 DIMENSIONS, SEED = 1024, 5
+#: Bytes and rows that one table of counts (texts by triples) holds.
+SLICE = (384 << 10, 192)
 UNKNOWN = "und"
 _letters: dict[str, np.ndarray] = {}
 
@@ -39,18 +41,18 @@ def _letter_vectors(points: np.ndarray, dimensions: int, seed: int) -> np.ndarra
     lanes = np.arange(-(-dimensions // 64), dtype=np.uint64)
     bits = mix64(mix64(points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[:, None] + lanes + np.uint64(1))
     bits = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1)[:, :dimensions]
-    return (bits.astype(np.float32) * 2 - 1).astype(np.float32)
+    return bits.astype(np.int8) * 2 - 1
 
 
 class _Encoder:
     """Triples of letters of a slice of texts; vectors of triples are kept between slices."""
 
-    LIMIT = 16384
+    LIMIT = 12288
 
     def __init__(self, dimensions: int, seed: int):
         self.dimensions, self.seed = dimensions, seed
         self.known = np.zeros(0, np.uint64)
-        self.vectors = np.zeros((0, dimensions), np.float32)
+        self.vectors = np.zeros((0, dimensions), np.int8)
 
     def triples(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Text and packed letters of each triple whose middle is a letter."""
@@ -94,7 +96,7 @@ class _Encoder:
     def of(self, packed: np.ndarray) -> np.ndarray:
         new = packed[~np.isin(packed, self.known)]
         if len(self.known) + len(new) > self.LIMIT:
-            self.known, self.vectors = np.zeros(0, np.uint64), np.zeros((0, self.dimensions), np.float32)
+            self.known, self.vectors = np.zeros(0, np.uint64), np.zeros((0, self.dimensions), np.int8)
             new = packed
         if len(new):
             mask = np.uint64((1 << 21) - 1)
@@ -107,7 +109,7 @@ class _Encoder:
             known = np.concatenate((self.known, new))
             order = np.argsort(known)
             self.known, self.vectors = known[order], np.concatenate((self.vectors, vectors))[order]
-        return self.vectors[np.searchsorted(self.known, packed)]
+        return self.vectors[np.searchsorted(self.known, packed)].astype(np.float32)
 
 
 def _blocks(n: int, wide: int) -> list[tuple[int, int]]:
@@ -118,7 +120,7 @@ def _blocks(n: int, wide: int) -> list[tuple[int, int]]:
 def _bundle(batches: Iterator[pa.RecordBatch], dimensions: int, seed: int) -> Iterator[pa.RecordBatch]:
     encoder, sums = _Encoder(dimensions, seed), {}
     for batch in batches:
-        for part in slices(batch, "text", 512 << 10):
+        for part in slices(batch, "text", *SLICE):
             table, vectors = encoder.counts(Texts(part.column("text")))
             names = np.array(part.column("lang").to_pylist(), object)
             for name in set(names):
@@ -141,7 +143,7 @@ def language_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str =
 def _nearest(batches: Iterator[pa.RecordBatch], text: str, names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     encoder = _Encoder(dimensions, seed)
     for batch in batches:
-        for part in slices(batch, text, 512 << 10):
+        for part in slices(batch, text, *SLICE):
             table, vectors = encoder.counts(Texts(part.column(text)))
             best, score = np.full(len(table), -1), np.zeros(len(table))
             for lo, hi in _blocks(len(table), table.shape[1]):

@@ -29,7 +29,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, up to exponent n at least."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * SLICE_BYTES)
+        size = max(n + 1, SLICE_BYTES + (SLICE_BYTES >> 2))
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -130,8 +130,8 @@ SPACED = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 ALNUM = byte_class([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about `limit` bytes of text each."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most `rows` rows with about `limit` bytes of text each."""
     if not batch.num_rows:
         return
     sizes = batch.column(column)
@@ -140,5 +140,6 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     cuts = np.flatnonzero(np.diff(group)) + 1
     lo = 0
     for hi in [*cuts.tolist(), batch.num_rows]:
-        yield batch.slice(lo, hi - lo)
+        for at in range(lo, hi, rows):
+            yield batch.slice(at, min(rows, hi - at))
         lo = hi
