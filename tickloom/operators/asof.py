@@ -49,23 +49,26 @@ def asof_forward(
 def _asof(left, right, keys, value, name, left_ts, right_ts, right_order, side, forward, chunk_ms) -> DataFrame:
     col = lambda c: F.col(c) if isinstance(c, str) else c
     sign = -1 if forward else 1  # a descending order keeps the frame running: following frames are quadratic
-    lefts = left.select(*keys, (sign * col(left_ts)).alias("_t"), F.lit(side).alias("_side"), F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("_row"))
-    tie = [F.col(c) for c in right_order]
-    rights = right.select(*keys, (sign * col(right_ts)).alias("_t"), F.lit(0).alias("_side"), F.struct(*tie).alias("_tie"), value.alias("_value")).where("_t IS NOT NULL AND _value IS NOT NULL")
-    both = lefts.where("_t IS NOT NULL").unionByName(rights, allowMissingColumns=True)
+    kept = [c for c in left.columns if c != name]
+    lefts = left.select(*kept, (sign * col(left_ts)).alias("_t"), F.lit(side).alias("_side")).where("_t IS NOT NULL")
+    tie = F.struct(*(F.col(c) for c in right_order)).alias("_tie")
+    rights = right.select(*keys, (sign * col(right_ts)).alias("_t"), F.lit(0).alias("_side"), tie, value.alias("_value")).where("_t IS NOT NULL AND _value IS NOT NULL")
+    both = lefts.unionByName(rights, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_side"), F.col("_tie").desc() if forward else F.col("_tie")]
-    chunked = both.withColumn("_chunk", F.floor(F.col("_t") / chunk_ms))
-    # the value that a chunk hands on: its last in running order; of ties the last by arrival, forward the first
-    tie_rank = F.struct(F.col("_t"), F.col("_tie"))
-    latest = F.max_by(F.struct("_tie", "_value"), tie_rank) if not forward else F.min_by(F.struct("_tie", "_value"), F.struct((-F.col("_t")).alias("t"), F.col("_tie")))
-    ends = rights.withColumn("_chunk", F.floor(F.col("_t") / chunk_ms)).groupBy(*keys, "_chunk").agg(latest.alias("_end")).select(*keys, "_chunk", F.col("_end._value").alias("_end"))
+    if chunk_ms is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn(name, F.last("_value", True).over(frame)).where("_side <> 0").select(*kept, name)
+    # the value that a chunk hands on is its last in running order
+    chunk = F.floor(F.col("_t") / chunk_ms)
+    rank = F.struct((-F.col("_t")).alias("t"), F.col("_tie")) if forward else F.struct(F.col("_t").alias("t"), F.col("_tie"))
+    ends = rights.groupBy(*keys, chunk.alias("_chunk")).agg((F.min_by if forward else F.max_by)("_value", rank).alias("_end"))
+    chunked = both.withColumn("_chunk", chunk)
     spots = chunked.select(*keys, "_chunk").distinct().join(ends, [*keys, "_chunk"], "left")
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = spots.select(*keys, "_chunk", F.last("_end", True).over(before).alias("_in"))
     own = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = chunked.withColumn("_own", F.last("_value", True).over(own)).where("_row IS NOT NULL").join(carried, [*keys, "_chunk"])
-    kept = [c for c in left.columns if c != name]
-    return inner.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept), F.coalesce("_own", "_in").alias(name))
+    inner = chunked.withColumn("_own", F.last("_value", True).over(own)).where("_side <> 0").join(carried, [*keys, "_chunk"])
+    return inner.select(*kept, F.coalesce("_own", "_in").alias(name))
 
 
 def latest_pair(quotes: DataFrame, leader: str, lagger: str, order: list[Column], columns: list[str]) -> DataFrame:
@@ -75,9 +78,14 @@ def latest_pair(quotes: DataFrame, leader: str, lagger: str, order: list[Column]
     return running_last(quotes.where(F.col("venue").isin(leader, lagger)), ["symbol"], "local_ts_ms", order, values)
 
 
-def asof_lookback(quotes: DataFrame, window_ms: int, value: Column, name: str, keys: list[str] | None = None) -> DataFrame:
-    """Each row with its own stream's value at or before local_ts_ms - window_ms; of rows at one time the last by arrival."""
-    return asof_backward(quotes, quotes, keys or ["symbol", "venue"], value, name, left_ts=F.col("local_ts_ms") - window_ms)
+def asof_lookback(quotes: DataFrame, windows_ms: dict[str, int], value: Column, keys: list[str] | None = None) -> DataFrame:
+    """Each row with its own stream's value at or before local_ts_ms - window, for each named window; of rows at one time the last by arrival.
+
+    All windows share one sort: range frames from the stream's start stay linear.
+    """
+    stream = Window.partitionBy(*(keys or ["symbol", "venue"])).orderBy("local_ts_ms")
+    latest = F.max(F.struct("local_ts_ms", "row_no", value.alias("v")))
+    return quotes.select("*", *(latest.over(stream.rangeBetween(Window.unboundedPreceding, -w))["v"].alias(n) for n, w in windows_ms.items()))
 
 
 def asof_tolerance(left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, tolerance_ms: int, right_order: list[str] | None = None) -> DataFrame:

@@ -121,16 +121,16 @@ def cooldown_thin(candidates: DataFrame, cooldown_ms: int, keys: list[str] | Non
     own = running_last(candidates, keys, "ts", order, {"_before": F.col("ts")}, current=False)
     fresh = F.col("_before").isNull() | (F.col("ts") - F.col("_before") >= cooldown_ms)
     own = running_last(own.withColumn("_fresh", fresh), keys, "ts", order, {"_stretch": F.when(F.col("_fresh"), F.struct("ts", "row_no"))})
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<ts:bigint,row_no:bigint>>").alias("kept"))
+    item = F.struct(F.col("ts").cast("long").alias("ts"), F.col("row_no").cast("long").alias("row_no"), F.struct(*(F.col(f"`{c}`") for c in candidates.columns)).alias("row"))
+    own = own.select(*keys, "_stretch", item.alias("_item"))
+    nothing = F.filter(F.array(F.lit(None).cast(own.schema["_item"].dataType)), lambda x: x.isNotNull())
 
     def step(state: Column, x: Column) -> Column:
-        stays = state["last"].isNull() | (x["ts"] - state["last"] >= cooldown_ms)
-        return F.when(stays, F.struct(x["ts"].alias("last"), F.concat(state["kept"], F.array(x)).alias("kept"))).otherwise(state)
+        stays = (F.size(state) == 0) | (x["ts"] - F.element_at(state, -1)["ts"] >= cooldown_ms)
+        return F.when(stays, F.concat(state, F.array(x))).otherwise(state)
 
-    times = F.sort_array(F.collect_list(F.struct(F.col("ts").cast("long").alias("ts"), F.col("row_no").cast("long").alias("row_no"))))
-    kept = own.groupBy(*keys, "_stretch").agg(F.aggregate(times, start, step).alias("_state")).select(*keys, F.explode("_state.kept").alias("_k"))
-    kept = kept.select(*keys, F.col("_k.ts").alias("ts"), F.col("_k.row_no").alias("row_no"))
-    return candidates.join(kept, [*keys, "ts", "row_no"], "left_semi")
+    kept = own.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list("_item")).alias("_items")).withColumn("_k", F.explode(F.aggregate("_items", nothing, step)))
+    return kept.select("_k.row.*")
 
 
 def rolling_tail(rows: DataFrame, n: int = 2000, keys: list[str] | None = None) -> DataFrame:

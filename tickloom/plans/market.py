@@ -138,7 +138,7 @@ def asof_latest(t: Tables) -> DataFrame:
     "quotes",
 )
 def asof_lookback(t: Tables) -> DataFrame:
-    return asof.asof_lookback(t.quotes, 4 * HOUR, F.col("row_no"), "back_row").select("row_no", "back_row")
+    return asof.asof_lookback(t.quotes, {"back_row": 4 * HOUR}, F.col("row_no")).select("row_no", "back_row")
 
 
 @query(
