@@ -128,7 +128,7 @@ def exposure_timeline(fills: DataFrame) -> DataFrame:
     fills: position_id, symbol, side, notional, entry_ts_ms, exit_ts_ms (null while open) and realized_pnl_usd.
     At one time closings come first.
     """
-    base = fills.select("position_id", "symbol", "side", "notional", F.lit(0.0).alias("pnl"), F.col("entry_ts_ms").alias("ts"), F.lit(1).alias("change"))
+    base = fills.select("position_id", "symbol", "side", "notional", F.lit(0).cast(fills.schema["realized_pnl_usd"].dataType).alias("pnl"), F.col("entry_ts_ms").alias("ts"), F.lit(1).alias("change"))
     ends = fills.where("exit_ts_ms IS NOT NULL").select("position_id", "symbol", "side", "notional", F.col("realized_pnl_usd").alias("pnl"), F.col("exit_ts_ms").alias("ts"), F.lit(-1).alias("change"))
     moves = base.unionByName(ends)
     order = [F.col("ts"), F.col("change"), F.col("position_id")]

@@ -175,11 +175,11 @@ def first_trade_through(t: Tables) -> DataFrame:
     return outcomes.first_trade_through(t.intents, t.trades, 6 * HOUR).select("intent_id", "filled", F.round("fill_price", 6).alias("fill_price"), "fill_qty", "trade_row")
 
 
-@query("pnl_values", "SELECT trade_id, round(gross, 4) AS gross_usd, round(cost, 4) AS cost_usd, round(gross - cost, 4) AS net_usd, round(10000 * gross / abs(e * 3), 6) AS pnl_bps FROM (SELECT trade_id, notional / 100 AS e, CASE WHEN trade_id % 2 = 0 THEN 1 ELSE -1 END * ((notional + gross_pnl_usd) / 100 - notional / 100) * 3 AS gross, (abs(notional / 100 * 3) + abs((notional + gross_pnl_usd) / 100 * 3)) * 4 / 10000 AS cost FROM closed_trades)", "closed_trades")
+@query("pnl_values", "SELECT trade_id, round(gross, 6) AS gross_usd, round(cost, 6) AS cost_usd, round(gross - cost, 6) AS net_usd, round(10000 * gross / abs(e * 3), 6) AS pnl_bps FROM (SELECT trade_id, notional / 100 AS e, CASE WHEN trade_id % 2 = 0 THEN 1 ELSE -1 END * ((notional + gross_pnl_usd) / 100 - notional / 100) * 3 AS gross, (abs(notional / 100 * 3) + abs((notional + gross_pnl_usd) / 100 * 3)) * 4 / 10000 AS cost FROM closed_trades)", "closed_trades")
 def pnl_values(t: Tables) -> DataFrame:
     own = t.closed_trades.select("trade_id", F.when(F.col("trade_id") % 2 == 0, "buy").otherwise("sell").alias("side"), (F.col("notional") / 100).alias("entry"), ((F.col("notional") + F.col("gross_pnl_usd")) / 100).alias("exit"), F.lit(3.0).alias("qty"))
     gross, cost, net, bps = E.pnl_values("side", "entry", "exit", "qty", 4.0)
-    return own.select("trade_id", F.round(gross, 4).alias("gross_usd"), F.round(cost, 4).alias("cost_usd"), F.round(net, 4).alias("net_usd"), F.round(bps, 6).alias("pnl_bps"))
+    return own.select("trade_id", F.round(gross, 6).alias("gross_usd"), F.round(cost, 6).alias("cost_usd"), F.round(net, 6).alias("net_usd"), F.round(bps, 6).alias("pnl_bps"))
 
 
 def _entries(t: Tables) -> DataFrame:
@@ -241,12 +241,12 @@ def mark_to_market(t: Tables) -> DataFrame:
 
 @query(
     "exposure_timeline",
-    """WITH m AS (SELECT trade_id, symbol, CASE WHEN trade_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, notional, 0.0 AS pnl, entry_ts_ms AS ts, 1 AS c FROM closed_trades UNION ALL SELECT trade_id, symbol, CASE WHEN trade_id % 2 = 0 THEN 'buy' ELSE 'sell' END, notional, gross_pnl_usd, exit_ts_ms, -1 FROM closed_trades)
- SELECT trade_id AS position_id, c AS change, CAST(sum(c) OVER w AS BIGINT) AS open_positions, round(sum(c * notional) OVER w, 2) AS total_notional, round(sum(pnl) OVER w, 2) AS realized_pnl, round(sum(c * notional) OVER v, 2) AS symbol_notional, CAST(sum(CASE WHEN side = 'buy' THEN c ELSE 0 END) OVER v AS BIGINT) AS long_count
+    """WITH m AS (SELECT trade_id, symbol, CASE WHEN trade_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CAST(notional AS DECIMAL(18,2)) AS notional, CAST(0 AS DECIMAL(18,4)) AS pnl, entry_ts_ms AS ts, 1 AS c FROM closed_trades UNION ALL SELECT trade_id, symbol, CASE WHEN trade_id % 2 = 0 THEN 'buy' ELSE 'sell' END, CAST(notional AS DECIMAL(18,2)), CAST(gross_pnl_usd AS DECIMAL(18,4)), exit_ts_ms, -1 FROM closed_trades)
+ SELECT trade_id AS position_id, c AS change, CAST(sum(c) OVER w AS BIGINT) AS open_positions, CAST(sum(c * notional) OVER w AS DOUBLE) AS total_notional, CAST(sum(pnl) OVER w AS DOUBLE) AS realized_pnl, CAST(sum(c * notional) OVER v AS DOUBLE) AS symbol_notional, CAST(sum(CASE WHEN side = 'buy' THEN c ELSE 0 END) OVER v AS BIGINT) AS long_count
  FROM m WINDOW w AS (ORDER BY ts, c, trade_id ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY symbol ORDER BY ts, c, trade_id ROWS UNBOUNDED PRECEDING)""",
     "closed_trades",
 )
 def exposure_timeline(t: Tables) -> DataFrame:
-    fills = t.closed_trades.select(F.col("trade_id").alias("position_id"), "symbol", F.when(F.col("trade_id") % 2 == 0, "buy").otherwise("sell").alias("side"), "notional", "entry_ts_ms", "exit_ts_ms", F.col("gross_pnl_usd").alias("realized_pnl_usd"))
+    fills = t.closed_trades.select(F.col("trade_id").alias("position_id"), "symbol", F.when(F.col("trade_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("notional").cast("decimal(18,2)").alias("notional"), "entry_ts_ms", "exit_ts_ms", F.col("gross_pnl_usd").cast("decimal(18,4)").alias("realized_pnl_usd"))
     own = outcomes.exposure_timeline(fills)
-    return own.select("position_id", "change", "open_positions", F.round("total_notional", 2).alias("total_notional"), F.round("realized_pnl", 2).alias("realized_pnl"), F.round("symbol_notional", 2).alias("symbol_notional"), "long_count")
+    return own.select("position_id", "change", "open_positions", *(F.col(c).cast("double").alias(c) for c in ("total_notional", "realized_pnl", "symbol_notional")), "long_count")
