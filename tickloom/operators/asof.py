@@ -1,8 +1,9 @@
 """Event-time as-of joins.
 
-All are unions with a running last value. A key's rows are split into chunks of time; a chunk's windows
-run in parallel and the last value of earlier chunks is carried in from one small aggregate, so a key
-that holds a third of all rows is still spread over many tasks, and a gap of any length is bridged.
+All are unions with a running last value, in one window sorted by time in each key. With chunk_ms a key's
+rows are split into chunks of time instead: their windows run in parallel and the last value of earlier
+chunks is carried in from one small aggregate. Then a key that holds a third of all rows is spread over
+many tasks, and a gap of any length is still bridged; the input is read twice, so it should be a table.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 DAY_MS = 86_400_000
 
 
-def running_last(df: DataFrame, keys: list[str], ts: str, order: list[Column], values: dict[str, Column], current: bool = True, chunk_ms: int = DAY_MS) -> DataFrame:
+def running_last(df: DataFrame, keys: list[str], ts: str, order: list[Column], values: dict[str, Column], current: bool = True, chunk_ms: int | None = None) -> DataFrame:
     """df with the last non-null value of each expression up to each row (before it, if not current), by key.
 
     order is the total order of a key's rows and begins with ts, which must not be null.
     """
+    if chunk_ms is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+        return df.select(*(c for c in df.columns if c not in values), *(F.last(v, True).over(frame).alias(n) for n, v in values.items()))
     df = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms))
     place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
     ends = df.groupBy(*keys, "_chunk").agg(*(F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_end_{n}") for n, v in values.items()))
@@ -30,7 +34,7 @@ def running_last(df: DataFrame, keys: list[str], ts: str, order: list[Column], v
 
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int = DAY_MS
+    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int | None = None
 ) -> DataFrame:
     """left with the value of the latest right row at or before left_ts (before it, if strict), null if there is none.
 
@@ -40,7 +44,7 @@ def asof_backward(
 
 
 def asof_forward(
-    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int = DAY_MS
+    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int | None = None
 ) -> DataFrame:
     """left with the value of the earliest right row at or after left_ts (after it, if strict), null if there is none."""
     return _asof(left, right, keys, value, name, left_ts, right_ts, right_order or ["row_no"], -1 if strict else 1, True, chunk_ms)

@@ -1,4 +1,4 @@
-"""Running statistics per symbol and stream. Long keys are split by time or position, never one task a key."""
+"""Running statistics per symbol and stream; chunk_ms splits long keys by time, as in tickloom.operators.asof."""
 
 from __future__ import annotations
 
@@ -33,8 +33,10 @@ def feed_gaps(quotes: DataFrame, stale_ms: int | None = None) -> DataFrame:
     return own.withColumn("gap_ms", gap.cast("long")).withColumn("stale", stale).drop("before")
 
 
-def with_position(df: DataFrame, keys: list[str], ts: str, order: list[Column], name: str = "position", chunk_ms: int = DAY_MS) -> DataFrame:
+def with_position(df: DataFrame, keys: list[str], ts: str, order: list[Column], name: str = "position", chunk_ms: int | None = None) -> DataFrame:
     """df with each row's place (from 0) in its key's order: row numbers by chunk plus the counts of earlier chunks."""
+    if chunk_ms is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     df = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
@@ -43,8 +45,11 @@ def with_position(df: DataFrame, keys: list[str], ts: str, order: list[Column],
     return own.join(counts, [*keys, "_chunk"]).withColumn(name, F.col("_base") + F.col("_rank") - 1).drop("_chunk", "_base", "_rank")
 
 
-def running_sums(df: DataFrame, keys: list[str], ts: str, order: list[Column], sums: dict[str, Column], chunk_ms: int = DAY_MS) -> DataFrame:
-    """df with running sums, the current row included, by chunks whose totals are carried on."""
+def running_sums(df: DataFrame, keys: list[str], ts: str, order: list[Column], sums: dict[str, Column], chunk_ms: int | None = None) -> DataFrame:
+    """df with running sums, the current row included; with chunk_ms, by chunks whose totals are carried on."""
+    if chunk_ms is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*(c for c in df.columns if c not in sums), *(F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(n) for n, v in sums.items()))
     df = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms))
     before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_chunk").agg(*(F.sum(v).alias(f"_all_{n}") for n, v in sums.items()))
