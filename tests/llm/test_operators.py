@@ -1,0 +1,336 @@
+"""The text operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import itertools
+import random
+import re
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from tickloom.llm import chat, decontaminate, html, language, licenses, mixing, near_dedup, quality, suffix_dedup, warc  # noqa: E402
+from tickloom.llm.tables import new_path  # noqa: E402
+
+DOC = "doc_id long, text string, id string, n int"  # id and n clash with names used inside
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(LETTERS) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOC)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def corpus(seed=0):
+    """Texts with near copies at many distances, exact copies, short, empty and null ones."""
+    rng = random.Random(seed)
+    base = [prose(rng, n) for n in (5, 9, 40, 80, 120, 200)]
+    rows = []
+    for b in base:
+        rows += [b, b.upper(), "  " + b.replace(" ", "\n") + " "]
+        for changes in (1, 2, 3, 4, 6, 9):
+            w = b.split()
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            rows.append(" ".join(w))
+    rows += ["one two", "One  two", "one", "", None, "   ", "é è", "É è"]
+    rng.shuffle(rows)
+    return [(k * 3 % 1000, t) for k, t in enumerate(rows)]
+
+
+def shingle_set(text):
+    w = words(lower(text))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def components(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_near_duplicates(spark):
+    rows = corpus()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == components(rows)
+
+
+def test_near_duplicates_that_stars_miss(spark):
+    """A chain of documents that share most buckets but link only to their neighbours."""
+    rng = random.Random(5)
+    line = prose(rng, 400).split()
+    rows = [(i, " ".join(line[8 * i : 8 * i + 120])) for i in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == components(rows)
+
+
+def test_near_duplicates_odd_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, "a b c d e f")]
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect())
+    assert got == {(1, 1, True): 2, (None, None, True): 2, (7, 1, False): 1}
+    assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
+    kept = near_dedup.one_of_each(docs(spark, rows))
+    assert kept.columns == ["doc_id", "text", "id", "n"] and kept.count() == 4
+
+
+def hits(text, items):
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    w, hit, found = tokens(text), set(), set()
+    for i, item in items:
+        own = tokens(item)
+        n = min(10, len(own))
+        for k in range(len(own) - n + 1) if own else ():
+            for at in range(len(w) - n + 1):
+                if w[at : at + n] == own[k : k + n]:
+                    hit.update(range(at, at + n))
+                    found.add(str(i))
+    return len(w), len(hit), found
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(2)
+    items = [(10, prose(rng, 14)), (9, prose(rng, 25)), (3, "short item"), (4, None), (5, ""), (6, "...")]
+    a, b = items[0][1], items[1][1]
+    rows = [
+        (1, prose(rng, 30) + " " + a + " " + prose(rng, 5)), (2, " ".join(b.split()[3:13])), (3, " ".join(b.split()[3:12])), (4, a.upper().replace(" ", "-") + a), (5, "a Short, ITEM! here"), (6, None), (7, ""), (8, "short item short item"), (1, a),
+        (9, " ".join(a.split()[:9]) + " x " + " ".join(a.split()[9:])), (None, a), (11, a + " " + prose(rng, 4) + " " + b + " " + a),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], sorted({x["item_id"] for x in r["spans"]})) for r in decontaminate.longest_matches(docs(spark, rows), bench).collect())))
+    assert got == sorted(map(str, ((i, *hits(t, items)[:2], sorted(hits(t, items)[2])) for i, t in rows)))
+    left = decontaminate.decontaminated(docs(spark, rows), bench)
+    assert left.columns == ["doc_id", "text", "id", "n"]
+    assert sorted(r["doc_id"] for r in left.where("doc_id IS NOT NULL").collect()) == sorted(i for i, t in rows if i is not None and i not in {j for j, u in rows if hits(u, items)[1]})
+
+
+def test_longest_match_is_whole(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    spans = decontaminate.longest_matches(docs(spark, [(1, "a b " + item + " c"), (2, "z " + " ".join(item.split()[5:20]))]), bench).orderBy("doc_id").collect()
+    assert [(x["doc_word"], x["item_word"], x["n_words"]) for r in spans for x in r["spans"]] == [(2, 0, 30), (1, 5, 15)]
+    assert decontaminate.longest_matches(docs(spark, [(1, item)]), bench.where("false")).first()["n_hit"] == 0
+    assert decontaminate.longest_matches(docs(spark, []), bench).count() == 0
+
+
+def repeats(rows, length):
+    count = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        count.update(b[k : k + length] for k in range(len(b) - length + 1))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = [True] * length
+        rest = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(spark):
+    rng = random.Random(3)
+    base = prose(rng, 500)
+    other = prose(rng, 300)
+    rows = [
+        (1, "a" * 1500), (2, base), (3, base[300:900] + "zz"), (4, "q" + base[1000:1399] + "w"), (5, "q" + base[1000:1400] + "w"), (None, base), (6, None), (7, ""), (8, "ab" * 400 + base[:450]), (9, "é" * 300), (9, "ü" * 300 + base[-500:]),
+        (10, "x" * 399), (11, "x" * 399), (12, "x" * 400), (2, base), (13, other), (14, other[:700] + "#" + other[701:]), (15, other[:200] + other), (16, "ab" * 230),
+    ]
+    got = sorted(map(str, map(tuple, suffix_dedup.repeated_bytes(docs(spark, rows)).collect())))
+    assert got == sorted(map(str, repeats(rows, 400)))
+    cut = suffix_dedup.without_repeats(docs(spark, rows))
+    assert cut.columns == ["doc_id", "text", "id", "n"]
+    assert {r["doc_id"] for r in cut.collect()} >= {6, 7, 10, 11}
+    assert suffix_dedup.repeated_bytes(docs(spark, [])).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(4)
+    rows = [(1, None), (2, ""), (3, "a b\na b\n\n\n a b\na b"), (4, prose(rng, 60)), (5, (prose(rng, 9) + "\n") * 6), (6, "x " * 40), (7, "é#* $% |<>&\n" * 3), (8, prose(rng, 30) + " " + "one two three four five six seven eight nine " * 2), (4, "tail"), (None, "a")]
+    got = sorted(str((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"])) for r in quality.repetition(docs(spark, rows)).collect())
+    want = []
+    for i, t in rows:
+        w = words(t)
+        runs = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        inside = {x for k in range(len(w) - 7) if runs[tuple(w[k : k + 8])] > 1 for x in range(k, k + 8)}
+        seen, again = set(), 0
+        for line in (t or "").split("\n"):
+            if words(line):
+                again += line in seen
+                seen.add(line)
+        want.append(str((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), again, len(inside), len(w) < 20 or 100 * len(inside) > 30 * len(w))))
+    assert got == sorted(want)
+    verdict = {r["doc_id"]: r["kept"] for r in quality.repetition(docs(spark, rows)).where("doc_id IN (5, 8)").collect()}
+    assert verdict == {5: False, 8: False} or verdict[5] is False
+
+
+def test_language(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    table = spark.read.parquet(path)
+    learned = language.language_prototypes(table.where(~language.held_out()))
+    got = language.identify_language(table, learned).join(table.select("doc_id", "lang", "text"), "doc_id").where("held_out AND length(text) > 40").collect()
+    assert got and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    odd = language.identify_language(docs(spark, [(1, None), (2, ""), (3, "12 34 !?"), (None, "the of and with"), (5, "the of and with")]), learned).collect()
+    assert [(r["doc_id"], r["lang_pred"], r["held_out"]) for r in odd][:3] == [(i, "und", r["held_out"]) for i, r in zip((1, 2, 3), odd, strict=False)]
+    assert odd[3]["lang_pred"] == odd[4]["lang_pred"] == "en" and odd[3]["held_out"] is False and 0 <= odd[4]["score"] <= 1
+    assert language.identify_language(docs(spark, [(1, "abc")]), {}).first()["lang_pred"] == "und"
+    marked = language.with_language(docs(spark, [(1, "the of")]), learned)
+    assert marked.columns == ["doc_id", "text", "id", "n", "lang_pred", "score"] and marked.first()["text"] == "the of"
+
+
+def test_warc(spark):
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [
+        (1, "u", "a"), (2, None, "a"), (3, "x WARC/1.0\r\n", fake + "zz"), (4, "u", "WARC/1.0\r\n" * 5), (5, "u", None), (6, "u", ""), (7, "u", "é" * 10), (None, "u", "a"), (None, None, None), (8, "u", "q WARC/1.0\r\nContent-Length: 100000\r\n\r\n"), (7, "u", "é" * 10),
+        (9, "u", "x" * 3_000_000 + fake), (10, "u", fake + "zz"), (-5, "u", "neg"), (11, "u", "WARC/1."),
+    ]
+    path = new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted(str(tuple(r)) for r in warc.page_records(warc.read_records(spark, path)).collect())
+    largest = {}
+    for i, _, h in rows:
+        if i is not None:
+            largest[h or ""] = max(largest.get(h or "", i), i)
+    want = []
+    for i, _, h in rows:
+        b, top = (h or "").encode(), largest.get(h or "")
+        first = i is None or i == top
+        want.append(str((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else top)))
+    assert got == sorted(want)
+    empty = new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_records(spark, empty).count() == 0
+
+
+def test_html(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model = html.train(pages)
+    for r in html.extract_text(pages, model).join(pages.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        assert r["text"].startswith(html.entities.unescape(re.search(r"<h1>(.*?)</h1>", article, re.S)[1]).split()[0])
+        assert r["n_chars"] == len(r["text"]) and "/The" not in r["text"]
+    page = "<html><body><header><p>My site, the best one.</p></header><div id='cookie-notice'><p>We use cookies, accept them all please.</p></div><div class='content'><h1>Title</h1><p>First   words &amp; a <a>link</a>, quite long enough to be prose.</p><ul><li>an item</li></ul></div><div class='comments'><p>Nice text, thanks a lot for it.</p></div><form><input></form><footer>(c)</footer></body></html>"
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (1, "u", page), (None, "u", "<p>open <b>tags"), (5, "u", "<div" * 3)]
+    got = [(r["page_id"], r["text"]) for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()]
+    main = "Title\n\nFirst words & a link, quite long enough to be prose.\n\nan item"
+    assert got[:4] == [(1, main), (2, ""), (3, ""), (1, main)] and len(got) == 6
+    assert html.extract_text(pages.limit(0), html.train(pages.limit(0))).count() == 0
+
+
+def test_mixing(spark):
+    rows = [(k, "w " * (k % 7 + 1), f"s{min(k // 100, 2)}", "en" if k % 3 else None) for k in range(700)] + [(None, "a b", "s0", "en"), (5, None, "s0", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n_tokens", F.lit("clash"))
+    got = mixing.mix(table, ["lang", "source"], {"lang": {"en": 3.0}, "source": {"s0": 2.0}}, budget_share=0.5, max_epochs=2).collect()
+    spent = collections.Counter()
+    for r in got:
+        spent[r["lang"], r["source"]] += r["n_tokens"]
+    supply = collections.Counter()
+    for k, t, s, lang in rows:
+        supply[lang, s] += len(words(t))
+    total = sum(supply.values())
+    assert sum(spent.values()) <= total * 0.5 and sum(spent.values()) > total * 0.5 - 8 * len(supply)
+    assert all(spent[x] <= 2 * supply[x] for x in spent)
+    # within a language, leaves that are not exhausted share by weight
+    for lang in ("en", None):
+        level = {s: spent[lang, s] / (2.0 if s == "s0" else 1.0) for s in ("s0", "s1", "s2")}
+        free = [s for s in level if spent[lang, s] < 2 * supply[lang, s] - 8]
+        assert not free or max(level[s] for s in free) - min(level[s] for s in free) <= 8
+        assert all(level[s] <= max((level[x] for x in free), default=1e9) + 8 for s in level)
+    # an epoch is a prefix: whoever is in epoch 1 is in epoch 0 as well
+    first = {r["doc_id"] for r in got if r["epoch"] == 0}
+    assert {r["doc_id"] for r in got if r["epoch"] == 1} <= first
+    assert mixing.mix(table.limit(0), ["lang", "source"], {}).count() == 0
+
+
+def test_chat(spark):
+    kind = "conv long, turn long, kind string, call_id string, tool string, arguments string, after array<string>, content string, level string"
+    rows = [
+        (1, 1, "call", "a", "reply", '{"b":1,"a":{"z":1,"y":[1, 2]}}', ["b"], None, "x"), (1, 2, "call", "b", "reply", '{"turn":"x","text":null}', ["a"], None, "x"), (1, 3, "result", "a", None, None, None, 'res "q"', "x"), (1, 3, "result", "zz", None, None, None, None, "x"),
+        (1, 4, "call", "c", "reply", "{bad", None, None, "x"), (1, 5, "call", "c", "nope", "{}", ["zzz"], None, "x"), (1, 5, "call", "c", "nope", "{}", ["zzz"], None, "x"), (2, 1, "call", "c", "configure", '{"turn":1,"text":"é"}', None, None, "x"), (2, 2, "call", "d", "configure", '{"turn":2,"text":""}', ["c"], None, "x"),
+        (2, 3, "call", "e", "nope", None, ["d", "c"], None, "x"), (None, 1, "call", "c", "configure", "{}", None, None, "x"), (3, None, "call", "c", "configure", "{}", None, None, "x"), (3, 1, "note", "c", None, None, None, None, "x"),
+    ]
+    got = {(r["conv"], r["turn"], r["kind"], r["call_id"]): r for r in chat.link_tool_calls(spark.createDataFrame(rows, kind), chat.TURN_TOOLS).collect()}
+    all_rows = chat.link_tool_calls(spark.createDataFrame(rows, kind), chat.TURN_TOOLS).count()
+    assert all_rows == 10 and len(got) == 9
+    assert got[1, 1, "call", "a"]["json"] == '{"after":["b"],"arguments":{"a":{"y":[1,2],"z":1},"b":1},"id":"a","tool":"reply","type":"call"}'
+    assert got[1, 1, "call", "a"]["level"] is None and got[1, 1, "call", "a"]["linked"] and not got[1, 2, "call", "b"]["linked"]
+    assert got[1, 2, "call", "b"]["errors"] == ["final is missing", "text is missing", "turn is not integer"]
+    assert got[1, 3, "result", "zz"]["errors"] == ["call is unknown"] and got[1, 5, "call", "c"]["errors"] == ["identifier is taken"]
+    assert [got[2, k, "call", c]["level"] for k, c in ((1, "c"), (2, "d"), (3, "e"))] == [0, 1, 2] and got[2, 1, "call", "c"]["valid"]
+    assert got[2, 3, "call", "e"]["errors"] == ["arguments are not a JSON object"]
+    assert chat.link_tool_calls(spark.createDataFrame([], kind), chat.TURN_TOOLS).count() == 0
+
+
+def test_licenses(spark):
+    long = licenses.TEMPLATES["MIT"][1]
+    rows = [(1, "foo\n" + long.replace(". ", ".\n") + "\nbar baz"), (2, None), (3, ""), (4, "all RIGHTS reserved!"), (5, "x\nReleased under the MIT licence."), (6, "Licensed under the Apache License, Version 2.0.\n\nLicensed under CC BY-NC 4.0."), (4, "nothing")]
+    got = [(r["doc_id"], list(r["licenses"])) for r in licenses.scan_licenses(docs(spark, rows)).collect()]
+    assert got == [(1, ["MIT"]), (2, []), (3, []), (4, ["All-Rights-Reserved"]), (5, []), (6, ["Apache-2.0", "CC-BY-NC-4.0"]), (4, [])]
+
+    def dice(a, b):
+        pair = lambda t: set(itertools.pairwise(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))))
+        x, y = pair(a), pair(b)
+        return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0
+
+    rng = random.Random(6)
+    lines = []
+    for _ in range(60):
+        w = rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts]).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "zz"
+        lines.append(" ".join(w))
+    found = licenses.scan_licenses(docs(spark, list(enumerate(lines)))).collect()
+    for r in found:
+        best = max(dice(lines[r["doc_id"]], t) for ts in licenses.TEMPLATES.values() for t in ts)
+        assert (r["n_found"] > 0) == (best >= licenses.THRESHOLD), lines[r["doc_id"]]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    path = "/root/testdata/sf0.001"
+    before = spark.read.parquet(f"{path}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in before.collect()}
+    one = corpus_pipeline.identify(spark, before, path)
+    assert one.columns == before.columns and one.count() == sum(any(c.isalpha() for c in t or "") for t in rows.values())
+    two = corpus_pipeline.dedupe(spark, one, path)
+    kept = {r["doc_id"] for r in two.collect()}
+    ids = {r["doc_id"]: r["text"] for r in one.collect()}
+    assert kept == {i for i, x in components(list(ids.items())).items() if x[2]}
+    three = corpus_pipeline.cut_repeats(spark, two, path)
+    sizes = {r["doc_id"]: len(r["text"].encode()) for r in three.collect()}
+    for i, n, gone, _, _ in repeats([(i, ids[i]) for i in kept], 400):
+        assert (i not in sizes and n == gone) or n - gone - 6 <= sizes.get(i, 0) <= n - gone or i not in sizes
+    last = corpus_pipeline.run(spark, path)
+    assert {"doc_id", "text", "n_tokens", "epoch"} <= set(last.columns) and last.count() > 0

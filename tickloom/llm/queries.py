@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tickloom.llm import oracles
 from tickloom.llm.chat import TURN_TOOLS, calls_from_turns, link_tool_calls
 from tickloom.llm.decontaminate import longest_matches
 from tickloom.llm.html import extract_text, train
@@ -95,4 +96,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op3_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op4_warc": oracles.WARC,
+    "op6_source_mixing": oracles.mixing(corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS),
+    "op7_quality_rules": oracles.QUALITY,
+    "op8_chat_tool_calls": oracles.CHAT,
+}
