@@ -153,7 +153,8 @@ def _selected(t: Tables, top_n: int) -> DataFrame:
 
 
 _SELECTION = f"""{_BEST}, {_LIQ}, pn AS (SELECT symbol, sum(realized_pnl_usd) / 1000000 AS pnl FROM audit WHERE event_type = 'replay_position_exit' GROUP BY 1),
- sl AS (SELECT bs.symbol, sc >= 0.2 AS stable, 0.55 * CASE WHEN sc >= 0.2 THEN sc ELSE 0 END + 0.2 * least(usd / 100000, 1) - 0.15 * least(sp / 20, 1) + 0.1 * greatest(-1, least(coalesce(pnl, 0) / 10, 1)) AS score, pnl FROM bs JOIN lq USING (symbol) LEFT JOIN pn USING (symbol))"""
+ sl AS (SELECT y.symbol, coalesce(sc, 0) >= 0.2 AS stable, 0.55 * CASE WHEN sc >= 0.2 THEN sc ELSE 0 END + 0.2 * least(coalesce(usd, 0) / 100000, 1) - 0.15 * least(coalesce(sp, 0) / 20, 1) + 0.1 * greatest(-1, least(coalesce(pnl, 0) / 10, 1)) AS score, coalesce(pnl, 0) AS pnl
+ FROM (SELECT DISTINCT symbol FROM quotes) y LEFT JOIN bs USING (symbol) LEFT JOIN lq USING (symbol) LEFT JOIN pn USING (symbol))"""
 
 
 @query("symbol_selection", f"WITH {_SELECTION} SELECT symbol, stable, round(score, 5) AS selection_score FROM sl ORDER BY stable DESC, score DESC, pnl DESC, symbol LIMIT 5", "quotes", "audit")
@@ -256,7 +257,7 @@ def alerts_to_risk_flags(t: Tables) -> DataFrame:
 @query(
     "daily_summary",
     f"""WITH {_SLICES}, x AS (SELECT day, count(*) FILTER (dec) AS intents, count(*) FILTER (dec AND fill_filled) AS fills, count(*) FILTER (NOT dec) AS closed_positions, count(DISTINCT symbol) AS symbol_days FROM a GROUP BY 1), u AS (SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS order_updates FROM order_updates GROUP BY 1),
- al AS (SELECT strftime(make_timestamp(local_ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS alerts FROM quotes WHERE local_ts_ms - exchange_ts_ms > 30 GROUP BY 1), f AS (SELECT o_orderdate, count(*) AS n FROM orders WHERE o_orderkey % 10 > 1 GROUP BY 1), g AS (SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') AS day, n AS matched_fills FROM f)
+ al AS (SELECT strftime(make_timestamp(local_ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS alerts FROM quotes WHERE local_ts_ms - exchange_ts_ms > 30 GROUP BY 1), f AS (SELECT o_orderdate, count(*) FILTER (o_orderkey % 10 > 1) AS n FROM orders GROUP BY 1), g AS (SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') AS day, n AS matched_fills FROM f)
  SELECT day, coalesce(intents, 0) AS intents, coalesce(fills, 0) AS fills, coalesce(closed_positions, 0) AS closed_positions, coalesce(symbol_days, 0) AS symbol_days, coalesce(alerts, 0) AS alerts, 0 AS critical_alerts, coalesce(matched_fills, 0) AS matched_fills, coalesce(order_updates, 0) AS order_updates FROM x FULL JOIN u USING (day) FULL JOIN al USING (day) FULL JOIN g USING (day)""",
     "audit", "order_updates", "quotes",
 )

@@ -103,7 +103,7 @@ def leadership_scores(t: Tables) -> DataFrame:
     f"""WITH {_ALIGNED}, b AS (SELECT symbol, direction, score, lag_ms, row_number() OVER (PARTITION BY symbol, direction ORDER BY score DESC, pairs DESC, lag_index) AS k FROM s2),
  c AS (SELECT y.symbol, p.score AS ps, p.lag_ms AS pl, q.score AS qs, q.lag_ms AS ql, p.score IS NOT NULL AND (q.score IS NULL OR p.score > q.score) AS first FROM (SELECT DISTINCT symbol FROM quotes) y LEFT JOIN (SELECT * FROM b WHERE k = 1 AND direction = 'binance') p USING (symbol) LEFT JOIN (SELECT * FROM b WHERE k = 1 AND direction = 'mexc') q USING (symbol)),
  d AS (SELECT symbol, first, CASE WHEN first THEN ps ELSE qs END AS s, CASE WHEN first THEN pl ELSE ql END AS l FROM c)
- SELECT symbol, CASE WHEN s >= 0.2 THEN CASE WHEN first THEN 'binance' ELSE 'mexc' END END AS leader, CASE WHEN s >= 0.2 THEN CASE WHEN first THEN 'mexc' ELSE 'binance' END END AS lagger, round(s, 5) AS leader_score, l AS lag_ms, CASE WHEN s >= 0.2 THEN 'ok' ELSE 'unstable' END AS reason, s >= 0.2 AS stable FROM d""",
+ SELECT symbol, CASE WHEN s >= 0.2 THEN CASE WHEN first THEN 'binance' ELSE 'mexc' END END AS leader, CASE WHEN s >= 0.2 THEN CASE WHEN first THEN 'mexc' ELSE 'binance' END END AS lagger, round(coalesce(s, 0), 5) AS leader_score, l AS lag_ms, CASE WHEN n < 2 THEN 'insufficient_samples' WHEN s IS NULL THEN 'insufficient_pairs' WHEN s >= 0.2 THEN 'ok' ELSE 'unstable' END AS reason, coalesce(s >= 0.2, false) AS stable FROM d JOIN (SELECT symbol, least(count(*) FILTER (venue = 'binance'), count(*) FILTER (venue = 'mexc')) AS n FROM quotes GROUP BY 1) USING (symbol)""",
     "quotes",
 )
 def leadership(t: Tables) -> DataFrame:
@@ -127,7 +127,12 @@ def lag_candidate_stats(t: Tables) -> DataFrame:
     return own.select("symbol", "lag_ms", "samples", "hits", F.round("hit_rate", 5).alias("hit_rate"), F.round("residual_variance", 2).alias("residual_variance"), F.round("paper_pnl_usd", 4).alias("paper_pnl_usd"))
 
 
-@query("lag_selection", f"WITH {_STATS} SELECT symbol, lag_ms, 'ok' AS reason, round(100 * hit_rate + paper_pnl_usd - residual_variance / 1000, 3) AS score FROM st QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY 100 * hit_rate + paper_pnl_usd - residual_variance / 1000 DESC, lag_ms) = 1", "quotes")
+@query(
+    "lag_selection",
+    f"""WITH {_STATS}, z AS (SELECT *, samples >= 10 AS ok, 100 * hit_rate + paper_pnl_usd - residual_variance / 1000 AS score FROM st) SELECT symbol, CASE WHEN ok THEN lag_ms END AS lag_ms, CASE WHEN ok THEN 'ok' ELSE 'insufficient_samples' END AS reason, CASE WHEN ok THEN round(score, 3) END AS score
+ FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ok DESC, score DESC, lag_ms) = 1""",
+    "quotes",
+)
 def lag_selection(t: Tables) -> DataFrame:
     return _rounded(leadlag.lag_selection(leadlag.lag_candidate_stats(observations(t), LAGS), residual_penalty=0.001), ["score"], 3)
 
