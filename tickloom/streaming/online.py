@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -26,17 +26,26 @@ def stream_quotes(spark: SparkSession, path: str, schema: StructType, max_files:
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Processes what has landed and stops; rows are appended to target as Parquet."""
-    query = df.writeStream.outputMode(mode).format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(df: DataFrame, writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """Starts a bounded run and waits for it. A new query's state gets two partitions a core; a restarted one keeps its own."""
+    spark = df.sparkSession
+    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, str(2 * spark.sparkContext.defaultParallelism))
+    try:
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()
     return query
 
 
+def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Processes what has landed and stops; rows are appended to target as Parquet."""
+    return _run(df, df.writeStream.outputMode(mode).format("parquet").option("path", target), checkpoint)
+
+
 def run_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
-    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    return _run(df, df.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
 
 
 def stream_latency_alerts(quotes: DataFrame, max_ms: int) -> DataFrame:
