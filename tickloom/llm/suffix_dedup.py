@@ -28,6 +28,8 @@ from tickloom.llm.tables import BROADCAST_IDS, written
 from tickloom.llm.textcodes import Texts, mix64, slices, span_hash
 
 LENGTH, GRAM, BLOCK = 400, 100, 16
+#: Places in a slice of texts, as many as Arrow strings have.
+PLACES = 1 << 31
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -51,7 +53,7 @@ class _Runs:
         if n < length:
             return
         at = np.arange(n - gram + 1, dtype=np.int64)
-        mask = np.uint64((1 << int(n).bit_length()) - 1)
+        mask = np.uint64(PLACES - 1)  # the same in every slice, so that equal strings break ties alike
         packed = (span_hash(self.prefix, at, at + gram) & ~mask) | at.astype(np.uint64)
         least = (_sliding_least(packed, length - gram + 1) & mask).astype(np.int64)
         sizes = np.maximum(np.diff(texts.offsets) - length + 1, 0)
