@@ -92,11 +92,9 @@ class Benchmark:
                 lengths.append(np.full(count, min(n, window)))
                 owner.append(np.full(count, k))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        start, self.length, self.owner = cat(starts), cat(lengths), cat(owner)
-        self.offset = start - words.bounds[self.owner] if len(start) else start
-        steps = np.arange(window)
-        at = np.minimum(start[:, None] + steps, max(len(words.code) - 1, 0))
-        self.windows = words.code[at] if len(start) else np.zeros((0, window), np.uint64)
+        self.window, self.code = window, words.code
+        self.start, self.length, self.owner = cat(starts), cat(lengths), cat(owner)
+        self.offset = self.start - words.bounds[self.owner]
 
     def places(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word counts of the texts, and for each place of a window: text, word of the text, window."""
@@ -104,14 +102,15 @@ class Benchmark:
         none = np.zeros(0, np.int64)
         if not len(words.code) or not len(self.owner):
             return words.bounds, none, none, none
-        table = Suffixes(words.code, words.bounds, self.windows.shape[1])
-        at = np.minimum(np.searchsorted(table.vocabulary, self.windows), len(table.vocabulary) - 1)
-        steps = np.arange(self.windows.shape[1]) < self.length[:, None]
-        known = ((table.vocabulary[at] == self.windows) | ~steps).all(1)
-        asked = np.flatnonzero(known)
+        table = Suffixes(words.code, words.bounds, self.window)
+        at = np.minimum(np.searchsorted(table.vocabulary, self.code), len(table.vocabulary) - 1)
+        known = table.vocabulary[at] == self.code
+        unknown = np.concatenate(([0], np.cumsum(~known)))
+        asked = np.flatnonzero(unknown[self.start + self.length] == unknown[self.start])
         if not len(asked):
             return words.bounds, none, none, none
-        lo, hi = table.intervals(at[asked] + 1, self.length[asked])
+        steps = np.minimum(self.start[asked][:, None] + np.arange(self.window), len(at) - 1)
+        lo, hi = table.intervals(at[steps] + 1, self.length[asked])
         count = hi - lo
         query = np.repeat(asked, count)
         place = table.order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
@@ -177,6 +176,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         schema = pa.schema([pa.field(f.name, _arrow(f)) for f in fields])
         text_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         out = out.select("id", "text", "spans").mapInArrow(lambda it, b=found, s=schema: _search(it, b, s), text_type)
+        if not last:  # a stage holds one block at a time
+            out = written(out, "searched")
     return out.withColumnRenamed("id", id_col)
 
 
