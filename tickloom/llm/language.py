@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.tables import bounded_batches
 from tickloom.llm.textcodes import Texts, mix64, slices
 
 DIMENSIONS, SEED = 1024, 5
 #: Bytes and rows that one table of counts (texts by triples) holds.
 SLICE = (384 << 10, 192)
+#: Distinct triples whose vectors are multiplied at a time.
+TILE = 4096
 UNKNOWN = "und"
 _letters: dict[str, np.ndarray] = {}
 
@@ -85,15 +88,22 @@ class _Encoder:
         packed = line[:-2] << np.uint64(42) | line[1:-1] << np.uint64(21) | line[2:]
         return owner[1:-1][middle], packed[middle]
 
-    def counts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of each known triple by text, and the vectors of those triples."""
+    def sums(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The bundle of every text, and how many triples it has. Texts meet TILE distinct triples at a time."""
         owner, packed = self.triples(texts)
         own, inverse = np.unique(packed, return_inverse=True)
-        vectors = self.of(own)
-        table = np.bincount(owner * len(own) + inverse, minlength=len(texts) * len(own)).reshape(len(texts), len(own))
-        return table.astype(np.float32), vectors
+        out = np.zeros((len(texts), self.dimensions))
+        order = np.argsort(inverse, kind="stable") if len(own) > TILE else slice(None)
+        inverse, rows = inverse[order], owner[order]
+        for lo in range(0, len(own), TILE):
+            wide = min(TILE, len(own) - lo)
+            part = slice(*np.searchsorted(inverse, (lo, lo + wide))) if len(own) > TILE else slice(None)
+            table = np.bincount(rows[part] * wide + inverse[part] - lo, minlength=len(texts) * wide).reshape(len(texts), wide)
+            out += table.astype(np.float32) @ self.of(own[lo : lo + wide]).astype(np.float32)
+        return out, np.bincount(owner, minlength=len(texts))
 
     def of(self, packed: np.ndarray) -> np.ndarray:
+        """Vectors of at most TILE distinct triples, in order."""
         new = packed[~np.isin(packed, self.known)]
         if len(self.known) + len(new) > self.LIMIT:
             self.known, self.vectors = np.zeros(0, np.uint64), np.zeros((0, self.dimensions), np.int8)
@@ -109,28 +119,23 @@ class _Encoder:
             known = np.concatenate((self.known, new))
             order = np.argsort(known)
             self.known, self.vectors = known[order], np.concatenate((self.vectors, vectors))[order]
-        return self.vectors[np.searchsorted(self.known, packed)].astype(np.float32)
-
-
-def _blocks(n: int, wide: int) -> list[tuple[int, int]]:
-    step = max(1, (4 << 20) // max(1, wide))
-    return [(lo, min(n, lo + step)) for lo in range(0, n, step)]
+        return self.vectors[np.searchsorted(self.known, packed)]
 
 
 def _bundle(batches: Iterator[pa.RecordBatch], dimensions: int, seed: int) -> Iterator[pa.RecordBatch]:
     encoder, sums = _Encoder(dimensions, seed), {}
     for batch in batches:
         for part in slices(batch, "text", *SLICE):
-            table, vectors = encoder.counts(Texts(part.column("text")))
+            own, _ = encoder.sums(Texts(part.column("text")))
             names = np.array(part.column("lang").to_pylist(), object)
             for name in set(names):
-                own = table[names == name].sum(0, dtype=np.float64).astype(np.float32) @ vectors
-                sums[name] = sums.get(name, 0) + np.rint(own).astype(np.int64)
+                sums[name] = sums.get(name, 0) + np.rint(own[names == name].sum(0)).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
 
 def language_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, list[int]]:
     """Bundle of every language of the labelled rows; all rows count. The driver gets dimensions * languages numbers."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     parts = labelled.mapInArrow(lambda it: _bundle(it, dimensions, seed), "lang string, bundle array<long>")
     rows = parts.select("lang", F.posexplode("bundle").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
@@ -144,15 +149,10 @@ def _nearest(batches: Iterator[pa.RecordBatch], text: str, names: list[str], pro
     encoder = _Encoder(dimensions, seed)
     for batch in batches:
         for part in slices(batch, text, *SLICE):
-            table, vectors = encoder.counts(Texts(part.column(text)))
-            best, score = np.full(len(table), -1), np.zeros(len(table))
-            for lo, hi in _blocks(len(table), table.shape[1]):
-                own = table[lo:hi] @ vectors
-                size = np.linalg.norm(own, axis=1)
-                cosine = (own @ prototypes.T) / np.maximum(size, 1e-9)[:, None] if len(names) else np.zeros((hi - lo, 1))
-                seen = table[lo:hi].any(1) if table.shape[1] else np.zeros(hi - lo, bool)
-                best[lo:hi] = np.where(seen & bool(len(names)), cosine.argmax(1), -1)
-                score[lo:hi] = np.where(seen, np.clip(cosine.max(1), 0, 1), 0)
+            own, count = encoder.sums(Texts(part.column(text)))
+            seen = (count > 0) & bool(len(names))
+            cosine = (own @ prototypes.T) / np.maximum(np.linalg.norm(own, axis=1), 1e-9)[:, None] if len(names) else np.zeros((len(own), 1))
+            best, score = np.where(seen, cosine.argmax(1), -1), np.where(seen, np.clip(cosine.max(1), 0, 1), 0)
             label = [names[b] if b >= 0 else UNKNOWN for b in best]
             others = [c for c in part.schema.names if keep_text or c != text]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(label, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
@@ -174,6 +174,7 @@ def with_language(docs: DataFrame, prototypes: dict[str, list[int]], text_col: s
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), dimensions)
     matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    bounded_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     own = docs.select(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") if c == text_col else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
     text = f"c{columns.index(text_col)}"

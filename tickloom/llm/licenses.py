@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.tables import bounded_batches
 from tickloom.llm.textcodes import ALNUM, Texts, slices
 
 THRESHOLD = 0.8
@@ -116,6 +117,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows give a row each; an empty table gives no rows; texts are taken whole.
     """
     own = _Templates(templates or TEMPLATES)
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     out = source.mapInArrow(lambda it: _scan(it, own, threshold), f"id {kind}, found array<struct<license:string,line:long,n_lines:long,dice:double>>")

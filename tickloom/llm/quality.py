@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.tables import bounded_batches
 from tickloom.llm.textcodes import BYTE_CODES, SPACED, Texts, mix64, slices, span_hash
 
 #: Largest share of word characters inside repeated runs of n words, by n.
@@ -100,6 +101,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     limits = run_limits or RUN_LIMITS
     runs = tuple(sorted(limits))
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     columns = [f"id {kind}", *(f"{c} long" for c in _COUNTS), "line_share double", *(f"run{n}_share double" for n in runs)]
