@@ -18,21 +18,23 @@ probability 1e-4; at 0.8 it is 1e-5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import connected_components
-from tickloom.llm.tables import only_ids, without_ids, written
+from tickloom.llm.tables import forget, only_ids, without_ids, written
 from tickloom.llm.textcodes import SPACED, Texts, mix64, slices
 
 WORDS, HALVES, ROWS, SEED = 5, 12, 2, 11
-#: Documents that a block looks up, and those that it looks them up in.
-QUERIES, TARGETS = 512, 256
+#: Stand-ins of null ids begin here.
+NULL_IDS = 1 << 62
+#: Shingles of the documents that a block looks up, and of those that it looks them up in: 8 and 4 MB.
+QUERIES, TARGETS = 1 << 20, 1 << 19
 
 
 def shingle_sets(texts: Texts, words: int = WORDS) -> list[np.ndarray]:
@@ -74,13 +76,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, halves: int, rows: in
             keys = [_half_keys(s, halves, rows, seed) if len(s) else np.zeros(0, np.uint64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
+                    part.column("_id"),
                     part.column("id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([s.sum() for s in sets], np.uint64).view(np.int64)),
                     pa.array(np.array([mix64(s).sum() if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
                     pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
                 ],
-                ["id", "n", "s1", "s2", "halves"],
+                ["_id", "id", "n", "s1", "s2", "halves"],
             )
 
 
@@ -114,14 +117,33 @@ def near_duplicates(
     Returns id_col, n_shingles, component_id (smallest id reachable) and kept (id is that smallest one).
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows that
-    share an id are one document and are linked with what any of them is linked with. A row with a null
-    id has a null component and is kept. An empty table gives an empty result. Long texts are taken whole.
+    share an id are one document and are linked with what any of them is linked with. Rows with a null id
+    and one text are one document too: its component is the smallest id reachable and it is not kept, or
+    null where only null ids are, and then the one first by a hash of its text is kept. An empty table
+    gives an empty result. Long texts are taken whole.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(
-        source.mapInArrow(lambda it: _sketch(it, words, halves, rows, seed), "id long, n long, s1 long, s2 long, halves array<long>"), "sketch"
-    )
-    named = sketch.where("n > 0 AND id IS NOT NULL")
+    found = _components(docs.select(F.col(id_col).cast("long").alias("_id"), _key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text")), percent, words, halves, rows, seed)
+    named = lambda c: F.when((F.col("_id").isNotNull()) | (F.col(c) < NULL_IDS), F.col(c))
+    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), named("component").alias("component_id"), (F.col("component") == F.col("id")).alias("kept"))
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """The id, or where it is null a stand-in by text that comes after all ids below NULL_IDS."""
+    stand_in = F.lit(NULL_IDS) + F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 2)
+    return F.coalesce(F.col(id_col).cast("long"), stand_in)
+
+
+def _components(source: DataFrame, percent: int, words: int, halves: int, rows: int, seed: int) -> DataFrame:
+    """(_id, id, n, component) of each row of source (_id, id, text); component is the smallest id reachable."""
+    kinds = "_id long, id long, n long, s1 long, s2 long, halves array<long>"
+    sketch = written(source.mapInArrow(lambda it: _sketch(it, words, halves, rows, seed), kinds), "sketch")
+    named = sketch.where("n > 0")
+    repeated = not named.groupBy("id").count().where("count > 1").isEmpty()
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        found = only_ids(source, ids, "id").mapInArrow(lambda it: _full_sets(it, words), "id long, codes binary")
+        return written(found.distinct() if repeated else found, name)
+
     # equal sets are one node, their smallest id
     classes = written(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min_by("halves", "id").alias("halves")), "classes")
 
@@ -129,7 +151,7 @@ def near_duplicates(
     hub = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hub = written(hub.select("key", F.col("hub.rep").alias("hub")), "hubs")
     star = keys.join(hub, "key").where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    links = _linked(star, classes, source, percent, words)
+    links = _linked(star, classes, sets_of, percent)
     labels = connected_components(links)
 
     # what the stars left apart: documents of buckets that hold several components
@@ -137,39 +159,35 @@ def near_duplicates(
     marked = written(marked.select("key", "rep", F.coalesce("label", "rep").alias("part")), "marked")
     mixed = written(marked.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"), "mixed")
     apart = written(marked.join(mixed, "key", "left_semi").select("rep", "part").distinct(), "apart")
-    more = _linked_apart(apart, classes, source, percent, words, halves)
+    forget(keys, hub, marked, mixed, labels)
+    more = _linked_apart(apart, classes, sets_of, percent, halves)
     labels = connected_components(links.unionByName(more))
-
     by_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component"))
     by_class = written(by_class, "by_class")
+    forget(classes, apart, links, more, labels)
     whole = sketch.join(by_class, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return whole.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    return whole.select("_id", "id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; all columns stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(id_col)
-    return without_ids(docs, written(gone.distinct(), "near_copies"), id_col)
+    """docs with one document of each component, that with the smallest id; all columns stay. Null ids as in near_duplicates."""
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), _key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    gone = _components(source, percent, WORDS, HALVES, ROWS, SEED).where("component <> id").select("id")
+    return without_ids(docs, written(gone.distinct(), "near_copies"), _key(id_col, text_col))
 
 
 def _table_keys(classes: DataFrame, halves: int) -> DataFrame:
     """(key, rep) for every pair of shared half keys, one from each collection."""
-    each = classes.select("rep", F.posexplode("halves").alias("place", "half"))
+    each = written(classes.select("rep", F.posexplode("halves").alias("place", "half")), "each_half")
     common = written(each.groupBy("half").count().where("count > 1").select("half"), "halves")
-    each = written(each, "each_half")
     shared = each.join(common, "half", "left_semi")
     first = F.collect_list(F.when(F.col("place") < halves, F.col("half")))
     second = F.collect_list(F.when(F.col("place") >= halves, F.col("half")))
     per_rep = shared.groupBy("rep").agg(first.alias("first"), second.alias("second")).where("size(first) > 0 AND size(second) > 0")
     pairs = per_rep.select("rep", F.explode("first").alias("x"), "second").select("rep", "x", F.explode("second").alias("y"))
-    return written(pairs.select(F.xxhash64("x", "y").alias("key"), "rep"), "keys")
+    keys = written(pairs.select(F.xxhash64("x", "y").alias("key"), "rep"), "keys")
+    forget(each, common)
+    return keys
 
 
 def _look_up(group: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -194,39 +212,42 @@ def _look_up(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(found_a, found_b).astype("int64"), "b": np.maximum(found_a, found_b).astype("int64")})
 
 
-def _linked_apart(apart: DataFrame, classes: DataFrame, source: DataFrame, percent: int, words: int, halves: int) -> DataFrame:
+def _linked_apart(apart: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], percent: int, halves: int) -> DataFrame:
     """Links across components between documents (rep, part) that share a half key of the first collection."""
-    sets = written(only_ids(source, apart.select(F.col("rep").alias("id")), "id").mapInArrow(lambda it: _full_sets(it, words), "id long, codes binary"), "apart_sets")
-    own = apart.join(classes.select("rep", F.slice("halves", 1, halves).alias("halves")), "rep")
-    own = written(own.select("rep", "part", F.explode("halves").alias("half")), "apart_halves")
-    counts = own.groupBy("half", "part").agg(F.count("*").alias("n"))
+    sets = sets_of(apart.select(F.col("rep").alias("id")), "apart_sets")
+    own = apart.join(classes.select("rep", "n", F.slice("halves", 1, halves).alias("halves")), "rep")
+    own = written(own.select("rep", "part", "n", F.explode("halves").alias("half")), "apart_halves")
+    counts = own.groupBy("half", "part").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     nets = counts.groupBy("half").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most")).where("parts > 1")
     nets = nets.select("half", "largest", F.ceil(F.col("size") / TARGETS).alias("target_blocks"), F.ceil((F.col("size") - F.col("most")) / QUERIES).alias("query_blocks"))
-    own = own.join(written(nets, "nets"), "half")
+    nets = written(nets, "nets")
     block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["half", "rep", "part", "asks", "target_block", "query_block"]
-    targets = own.withColumn("asks", F.lit(False)).withColumn("target_block", block("target_blocks", 1)).withColumn("query_block", every("query_blocks"))
-    queries = own.where("part <> largest").withColumn("asks", F.lit(True)).withColumn("query_block", block("query_blocks", 2)).withColumn("target_block", every("target_blocks"))
+    in_nets = own.join(nets, "half")
+    targets = in_nets.withColumn("asks", F.lit(False)).withColumn("target_block", block("target_blocks", 1)).withColumn("query_block", every("query_blocks"))
+    queries = in_nets.where("part <> largest").withColumn("asks", F.lit(True)).withColumn("query_block", block("query_blocks", 2)).withColumn("target_block", every("target_blocks"))
     rows = written(targets.select(*columns).unionByName(queries.select(*columns)), "blocks")
-    rows = rows.join(sets.select(F.col("id").alias("rep"), "codes"), "rep").select(*columns, "codes")
-    found = rows.groupBy("half", "target_block", "query_block").applyInPandas(lambda g: _look_up(g, percent), "a long, b long")
-    return written(found.distinct(), "more_links")
+    full = rows.join(sets.select(F.col("id").alias("rep"), "codes"), "rep").select(*columns, "codes")
+    found = full.groupBy("half", "target_block", "query_block").applyInPandas(lambda g: _look_up(g, percent), "a long, b long")
+    found = written(found.distinct(), "more_links")
+    forget(sets, own, nets, rows)
+    return found
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, source: DataFrame, percent: int, words: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], percent: int) -> DataFrame:
     """Pairs (a, b) that are similar by their full sets."""
     pairs = written(pairs.distinct(), "pairs")
-    facts = classes.select(F.col("rep"), F.col("n"), F.col("halves"))
+    near = pairs
     for x in "ab":
-        pairs = pairs.join(facts.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("halves").alias(f"halves_{x}")), x)
+        near = near.join(classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")), x)
     size_fits = F.expr(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)")
-    # a similar pair shares 13 of 24 halves on average; fewer than 4 has a chance of 3e-6
-    alike = F.size(F.array_intersect("halves_a", "halves_b")) >= 4 if percent >= 75 else F.lit(True)
-    pairs = written(pairs.where(size_fits & alike).select("a", "b"), "near_pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near_ids")
-    sets = written(only_ids(source, ids, "id").mapInArrow(lambda it: _full_sets(it, words), "id long, codes binary"), "sets")
+    near = written(near.where(size_fits).select("a", "b"), "near_pairs")
+    ids = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near_ids")
+    sets = sets_of(ids, "sets")
+    both = near
     for x in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("codes").alias(f"codes_{x}")), x)
-    found = pairs.select("a", "b", "codes_a", "codes_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
-    return written(found.distinct(), "links")
+        both = both.join(sets.select(F.col("id").alias(x), F.col("codes").alias(f"codes_{x}")), x)
+    found = written(both.select("a", "b", "codes_a", "codes_b").mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct(), "links")
+    forget(pairs, near, ids, sets)
+    return found
