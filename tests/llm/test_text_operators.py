@@ -94,10 +94,12 @@ def test_near_duplicates_that_stars_miss(spark):
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, "a b c d e f")]
     got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect())
-    assert got == {(1, 1, True): 2, (None, None, True): 2, (7, 1, False): 1}
+    assert got == {(1, 1, True): 2, (None, 1, False): 1, (None, None, True): 1, (7, 1, False): 1}
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     kept = near_dedup.one_of_each(docs(spark, rows))
-    assert kept.columns == ["doc_id", "text", "id", "n"] and kept.count() == 4
+    assert kept.columns == ["doc_id", "text", "id", "n"] and kept.count() == 3
+    nameless = [(None, "a b c d e f"), (None, "A b c d e f"), (None, "g h"), (4, "x y z"), (4, "a b c d e f g h i j"), (5, "x y z")]
+    assert sorted(r["text"] for r in near_dedup.one_of_each(docs(spark, nameless)).collect())[1:] == ["a b c d e f g h i j", "g h", "x y z"]
 
 
 def hits(text, items):
@@ -114,22 +116,27 @@ def hits(text, items):
     return len(w), len(hit), found
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_decontamination(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "blocks", "joined"), [(1 << 20, 16, 1 << 20), (200, 16, 3), (200, 1, 1)])
+def test_decontamination(spark, monkeypatch, block, blocks, joined):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", blocks)
+    monkeypatch.setattr(decontaminate, "JOINED", joined)
     rng = random.Random(2)
     items = [(10, prose(rng, 14)), (9, prose(rng, 25)), (3, "short item"), (4, None), (5, ""), (6, "...")]
     a, b = items[0][1], items[1][1]
+    items += [(10, a), (12, a), (13, b[: len(b) // 2] + " other end"), (None, a), (14, "item ITEM")]
     rows = [
         (1, prose(rng, 30) + " " + a + " " + prose(rng, 5)), (2, " ".join(b.split()[3:13])), (3, " ".join(b.split()[3:12])), (4, a.upper().replace(" ", "-") + a), (5, "a Short, ITEM! here"), (6, None), (7, ""), (8, "short item short item"), (1, a),
         (9, " ".join(a.split()[:9]) + " x " + " ".join(a.split()[9:])), (None, a), (11, a + " " + prose(rng, 4) + " " + b + " " + a),
     ]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], sorted({x["item_id"] for x in r["spans"]})) for r in decontaminate.longest_matches(docs(spark, rows), bench).collect())))
+    got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], sorted({str(x["item_id"]) for x in r["spans"]})) for r in decontaminate.longest_matches(docs(spark, rows), bench).collect())))
     assert got == sorted(map(str, ((i, *hits(t, items)[:2], sorted(hits(t, items)[2])) for i, t in rows)))
     left = decontaminate.decontaminated(docs(spark, rows), bench)
     assert left.columns == ["doc_id", "text", "id", "n"]
-    assert sorted(r["doc_id"] for r in left.where("doc_id IS NOT NULL").collect()) == sorted(i for i, t in rows if i is not None and i not in {j for j, u in rows if hits(u, items)[1]})
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == sorted((str(i), t or "") for i, t in rows if not hits(t, items)[1])
+    clash = docs(spark, rows).withColumnsRenamed({"id": "spans", "n": "n_hit"})
+    assert decontaminate.decontaminated(clash, bench).columns == ["doc_id", "text", "spans", "n_hit"]
 
 
 def test_longest_match_is_whole(spark):

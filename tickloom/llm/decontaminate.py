@@ -2,9 +2,10 @@
 
 Every shard (a run of whole documents) gets a suffix array over its words, built by prefix tripling on
 word ranks. Every benchmark suffix is binary-searched in it; the interval found holds all places that
-share at least `window` words with the suffix. Neighbouring places on one diagonal join into longest
-verbatim matches with their locations. The work needs no shuffle; the benchmark is shipped in blocks of
-bounded size, however large it is.
+share at least `window` words with the suffix. Suffixes of items that open alike are searched once.
+Neighbouring places on one diagonal join into longest verbatim matches with their locations. The work
+needs no shuffle. The benchmark is packed into blocks of bounded size; a pass over the documents builds
+each suffix array once and searches several blocks in it.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import without_ids, written
-from tickloom.llm.textcodes import ALNUM, Texts, slices
+from tickloom.llm.tables import bounded_batches, written
+from tickloom.llm.textcodes import ALNUM, WORD_STEPS, Texts, slices
 
 WINDOW = 10
-#: Benchmark text that one pass over the documents carries.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text in a block, and the blocks that one pass over the documents carries.
+BLOCK_BYTES, PASS_BLOCKS = 2 << 20, 16
+#: Windows that are searched, and places by items that are joined, at a time.
+SEARCHED, JOINED = 1 << 16, 1 << 20
 SPANS = "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
 
 
@@ -56,6 +60,13 @@ class Suffixes:
             _, rank = np.unique(key, return_inverse=True)
             rank = rank.astype(np.int64)
 
+    def known(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of words in this text, 0 for words that it lacks."""
+        if not len(self.vocabulary):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == codes, at + 1, 0)
+
     def intervals(self, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last place in `order` of the suffixes that begin with each query row."""
         steps = np.arange(queries.shape[1])
@@ -77,76 +88,138 @@ class Suffixes:
         return found[0], found[1]
 
 
-class Benchmark:
-    """Word codes of the items, and the windows that begin at each of their suffixes."""
+class Block:
+    """Word codes of some items. A window begins at each of their suffixes that is long enough."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         words = Texts(pa.array([t for _, t in items], pa.string())).words(ALNUM)
-        self.ids = [i for i, _ in items]
-        sizes = np.diff(words.bounds)
-        starts, lengths, owner = [], [], []
-        for k, n in enumerate(sizes):
-            if n:
-                count = max(1, n - window + 1)
-                starts.append(words.bounds[k] + np.arange(count))
-                lengths.append(np.full(count, min(n, window)))
-                owner.append(np.full(count, k))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.window, self.code = window, words.code
-        self.start, self.length, self.owner = cat(starts), cat(lengths), cat(owner)
-        self.offset = self.start - words.bounds[self.owner]
-
-    def places(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word counts of the texts, and for each place of a window: text, word of the text, window."""
-        words = texts.words(ALNUM)
-        none = np.zeros(0, np.int64)
-        if not len(words.code) or not len(self.owner):
-            return words.bounds, none, none, none
-        table = Suffixes(words.code, words.bounds, self.window)
-        at = np.minimum(np.searchsorted(table.vocabulary, self.code), len(table.vocabulary) - 1)
-        known = table.vocabulary[at] == self.code
-        unknown = np.concatenate(([0], np.cumsum(~known)))
-        asked = np.flatnonzero(unknown[self.start + self.length] == unknown[self.start])
-        if not len(asked):
-            return words.bounds, none, none, none
-        steps = np.minimum(self.start[asked][:, None] + np.arange(self.window), len(at) - 1)
-        lo, hi = table.intervals(at[steps] + 1, self.length[asked])
-        count = hi - lo
-        query = np.repeat(asked, count)
-        place = table.order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-        doc = table.doc[place]
-        return words.bounds, doc, table.word[place] - words.bounds[doc], query
-
-
-def _search(batches: Iterator[pa.RecordBatch], items: Benchmark, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        self.ids = pa.array([i for i, _ in items], pa.string())
+        self.code, self.bounds, self.window = words.code, words.bounds, window
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, length and item of every window, equal windows together."""
+        sizes = np.diff(self.bounds)
+        count = np.where(sizes > 0, np.maximum(1, sizes - self.window + 1), 0)
+        owner = np.repeat(np.arange(len(sizes)), count)
+        start = self.bounds[owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(sizes, self.window)[owner]
+        value = length.astype(np.uint64)
+        padded = np.concatenate((self.code, np.zeros(self.window, np.uint64)))
+        for k in range(self.window):
+            value += np.where(k < length, padded[start + k], 0) * WORD_STEPS[k]
+        order = np.argsort(value, kind="stable")
+        start, length, owner, value = start[order], length[order], owner[order], value[order]
+        self.heads = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+        return start, length, owner
+
+    def places(self, table: Suffixes) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, word in the table, item, word of the item and length of each place of a window, about JOINED at a time, texts whole."""
+        start, length, owner = self.windows()
+        sizes = np.diff(np.append(self.heads, len(start)))
+        number = table.known(self.code)
+        unknown = np.concatenate(([0], np.cumsum(number == 0)))
+        first, long = start[self.heads], length[self.heads]
+        asked = np.flatnonzero(unknown[first + long] == unknown[first])
+        doc, word, group = [], [], []
+        for lo in range(0, len(asked), SEARCHED):
+            part = asked[lo : lo + SEARCHED]
+            steps = np.minimum(first[part][:, None] + np.arange(self.window), len(number) - 1)
+            left, right = table.intervals(number[steps], long[part])
+            count = right - left
+            place = table.order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)]
+            doc.append(table.doc[place])
+            word.append(table.word[place])
+            group.append(np.repeat(part, count))
+        if not doc:
+            return
+        doc, word, group = (np.concatenate(x) for x in (doc, word, group))
+        order = np.argsort(doc, kind="stable")
+        doc, word, group = doc[order], word[order], group[order]
+        total = np.cumsum(sizes[group])
+        lo = 0
+        while lo < len(doc):
+            reach = np.searchsorted(total, (total[lo - 1] if lo else 0) + JOINED, "right")
+            hi = np.searchsorted(doc, doc[min(max(reach, lo), len(doc) - 1)], "right" if reach >= len(doc) or doc[reach] == doc[lo] else "left")
+            own = group[lo:hi]
+            count = sizes[own]
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.heads[own], count)
+            yield np.repeat(doc[lo:hi], count), np.repeat(word[lo:hi], count), owner[at], start[at] - self.bounds[owner[at]], length[at]
+            lo = hi
+
+
+def _diagonals(doc, word, owner, offset, length) -> tuple[np.ndarray, ...]:
+    """Places on one diagonal of one item and text, in order, join into longest matches: text, item, word, word of the item, words."""
+    order = np.lexsort((word, word - offset, owner, doc))
+    doc, word, owner, offset, length = (x[order] for x in (doc, word, owner, offset, length))
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (np.diff(doc) != 0) | (np.diff(owner) != 0) | (np.diff(word - offset) != 0) | (np.diff(word) != 1)
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(doc)) - 1
+    return doc[head], owner[head], word[head], offset[head], word[tail] + length[tail] - word[head]
+
+
+def _spans(part: pa.RecordBatch, blocks: list[Block], window: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words, hit words and spans of each text; the spans of earlier passes come along in part."""
+    words = Texts(part.column("text")).words(ALNUM)
+    before = part.column("spans")
+    flat = before.flatten()
+    docs = [np.repeat(np.arange(len(before)), np.diff(np.asarray(before.offsets)))]
+    columns = [[pa.array(flat.field(k)) for k in range(4)]]
+    if len(words.code):
+        table = Suffixes(words.code, words.bounds, window)
+        for block in blocks:
+            for places in block.places(table):
+                doc, owner, word, offset, size = _diagonals(*places)
+                docs.append(doc)
+                columns.append([block.ids.take(pa.array(owner)), pa.array(word - words.bounds[doc]), pa.array(offset), pa.array(size)])
+    doc = np.concatenate(docs)
+    names, at, item_word, size = (pa.concat_arrays([x[k].cast(t) for x in columns]) for k, t in enumerate([pa.string(), pa.int64(), pa.int64(), pa.int64()]))
+    order = np.argsort(doc, kind="stable")
+    cuts = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
+    structs = pa.StructArray.from_arrays([x.take(pa.array(order)) for x in (names, at, item_word, size)], ["item_id", "doc_word", "item_word", "n_words"])
+    step = np.zeros(len(words.code) + 1, np.int64)
+    begin = np.asarray(at) + words.bounds[doc]
+    np.add.at(step, begin, 1)
+    np.add.at(step, begin + np.asarray(size), -1)
+    hit = np.concatenate(([0], np.cumsum(np.cumsum(step[:-1]) > 0)))[words.bounds]
+    return np.diff(words.bounds), np.diff(hit), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), structs)
+
+
+def _search(batches: Iterator[pa.RecordBatch], blocks: list[Block], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            bounds, doc, word, query = items.places(Texts(part.column("text")))
-            # places on one diagonal of one item and document, in order, join into longest matches
-            owner, offset, length = (x[query] for x in (items.owner, items.offset, items.length))
-            order = np.lexsort((word, word - offset, owner, doc))
-            doc, word, owner, offset, length = (x[order] for x in (doc, word, owner, offset, length))
-            fresh = np.ones(len(doc), bool)
-            fresh[1:] = (np.diff(doc) != 0) | (np.diff(owner) != 0) | (np.diff(word - offset) != 0) | (np.diff(word) != 1)
-            head = np.flatnonzero(fresh)
-            tail = np.append(head[1:], len(doc)) - 1
-            size = word[tail] + length[tail] - word[head] if len(head) else head
-            per_doc: list[list[dict]] = [list(x or []) for x in part.column("spans").to_pylist()]
-            for d, o, w, q, n in zip(doc[head], owner[head], word[head], offset[head], size, strict=True):
-                per_doc[d].append({"item_id": items.ids[o], "doc_word": int(w), "item_word": int(q), "n_words": int(n)})
-            arrays = [part.column(name) for name in schema.names[:-3]]
-            n_hit = [_covered(x) for x in per_doc]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(np.diff(bounds), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(per_doc, schema.field("spans").type)], schema=schema
-            )
-
-
-def _covered(spans: list[dict]) -> int:
-    total, reach = 0, 0
-    for lo, hi in sorted((x["doc_word"], x["doc_word"] + x["n_words"]) for x in spans):
-        total += max(0, hi - max(lo, reach))
-        reach = max(reach, hi)
-    return total
+        for part in slices(batch, "text", 1 << 20):
+            n_words, n_hit, spans = _spans(part, blocks, window)
+            own = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "spans": spans}
+            yield pa.RecordBatch.from_arrays([own[n] if n in own else part.column(n) for n in names], names)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Items of a partition in rows of about `limit` bytes."""
+    for batch in batches:
+        size = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        group = np.cumsum(size) // limit
+        cuts = np.append(np.searchsorted(group, np.unique(group)), batch.num_rows).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, batch.column(c)) for c in ("item", "text")], ["item", "text"])
+
+
+def _matched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, keep_text: bool) -> DataFrame:
+    """rows (text and any columns but these) with n_words, n_hit and spans."""
+    bounded_batches(rows.sparkSession)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    packed = written(items.mapInArrow(lambda it: _packed(it, BLOCK_BYTES), "item array<string>, text array<string>"), "benchmark")
+    out, held = rows.withColumn("spans", F.array().cast(SPANS)), []
+
+    def one_pass(df: DataFrame, blocks: list[Block], last: bool) -> DataFrame:
+        fields = [f for f in df.schema if f.name not in ("spans", *(() if keep_text or not last else ("text",)))]
+        names = [*(f.name for f in fields), *(("n_words", "n_hit") if last else ()), "spans"]
+        kinds = {f.name: f.dataType.simpleString() for f in fields} | {"n_words": "long", "n_hit": "long", "spans": SPANS}
+        return df.mapInArrow(lambda it: _search(it, blocks, window, names), ", ".join(f"`{n}` {kinds[n]}" for n in names))
+
+    for r in packed.toLocalIterator():  # a pass carries a bounded part of the benchmark
+        if len(held) == PASS_BLOCKS:
+            out, held = written(one_pass(out, held, False), "searched"), []
+        held.append(Block(list(zip(r["item"], r["text"], strict=True)), window))
+    return one_pass(out, held, True)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -161,33 +234,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     a null id still hits words; its spans have a null item_id. Repeated rows and ids give a row each.
     Empty tables give no rows, or rows without matches.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
-    spans = F.array().cast(SPANS)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), spans.alias("spans"))
-    for k in range(blocks):  # a block holds about BLOCK_BYTES, so what reaches the driver and the tasks is bounded
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
-        found = Benchmark([(r["item"], r["text"]) for r in block.collect()], window)
-        last = k == blocks - 1
-        names = ["id"] if last else ["id", "text"]
-        kept = out.schema
-        fields = [kept[n] for n in (*names, "n_words", "n_hit", "spans")]
-        schema = pa.schema([pa.field(f.name, _arrow(f)) for f in fields])
-        text_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        out = out.select("id", "text", "spans").mapInArrow(lambda it, b=found, s=schema: _search(it, b, s), text_type)
-        if not last:  # a stage holds one block at a time
-            out = written(out, "searched")
-    return out.withColumnRenamed("id", id_col)
-
-
-def _arrow(field) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(field.dataType)
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs without the documents that have a verbatim match; a row with a null id stays."""
-    hit = longest_matches(docs, benchmark, id_col, text_col, window=window).where("n_hit > 0").select(id_col)
-    return without_ids(docs, written(hit.distinct(), "contaminated"), id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _matched(rows, benchmark, item_col, item_text_col, window, False).withColumnRenamed("id", id_col)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs without the rows that have a verbatim match, whatever their ids; all columns stay. Texts and items as in longest_matches."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string"))
+    return _matched(rows, benchmark, item_col, item_text_col, window, False).where("n_hit = 0").select(*names).toDF(*docs.columns)

@@ -37,7 +37,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = longest_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.filter(F.col("spans.item_id"), lambda x: x.isNotNull())))
+    items = F.array_sort(F.array_distinct("spans.item_id"))
     return found.select(
         "doc_id",
         "n_words",
