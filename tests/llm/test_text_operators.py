@@ -174,8 +174,13 @@ def test_suffix_dedup(spark):
         (1, "a" * 1500), (2, base), (3, base[300:900] + "zz"), (4, "q" + base[1000:1399] + "w"), (5, "q" + base[1000:1400] + "w"), (None, base), (6, None), (7, ""), (8, "ab" * 400 + base[:450]), (9, "é" * 300), (9, "ü" * 300 + base[-500:]),
         (10, "x" * 399), (11, "x" * 399), (12, "x" * 400), (2, base), (13, other), (14, other[:700] + "#" + other[701:]), (15, other[:200] + other), (16, "ab" * 230),
     ]
-    got = sorted(map(str, map(tuple, suffix_dedup.repeated_bytes(docs(spark, rows)).collect())))
-    assert got == sorted(map(str, repeats(rows, 400)))
+    rows += [(17, "s" + other[1200:1480] + "t"), (18, "u" + other[1200:1480] + "v")]
+    for length, gram, passage in ((400, 100, 272), (400, 100, 400), (300, 40, 90)):
+        found = suffix_dedup.repeated_bytes(docs(spark, rows), length=length, gram=gram, passage=passage).collect()
+        assert sorted(str(tuple(r)[:-1]) for r in found) == sorted(map(str, repeats(rows, length)))
+        marked = collections.Counter((r["doc_id"], r["n_bytes"]) for r in found if r["shares_passage"])
+        shares = lambda n: collections.Counter(x[:2] for x in repeats(rows, n) if x[2])  # noqa: B023, E731
+        assert shares(passage) <= marked <= shares(passage - suffix_dedup.WIDE + 1)
     cut = suffix_dedup.without_repeats(docs(spark, rows))
     assert cut.columns == ["doc_id", "text", "id", "n"]
     assert {r["doc_id"] for r in cut.collect()} >= {6, 7, 10, 11}

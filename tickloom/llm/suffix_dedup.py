@@ -12,6 +12,9 @@ Ranks then grow as in prefix doubling, and what is unique leaves:
      span settles it;
   3. in blocks that are still open, single starts ranked by their 400 bytes.
 Ranks are 64-bit hashes of the bytes, grouped by Spark; equal texts are one node throughout.
+
+Passages shorter than `length` but of `passage` bytes at least are only marked: anchors are sampled as
+densely as those need, and a text that shares the core of a block of their starts is marked.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import BROADCAST_IDS, written
+from tickloom.llm.tables import BROADCAST_IDS, forget, written
 from tickloom.llm.textcodes import Texts, mix64, slices, span_hash
 
 LENGTH, GRAM, BLOCK = 400, 100, 16
+#: Bytes of a passage that is marked, which few passages of over 50 words fall below, and the starts in a block of them.
+PASSAGE, WIDE = 272, 32
 #: Places in a slice of texts, as many as Arrow strings have.
 PLACES = 1 << 31
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -43,19 +48,25 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+class _Grams:
+    """The grams of a slice of texts by hash; the lower bits tell them apart, alike in every slice."""
+
+    def __init__(self, texts: Texts, gram: int):
+        self.texts, self.gram, self.prefix = texts, gram, texts.prefix()
+        at = np.arange(max(0, len(texts.buf) - gram + 1), dtype=np.int64)
+        self.packed = (span_hash(self.prefix, at, at + gram) & ~np.uint64(PLACES - 1)) | at.astype(np.uint64)
+
+
 class _Runs:
     """The anchors of a slice of texts, and for each the run of starts of `length`-byte strings that have it."""
 
-    def __init__(self, texts: Texts, length: int, gram: int):
-        self.texts, self.prefix = texts, texts.prefix()
-        n = len(texts.buf)
+    def __init__(self, grams: _Grams, length: int):
+        texts = self.texts = grams.texts
+        self.prefix = grams.prefix
         self.anchor = self.first = self.last = self.doc = np.zeros(0, np.int64)
-        if n < length:
+        if len(texts.buf) < length:
             return
-        at = np.arange(n - gram + 1, dtype=np.int64)
-        mask = np.uint64(PLACES - 1)  # the same in every slice, so that equal strings break ties alike
-        packed = (span_hash(self.prefix, at, at + gram) & ~mask) | at.astype(np.uint64)
-        least = (_sliding_least(packed, length - gram + 1) & mask).astype(np.int64)
+        least = (_sliding_least(grams.packed, length - grams.gram + 1) & np.uint64(PLACES - 1)).astype(np.int64)
         sizes = np.maximum(np.diff(texts.offsets) - length + 1, 0)
         whole = np.flatnonzero(sizes)
         start = np.repeat(texts.offsets[whole] - (np.cumsum(sizes[whole]) - sizes[whole]), sizes[whole]) + np.arange(sizes.sum())
@@ -91,7 +102,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
     for batch in batches:
         for part in slices(batch, "text"):
             texts = Texts(part.column("text"))
-            runs = _Runs(texts, length, gram)
+            runs = _Runs(_Grams(texts, gram), length)
             code = span_hash(runs.prefix, runs.anchor, runs.anchor + gram)
             cuts = np.searchsorted(runs.doc, np.arange(len(texts) + 1))
             raw = memoryview(np.ascontiguousarray(texts.buf))
@@ -109,30 +120,38 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _block_rows(runs: _Runs, pick: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Run, number and last start of each block of `size` neighbouring starts of the picked runs, counted back from the anchor."""
+    near, far = runs.anchor[pick] - runs.last[pick], runs.anchor[pick] - runs.first[pick]
+    lo, count = near // size, far // size - near // size + 1
+    row = np.repeat(np.arange(len(pick)), count)
+    block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[row]
+    return row, block, runs.anchor[pick][row] - size * block
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int | None) -> Iterator[pa.RecordBatch]:
+    """Blocks of starts of strings; those of passages have the number -1 and a core alone."""
     for batch in batches:
         for part in slices(batch, "text"):
-            runs = _Runs(Texts(part.column("text")), length, gram)
-            pick = runs.chosen(_lists(part.column("places")))
-            anchor, near, far = runs.anchor[pick], runs.anchor[pick] - runs.last[pick], runs.anchor[pick] - runs.first[pick]
-            lo, count = near // BLOCK, far // BLOCK - near // BLOCK + 1
-            row = np.repeat(np.arange(len(pick)), count)
-            block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[row]
-            last = anchor[row] - BLOCK * block  # start of the block's last string
-            core = span_hash(runs.prefix, last, last - BLOCK + 1 + length)
-            full = (BLOCK * block >= near[row]) & (BLOCK * block + BLOCK - 1 <= far[row])
+            grams, wanted = _Grams(Texts(part.column("text")), gram), _lists(part.column("places"))
+            runs = _Runs(grams, length)
+            pick = runs.chosen(wanted)
+            row, block, last = _block_rows(runs, pick, BLOCK)
+            core = mix64(span_hash(runs.prefix, last, last - BLOCK + 1 + length) ^ block.astype(np.uint64))
+            full = (last <= runs.last[pick][row]) & (last - BLOCK + 1 >= runs.first[pick][row])
             span = np.zeros(len(row), np.uint64)
             span[full] = span_hash(runs.prefix, last[full] - BLOCK + 1, last[full] + length) | np.uint64(1)
-            doc = pa.array(runs.doc[pick][row])
+            doc, place = runs.doc[pick][row], runs.local()[pick][row]
+            if passage:
+                runs = _Runs(grams, passage)
+                pick = runs.chosen(wanted)
+                row, number, last = _block_rows(runs, pick, WIDE)
+                cores = mix64(span_hash(runs.prefix, last, last - WIDE + 1 + passage) ^ (number + (1 << 20)).astype(np.uint64))
+                doc, place, core = np.concatenate((doc, runs.doc[pick][row])), np.concatenate((place, runs.local()[pick][row])), np.concatenate((core, cores))
+                block, span = np.concatenate((block, np.full(len(row), -1))), np.concatenate((span, np.zeros(len(row), np.uint64)))
+            doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id").take(doc),
-                    part.column("tag").take(doc),
-                    pa.array(runs.local()[pick][row], pa.int32()),
-                    pa.array(block, pa.int32()),
-                    pa.array(mix64(core ^ block.astype(np.uint64)).view(np.int64)),
-                    pa.array(span.view(np.int64)),
-                ],
+                [part.column("id").take(doc), part.column("tag").take(doc), pa.array(place, pa.int32()), pa.array(block, pa.int32()), pa.array(core.view(np.int64)), pa.array(span.view(np.int64))],
                 ["id", "tag", "place", "block", "core", "span"],
             )
 
@@ -141,7 +160,7 @@ def _starts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
     for batch in batches:
         for part in slices(batch, "text"):
             texts = Texts(part.column("text"))
-            runs = _Runs(texts, length, gram)
+            runs = _Runs(_Grams(texts, gram), length)
             ends = np.searchsorted(runs.doc, np.arange(len(texts) + 1))
             local = runs.local()
             first, last, docs = [], [], []
@@ -200,35 +219,45 @@ def _texts_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
     return source.join(nodes, ["id", "tag"])
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows (id, tag, n_bytes, sha), the nodes (id, tag, copies), and what changes in nodes."""
+def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, passage: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """All rows (id, tag, n_bytes, sha), the nodes (id, tag, copies), what changes in nodes, and the nodes that share a passage."""
     # a null id takes part as the smallest one; the tag tells apart different texts under one id
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(ids.alias("id"), F.hash(text).alias("tag"), text.alias("text"))
-    rows = written(source.mapInArrow(lambda it: _anchors(it, length, gram), "id long, tag int, n_bytes long, sha string, codes array<long>, places array<int>"), "anchors")
-    nodes = written(rows.groupBy("sha").agg(F.min("id").alias("id"), F.min("tag").alias("tag"), F.count("*").alias("copies")).select("id", "tag", "copies"), "nodes")
+    least = passage or length
+    anchored = written(source.mapInArrow(lambda it: _anchors(it, least, gram), "id long, tag int, n_bytes long, sha string, codes array<long>, places array<int>"), "anchors")
+    nodes = written(anchored.groupBy("sha").agg(F.min("id").alias("id"), F.min("tag").alias("tag"), F.count("*").alias("copies")).select("id", "tag", "copies"), "nodes")
 
     # rank by the anchor's bytes
-    each = rows.where(f"n_bytes >= {length}").join(nodes.select("id", "tag"), ["id", "tag"])
+    each = anchored.where(f"n_bytes >= {least}").join(nodes.select("id", "tag"), ["id", "tag"])
     each = each.select("id", "tag", F.explode(F.arrays_zip("codes", "places")).alias("x")).select("id", "tag", F.col("x.codes").alias("code"), F.col("x.places").alias("place"))
     each = written(each, "each_anchor")
     common = written(each.groupBy("code").count().where("count > 1").select("code"), "common_anchors")
-    alive = each.join(common, "code", "left_semi").groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
-    touched = written(_texts_of(source, written(alive, "alive")), "touched")
+    alive = written(each.join(common, "code", "left_semi").groupBy("id", "tag").agg(F.collect_list("place").alias("places")), "alive")
+    rows = written(anchored.select("id", "tag", "n_bytes", "sha"), "rows")
+    forget(each, common, anchored)
+    touched = written(_texts_of(source, alive), "touched")
+    forget(alive)
 
     # rank blocks of strings by the bytes that they share and span
-    blocks = written(touched.mapInArrow(lambda it: _blocks(it, length, gram), "id long, tag int, place int, block int, core long, span long"), "blocks")
+    both = written(touched.mapInArrow(lambda it: _blocks(it, length, gram, passage), "id long, tag int, place int, block int, core long, span long"), "blocks")
+    shared = None
+    if passage:
+        wide = both.where("block < 0").select("id", "tag", "core")
+        shared = written(wide.join(wide.groupBy("core").count().where("count > 1").select("core"), "core", "left_semi").select("id", "tag").distinct(), "shared")
+    blocks = both.where("block >= 0")
     spans = written(blocks.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "place")).alias("first")), "spans")
-    cores = spans.groupBy("core").agg(F.sum("n").alias("of_core"), F.count("*").alias("variants"), F.min("span").alias("least"), F.max("span").alias("most"))
-    cores = written(cores.where("of_core > 1"), "cores")
+    cores = spans.groupBy("core").agg(F.sum("n").alias("of_core"), F.count("*").alias("variants"))
+    cores = written(cores.where("of_core > 1").select("core", "variants"), "cores")
     pure = F.expr("variants = 1 AND span <> 0")
     settled = F.expr("span <> 0 AND n > 1")
-    verdicts = written(spans.join(cores.select("core", "variants"), "core").select("core", "span", "first", settled.alias("settled"), pure.alias("pure")), "verdicts")
-    judged = blocks.join(verdicts, ["core", "span"])
+    verdicts = written(spans.join(cores, "core").select("core", "span", "first", settled.alias("settled"), pure.alias("pure")), "verdicts")
     is_first = F.col("first") == F.struct("id", "tag", "place")
+    judged = blocks.join(verdicts, ["core", "span"])
     judged = judged.select("id", "tag", "place", "block", "settled", (~F.col("pure") & (~F.col("settled") | is_first)).alias("open"))
     judged = written(judged.where("settled OR open"), "judged")
+    forget(both, spans, cores, verdicts)
 
     # rank the starts of open blocks by their whole bytes
     asked = judged.where("open").groupBy("id", "tag").agg(F.collect_list(F.struct("place", "block")).alias("x"))
@@ -242,19 +271,27 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
     found = found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("x")).select("id", "tag", F.col("x.first").alias("firsts"), F.col("x.last").alias("lasts"))
     changed = touched.select("id", "tag", "text").join(found, ["id", "tag"])
     changed = changed.mapInArrow(lambda it: _remove(it, length), "id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return rows, nodes, written(changed, "changed")
+    changed = written(changed, "changed")
+    forget(touched, judged, starts, again)
+    return rows, nodes, changed, shared
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """What of every text is repeated: id_col, n_bytes, n_removed, n_spans and kept_sha256.
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE) -> DataFrame:
+    """What of every text is repeated: id_col, n_bytes, n_removed, n_spans, kept_sha256 and shares_passage.
 
     Texts are UTF-8 bytes, taken whole; matches lie within one text. Equal texts of `length` bytes or
     more go entirely, each copy. A null text is empty; shorter texts stay as they are. Repeated rows
     are copies of each other and give a row each. Null ids stay null. An empty table gives no rows.
+    shares_passage is true if a string of `passage` (at most `length`) bytes also starts elsewhere, and
+    false if no string of passage - WIDE + 1 bytes does; nothing is removed for it.
     """
-    rows, nodes, changed = _repeats(docs, id_col, text_col, length, gram)
-    own = rows.select("id", "tag", "n_bytes", "sha").join(nodes, ["id", "tag"], "left").join(changed.drop("kept_text").dropDuplicates(["id", "tag"]), ["id", "tag"], "left")
-    copied = F.expr(f"n_bytes >= {length} AND (copies IS NULL OR copies > 1)")
+    if not gram < passage - WIDE <= passage <= length:
+        raise ValueError("a passage is longer than a gram and a block of starts, and no longer than the strings removed")
+    rows, nodes, changed, shared = _repeats(docs, id_col, text_col, length, gram, passage)
+    own = rows.join(nodes, ["id", "tag"], "left").join(changed.drop("kept_text").dropDuplicates(["id", "tag"]), ["id", "tag"], "left")
+    own = own.join(shared.withColumn("shared", F.lit(True)), ["id", "tag"], "left")
+    several = F.expr("copies IS NULL OR copies > 1")
+    copied = several & (F.col("n_bytes") >= length)
     pick = lambda whole, part, none: F.when(copied, whole).otherwise(F.coalesce(part, none))
     return own.select(
         F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col),
@@ -262,18 +299,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"),
         pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
         pick(F.lit(EMPTY_SHA), F.col("kept_sha256"), F.col("sha")).alias("kept_sha256"),
+        (F.coalesce("shared", F.lit(False)) | several & (F.col("n_bytes") >= passage)).alias("shares_passage"),
     )
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the repeated bytes cut out of text_col; rows of which nothing is left go, others keep all columns.
 
-    Where a cut splits a character, the rest of that character goes too.
+    Where a cut splits a character, the rest of that character goes too. Nulls, repeats and empty tables as in repeated_bytes.
     """
-    rows, nodes, changed = _repeats(docs, id_col, text_col, length, gram)
+    rows, nodes, changed, _ = _repeats(docs, id_col, text_col, length, gram)
     copies = rows.where(f"n_bytes >= {length}").join(nodes, ["id", "tag"], "left").where("copies IS NULL OR copies > 1")
     new = copies.select("id", "tag", F.lit("").alias("kept_text")).unionByName(changed.select("id", "tag", "kept_text"))
     new = written(new.groupBy("id", "tag").agg(F.min("kept_text").alias("kept_text")), "new_texts")
+    forget(rows, nodes, changed)
     few = new.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     names = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(
