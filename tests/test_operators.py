@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,37 @@ def test_asof_against_loop(spark, chunk):
             assert ahead[i] == min(((t, k) for t, k in same if t >= ts), default=(0, None))[1]
 
 
+@pytest.mark.parametrize("chunk", [50, 1000])
+def test_lookback_and_tolerance_against_loop(spark, chunk):
+    rows = random_quotes(seed=7)
+    df = spark.createDataFrame(rows, QUOTE)
+    got = asof.asof_lookback(df, {"short": 7, "long": 45}, F.col("row_no"), chunk_ms=chunk).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for name, w in (("short", 7), ("long", 45)):
+            past = [(x[1], x[0]) for x in rows if x[3] == r["venue"] and x[4] == r["symbol"] and x[1] <= r["local_ts_ms"] - w]
+            assert r[name] == max(past, default=(0, None))[1]
+    own = df.withColumn("ts", F.col("local_ts_ms"))
+    near = asof.asof_tolerance(own.where("venue = 'binance'"), own.where("venue = 'mexc'"), ["symbol"], F.col("row_no"), "v", 5, chunk_ms=chunk).collect()
+    for r in near:
+        after = min(((x[1], x[0]) for x in rows if x[3] == "mexc" and x[4] == r["symbol"] and x[1] >= r["ts"] - 5), default=(1 << 60, None))
+        assert r["v"] == (after[1] if abs(after[0] - r["ts"]) <= 5 else None)
+
+
+def test_a_hot_symbol_is_split(spark):
+    """One symbol over ten days: every window on its ticks is dealt out by chunks of time as well."""
+    quotes = spark.createDataFrame([(k, k * 864_000, k * 864_000, "binance" if k % 2 else "mexc", "S", 100.0 + k % 7, 101.0 + k % 7, 1.0, 1.0) for k in range(1000)], QUOTE)
+    frames = [
+        windows.previous_quote(quotes), windows.feed_gaps(quotes), windows.basis_samples(quotes), asof.asof_lookback(quotes, {"back": 1000}, F.col("bid")),
+        asof.asof_backward(quotes.where("venue = 'mexc'"), quotes.where("venue = 'binance'"), ["symbol"], F.col("bid"), "v"), windows.running_sums(quotes, ["symbol"], "local_ts_ms", E.event_order(), {"x": F.col("bid")}),
+    ]
+    for df in frames:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        keys = [line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in plan.splitlines() if "windowspecdefinition" in line]
+        assert keys and all(re.search("_chunk|_upper", k) for k in keys)
+        assert df.count() > 0
+
+
 @pytest.mark.parametrize("chunk", [50, 1000])
 def test_chunks_change_nothing(spark, chunk):
     df = spark.createDataFrame(random_quotes(seed=2), QUOTE)

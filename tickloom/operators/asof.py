@@ -1,9 +1,9 @@
 """Event-time as-of joins.
 
-All are unions with a running last value, in one window sorted by time in each key. With chunk_ms a key's
-rows are split into chunks of time instead: their windows run in parallel and the last value of earlier
-chunks is carried in from one small aggregate. Then a key that holds a third of all rows is spread over
-many tasks, and a gap of any length is still bridged; the input is read twice, so it should be a table.
+All are unions with a running last value. A key's rows are split into chunks of time, of a day unless told
+otherwise: their windows run in parallel and the last value of earlier chunks is carried in from one small
+aggregate. So a key that holds a third of all rows is spread over many tasks, and a gap of any length is
+still bridged. With chunk_ms=None a key is one window, which reads a small input once instead of twice.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MS = 86_400_000
+HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 
 
-def running_last(df: DataFrame, keys: list[str], ts: str, order: list[Column], values: dict[str, Column], current: bool = True, chunk_ms: int | None = None) -> DataFrame:
+def running_last(df: DataFrame, keys: list[str], ts: str, order: list[Column], values: dict[str, Column], current: bool = True, chunk_ms: int | None = DAY_MS) -> DataFrame:
     """df with the last non-null value of each expression up to each row (before it, if not current), by key.
 
     order is the total order of a key's rows and begins with ts, which must not be null.
@@ -34,7 +34,7 @@ def running_last(df: DataFrame, keys: list[str], ts: str, order: list[Column], v
 
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int | None = DAY_MS
 ) -> DataFrame:
     """left with the value of the latest right row at or before left_ts (before it, if strict), null if there is none.
 
@@ -44,7 +44,7 @@ def asof_backward(
 
 
 def asof_forward(
-    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int | None = DAY_MS
 ) -> DataFrame:
     """left with the value of the earliest right row at or after left_ts (after it, if strict), null if there is none."""
     return _asof(left, right, keys, value, name, left_ts, right_ts, right_order or ["row_no"], -1 if strict else 1, True, chunk_ms)
@@ -82,22 +82,35 @@ def latest_pair(quotes: DataFrame, leader: str, lagger: str, order: list[Column]
     return running_last(quotes.where(F.col("venue").isin(leader, lagger)), ["symbol"], "local_ts_ms", order, values)
 
 
-def asof_lookback(quotes: DataFrame, windows_ms: dict[str, int], value: Column, keys: list[str] | None = None) -> DataFrame:
+def asof_lookback(quotes: DataFrame, windows_ms: dict[str, int], value: Column, keys: list[str] | None = None, chunk_ms: int = DAY_MS) -> DataFrame:
     """Each row with its own stream's value at or before local_ts_ms - window, for each named window; of rows at one time the last by arrival.
 
-    All windows share one sort: range frames from the stream's start stay linear.
+    All windows share one sort: range frames from the start of a chunk stay linear. A chunk gets the rows of the
+    longest window before it as well, and from one small aggregate the last row before those.
     """
-    stream = Window.partitionBy(*(keys or ["symbol", "venue"])).orderBy("local_ts_ms")
-    latest = F.max(F.struct("local_ts_ms", "row_no", value.alias("v")))
-    return quotes.select("*", *(latest.over(stream.rangeBetween(Window.unboundedPreceding, -w))["v"].alias(n) for n, w in windows_ms.items()))
-
-
-def asof_tolerance(left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, tolerance_ms: int, right_order: list[str] | None = None) -> DataFrame:
+    keys, most = keys or ["symbol", "venue"], max(windows_ms.values())
+    chunk_ms = max(chunk_ms, most)
+    row = F.struct("local_ts_ms", "row_no", value.alias("v"))
+    home = F.floor(F.col("local_ts_ms") / chunk_ms)
+    late = F.col("local_ts_ms") >= (home + 1) * chunk_ms - most  # in reach of the next chunk
+    ends = quotes.groupBy(*keys, home.alias("_chunk")).agg(F.max(row).alias("_all"), F.max(F.when(~late, row)).alias("_early"))
+    stream = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = ends.withColumn("_past", F.max("_all").over(stream.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("_last", F.lag(F.struct("_chunk", "_early", "_past")).over(stream))
+    adjacent = F.col("_last._chunk") == F.col("_chunk") - 1
+    carried = ends.select(*keys, "_chunk", F.when(adjacent, F.coalesce("_last._early", "_last._past")).otherwise(F.col("_past")).alias("_in"))
+    spread = quotes.withColumn("_home", home).withColumn("_chunk", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))))
+    own = Window.partitionBy(*keys, "_chunk").orderBy("local_ts_ms")
+    found = spread.select("*", *(F.max(row).over(own.rangeBetween(Window.unboundedPreceding, -w)).alias(f"_own_{n}") for n, w in windows_ms.items())).where("_home = _chunk")
+    return found.join(carried, [*keys, "_chunk"]).select(*quotes.columns, *(F.coalesce(f"_own_{n}", "_in")["v"].alias(n) for n in windows_ms))
+
+
+def asof_tolerance(left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, tolerance_ms: int, right_order: list[str] | None = None, chunk_ms: int | None = DAY_MS) -> DataFrame:
     """Each left row with the earliest right row at or after left - tolerance, kept only if within the tolerance.
 
     The rows have a column ts. A right row serves any number of left rows.
     """
     found = F.struct(F.col("ts").alias("ts"), value.alias("v"))
-    out = asof_forward(left, right, keys, found, "_near", left_ts=F.col("ts") - tolerance_ms, right_ts="ts", right_order=right_order or ["row_no"])
+    out = asof_forward(left, right, keys, found, "_near", left_ts=F.col("ts") - tolerance_ms, right_ts="ts", right_order=right_order or ["row_no"], chunk_ms=chunk_ms)
     near = F.abs(F.col("_near.ts") - F.col("ts")) <= tolerance_ms
     return out.withColumn(name, F.when(near, F.col("_near.v"))).drop("_near")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import LAGGER, LEADER, event_order, log_basis_bps, mid, pnl_values
-from tickloom.operators.asof import DAY_MS, asof_backward, asof_forward, latest_pair
+from tickloom.operators.asof import HOUR_MS, asof_backward, asof_forward, latest_pair
 from tickloom.operators.windows import running_sums
 
 MODELS = ("touch", "trade_through", "queue_aware")
@@ -135,4 +135,4 @@ def exposure_timeline(fills: DataFrame) -> DataFrame:
     delta = F.col("change") * F.col("notional")
     long = F.when(F.col("side") == "buy", F.col("change")).otherwise(0)
     own = running_sums(moves, ["symbol"], "ts", order, {"symbol_notional": delta, "long_count": long, "short_count": F.col("change") - long})
-    return running_sums(own, [], "ts", order, {"open_positions": F.col("change"), "total_notional": delta, "realized_pnl": F.col("pnl")}, chunk_ms=DAY_MS)
+    return running_sums(own, [], "ts", order, {"open_positions": F.col("change"), "total_notional": delta, "realized_pnl": F.col("pnl")}, chunk_ms=HOUR_MS)

@@ -1,4 +1,4 @@
-"""Running statistics per symbol and stream; chunk_ms splits long keys by time, as in tickloom.operators.asof."""
+"""Running statistics per symbol and stream; long keys are split into chunks of time, as in tickloom.operators.asof."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from tickloom.operators.asof import DAY_MS, latest_pair, running_last
 
 #: Rows of one key that a block of a rows-frame holds.
 BLOCK_ROWS = 4096
+#: Chunks of time whose totals are summed together before they are carried on.
+UPPER = 256
 
 
 def previous_quote(quotes: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def feed_gaps(quotes: DataFrame, stale_ms: int | None = None) -> DataFrame:
     return own.withColumn("gap_ms", gap.cast("long")).withColumn("stale", stale).drop("before")
 
 
-def with_position(df: DataFrame, keys: list[str], ts: str, order: list[Column], name: str = "position", chunk_ms: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, keys: list[str], ts: str, order: list[Column], name: str = "position", chunk_ms: int | None = DAY_MS) -> DataFrame:
     """df with each row's place (from 0) in its key's order: row numbers by chunk plus the counts of earlier chunks."""
     if chunk_ms is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
@@ -45,18 +47,27 @@ def with_position(df: DataFrame, keys: list[str], ts: str, order: list[Column],
     return own.join(counts, [*keys, "_chunk"]).withColumn(name, F.col("_base") + F.col("_rank") - 1).drop("_chunk", "_base", "_rank")
 
 
-def running_sums(df: DataFrame, keys: list[str], ts: str, order: list[Column], sums: dict[str, Column], chunk_ms: int | None = None) -> DataFrame:
-    """df with running sums, the current row included; with chunk_ms, by chunks whose totals are carried on."""
+def running_sums(df: DataFrame, keys: list[str], ts: str, order: list[Column], sums: dict[str, Column], chunk_ms: int | None = DAY_MS) -> DataFrame:
+    """df with running sums, the current row included; chunks of time run apart and get the totals of those before.
+
+    Totals are carried in two levels, so that no window holds more than UPPER chunks or a chunk in UPPER of a key.
+    """
     if chunk_ms is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select(*(c for c in df.columns if c not in sums), *(F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(n) for n, v in sums.items()))
     df = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms))
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "_chunk").agg(*(F.sum(v).alias(f"_all_{n}") for n, v in sums.items()))
-    carried = totals.select(*keys, "_chunk", *(F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_in_{n}") for n in sums))
+    totals = df.groupBy(*keys, "_chunk").agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in sums.items()))
+    totals = totals.withColumn("_upper", F.floor(F.col("_chunk") / UPPER))
+
+    def earlier(parts: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*(within or [F.lit(0)])).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return parts.select(*keys, *{by: None, "_upper": None}, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{name}{n}") for n in sums))
+
+    uppers = totals.groupBy(*keys, "_upper").agg(*(F.sum(n).alias(n) for n in sums))
+    carried = earlier(totals, [*keys, "_upper"], "_chunk", "_in_").join(earlier(uppers, keys, "_upper", "_up_"), [*keys, "_upper"])
     own = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = df.select("*", *(F.sum(v).over(own).alias(f"_own_{n}") for n, v in sums.items())).join(carried, [*keys, "_chunk"])
-    return inner.select(*(c for c in df.columns if c not in (*sums, "_chunk")), *((F.coalesce(f"_own_{n}", F.lit(0)) + F.col(f"_in_{n}")).alias(n) for n in sums))
+    return inner.select(*(c for c in df.columns if c not in (*sums, "_chunk")), *((F.coalesce(f"_own_{n}", F.lit(0)) + F.col(f"_in_{n}") + F.col(f"_up_{n}")).alias(n) for n in sums))
 
 
 def basis_samples(quotes: DataFrame, leader: str = "binance", lagger: str = "mexc", beta: float = 1.0) -> DataFrame:
