@@ -36,7 +36,7 @@ def _field(json: str, *names: str) -> Column:
 
 
 def expand_private_updates(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Updates with a list payload as one row an item, which inherits the connection; others pass through.
+    """Updates with a list payload as one row an item, which inherits the connection under either spelling; others pass through.
 
     Adds item_no, type (the outer one) and payload (JSON text). Items that are no objects leave; a list
     without objects passes through whole.
@@ -46,10 +46,16 @@ def expand_private_updates(raw: DataFrame, body: str = "body") -> DataFrame:
     listed = F.coalesce(*(F.when(F.get_json_object("_p", f"$.{n}").startswith("["), F.get_json_object("_p", f"$.{n}")) for n in LISTS))
     items = F.filter(F.from_json(listed, "array<string>"), lambda x: x.startswith("{"))
     own = own.withColumn("_items", F.when(F.size(items) > 0, items))
-    link = F.get_json_object("_p", "$.ConnectionId")
     rows = own.select("*", F.posexplode_outer("_items").alias("item_no", "_item"))
-    inherit = F.when(link.isNotNull() & F.get_json_object("_item", "$.ConnectionId").isNull(), F.concat(F.lit('{"ConnectionId":'), link, F.when(F.trim("_item") == "{}", "}").otherwise(F.concat(F.lit(","), F.substring("_item", 2, 1 << 30))))).otherwise(F.col("_item"))
-    return rows.withColumn("payload", F.coalesce(inherit, "_p")).withColumn("item_no", F.coalesce("item_no", F.lit(0))).drop("_p", "_items", "_item")
+    given = []
+    for name in ("ConnectionId", "connectionId"):  # values keep their JSON type
+        link = F.expr(f"to_json(variant_get(try_parse_json(_p), '$.{name}', 'variant'))")
+        there = F.expr(f"variant_get(try_parse_json(_item), '$.{name}', 'variant') IS NOT NULL")
+        given.append(F.when(~F.coalesce(there, F.lit(False)), F.concat(F.lit(f'"{name}":'), link)))
+    rows = rows.withColumn("_given", F.concat_ws(",", *given))
+    rest = F.when(F.regexp_like("_item", F.lit(r"^\{\s*\}$")), "}").otherwise(F.concat(F.lit(","), F.substring("_item", 2, 1 << 30)))
+    inherit = F.when(F.col("_item").isNotNull() & (F.col("_given") != ""), F.concat(F.lit("{"), "_given", rest)).otherwise(F.col("_item"))
+    return rows.withColumn("payload", F.coalesce(inherit, "_p")).withColumn("item_no", F.coalesce("item_no", F.lit(0))).drop("_p", "_items", "_item", "_given")
 
 
 def order_event_type(status: Column, filled_qty: Column) -> Column:
@@ -66,14 +72,16 @@ def classify_private_updates(rows: DataFrame, body: str = "body") -> DataFrame:
     outer = [F.get_json_object(body, f"$.{n}") for n in ("Type", "type", "Event", "event", "Channel", "channel")]
     inner = [F.get_json_object("payload", f"$.{n}") for n in ("Type", "type")]
     text = F.lower(F.concat_ws(" ", "type", *outer, *inner))
-    own = rows.withColumn("_text", text).withColumns({n: _field("payload", *names) for n, names in ALIASES.items()})
+    own = rows.withColumn("_text", text).withColumn("_fields", F.from_json("payload", "map<string,string>"))
+    first = lambda names: F.get(F.filter(F.transform(F.array(*(F.lit(n) for n in names)), lambda n: F.try_element_at("_fields", n)), lambda x: x.isNotNull()), 0)
+    own = own.withColumns({n: first(names) for n, names in ALIASES.items()})
     for n in ("filled_qty", "avg_fill_price", "qty", "avg_price", "available", "total"):
         own = own.withColumn(n, F.expr(f"try_cast({n} AS DOUBLE)"))
     own = own.withColumn("ts_ms", F.coalesce(F.expr("try_cast(ts_ms AS BIGINT)"), F.lit(0)))
     own = own.withColumn("client_order_id", F.nullif("client_order_id", F.lit(""))).withColumn("order_event", order_event_type(F.col("status"), F.coalesce("filled_qty", F.lit(0.0))))
     known = F.col("client_order_id").isNotNull() & F.col("order_event").isNotNull()
     kind = F.when(F.col("_text").contains("position"), "position").when(F.col("_text").contains("balance") | F.col("_text").contains("wallet"), "balance").when(known, "order").otherwise("unknown")
-    return own.withColumn("kind", kind).drop("_text")
+    return own.withColumn("kind", kind).drop("_text", "_fields")
 
 
 def orders_from_submissions(audit: DataFrame, ttl_ms: int) -> DataFrame:
@@ -87,17 +95,30 @@ def orders_from_submissions(audit: DataFrame, ttl_ms: int) -> DataFrame:
 def order_state_timeline(orders: DataFrame, updates: DataFrame) -> DataFrame:
     """State after each update of a known order, in arrival order; the last event decides, so a fill after a cancel reopens.
 
-    Adds filled_max (running), before_status, after_status, open_after and last non-null price.
+    Adds filled_max (running), before_status, after_status, open_after, and as last known: avg_fill_price (of fills, 0
+    is none), venue_order_id (not of rejections) and reject_reason (of the last rejection). Events of other kinds change
+    no status. updates may lack venue_order_id and reason, orders may lack venue_order_id and open.
     """
-    own = updates.join(orders.select("client_order_id", "symbol", "qty", "status"), "client_order_id")
+    own = updates
+    for name in ("venue_order_id", "reason"):
+        own = own if name in own.columns else own.withColumn(name, F.lit(None).cast("string"))
+    given = orders.select(
+        "client_order_id", "symbol", "qty", "status", (F.col("venue_order_id") if "venue_order_id" in orders.columns else F.lit(None).cast("string")).alias("_venue_id"),
+        (F.col("open") if "open" in orders.columns else F.col("status").isin("accepted", "unknown")).alias("_open"),
+    )
+    own = own.join(given, "client_order_id")
     w = Window.partitionBy("client_order_id").orderBy("row_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_fill = F.col("event_type") == "fill"
-    own = own.withColumn("filled_max", F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(is_fill, F.col("filled_qty"))).over(upto), F.lit(0.0))))
-    after = F.when(is_fill, F.when(F.col("filled_max") >= F.col("qty"), "filled").otherwise("partially_filled")).otherwise(F.col("event_type"))
-    own = own.withColumn("after_status", after).withColumn("avg_fill_price", F.last(F.when(is_fill, F.col("avg_fill_price")), True).over(upto))
-    own = own.withColumn("before_status", F.coalesce(F.lag("after_status").over(w), "status"))
-    return own.withColumn("open_after", F.col("after_status").isin("accepted", "partially_filled"))
+    last = lambda c: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kind = F.col("event_type")
+    is_fill = kind == "fill"
+    filled = F.max(F.when(is_fill, F.col("filled_qty"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = own.withColumn("filled_max", F.greatest(F.lit(0.0), F.coalesce(filled, F.lit(0.0))))
+    after = F.when(is_fill, F.when(F.col("filled_max") >= F.col("qty"), "filled").otherwise("partially_filled")).when(kind.isin("accepted", "cancelled", "rejected"), kind)
+    own = own.withColumn("_after", last(after)).withColumn("avg_fill_price", last(F.when(is_fill, F.nullif("avg_fill_price", F.lit(0.0)))))
+    own = own.withColumn("venue_order_id", F.coalesce(last(F.when(kind.isin("accepted", "fill", "cancelled"), F.nullif("venue_order_id", F.lit("")))), "_venue_id"))
+    own = own.withColumn("reject_reason", last(F.when(kind == "rejected", F.struct("reason")))["reason"])
+    own = own.withColumn("after_status", F.coalesce("_after", "status")).withColumn("before_status", F.coalesce(F.lag("_after").over(w), "status"))
+    return own.withColumn("open_after", F.when(F.col("_after").isNull(), F.col("_open")).otherwise(F.col("_after").isin("accepted", "partially_filled"))).drop("_after", "_venue_id", "_open")
 
 
 def order_state_final(orders: DataFrame, updates: DataFrame) -> DataFrame:
@@ -119,8 +140,22 @@ def match_updates(orders: DataFrame, updates: DataFrame) -> DataFrame:
     return updates.join(orders.select("client_order_id", "symbol"), "client_order_id")
 
 
-def reconciliation_summary(orders: DataFrame, updates: DataFrame) -> DataFrame:
-    """One row of counts: orders, updates, matched, unmatched, and open orders left."""
-    marked = updates.join(orders.select("client_order_id", F.lit(True).alias("known")), "client_order_id", "left")
-    counts = marked.agg(F.count("*").alias("updates"), F.count_if("known").alias("matched"), F.count_if(F.col("known").isNull()).alias("unmatched"))
+def reconciliation_audit(orders: DataFrame, classified: DataFrame) -> DataFrame:
+    """classified (rows of classify_private_updates) with audit_event and decision_result, an audit record each.
+
+    Order updates of unknown clients are unmatched; what is no position, balance or order is unknown.
+    """
+    own = classified.join(orders.select("client_order_id", F.lit(True).alias("_known")), "client_order_id", "left")
+    kind = F.col("kind")
+    result = F.when(kind.isin("position", "balance"), F.concat(kind, F.lit("_snapshot"))).when(kind == "unknown", "unknown_update").when(F.col("_known"), "order_reconciled").otherwise("unmatched_order_update")
+    return own.withColumn("audit_event", F.concat(kind, F.lit("_update"))).withColumn("decision_result", result).drop("_known")
+
+
+def reconciliation_summary(orders: DataFrame, classified: DataFrame) -> DataFrame:
+    """One row of counts: orders, updates (before lists are expanded), audit_records, positions, balances, unmatched and unknown."""
+    is_ = lambda r: F.count_if(F.col("decision_result") == r)
+    counts = reconciliation_audit(orders, classified).agg(
+        F.count_if(F.col("item_no") == 0).alias("updates"), F.count("*").alias("audit_records"), is_("position_snapshot").alias("positions"), is_("balance_snapshot").alias("balances"),
+        is_("unmatched_order_update").alias("unmatched_updates"), is_("unknown_update").alias("unknown_updates"),
+    )
     return counts.crossJoin(orders.agg(F.count("*").alias("orders")))

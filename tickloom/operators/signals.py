@@ -100,8 +100,10 @@ def _window_signal(w: int, min_impulse: float, beta: float, cost: float, min_edg
     return F.when(passes, F.struct(F.lit(w).alias("window_ms"), impulse.alias("impulse_bps"), moved.alias("lagger_move_bps"), lag.alias("lag_bps"), edge.alias("edge_bps")))
 
 
-def feature_snapshots(quotes: DataFrame, depth: DataFrame | None = None) -> DataFrame:
-    """A feature row per tick: impulse, spread, latency, volatility and, with books, imbalance.
+def feature_snapshots(quotes: DataFrame, depth: DataFrame | None = None, residuals: DataFrame | None = None) -> DataFrame:
+    """A feature row per tick: impulse, spread, latency, volatility and, with books, imbalance; with residuals, residual_bps.
+
+    residuals: row_no, symbol and residual_bps of ticks, as residual_frame gives basis less mean; other ticks have none.
 
     Latency is the distance of the venues' clocks, or while only one venue is known its own clock against the exchange's.
     """
@@ -109,11 +111,13 @@ def feature_snapshots(quotes: DataFrame, depth: DataFrame | None = None) -> Data
     pairs = latest_pair(own, LEADER, LAGGER, event_order(), ["local_ts_ms", "exchange_ts_ms", "mid", "before", "bid", "ask"])
     if depth is not None:
         pairs = asof_backward(pairs, depth.where(F.col("venue") == LEADER), ["symbol"], F.col("imbalance"), "imbalance")
+    if residuals is not None:
+        pairs = pairs.join(residuals.select("symbol", "row_no", "residual_bps"), ["symbol", "row_no"], "left")
     one_clock = lambda v: F.when(F.col(v).isNotNull() & F.col(f"{v}.exchange_ts_ms").isNotNull(), F.col(f"{v}.local_ts_ms") - F.col(f"{v}.exchange_ts_ms"))
     both = F.col("leader").isNotNull() & F.col("lagger").isNotNull()
     latency = F.when(both, F.abs(F.col("leader.local_ts_ms") - F.col("lagger.local_ts_ms"))).otherwise(F.coalesce(one_clock("leader"), one_clock("lagger")))
     return pairs.select(
         "row_no", "symbol", F.col("local_ts_ms").alias("ts"), bps_move(F.col("leader.mid"), F.col("leader.before")).alias("impulse_bps"),
         F.when(F.col("lagger").isNotNull(), spread_bps("lagger.bid", "lagger.ask")).alias("spread_bps"), F.abs(bps_move(F.col("lagger.mid"), F.col("lagger.before"))).alias("volatility_bps"),
-        latency.alias("latency_ms"), *(["imbalance"] if depth is not None else []),
+        latency.alias("latency_ms"), *(["imbalance"] if depth is not None else []), *(["residual_bps"] if residuals is not None else []),
     )

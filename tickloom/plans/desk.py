@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import orders, risk, universe
@@ -145,9 +145,23 @@ _TL = """j AS (SELECT u.*, o.symbol, o.qty, o.status FROM order_updates u JOIN o
  tl AS (SELECT *, coalesce(lag(after_status) OVER (PARTITION BY client_order_id ORDER BY row_no), status) AS before_status FROM a)"""
 
 
-@query("order_state_timeline", f"WITH {_TL} SELECT row_no, fm AS filled_max, before_status, after_status FROM tl", "order_updates", "open_orders")
+# updates with venue ids, reasons, rejections, unknown kinds and prices of 0
+_MIXED = """mx AS (SELECT u.row_no, u.client_order_id, CASE WHEN u.row_no % 17 = 0 THEN 'rejected' WHEN u.row_no % 19 = 0 THEN 'noted' ELSE u.event_type END AS event_type, u.filled_qty, CASE WHEN u.row_no % 5 = 0 THEN 0 ELSE u.avg_fill_price END AS price, CASE WHEN u.row_no % 3 = 0 THEN '' ELSE concat('v', u.row_no) END AS venue_id, CASE WHEN u.row_no % 2 = 0 THEN concat('r', u.row_no) END AS reason, o.qty, o.status FROM order_updates u JOIN open_orders o USING (client_order_id)),
+ my AS (SELECT *, greatest(0, coalesce(max(CASE WHEN event_type = 'fill' THEN filled_qty END) OVER (PARTITION BY client_order_id ORDER BY row_no), 0)) AS fm FROM mx), mz AS (SELECT *, CASE WHEN event_type = 'fill' THEN CASE WHEN fm >= qty THEN 'filled' ELSE 'partially_filled' END WHEN event_type IN ('accepted', 'cancelled', 'rejected') THEN event_type END AS st FROM my),
+ ml AS (SELECT *, coalesce(last_value(st IGNORE NULLS) OVER w, status) AS after_status, last_value(CASE WHEN event_type = 'fill' AND price <> 0 THEN price END IGNORE NULLS) OVER w AS last_price, last_value(CASE WHEN event_type IN ('accepted', 'fill', 'cancelled') AND venue_id <> '' THEN venue_id END IGNORE NULLS) OVER w AS venue_order_id,
+ max(CASE WHEN event_type = 'rejected' THEN row_no END) OVER w AS rejected_at FROM mz WINDOW w AS (PARTITION BY client_order_id ORDER BY row_no ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    "order_state_timeline",
+    f"WITH {_MIXED} SELECT ml.row_no, fm AS filled_max, coalesce(lag(after_status) OVER (PARTITION BY ml.client_order_id ORDER BY ml.row_no), status) AS before_status, after_status, after_status IN ('accepted', 'partially_filled') AS open_after, last_price AS avg_fill_price, venue_order_id, CASE WHEN rejected_at % 2 = 0 THEN concat('r', rejected_at) END AS reject_reason FROM ml",
+    "order_updates", "open_orders",
+)
 def order_state_timeline(t: Tables) -> DataFrame:
-    return orders.order_state_timeline(t.open_orders, t.order_updates).select("row_no", "filled_max", "before_status", "after_status")
+    n = F.col("row_no")
+    updates = t.order_updates.withColumn("event_type", F.when(n % 17 == 0, "rejected").when(n % 19 == 0, "noted").otherwise(F.col("event_type"))).withColumn("avg_fill_price", F.when(n % 5 == 0, 0.0).otherwise(F.col("avg_fill_price")))
+    updates = updates.withColumn("venue_order_id", F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("v"), n.cast("string")))).withColumn("reason", F.when(n % 2 == 0, F.concat(F.lit("r"), n.cast("string"))))
+    return orders.order_state_timeline(t.open_orders, updates).select("row_no", "filled_max", "before_status", "after_status", "open_after", "avg_fill_price", "venue_order_id", "reject_reason")
 
 
 _FINAL = f"""{_TL}, l AS (SELECT client_order_id, max_by(after_status, row_no) AS st, max(fm) AS fm FROM tl GROUP BY 1), fin AS (SELECT o.client_order_id, coalesce(l.st, o.status) AS status, coalesce(l.fm, 0) AS filled_qty, coalesce(l.st, o.status) IN ('accepted', 'partially_filled') AS open, o.expires_ts_ms FROM open_orders o LEFT JOIN l USING (client_order_id))"""
@@ -173,9 +187,13 @@ def unmatched_updates(t: Tables) -> DataFrame:
     return orders.unmatched_updates(t.open_orders, t.order_updates).select("row_no", "client_order_id")
 
 
-@query("reconciliation_summary", "SELECT count(*) AS updates, count(*) FILTER (o.client_order_id IS NOT NULL) AS matched, count(*) FILTER (o.client_order_id IS NULL) AS unmatched, (SELECT count(*) FROM open_orders) AS orders FROM order_updates u LEFT JOIN open_orders o USING (client_order_id)", "order_updates", "open_orders")
+@query(
+    "reconciliation_summary",
+    "SELECT count(*) AS updates, count(*) + count(*) FILTER (row_no % 10 = 1) AS audit_records, 2 * count(*) FILTER (row_no % 10 = 1) AS positions, count(*) FILTER (row_no % 10 = 2) AS balances, count(*) FILTER (row_no % 10 NOT IN (1, 2, 3) AND o.client_order_id IS NULL) AS unmatched_updates, count(*) FILTER (row_no % 10 = 3) AS unknown_updates, (SELECT count(*) FROM open_orders) AS orders FROM order_updates u LEFT JOIN open_orders o USING (client_order_id)",
+    "order_updates", "open_orders",
+)
 def reconciliation_summary(t: Tables) -> DataFrame:
-    return orders.reconciliation_summary(t.open_orders, t.order_updates)
+    return orders.reconciliation_summary(t.open_orders, orders.classify_private_updates(orders.expand_private_updates(raw_updates(t))))
 
 
 @query("orders_from_submissions", "SELECT concat('llb-', intent_no) AS client_order_id, CASE WHEN intent_no % 5 = 0 THEN 'unknown' WHEN intent_no % 3 = 0 THEN 'accepted' WHEN intent_no % 3 = 1 THEN 'planned' ELSE 'rejected' END AS status, intent_no % 5 = 0 OR intent_no % 3 = 0 AS open, CASE WHEN intent_no % 5 = 0 OR intent_no % 3 = 0 THEN created_ts_ms + 3000 END AS expires_ts_ms FROM intents", "intents")
@@ -185,20 +203,22 @@ def orders_from_submissions(t: Tables) -> DataFrame:
     return orders.orders_from_submissions(own, 3000).select("client_order_id", "status", "open", "expires_ts_ms")
 
 
-def raw_updates(t: Tables) -> DataFrame:
+def raw_updates(t: Tables, *extra: Column) -> DataFrame:
     """Private updates as JSON in the shapes that the bridge sends, out of the order updates."""
     n, i = F.col("row_no"), F.col("client_order_id")
     single = F.to_json(F.struct(F.lit("OrderUpdate").alias("Type"), F.struct(i.alias("ClientId"), F.when(F.col("event_type") == "cancelled", "canceled").otherwise(F.col("event_type")).alias("Status"), F.when(F.col("event_type") == "fill", F.col("filled_qty")).alias("FilledQty"), F.col("ts_ms").alias("Timestamp")).alias("Data")))
-    listed = F.concat(F.lit('{"Type":"Positions","Data":{"ConnectionId":7,"Positions":[{"Symbol":"A","Qty":'), F.col("filled_qty").cast("int").cast("string"), F.lit('},{"Symbol":"B","Size":"2"}]}}'))
+    link = F.when(n % 20 == 1, '"ConnectionId":7').otherwise('"connectionId":"c7"')
+    listed = F.concat(F.lit('{"Type":"Positions","Data":{'), link, F.lit(',"Positions":[{"Symbol":"A","Qty":'), F.col("filled_qty").cast("int").cast("string"), F.lit('},{"Symbol":"B","Size":"2"}]}}'))
     balance = F.concat(F.lit('{"type":"wallet","data":{"Asset":"USDT","Free":"'), F.col("filled_qty").cast("int").cast("string"), F.lit('"}}'))
     odd = F.lit('{"hello":1}')
-    return t.order_updates.select("row_no", F.when(n % 10 == 1, listed).when(n % 10 == 2, balance).when(n % 10 == 3, odd).otherwise(single).alias("body"))
+    return t.order_updates.select("row_no", *extra, F.when(n % 10 == 1, listed).when(n % 10 == 2, balance).when(n % 10 == 3, odd).otherwise(single).alias("body"))
 
 
-@query("expand_private_updates", "SELECT row_no, i AS item_no, CASE WHEN row_no % 10 = 1 THEN 7 END AS connection_id FROM order_updates, (VALUES (0), (1)) AS v(i) WHERE i = 0 OR row_no % 10 = 1", "order_updates")
+@query("expand_private_updates", "SELECT row_no, i AS item_no, CASE WHEN row_no % 20 = 1 THEN '7' WHEN row_no % 10 = 1 THEN 'c7' END AS connection_id, row_no % 20 = 11 AS lower_case FROM order_updates, (VALUES (0), (1)) AS v(i) WHERE i = 0 OR row_no % 10 = 1", "order_updates")
 def expand_private_updates(t: Tables) -> DataFrame:
     own = orders.expand_private_updates(raw_updates(t))
-    return own.select("row_no", F.col("item_no").cast("long").alias("item_no"), F.get_json_object("payload", "$.ConnectionId").cast("long").alias("connection_id"))
+    upper, lower = F.get_json_object("payload", "$.ConnectionId"), F.get_json_object("payload", "$.connectionId")
+    return own.select("row_no", F.col("item_no").cast("long").alias("item_no"), F.coalesce(upper, lower).alias("connection_id"), lower.isNotNull().alias("lower_case"))
 
 
 @query(

@@ -35,9 +35,9 @@ def _appended(t: Tables, df: DataFrame) -> DataFrame:
 def _updated(t: Tables, df: DataFrame, keys: list[str], newest: str) -> DataFrame:
     """The last row of each key of an update-mode stream."""
     target = scratch(t.spark, "updates")
-    online.run_batches(df, lambda batch, n: batch.write.mode("append").parquet(target), scratch(t.spark, "checkpoint"))
+    online.run_batches(df, lambda batch, n: batch.write.mode("overwrite").parquet(online.batch_path(target, n)), scratch(t.spark, "checkpoint"))
     own = t.spark.read.schema(df.schema).parquet(target)
-    return own.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in own.columns if c not in keys)), newest).alias("s")).select(*keys, "s.*")
+    return own.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), newest).alias("s")).select(*keys, "s.*")
 
 
 @query("stream_quotes", "SELECT row_no, symbol FROM quotes", "quotes")
@@ -55,9 +55,16 @@ def stream_feed_health(t: Tables) -> DataFrame:
     return _updated(t, online.stream_feed_health(_landed(t, t.quotes, "local_ts_ms", 3), 3 * HOUR), ["venue", "symbol"], "event_count")
 
 
-@query("stream_stale_alerts")
+@query(
+    "stream_stale_alerts",
+    f"""WITH b AS (SELECT min(local_ts_ms) AS lo, max(local_ts_ms) AS hi FROM quotes), e AS (SELECT venue, symbol, local_ts_ms AS ts, true AS tick FROM quotes UNION ALL SELECT venue, symbol, lo, false FROM (SELECT DISTINCT venue, symbol FROM quotes UNION ALL SELECT 'binance', 'NEWUSDT'), b),
+ g AS (SELECT *, lead(ts) OVER (PARTITION BY venue, symbol ORDER BY ts, tick) AS later FROM e) SELECT venue, symbol, CASE WHEN tick THEN 'feed_stale' ELSE 'feed_missing' END AS alert_type, 'critical' AS severity, CASE WHEN tick THEN 'required_feed_stale' ELSE 'required_feed_missing' END AS reason, ts AS last_ts_ms FROM g, b WHERE coalesce(later, hi) - ts > {3 * HOUR}""",
+    "quotes",
+)
 def stream_stale_alerts(t: Tables) -> DataFrame:
-    return _appended(t, online.stream_stale_alerts(_landed(t, t.quotes, "local_ts_ms", 4), 3 * HOUR))
+    streams = t.quotes.select("venue", "symbol").distinct().unionByName(t.spark.createDataFrame([("binance", "NEWUSDT")], "venue string, symbol string"))
+    required = streams.crossJoin(t.quotes.agg(F.min("local_ts_ms").alias("from_ts_ms")))
+    return _appended(t, online.stream_stale_alerts(_landed(t, t.quotes, "local_ts_ms", 4), 3 * HOUR, _landed(t, required)))
 
 
 @query("stream_order_state", f"WITH {_FINAL} SELECT client_order_id, status, filled_qty FROM fin WHERE client_order_id IN (SELECT client_order_id FROM order_updates)", "order_updates", "open_orders")
@@ -68,8 +75,14 @@ def stream_order_state(t: Tables) -> DataFrame:
 
 @query("stream_signals")
 def stream_signals(t: Tables) -> DataFrame:
-    own = _appended(t, online.stream_signals(_landed(t, t.quotes, "local_ts_ms", 3), 1.5, 12 * HOUR, 2 * HOUR))
-    return own.select("row_no", "symbol", "ts", "side", F.round("edge_bps", 3).alias("edge_bps"), F.round("z_score", 3).alias("z_score"))
+    """Both models over the same landed ticks."""
+    quotes = _landed(t, t.quotes, "local_ts_ms", 3)
+
+    def of(found: DataFrame, model: str, strength: str, digits: int) -> DataFrame:
+        return found.select(F.lit(model).alias("model"), "row_no", "symbol", "ts", "side", F.round("edge_bps", digits).alias("edge_bps"), F.round(strength, digits).alias("strength"))
+
+    residual = of(_appended(t, online.stream_signals(quotes, 1.5, 12 * HOUR, 2 * HOUR)), "residual_zscore", "z_score", 3)
+    return residual.unionByName(of(_appended(t, online.stream_impulse_signals(quotes, strategy.WINDOWS, 20.0, 2 * HOUR)), "impulse_transfer", "impulse_bps", 4))
 
 
 @query("stream_audit_sink", "SELECT row_no, symbol, decision_result FROM audit", "audit")
@@ -100,4 +113,7 @@ def stream_hourly_slippage(t: Tables) -> DataFrame:
 # the online signals are held to the SQL of the batch ones
 from tickloom.plans import strategy  # noqa: E402
 
-ORACLES["stream_signals"] = "SELECT row_no, symbol, ts, side, edge_bps, z_score FROM (" + ORACLES["residual_signals"] + ")"
+ORACLES["stream_signals"] = (
+    "SELECT 'residual_zscore' AS model, row_no, symbol, ts, side, edge_bps, z_score AS strength FROM (" + ORACLES["residual_signals"] + ") UNION ALL "
+    "SELECT 'impulse_transfer', row_no, symbol, ts, side, edge_bps, impulse_bps FROM (" + ORACLES["impulse_signals"] + ")"
+)

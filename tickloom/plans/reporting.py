@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import health, leadlag, reports, universe
+from tickloom.functions.exprs import LAGGER, pnl_values
+from tickloom.operators import health, leadlag, orders, outcomes, reports, universe
+from tickloom.plans.desk import raw_updates
+from tickloom.plans.fixtures import duck
 from tickloom.plans.market import HOUR, ORDER
-from tickloom.plans.registry import Tables, query
+from tickloom.plans.registry import ORACLES, Tables, query
 from tickloom.plans.strategy import _ALIGNED, LAGS
 
 DAY = "strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d')"
@@ -17,9 +22,11 @@ def _money(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if c in columns else c for c in df.columns))
 
 
-@query("replay_counts", "SELECT count(*) AS processed, count(*) FILTER (raw_type IN ('click','view','signup')) AS quotes, count(*) FILTER (raw_type NOT IN ('click','view','signup')) AS skipped FROM ticks", "ticks")
+@query("replay_counts", "SELECT count(*) AS processed, count(*) FILTER (raw_type IN ('click','view','signup')) AS quotes, count(*) FILTER (raw_type NOT IN ('click','view','signup')) AS skipped, (SELECT count(*) FROM intents) AS intents, (SELECT count(*) FROM intents WHERE model = 'impulse_transfer') AS impulse_intents, (SELECT count(*) FROM intents WHERE model = 'residual_zscore') AS residual_intents FROM ticks", "ticks", "intents")
 def replay_counts(t: Tables) -> DataFrame:
-    return reports.replay_counts(t.ticks.withColumn("event_type", F.when(F.col("raw_type").isin("click", "view", "signup"), "book_ticker").otherwise("other")))
+    own = reports.replay_counts(t.ticks.withColumn("event_type", F.when(F.col("raw_type").isin("click", "view", "signup"), "book_ticker").otherwise("other")), t.intents)
+    at = lambda m: F.coalesce(F.try_element_at("intent_counts", F.lit(m)), F.lit(0))
+    return own.select("processed", "quotes", "skipped", "intents", at("impulse_transfer").alias("impulse_intents"), at("residual_zscore").alias("residual_intents"))
 
 
 @query(
@@ -162,20 +169,50 @@ def symbol_selection(t: Tables) -> DataFrame:
     return _selected(t, 5).select("symbol", "stable", F.round("selection_score", 5).alias("selection_score"))
 
 
-@query(
-    "research_report",
-    f"""WITH {_SELECTION}, {_HEALTH} SELECT 'feed_health' AS section, venue || ':' || symbol AS item, CAST(event_count AS DOUBLE) AS value FROM h UNION ALL SELECT 'false_positives', 'rate', round(count(*) FILTER (realized_pnl_usd <= 0) / count(*), 6) FROM audit WHERE event_type = 'replay_position_exit'
- UNION ALL SELECT 'performance_by_model', model, round(sum(realized_pnl_usd), 2) FROM audit WHERE event_type = 'replay_position_exit' GROUP BY model UNION ALL SELECT 'symbol_selection', symbol, round(score, 5) FROM sl""",
-    "quotes", "audit",
-)
 def research_report(t: Tables) -> DataFrame:
     """The sections of a report as rows of one table; the full tables are the queries of the same names."""
-    section = lambda df, name, item, value: df.select(F.lit(name).alias("section"), item.alias("item"), value.cast("double").alias("value"))
-    feed = section(health.feed_health(t.quotes), "feed_health", F.concat_ws(":", "venue", "symbol"), F.col("event_count"))
-    wrong = section(reports.false_positive_rate(reports.exits(t.audit)), "false_positives", F.lit("rate"), F.round("false_positive_rate", 6))
-    models = section(reports.performance_by(reports.exits(t.audit), F.col("model")), "performance_by_model", F.col("model"), F.round("realized_pnl_usd", 2))
-    chosen = section(_selected(t, 1000), "symbol_selection", F.col("symbol"), F.round("selection_score", 5))
-    return feed.unionByName(wrong).unionByName(models).unionByName(chosen)
+
+    def section(df: DataFrame, name: str, item: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("section"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+
+    def across(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], list(columns), "item", "value")
+        return section(long, name, F.col("item"), F.col("value"))
+
+    closed, day = reports.exits(t.audit), F.concat_ws(":", "symbol", "day")
+    variants = outcomes.fill_model_variants(outcomes.at_quote(t.intents, t.quotes.where(F.col("venue") == LAGGER)))
+    parts = [
+        across(run_summary(t), "summary", "intents", "risk_blocked", "fills", "not_filled", "closed_positions", "realized_pnl_usd"),
+        section(health.feed_health(t.quotes), "feed_health", F.concat_ws(":", "venue", "symbol"), F.col("event_count")),
+        section(symbol_day_slices(t), "by_symbol_day", day, F.col("records")),
+        section(variants.groupBy("fill_model").agg(F.count_if("filled").alias("n")), "fill_model_variants", F.col("fill_model"), F.col("n")),
+        section(outcomes.fill_model_diagnostics(variants).where("has_difference").groupBy("symbol").count(), "fill_model_diagnostics", F.col("symbol"), F.col("count")),
+        across(reports.catch_up_metrics(t.audit), "catch_up", "catch_up_exits", "avg_ms", "p50_ms", "p90_ms"),
+        section(false_positive_rate(t), "false_positives", F.lit("rate"), F.col("false_positive_rate")),
+        section(slippage_by_hour(t), "slippage_by_hour", F.col("hour_utc"), F.col("total_slippage_bps")),
+        section(performance_by_regime(t), "performance_by_regime", F.col("regime"), F.col("realized_pnl_usd")),
+        section(reports.performance_by(closed, F.col("model")), "performance_by_model", F.col("model"), F.round("realized_pnl_usd", 2)),
+        section(_selected(t, 1000), "symbol_selection", F.col("symbol"), F.round("selection_score", 5)),
+        section(replay_days(t), "replay_days", F.col("day"), F.lit(1)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _report_sql() -> str:
+    """The report's rows out of the SQL of the queries that it is made of."""
+    wide = lambda key, name, *columns: [f"SELECT '{name}' AS section, '{c}' AS item, CAST({c} AS DOUBLE) AS value FROM ({ORACLES[key]})" for c in columns]
+    long = lambda key, name, item, value: [f"SELECT '{name}' AS section, CAST({item} AS VARCHAR) AS item, CAST({value} AS DOUBLE) AS value FROM ({ORACLES[key]})"]
+    selection = duck(f"WITH {_SELECTION} SELECT 'symbol_selection' AS section, symbol AS item, round(score, 5) AS value FROM sl", "quotes", "audit")
+    parts = [
+        *wide("run_summary", "summary", "intents", "risk_blocked", "fills", "not_filled", "closed_positions", "realized_pnl_usd"), *long("feed_health", "feed_health", "venue || ':' || symbol", "event_count"), *long("symbol_day_slices", "by_symbol_day", "symbol || ':' || day", "records"),
+        *long("fill_model_variants", "fill_model_variants", "fill_model", "fills"), f"SELECT 'fill_model_diagnostics', symbol, CAST(count(*) AS DOUBLE) FROM ({ORACLES['fill_model_diagnostics']}) WHERE has_difference GROUP BY symbol",
+        *wide("catch_up_metrics", "catch_up", "catch_up_exits", "avg_ms", "p50_ms", "p90_ms"), *long("false_positive_rate", "false_positives", "'rate'", "false_positive_rate"), *long("slippage_by_hour", "slippage_by_hour", "hour_utc", "total_slippage_bps"),
+        *long("performance_by_regime", "performance_by_regime", "regime", "realized_pnl_usd"), *long("performance_by_model", "performance_by_model", "model", "realized_pnl_usd"), f"SELECT section, item, value FROM ({selection})", *long("replay_days", "replay_days", "day", "1"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+query("research_report")(research_report)
 
 
 _CMP = "c AS (SELECT coalesce(p.client_order_id, d.client_order_id) AS client_order_id, CASE WHEN d.client_order_id IS NULL THEN 'unmatched_paper' WHEN p.client_order_id IS NULL THEN 'unmatched_demo' ELSE 'matched' END AS status, d.qty - p.qty AS qty_diff, round(d.price - p.price, 6) AS price_diff FROM paper_fills p FULL JOIN demo_fills d ON p.client_order_id = d.client_order_id)"
@@ -203,14 +240,21 @@ def unmatched_fill_ids(t: Tables) -> DataFrame:
 
 @query(
     "summary_diff",
-    """WITH s AS (SELECT symbol AS run, model, round(sum(gross_pnl_usd), 2) AS gross, count(*) AS n FROM closed_trades GROUP BY ALL), a AS (SELECT * FROM s WHERE model = 'impulse_transfer'), b AS (SELECT * FROM s WHERE model <> 'impulse_transfer')
- SELECT run, m.metric, round(CASE m.metric WHEN 'gross' THEN coalesce(b.gross, 0) - coalesce(a.gross, 0) ELSE coalesce(b.n, 0) - coalesce(a.n, 0) END, 2) AS delta, CASE m.metric WHEN 'gross' THEN abs(coalesce(b.gross, 0) - coalesce(a.gross, 0)) > 100000 ELSE coalesce(b.n, 0) <> coalesce(a.n, 0) END AS mismatch FROM a FULL JOIN b USING (run), (VALUES ('gross'), ('trades')) AS m(metric)""",
+    """WITH t AS (SELECT symbol AS run, model = 'impulse_transfer' AS one, * FROM closed_trades), s AS (SELECT run, one, round(sum(gross_pnl_usd), 2) AS g, round(sum(impulse_bps), 2) AS u, count(*) AS n FROM t GROUP BY ALL),
+ m AS (SELECT run, one, 'realized_pnl_usd' AS metric, g AS v FROM s UNION ALL SELECT run, one, 'unrealized_pnl_usd', u FROM s UNION ALL SELECT run, one, 'total_net_pnl_usd', coalesce(g, 0) + coalesce(u, 0) FROM s UNION ALL SELECT run, one, 'trades', n FROM s UNION ALL SELECT run, one, concat('intents:', exit_reason), count(*) FROM t GROUP BY run, one, exit_reason),
+ d AS (SELECT run, metric, round(coalesce(sum(CASE WHEN NOT one THEN v END), 0) - coalesce(sum(CASE WHEN one THEN v END), 0), 2) AS delta FROM m GROUP BY run, metric), x AS (SELECT *, CASE WHEN metric LIKE '%usd' THEN abs(delta) > 10000 ELSE delta <> 0 END AS mismatch FROM d),
+ y AS (SELECT *, CASE WHEN mismatch THEN CASE WHEN metric LIKE 'intents:%' THEN concat('intent_count_delta:', substr(metric, 9)) ELSE concat(metric, '_delta') END END AS reason FROM x), z AS (SELECT run, count(reason) AS mismatch_count, count(reason) = 0 AS matched, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS mismatch_reasons FROM y GROUP BY run)
+ SELECT y.*, mismatch_count, matched, mismatch_reasons FROM y JOIN z USING (run)""",
     "closed_trades",
 )
 def summary_diff(t: Tables) -> DataFrame:
-    sums = t.closed_trades.groupBy("model", F.col("symbol").alias("run")).agg(F.round(F.sum("gross_pnl_usd"), 2).alias("gross"), F.count("*").alias("trades"))
-    one, other = sums.where("model = 'impulse_transfer'"), sums.where("model <> 'impulse_transfer'")
-    return reports.summary_diff(one, other, ["gross"], ["trades"], 100_000).select("run", "metric", F.round("delta", 2).alias("delta"), "mismatch")
+    own = t.closed_trades.withColumn("run", F.col("symbol"))
+    sums = own.groupBy("model", "run").agg(F.round(F.sum("gross_pnl_usd"), 2).alias("realized_pnl_usd"), F.round(F.sum("impulse_bps"), 2).alias("unrealized_pnl_usd"), F.count("*").alias("trades"))
+    models = own.groupBy("model", "run", "exit_reason").count().groupBy("model", "run").agg(F.map_from_entries(F.collect_list(F.struct("exit_reason", "count"))).alias("intent_counts"))
+    sums, first = sums.join(models, ["model", "run"]), F.col("model") == "impulse_transfer"
+    diff = reports.summary_diff(sums.where(first), sums.where(~first), ["realized_pnl_usd", "unrealized_pnl_usd"], ["trades"], 10_000, ["realized_pnl_usd", "unrealized_pnl_usd"], "intent_counts")
+    verdict = reports.summary_verdict(diff).withColumn("mismatch_reasons", F.array_join("mismatch_reasons", ","))
+    return diff.drop("a", "b").withColumn("delta", F.round("delta", 2)).join(verdict, "run")
 
 
 def _runs(t: Tables) -> DataFrame:
@@ -256,17 +300,29 @@ def alerts_to_risk_flags(t: Tables) -> DataFrame:
 
 @query(
     "daily_summary",
-    f"""WITH {_SLICES}, x AS (SELECT day, count(*) FILTER (dec) AS intents, count(*) FILTER (dec AND fill_filled) AS fills, count(*) FILTER (NOT dec) AS closed_positions, count(DISTINCT symbol) AS symbol_days FROM a GROUP BY 1), u AS (SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS order_updates FROM order_updates GROUP BY 1),
- al AS (SELECT strftime(make_timestamp(local_ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS alerts FROM quotes WHERE local_ts_ms - exchange_ts_ms > 30 GROUP BY 1), f AS (SELECT o_orderdate, count(*) FILTER (o_orderkey % 10 > 1) AS n FROM orders GROUP BY 1), g AS (SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') AS day, n AS matched_fills FROM f)
- SELECT day, coalesce(intents, 0) AS intents, coalesce(fills, 0) AS fills, coalesce(closed_positions, 0) AS closed_positions, coalesce(symbol_days, 0) AS symbol_days, coalesce(alerts, 0) AS alerts, 0 AS critical_alerts, coalesce(matched_fills, 0) AS matched_fills, coalesce(order_updates, 0) AS order_updates FROM x FULL JOIN u USING (day) FULL JOIN al USING (day) FULL JOIN g USING (day)""",
-    "audit", "order_updates", "quotes",
+    f"""WITH {_SLICES}, x AS (SELECT day, count(*) FILTER (dec) AS intents, count(*) FILTER (dec AND fill_filled) AS fills, count(*) FILTER (NOT dec) AS closed_positions, count(*) FILTER (dec AND fill_filled) - count(*) FILTER (NOT dec) AS open_positions, round(coalesce(sum(realized_pnl_usd), 0), 6) AS realized_pnl_usd, count(DISTINCT symbol) AS symbol_days FROM a GROUP BY 1),
+ ou AS (SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, row_no, CASE WHEN row_no % 10 NOT IN (1, 2, 3) THEN o.client_order_id END AS known FROM order_updates LEFT JOIN open_orders o USING (client_order_id)),
+ u AS (SELECT day, count(DISTINCT known) AS orders, 2 * count(*) FILTER (row_no % 10 = 1) AS positions, count(*) FILTER (row_no % 10 = 2) AS balances, count(*) + count(*) FILTER (row_no % 10 = 1) AS audit_records FROM ou GROUP BY 1),
+ qd AS (SELECT *, strftime(make_timestamp(local_ts_ms * 1000), '%Y-%m-%d') AS day FROM quotes), al AS (SELECT day, count(*) AS alerts FROM qd WHERE local_ts_ms - exchange_ts_ms > 30 GROUP BY 1),
+ hs AS (SELECT strftime(make_timestamp(local_ts_ms * 1000), '%Y-%m-%d') AS day, max(CASE WHEN row_no % 3 = 0 OR row_no % 7 = 0 OR row_no % 5 = 0 OR row_no % 11 = 0 THEN 2 WHEN row_no % 4 = 0 THEN 1 ELSE 0 END) AS worst FROM ticks GROUP BY 1),
+ lq AS (SELECT day, symbol, bid, ask FROM qd QUALIFY row_number() OVER (PARTITION BY day, symbol ORDER BY local_ts_ms DESC, row_no DESC) = 1), mk AS (SELECT i.day, round(sum(coalesce(CASE WHEN side = 'buy' THEN (bid - price_cap) * qty ELSE (price_cap - ask) * qty END, 0)), 6) AS unrealized_pnl_usd FROM (SELECT *, strftime(make_timestamp(created_ts_ms * 1000), '%Y-%m-%d') AS day FROM intents) i LEFT JOIN lq ON lq.day = i.day AND lq.symbol = i.symbol GROUP BY 1),
+ f AS (SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') AS day, count(*) FILTER (o_orderkey % 10 > 1) AS matched_fills, count(*) FILTER (o_orderkey % 10 = 1) AS unmatched_paper, count(*) FILTER (o_orderkey % 10 = 0) AS unmatched_demo FROM orders GROUP BY 1)
+ SELECT day, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("intents", "fills", "closed_positions", "open_positions", "realized_pnl_usd", "unrealized_pnl_usd", "symbol_days", "alerts", "matched_fills", "unmatched_paper", "unmatched_demo", "orders", "positions", "balances", "audit_records"))}, 0 AS critical_alerts,
+ CASE worst WHEN 2 THEN 'critical' WHEN 0 THEN 'ok' ELSE 'unknown' END AS health_status FROM x FULL JOIN u USING (day) FULL JOIN al USING (day) FULL JOIN hs USING (day) FULL JOIN mk USING (day) FULL JOIN f USING (day)""",
+    "audit", "order_updates", "open_orders", "quotes", "ticks", "intents",
 )
 def daily_summary(t: Tables) -> DataFrame:
     day = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd")
     ids = t.orders.select(F.concat(F.lit("llb-"), F.col("o_orderkey").cast("string")).alias("client_order_id"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("day"))
-    return reports.daily_summary(
-        t.audit.withColumn("day", day("timestamp_ms")), health.latency_alerts(t.quotes, 30).withColumn("day", day("metadata.local_ts_ms")), _compared(t).join(ids, "client_order_id"), t.order_updates.withColumn("day", day("ts_ms"))
-    )
+    updates = orders.classify_private_updates(orders.expand_private_updates(raw_updates(t, day("ts_ms").alias("day"))))
+    status = health.system_health(health.component_health(_runs(t))).join(t.ticks.select(F.col("row_no").alias("run"), day("local_ts_ms").alias("day")), "run")
+    quotes = t.quotes.withColumn("day", day("local_ts_ms"))
+    last = quotes.groupBy("day", "symbol").agg(F.max_by(F.struct("bid", "ask"), F.struct("local_ts_ms", "row_no")).alias("q"))
+    marks = t.intents.withColumn("day", day("created_ts_ms")).join(last, ["day", "symbol"], "left").withColumn("mark", F.when(F.col("side") == "buy", F.col("q.bid")).otherwise(F.col("q.ask")))
+    marks = marks.select("day", pnl_values("side", "price_cap", "mark", "qty", 0.0)[0].alias("unrealized_pnl_usd"))
+    alerts = health.latency_alerts(quotes, 30).withColumn("day", day("metadata.local_ts_ms"))
+    own = reports.daily_summary(t.audit.withColumn("day", day("timestamp_ms")), alerts, _compared(t).join(ids, "client_order_id"), orders.reconciliation_audit(t.open_orders, updates), status, marks)
+    return _money(own, "realized_pnl_usd", "unrealized_pnl_usd", digits=6)
 
 
 @query("submission_candidates", "SELECT row_no, intent_id FROM audit WHERE event_type = 'replay_signal_decision' AND decision_result = 'filled' AND fill_filled AND risk_allowed ORDER BY timestamp_ms, row_no LIMIT 25", "audit")
@@ -284,3 +340,6 @@ def latest_audit_rows(t: Tables) -> DataFrame:
 @query("keep_recent", "SELECT symbol, model, row_no FROM audit QUALIFY row_number() OVER (PARTITION BY symbol, model ORDER BY timestamp_ms DESC, row_no DESC) <= 5", "audit")
 def keep_recent(t: Tables) -> DataFrame:
     return health.latest_rows(t.audit, ["symbol", "model"], F.struct("timestamp_ms", "row_no"), 5).select("symbol", "model", "row_no")
+
+
+ORACLES["research_report"] = _report_sql()

@@ -74,15 +74,17 @@ def impulse_confirmation(t: Tables) -> DataFrame:
 
 @query(
     "feature_snapshots",
-    f"""WITH q AS (SELECT *, (bid + ask) / 2 AS mid, lag((bid + ask) / 2) OVER (PARTITION BY symbol, venue ORDER BY {ORDER}) AS before FROM quotes), p AS (SELECT *, last_value(CASE WHEN venue = 'binance' THEN {{'l': local_ts_ms, 'x': exchange_ts_ms, 'mid': mid, 'before': before}} END IGNORE NULLS) OVER w AS a,
- last_value(CASE WHEN venue = 'mexc' THEN {{'l': local_ts_ms, 'x': exchange_ts_ms, 'mid': mid, 'before': before, 'bid': bid, 'ask': ask}} END IGNORE NULLS) OVER w AS b FROM q WINDOW w AS (PARTITION BY symbol ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
- SELECT row_no, round(10000 * (a.mid - a.before) / a.before, 4) AS impulse_bps, round(10000 * (b.ask - b.bid) / b.mid, 4) AS spread_bps, round(abs(10000 * (b.mid - b.before) / b.before), 4) AS volatility_bps,
- CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN abs(a.l - b.l) ELSE coalesce(a.l - a.x, b.l - b.x) END AS latency_ms FROM p""",
+    ewm_sql(12 * HOUR)
+    + f""", rs AS (SELECT s.row_no, s.basis - coalesce(nullif(e.prior_mean, 0), 0) AS residual FROM s JOIN e ON s.symbol = e.symbol AND s.k = e.k), fq AS (SELECT *, (bid + ask) / 2 AS mid, lag((bid + ask) / 2) OVER (PARTITION BY symbol, venue ORDER BY {ORDER}) AS before FROM quotes), fp AS (SELECT *, last_value(CASE WHEN venue = 'binance' THEN {{'l': local_ts_ms, 'x': exchange_ts_ms, 'mid': mid, 'before': before}} END IGNORE NULLS) OVER w AS a,
+ last_value(CASE WHEN venue = 'mexc' THEN {{'l': local_ts_ms, 'x': exchange_ts_ms, 'mid': mid, 'before': before, 'bid': bid, 'ask': ask}} END IGNORE NULLS) OVER w AS b FROM fq WINDOW w AS (PARTITION BY symbol ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT fp.row_no, round(residual, 3) AS residual_bps, round(10000 * (a.mid - a.before) / a.before, 4) AS impulse_bps, round(10000 * (b.ask - b.bid) / b.mid, 4) AS spread_bps, round(abs(10000 * (b.mid - b.before) / b.before), 4) AS volatility_bps,
+ CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN abs(a.l - b.l) ELSE coalesce(a.l - a.x, b.l - b.x) END AS latency_ms FROM fp LEFT JOIN rs ON rs.row_no = fp.row_no""",
     "quotes",
 )
 def feature_snapshots(t: Tables) -> DataFrame:
-    own = signals.feature_snapshots(t.quotes)
-    return own.select("row_no", *(F.round(c, 4).alias(c) for c in ("impulse_bps", "spread_bps", "volatility_bps")), "latency_ms")
+    frame = signals.residual_frame(t.quotes, 12 * HOUR, samples=1)
+    own = signals.feature_snapshots(t.quotes, residuals=frame.where("prior_mean <> 0 OR position = 0").select("symbol", "row_no", (F.col("basis") - F.coalesce("prior_mean", F.lit(0.0))).alias("residual_bps")))
+    return own.select("row_no", F.round("residual_bps", 3).alias("residual_bps"), *(F.round(c, 4).alias(c) for c in ("impulse_bps", "spread_bps", "volatility_bps")), "latency_ms")
 
 
 _ALIGNED = f"""r AS (SELECT row_no, symbol, venue, ts, 10000 * (mid - pm) / pm AS ret FROM (SELECT row_no, symbol, venue, local_ts_ms AS ts, (bid + ask) / 2 AS mid, lag((bid + ask) / 2) OVER (PARTITION BY symbol, venue ORDER BY local_ts_ms, row_no) AS pm FROM quotes) WHERE pm > 0),

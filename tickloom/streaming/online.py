@@ -6,9 +6,11 @@ applyInPandasWithState, which spreads keys over executors and restores state fro
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,21 +73,44 @@ def stream_feed_health(quotes: DataFrame, stale_ms: int) -> DataFrame:
     return own.groupBy("venue", "symbol").applyInPandasWithState(update, _HEALTH, "n long, first long, last long, gap long, stale long", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_stale_alerts(quotes: DataFrame, stale_ms: int, watermark: str = "0 seconds") -> DataFrame:
-    """An alert for each stream that stays silent for stale_ms of event time, once for each silence."""
+_ALERT = "venue string, symbol string, alert_type string, severity string, reason string, last_ts_ms long"
+
+
+def stream_stale_alerts(quotes: DataFrame, stale_ms: int, required: DataFrame | None = None, watermark: str = "0 seconds") -> DataFrame:
+    """An alert for each silence of a stream that lasts longer than stale_ms of event time, wherever batches are cut.
+
+    required: a stream of venue, symbol and from_ts_ms. A required stream that has had no tick stale_ms after that
+    raises feed_missing. last_ts_ms is when the silence began.
+    """
+
+    def alert(key: tuple, last: int, seen: bool) -> tuple:
+        return (*key, "feed_stale" if seen else "feed_missing", "critical", "required_feed_stale" if seen else "required_feed_missing", last)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, seen, told = state.get if state.exists else (None, False, False)
+        out = []
         if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, "feed_stale", "critical", last)], columns=["venue", "symbol", "alert_type", "severity", "last_ts_ms"])
-            return
-        last = max([*(state.get if state.exists else ()), *(int(f["local_ts_ms"].max()) for f in frames)])
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + stale_ms, state.getCurrentWatermarkMs() + 1))
-
-    own = quotes.select("venue", "symbol", "local_ts_ms", F.timestamp_millis("local_ts_ms").alias("at")).withWatermark("at", watermark)
-    return own.groupBy("venue", "symbol").applyInPandasWithState(update, "venue string, symbol string, alert_type string, severity string, last_ts_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+            out.append(alert(key, last, seen))
+            told = True
+        else:
+            ticks = pd.concat(list(frames)).sort_values(["local_ts_ms", "tick"])
+            for ts, tick in zip(ticks["local_ts_ms"].tolist(), ticks["tick"].tolist(), strict=True):
+                if last is not None and ts - last > stale_ms and not told:
+                    out.append(alert(key, last, seen))
+                told = told and not tick
+                if tick or last is None:
+                    last, seen = (ts if last is None else max(ts, last)), seen or tick
+        state.update((last, seen, told))
+        if not told:
+            state.setTimeoutTimestamp(max(last + stale_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ALERT.split(", ")])
+
+    own = quotes.select("venue", "symbol", "local_ts_ms", F.lit(True).alias("tick"))
+    if required is not None:
+        own = own.unionByName(required.select("venue", "symbol", F.col("from_ts_ms").alias("local_ts_ms"), F.lit(False).alias("tick")))
+    own = own.withColumn("at", F.timestamp_millis("local_ts_ms")).withWatermark("at", watermark)
+    return own.groupBy("venue", "symbol").applyInPandasWithState(update, _ALERT, "last long, seen boolean, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_order_state(updates: DataFrame, known: DataFrame) -> DataFrame:
@@ -139,12 +164,85 @@ def stream_signals(quotes: DataFrame, z_entry: float, window_ms: int, cooldown_m
             mean = basis if mean is None else mean + alpha * off
             var, n, last = (1 - alpha) * (var + alpha * off * off), n + 1, now
         state.update((a_ts, a, before, b_ts, b, mean, var, n, last, kept))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SIGNAL.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SIGNAL.split(", ")])
 
     own = quotes.select("symbol", "row_no", "venue", "local_ts_ms", "exchange_ts_ms", "bid", "ask")
     return own.groupBy("symbol").applyInPandasWithState(update, _SIGNAL, _SIGNAL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+_IMPULSE = "row_no long, symbol string, ts long, side string, window_ms long, impulse_bps double, edge_bps double, price_cap double"
+_IMPULSE_STATE = "leader binary, lagger binary, kept_ts long"
+
+
+class _Stream:
+    """Mids of one stream as far back as the longest window needs, and its latest tick with the mids one window back."""
+
+    def __init__(self, raw: bytes | None, windows: tuple[int, ...]):
+        n = len(windows)
+        rows = np.frombuffer(raw, np.float64) if raw else np.zeros(0)
+        self.windows, self.latest, rest = windows, rows[: 4 + n] if len(rows) else None, rows[4 + n :].reshape(-1, 3)
+        self.ts, self.row_no, self.mid = rest[:, 0].tolist(), rest[:, 1].tolist(), rest[:, 2].tolist()
+
+    def take(self, ts: int, row_no: int, bid: float, ask: float) -> None:
+        mid = (bid + ask) / 2
+        backs = [self.mid[k - 1] if (k := bisect.bisect_right(self.ts, ts - w)) else math.nan for w in self.windows]
+        self.latest = np.array([ts, mid, bid, ask, *backs])
+        if self.ts and self.ts[-1] == ts:  # of ticks at one time the last by arrival is looked back at
+            if row_no > self.row_no[-1]:
+                self.row_no[-1], self.mid[-1] = row_no, mid
+        else:
+            self.ts.append(ts)
+            self.row_no.append(row_no)
+            self.mid.append(mid)
+        old = bisect.bisect_right(self.ts, ts - max(self.windows)) - 1
+        if old > 0:
+            del self.ts[:old], self.row_no[:old], self.mid[:old]
+
+    def packed(self) -> bytes | None:
+        if self.latest is None:
+            return None
+        return np.concatenate((self.latest, np.array([self.ts, self.row_no, self.mid], np.float64).T.ravel())).tobytes()
+
+
+def stream_impulse_signals(
+    quotes: DataFrame, windows_ms: tuple[int, ...], min_impulse_bps: float, cooldown_ms: int, beta: float = 1.0, cost_bps: float = 2.0, min_edge_bps: float = 0.0, leader: str = "binance", lagger: str = "mexc"
+) -> DataFrame:
+    """The impulse model online, by symbol: the same signals as the batch operator on the same ticks.
+
+    State is the mids of the longest window in each stream. Ticks must arrive in batches of ascending time.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["local_ts_ms", "exchange_ts_ms", "venue", "row_no"])
+        a, b, kept = state.get if state.exists else (None, None, None)
+        streams = {leader: _Stream(a, windows_ms), lagger: _Stream(b, windows_ms)}
+        out = []
+        for row_no, ts, venue, bid, ask in zip(rows["row_no"].tolist(), rows["local_ts_ms"].tolist(), rows["venue"], rows["bid"].tolist(), rows["ask"].tolist(), strict=True):
+            if venue not in streams:
+                continue
+            streams[venue].take(ts, row_no, bid, ask)
+            x, y = streams[leader].latest, streams[lagger].latest
+            if x is None or y is None:
+                continue
+            now = int(max(x[0], y[0]))
+            if kept is not None and now - kept < cooldown_ms:
+                continue
+            impulse, moved = 10000 * (x[1] - x[4:]) / x[4:], 10000 * (y[1] - y[4:]) / y[4:]
+            lag = beta * impulse - moved
+            passes = np.flatnonzero((np.abs(impulse) >= min_impulse_bps) & (np.abs(lag) - cost_bps > min_edge_bps) & (impulse * lag > 0))
+            if len(passes):
+                k, kept = passes[0], now
+                buy = impulse[k] > 0
+                out.append((row_no, key[0], now, "buy" if buy else "sell", windows_ms[k], impulse[k], abs(lag[k]) - cost_bps, y[3] if buy else y[2]))
+        state.update((streams[leader].packed(), streams[lagger].packed(), kept))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _IMPULSE.split(", ")])
+
+    own = quotes.select("symbol", "row_no", "venue", "local_ts_ms", "exchange_ts_ms", "bid", "ask")
+    return own.groupBy("symbol").applyInPandasWithState(update, _IMPULSE, _IMPULSE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_hourly_slippage(audit: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Tumbling hours over filled rows; an hour is final once the watermark passes it, later rows are dropped."""
     own = audit.where("fill_filled").withColumn("at", F.timestamp_millis("timestamp_ms")).withWatermark("at", watermark)
@@ -154,11 +252,12 @@ def stream_hourly_slippage(audit: DataFrame, watermark: str = "1 hour") -> DataF
 
 def stream_run_summary(audit: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """A progress row for each batch, of the batch's own audit rows; summing the rows gives the run so far."""
+    return run_batches(audit, lambda batch, number: run_summary(batch).write.mode("overwrite").parquet(batch_path(target, number)), checkpoint, "append")
 
-    def write(batch: DataFrame, number: int) -> None:
-        run_summary(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
 
-    return run_batches(audit, write, checkpoint, "append")
+def batch_path(target: str, number: int) -> str:
+    """Where a batch's rows go: a batch that is replayed after a failure replaces what it wrote before."""
+    return f"{target}/batch={number}"
 
 
 def stream_audit_sink(audit: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
