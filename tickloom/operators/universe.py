@@ -74,11 +74,9 @@ def universe_score() -> Column:
     return total
 
 
-def universe_rank(candidates: DataFrame, top_n: int | None = None) -> DataFrame:
-    """candidates with score and rank (ties by symbol); only the top_n of them, if given, so that ranking stays small."""
-    own = candidates.withColumn("score", universe_score())
-    if top_n is not None:
-        own = own.orderBy(F.col("score").desc(), "symbol").limit(top_n)
+def universe_rank(candidates: DataFrame, top_n: int) -> DataFrame:
+    """The top_n candidates with score and rank, ties by symbol."""
+    own = candidates.withColumn("score", universe_score()).orderBy(F.col("score").desc(), "symbol").limit(top_n)
     return own.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "symbol")))
 
 

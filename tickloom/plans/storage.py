@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.plans.market import depth_snapshots
@@ -161,14 +163,25 @@ def report_history(t: Tables) -> DataFrame:
     return found.join(files, "file").select(F.col("label").alias("file"), "max_feed_gap_ms", "intents", "health")
 
 
-@query("ingest_market_facts", "SELECT 'market_quotes' AS table_name, (SELECT count(*) FROM quotes) + (SELECT count(*) FROM depth_levels WHERE lvl = 1) AS rows UNION ALL SELECT 'market_trades', (SELECT count(*) FROM trades)", "quotes", "trades", "depth_levels")
+def _rows(tables: dict[str, DataFrame], *columns: Column | str, **by_table: Column) -> DataFrame:
+    """The named tables as one, with one column, `what`, that differs."""
+    return reduce(DataFrame.unionByName, (tables[n].select(F.lit(n).alias("table_name"), *columns, c.cast("string").alias("what")) for n, c in by_table.items()))
+
+
+@query("ingest_market_facts", "SELECT 'market_quotes' AS table_name, row_no, venue, symbol, local_ts_ms, 'book_ticker' AS what FROM quotes UNION ALL SELECT 'market_quotes', row_no, venue, symbol, local_ts_ms, 'orderbook_depth' FROM depth_levels WHERE lvl = 1 UNION ALL SELECT 'market_trades', row_no, venue, symbol, local_ts_ms, 'trade' FROM trades", "quotes", "trades", "depth_levels")
 def ingest_market_facts(t: Tables) -> DataFrame:
-    return store.table_counts(store.ingest_market_facts(_events(t), "day-1"))
+    kind = F.col("event_type")
+    return _rows(store.ingest_market_facts(_events(t), "day-1"), "row_no", "venue", "symbol", "local_ts_ms", market_quotes=kind, market_trades=kind)
 
 
-@query("ingest_audit_facts", "SELECT 'fill_facts' AS table_name, count(*) FILTER (fill_filled IS NOT NULL) AS rows FROM audit UNION ALL SELECT 'order_facts', count(*) FILTER (event_type = 'replay_signal_decision') FROM audit UNION ALL SELECT 'pnl_facts', count(*) FILTER (event_type = 'replay_position_exit') FROM audit UNION ALL SELECT 'signal_intents', count(*) FILTER (event_type = 'replay_signal_decision') FROM audit", "audit")
+@query(
+    "ingest_audit_facts",
+    "SELECT 'fill_facts' AS table_name, row_no, intent_id, symbol, CAST(fill_filled AS VARCHAR) AS what FROM audit WHERE fill_filled IS NOT NULL UNION ALL SELECT 'order_facts', row_no, intent_id, symbol, decision_result FROM audit WHERE event_type = 'replay_signal_decision' UNION ALL SELECT 'pnl_facts', row_no, intent_id, symbol, exit_reason FROM audit WHERE event_type = 'replay_position_exit' UNION ALL SELECT 'signal_intents', row_no, intent_id, symbol, model FROM audit WHERE event_type = 'replay_signal_decision'",
+    "audit",
+)
 def ingest_audit_facts(t: Tables) -> DataFrame:
-    return store.table_counts(store.ingest_audit_facts(t.audit, "run-1"))
+    c = F.col
+    return _rows(store.ingest_audit_facts(t.audit, "run-1"), "row_no", "intent_id", "symbol", fill_facts=c("fill_filled"), order_facts=c("decision_result"), pnl_facts=c("exit_reason"), signal_intents=c("model"))
 
 
 @query("table_counts", "SELECT 'quotes' AS table_name, count(*) AS rows FROM quotes UNION ALL SELECT 'trades', count(*) FROM trades", "quotes", "trades")
@@ -176,27 +189,35 @@ def table_counts(t: Tables) -> DataFrame:
     return store.table_counts({"quotes": t.quotes, "trades": t.trades})
 
 
-@query("ingest_reconciliation", "SELECT 'balances' AS table_name, count(*) AS rows FROM open_orders UNION ALL SELECT 'fills', count(*) FILTER (qty > 30) FROM open_orders UNION ALL SELECT 'orders', count(*) FROM open_orders UNION ALL SELECT 'positions', 2 * count(*) FROM open_orders UNION ALL SELECT 'reconciliation_audit', count(*) FROM open_orders", "open_orders")
+@query(
+    "ingest_reconciliation",
+    "SELECT 'orders' AS table_name, client_order_id AS report_no, 0 AS item_no, status AS what FROM open_orders UNION ALL SELECT 'fills', client_order_id, 0, symbol FROM open_orders WHERE qty > 30 UNION ALL SELECT 'positions', client_order_id, i, concat(symbol, ':', i + 1) FROM open_orders, (VALUES (0), (1)) AS v(i) UNION ALL SELECT 'balances', client_order_id, 0, 'USDT:9' FROM open_orders UNION ALL SELECT 'reconciliation_audit', client_order_id, 0, 'x' FROM open_orders",
+    "open_orders",
+)
 def ingest_reconciliation(t: Tables) -> DataFrame:
     order = F.struct("client_order_id", "symbol", "status", F.when(F.col("qty") > 30, F.col("qty").cast("string")).otherwise("0").alias("filled_qty"), F.lit("1.5").alias("avg_fill_price"))
     body = F.to_json(F.struct(F.array(order).alias("orders"), F.array(F.struct("symbol", F.lit("1").alias("qty")), F.struct("symbol", F.lit("2").alias("qty"))).alias("positions"), F.array(F.struct(F.lit("USDT").alias("asset"), F.lit("9").alias("total"))).alias("balances"), F.array(F.lit("x")).alias("audit_records")))
-    return store.table_counts(store.ingest_reconciliation(t.open_orders.select(F.col("client_order_id").alias("report_no"), body.alias("body")), "run-1"))
+    tables = store.ingest_reconciliation(t.open_orders.select(F.col("client_order_id").alias("report_no"), body.alias("body")), "run-1")
+    whole = lambda a, b: F.concat_ws(":", a, F.col(b).cast("long").cast("string"))
+    return _rows(tables, "report_no", F.col("item_no").cast("long").alias("item_no"), orders=F.col("status"), fills=F.col("symbol"), positions=whole("symbol", "qty"), balances=whole("asset", "total"), reconciliation_audit=F.col("raw_json"))
 
 
-@query("replace_by_source", "SELECT source, count(*) AS rows FROM (SELECT symbol AS source FROM trades WHERE symbol <> 'S1USDT' UNION ALL SELECT symbol FROM trades WHERE symbol = 'S1USDT' AND row_no % 2 = 0) GROUP BY 1", "trades")
+@query("replace_by_source", "SELECT symbol AS source, row_no FROM trades WHERE symbol <> 'S1USDT' OR row_no % 2 = 0", "trades")
 def replace_by_source(t: Tables) -> DataFrame:
+    """Partitioned by source and day; the second ingest of one source has fewer days than the first."""
     path = store.scratch(t.spark, "by-source")
-    own = t.trades.withColumn("source", F.col("symbol"))
+    own = t.trades.withColumn("source", F.col("symbol")).withColumn("day", F.date_format(F.timestamp_millis("local_ts_ms"), "yyyy-MM-dd"))
     store.replace_by_source(own, path)
     store.replace_by_source(own.where("symbol = 'S1USDT' AND row_no % 2 = 0"), path)
-    return t.spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("rows"))
+    return t.spark.read.parquet(path).select("source", "row_no")
 
 
 @query("delete_source", "SELECT symbol AS source, count(*) AS rows FROM trades WHERE symbol <> 'S1USDT' GROUP BY 1", "trades")
 def delete_source(t: Tables) -> DataFrame:
     path = store.scratch(t.spark, "by-source")
     store.replace_by_source(t.trades.withColumn("source", F.col("symbol")), path)
-    return store.delete_source(t.spark, path, "S1USDT", store.scratch(t.spark, "by-source")).groupBy("source").agg(F.count("*").alias("rows"))
+    store.delete_source(t.spark, path, "S1USDT")
+    return t.spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("rows"))
 
 
 @query("upsert_by_key", "SELECT client_order_id, CASE WHEN CAST(substr(client_order_id, 5) AS BIGINT) % 3 = 0 THEN 'filled' ELSE status END AS status FROM open_orders UNION ALL SELECT 'new-' || client_order_id, 'filled' FROM open_orders WHERE CAST(substr(client_order_id, 5) AS BIGINT) % 3 = 0", "open_orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,23 +15,46 @@ from tickloom.sources.events import quotes_from_events, trades_from_events
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, a temporary one is set, but in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str, **partition: str | None) -> tuple:
+    """File system and path of a partition's folder, named as Spark's writer names it."""
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    own = "/".join([path, *(f"{k}={names.DEFAULT_PARTITION_NAME() if v is None else names.escapePathName(v)}" for k, v in partition.items())])
+    where = spark._jvm.org.apache.hadoop.fs.Path(own)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def replace_by_source(new: DataFrame, path: str) -> None:
-    """Rows of the sources in `new` replace those of the same sources; other sources stay. Ingesting twice changes nothing."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    """Rows of the sources in `new` replace those of the same sources; other sources stay. Ingesting twice changes nothing.
+
+    A table with a day column is partitioned by source and day; days that a source no longer has go.
+    """
+    spark, days = new.sparkSession, "day" in new.columns
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", *(["day"] if days else [])).parquet(path)
+    if not days:
+        return
+    there = {(r["source"], r["day"]) for r in new.select("source", "day").distinct().collect()}  # a row for each folder written
+    for source in {s for s, _ in there}:
+        fs, folder = _folder(spark, path, source=source)
+        kept = {_folder(spark, path, source=source, day=d)[1].getName() for s, d in there if s == source}
+        for found in fs.listStatus(folder):
+            if found.isDirectory() and found.getPath().getName() not in kept:
+                fs.delete(found.getPath(), True)
 
 
-def delete_source(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
-    """The table without one source, written to target: a table cannot be read and overwritten at once."""
-    spark.read.parquet(path).where(F.col("source") != source).write.mode("overwrite").partitionBy("source").parquet(target)
-    return spark.read.parquet(target)
+def delete_source(spark: SparkSession, path: str, source: str) -> None:
+    """Drops the partition of one source; no other file is read or written."""
+    fs, folder = _folder(spark, path, source=source)
+    fs.delete(folder, True)
 
 
 def upsert_by_key(old: DataFrame, new: DataFrame, key: str, order: str = "row_no") -> DataFrame:
@@ -41,9 +65,9 @@ def upsert_by_key(old: DataFrame, new: DataFrame, key: str, order: str = "row_no
 
 
 def ingest_market_facts(events: DataFrame, source: str) -> dict[str, DataFrame]:
-    """market_quotes (book tickers and depth) and market_trades; other events leave. Both keep row_no and the raw payload."""
-    own = events.withColumn("source", F.lit(source)).withColumn("raw_json", F.col("payload"))
-    columns = ["source", "row_no", "event_type", "venue", "market", "symbol", "local_ts_ms", "exchange_ts_ms", "captured_at_utc", "raw_json"]
+    """market_quotes (book tickers and depth) and market_trades; other events leave. Both keep row_no and the raw payload; day is that of capture."""
+    own = events.withColumn("source", F.lit(source)).withColumn("raw_json", F.col("payload")).withColumn("day", F.substring("captured_at_utc", 1, 10))
+    columns = ["source", "day", "row_no", "event_type", "venue", "market", "symbol", "local_ts_ms", "exchange_ts_ms", "captured_at_utc", "raw_json"]
     return {"market_quotes": own.where("event_type IN ('book_ticker', 'orderbook_depth')").select(*columns), "market_trades": own.where("event_type = 'trade'").select(*columns)}
 
 
@@ -81,12 +105,12 @@ def union_quotes_trades(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def load_events(quotes: DataFrame, trades: DataFrame, source: str | None = None, day: str | None = None) -> DataFrame:
-    """Stored events in canonical order; the source filter prunes partitions."""
+    """Stored events in canonical order; the filters on source and day prune partitions."""
     both = quotes.unionByName(trades)
     if source is not None:
         both = both.where(F.col("source") == source)
     if day is not None:
-        both = both.where(F.substring("captured_at_utc", 1, 10) == day)
+        both = both.where(F.col("day") == F.lit(day))
     return both.orderBy(first_set("local_ts_ms", "exchange_ts_ms"), first_set("exchange_ts_ms"), "venue", "symbol", "row_no")
 
 
