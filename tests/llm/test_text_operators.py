@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -342,28 +343,61 @@ def test_chat(spark):
     assert chat.link_tool_calls(spark.createDataFrame([], kind), chat.TURN_TOOLS).count() == 0
 
 
+def notices(text, templates, threshold):
+    """Every window of a template's length against it, then the greedy choice, in plain Python."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    w, good = split(text), []
+    flat = [(name, t) for name, ts in sorted(templates.items()) for t in ts if len(split(t)) > 1]
+    for k, (_, t) in enumerate(flat):
+        own = set(itertools.pairwise(split(t)))
+        size = min(len(split(t)), len(w))
+        for p in range(len(w) - size + 1) if size > 1 else ():
+            here = set(itertools.pairwise(w[p : p + size]))
+            dice = 2 * len(here & own) / (len(here) + len(own))
+            if dice >= threshold - 1e-12:
+                good.append((-len(here & own), -dice, p, k, size))
+    taken, out = set(), []
+    for _, minus, p, k, size in sorted(good):
+        if not taken & set(range(p, p + size)):
+            taken |= set(range(p, p + size))
+            out.append((flat[k][0], p, size, round(-minus, 9)))
+    return sorted(out, key=lambda x: x[1])
+
+
 def test_licenses(spark):
     long = licenses.TEMPLATES["MIT"][1]
-    rows = [(1, "foo\n" + long.replace(". ", ".\n") + "\nbar baz"), (2, None), (3, ""), (4, "all RIGHTS reserved!"), (5, "x\nReleased under the MIT licence."), (6, "Licensed under the Apache License, Version 2.0.\n\nLicensed under CC BY-NC 4.0."), (4, "nothing")]
+    bsd = [licenses.TEMPLATES[f"BSD-{k}-Clause"][1] for k in (2, 3)]
+    rows = [
+        (1, "foo\n" + long.replace(". ", ".\n") + "\nbar baz"), (2, None), (3, ""), (4, "all RIGHTS reserved!"), (5, "x\nReleased under the MIT licence."), (6, "Under the Apache License, Version 2.0.\n\n(CC BY-NC 4.0)"), (4, "nothing"),
+        (7, " * ".join(bsd[0].split(", "))), (8, bsd[1] + " and more"), (9, "rights reserved all"), (10, "mit"),
+    ]
     got = [(r["doc_id"], list(r["licenses"])) for r in licenses.scan_licenses(docs(spark, rows)).collect()]
-    assert got == [(1, ["MIT"]), (2, []), (3, []), (4, ["All-Rights-Reserved"]), (5, []), (6, ["Apache-2.0", "CC-BY-NC-4.0"]), (4, [])]
+    assert got == [(1, ["MIT"]), (2, []), (3, []), (4, ["All-Rights-Reserved"]), (5, []), (6, ["Apache-2.0", "CC-BY-NC-4.0"]), (4, []), (7, ["BSD-2-Clause"]), (8, ["BSD-3-Clause"]), (9, []), (10, [])]
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
-    def dice(a, b):
-        pair = lambda t: set(itertools.pairwise(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))))
-        x, y = pair(a), pair(b)
-        return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0
 
+def test_licenses_against_windows(spark):
     rng = random.Random(6)
-    lines = []
-    for _ in range(60):
-        w = rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts]).split()
-        for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(len(w))] = "zz"
-        lines.append(" ".join(w))
-    found = licenses.scan_licenses(docs(spark, list(enumerate(lines)))).collect()
-    for r in found:
-        best = max(dice(lines[r["doc_id"]], t) for ts in licenses.TEMPLATES.values() for t in ts)
-        assert (r["n_found"] > 0) == (best >= licenses.THRESHOLD), lines[r["doc_id"]]
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    small = {"A": ["a b c d", "a a b"], "B": ["b c d a b", "c"], "C": ["d d d d"]}
+    mixed = []
+    for _ in range(40):  # notices over several lines, damaged, repeated and side by side
+        w = " ".join(rng.choice(texts) for _ in range(rng.randint(1, 3))).split()
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = rng.choice(["zz", "", "the license", "\n"])
+        mixed.append("\n".join([prose(rng, rng.randint(0, 4)), rng.choice([" ", "\n"]).join(w)]))
+    letters = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    for lines, pack, threshold in ((mixed, licenses.TEMPLATES, 0.8), (letters, small, 0.8), (letters, small, 0.5)):
+        for r in licenses.scan_licenses(docs(spark, list(enumerate(lines))), templates=pack, threshold=threshold).collect():
+            assert [(x["license"], x["word"], x["n_words"], round(x["dice"], 9)) for x in r["found"]] == notices(lines[r["doc_id"]], pack, threshold)
+
+
+def test_licenses_in_linear_time(spark):
+    repeated = ["All rights reserved.\n" * 200 + "\n" * 20_000, "All rights reserved.\n" * 20_000, ("x " * 50 + licenses.TEMPLATES["MIT"][1] + "\n") * 500]
+    found = licenses.scan_licenses(docs(spark, list(enumerate(repeated))))
+    began = time.monotonic()
+    assert [r["n_found"] for r in found.orderBy("doc_id").collect()] == [200, 20_000, 500]
+    assert time.monotonic() - began < 30
 
 
 def test_pipeline(spark):
