@@ -21,8 +21,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,18 +190,19 @@ def _table_keys(classes: DataFrame, halves: int) -> DataFrame:
     return keys
 
 
-def _look_up(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _look_up(group: pa.Table, percent: int) -> pa.Table:
     """Links of the queries of a block to its targets, one for each query and component of targets."""
-    targets, queries = group[~group["asks"]], group[group["asks"]]
-    sets = [np.frombuffer(c, np.uint64) for c in targets["codes"]]
-    reps, parts, sizes = targets["rep"].to_numpy(), targets["part"].to_numpy(), np.array([len(x) for x in sets])
+    asks = group.column("asks").combine_chunks()
+    targets, queries = group.filter(pa.compute.invert(asks)).combine_chunks(), group.filter(asks).combine_chunks()
+    sets = [np.frombuffer(c.as_buffer(), np.uint64) for c in targets.column("codes")]
+    reps, parts, sizes = targets.column("rep").to_numpy(), targets.column("part").to_numpy(), np.array([len(x) for x in sets])
     found_a, found_b = [], []
     if sets:
         code, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(code, kind="stable")
         code, owner = code[order], owner[order]
-        for rep, part, raw in zip(queries["rep"], queries["part"], queries["codes"], strict=True):
-            own = np.frombuffer(raw, np.uint64)
+        for rep, part, raw in zip(queries.column("rep").to_pylist(), queries.column("part").to_pylist(), queries.column("codes"), strict=True):
+            own = np.frombuffer(raw.as_buffer(), np.uint64)
             lo, count = (x := np.searchsorted(code, own)), np.searchsorted(code, own, "right") - x
             at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
             common = np.bincount(owner[at], minlength=len(sets))
@@ -209,7 +210,8 @@ def _look_up(group: pd.DataFrame, percent: int) -> pd.DataFrame:
             _, first = np.unique(parts[alike], return_index=True)
             found_a += [rep] * len(first)
             found_b += reps[alike[first]].tolist()
-    return pd.DataFrame({"a": np.minimum(found_a, found_b).astype("int64"), "b": np.maximum(found_a, found_b).astype("int64")})
+    found = [pa.array(f(found_a, found_b).astype(np.int64)) for f in (np.minimum, np.maximum)]
+    return pa.Table.from_arrays(found, ["a", "b"])
 
 
 def _linked_apart(apart: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], percent: int, halves: int) -> DataFrame:
@@ -229,7 +231,7 @@ def _linked_apart(apart: DataFrame, classes: DataFrame, sets_of: Callable[[DataF
     queries = in_nets.where("part <> largest").withColumn("asks", F.lit(True)).withColumn("query_block", block("query_blocks", 2)).withColumn("target_block", every("target_blocks"))
     rows = written(targets.select(*columns).unionByName(queries.select(*columns)), "blocks")
     full = rows.join(sets.select(F.col("id").alias("rep"), "codes"), "rep").select(*columns, "codes")
-    found = full.groupBy("half", "target_block", "query_block").applyInPandas(lambda g: _look_up(g, percent), "a long, b long")
+    found = full.groupBy("half", "target_block", "query_block").applyInArrow(lambda g: _look_up(g, percent), "a long, b long")
     found = written(found.distinct(), "more_links")
     forget(sets, own, nets, rows)
     return found

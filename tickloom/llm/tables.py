@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Ids that a broadcast semi join may hold; beyond it the join shuffles.
 BROADCAST_IDS = 200_000
 #: Bytes of an Arrow batch on its way to a Python worker, where the session sets no other bound.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 

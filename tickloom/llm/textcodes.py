@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
