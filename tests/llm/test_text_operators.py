@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from tickloom.llm import chat, decontaminate, html, language, licenses, mixing, near_dedup, quality, suffix_dedup, warc  # noqa: E402
+from tickloom.llm import chat, decontaminate, doubling, html, language, licenses, mixing, near_dedup, quality, suffix_dedup, warc  # noqa: E402
 from tickloom.llm.tables import new_path  # noqa: E402
 from tickloom.llm.textcodes import Texts  # noqa: E402
 
@@ -187,6 +187,9 @@ def test_suffix_dedup(spark):
         marked = collections.Counter((r["doc_id"], r["n_bytes"]) for r in found if r["shares_passage"])
         shares = lambda n: collections.Counter(x[:2] for x in repeats(rows, n) if x[2])  # noqa: B023, E731
         assert shares(passage) <= marked <= shares(passage - suffix_dedup.WIDE + 1)
+    for length in (400, 300, 37):
+        slow = doubling.repeated_bytes_by_doubling(docs(spark, rows), length=length).collect()
+        assert sorted(map(str, map(tuple, slow))) == sorted(str((x[0], *x[2:])) for x in repeats(rows, length) if x[2])
     cut = suffix_dedup.without_repeats(docs(spark, rows))
     assert cut.columns == ["doc_id", "text", "id", "n"]
     assert {r["doc_id"] for r in cut.collect()} >= {6, 7, 10, 11}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import written
+from tickloom.llm.tables import forget, new_path, written
 
 #: Schema of one tool: argument name to (type, required). Types: string, integer, number, boolean, array, object.
 ToolSchemas = dict[str, dict[str, tuple[str, bool]]]
@@ -42,25 +42,25 @@ def _argument_errors(name: Column, arguments: Column, schemas: ToolSchemas) -> C
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv, call_id, level): the number of calls on the longest chain before a call; null on a cycle.
 
-    Kahn's rounds: a call gets its level once all calls that it names have theirs. A round per level; names of
-    absent calls do not count.
+    Kahn's rounds: the edges from calls that got a level leave, and calls that have no edge left then get the next one.
+    A round per level; names of absent calls do not count. Rounds read the edges still there, not the levels given.
     """
-    nodes = calls.select("conv", "call_id").distinct()
-    edges = calls.select("conv", "call_id", F.explode("after").alias("before")).distinct()
-    edges = edges.join(nodes.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi")
-    edges = written(edges, "edges")
-    done = written(nodes.join(edges, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    waiting, level = edges, 0
-    while not waiting.isEmpty():
-        level += 1
-        known = done.select("conv", F.col("call_id").alias("before"))
-        blocked = waiting.join(known, ["conv", "before"], "left_anti").select("conv", "call_id").distinct()
-        ready = written(waiting.select("conv", "call_id").distinct().join(blocked, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(level)), "ready")
-        if ready.isEmpty():
+    spark, ids = calls.sparkSession, ["conv", "call_id"]
+    nodes = calls.select(*ids).distinct()
+    edges = calls.select(*ids, F.explode("after").alias("before")).distinct()
+    waiting = written(edges.join(nodes.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi"), "edges")
+    ready, level, path = written(nodes.join(waiting, ids, "left_anti"), "ready"), 0, new_path(spark, "levels")
+    while True:
+        ready.withColumn("level", F.lit(level)).write.mode("append").parquet(path)
+        if ready.isEmpty() or waiting.isEmpty():
             break
-        done = done.unionByName(ready)
-        waiting = written(waiting.join(ready, ["conv", "call_id"], "left_anti"), "waiting")
-    return nodes.join(done, ["conv", "call_id"], "left")
+        gone = ready.withColumnRenamed("call_id", "before")
+        rest = written(waiting.join(gone, ["conv", "before"], "left_anti"), "waiting")
+        freed = waiting.join(gone, ["conv", "before"], "left_semi").select(*ids).distinct()
+        fresh = written(freed.join(rest, ids, "left_anti"), "ready")
+        forget(waiting, ready)
+        waiting, ready, level = rest, fresh, level + 1
+    return nodes.join(spark.read.schema(f"conv {calls.schema['conv'].dataType.simpleString()}, call_id string, level int").parquet(path), ids, "left")
 
 
 def link_tool_calls(messages: DataFrame, schemas: ToolSchemas) -> DataFrame:

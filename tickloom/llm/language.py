@@ -24,6 +24,8 @@ SLICE = (384 << 10, 192)
 #: Distinct triples whose vectors are multiplied at a time.
 TILE = 4096
 UNKNOWN = "und"
+#: Labels that may be learned: each costs the driver a prototype.
+MOST_LANGUAGES = 1000
 _letters: dict[str, np.ndarray] = {}
 
 
@@ -134,13 +136,19 @@ def _bundle(batches: Iterator[pa.RecordBatch], dimensions: int, seed: int) -> It
 
 
 def language_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, list[int]]:
-    """Bundle of every language of the labelled rows; all rows count. The driver gets dimensions * languages numbers."""
+    """Bundle of every language of the labelled rows; all rows count.
+
+    The driver gets dimensions * languages numbers; more than MOST_LANGUAGES labels are an error. An empty table gives none.
+    """
     bounded_batches(docs.sparkSession)
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     parts = labelled.mapInArrow(lambda it: _bundle(it, dimensions, seed), "lang string, bundle array<long>")
     rows = parts.select("lang", F.posexplode("bundle").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     out: dict[str, list[int]] = {}
-    for r in rows.collect():
+    found = rows.limit(MOST_LANGUAGES * dimensions + 1).collect()
+    if len(found) > MOST_LANGUAGES * dimensions:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    for r in found:
         out.setdefault(r["lang"], [0] * dimensions)[r["d"]] = r["x"]
     return dict(sorted(out.items()))
 

@@ -74,11 +74,11 @@ def mix(
     md5(seed:e:id), ties by id; the last epoch takes the longest prefix within what is left of the leaf's
     budget, so a leaf never exceeds it. Null levels form a leaf of their own, `(none)`. Texts without
     words cost nothing and go with every full epoch and prefix that reaches them. Rows with a null id
-    stand as id "". Repeated rows stand together and are cut together, before the first of them that
+    stand in the order of their texts. Repeated rows stand together and are cut together, before the first of them that
     does not fit. An empty table gives no rows. Columns of docs named n_tokens or epoch are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_tokens", "epoch")]
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
     paths = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in levels]
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("key"), *(p.alias(f"level_{k}") for k, p in enumerate(paths)), word_count(F.col(text_col).cast("string")).alias("n_tokens"))
     path = [f"level_{k}" for k in range(len(levels))]
