@@ -10,6 +10,8 @@ from tickloom.operators.asof import HOUR_MS, asof_backward, asof_forward, latest
 from tickloom.operators.windows import running_sums
 
 MODELS = ("touch", "trade_through", "queue_aware")
+#: Parts of an entry's life that are looked at as wholes before their ticks are.
+SLICES = 32
 
 
 def at_quote(intents: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -68,13 +70,15 @@ def label_exits(entries: DataFrame, quotes: DataFrame, ttl_ms: int, take_profit_
     entries: entry_id, symbol, side, qty, entry_price, entry_ts_ms, model and, for the residual model, mean, sigma and beta.
     At one quote the order is stale leader, return of z, adverse z, take-profit, end of life. Entries do not affect
     each other. An entry that no quote ends stays open, with a null reason.
+
+    A life is cut into SLICES. Extremes of each slice of a symbol's ticks tell where a barrier can be met, so an entry
+    meets the ticks of those slices alone, up to the first in which it is sure to be met.
     """
     pairs = latest_pair(quotes.withColumn("mid", mid()), leader, lagger, event_order(), ["local_ts_ms", "mid"]).where(F.col("venue") == lagger)
     ticks = pairs.select("symbol", "row_no", F.col("local_ts_ms").alias("ts"), "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), F.col("leader.local_ts_ms").alias("leader_ts"), F.col("leader.mid").alias("leader_mid"))
-    bucket = lambda c: F.floor(c / ttl_ms)
     own = entries.withColumn("expires_ts_ms", F.col("entry_ts_ms") + ttl_ms)
-    spread = own.withColumn("_b", F.explode(F.array(bucket(F.col("entry_ts_ms")), bucket(F.col("entry_ts_ms")) + 1)))
-    early = spread.join(ticks.withColumn("_b", bucket(F.col("ts"))), ["symbol", "_b"]).where("ts > entry_ts_ms AND ts < expires_ts_ms")
+    asked = _slices_to_look_at(own, ticks, max(1, ttl_ms // SLICES), take_profit_bps, stale_ms, z_exit, adverse_z)
+    early = asked.join(ticks.withColumn("_slice", F.floor(F.col("ts") / max(1, ttl_ms // SLICES))), ["symbol", "_slice"]).where("ts > entry_ts_ms AND ts < expires_ts_ms")
     last = asof_forward(own, ticks, ["symbol"], F.struct(*ticks.columns[1:]), "_tick", left_ts="expires_ts_ms", right_ts="ts").where("_tick IS NOT NULL").select(*own.columns, "_tick.*")
     reason = _exit_reason(take_profit_bps, stale_ms, z_exit, adverse_z)
     columns = [*own.columns, "row_no", "ts", "bid", "ask", "mid", "leader_ts", "leader_mid"]
@@ -85,6 +89,30 @@ def label_exits(entries: DataFrame, quotes: DataFrame, ttl_ms: int, take_profit_
     return out.withColumn("gross_pnl_usd", gross).withColumn("cost_usd", cost).withColumn("realized_pnl_usd", net).withColumn("pnl_bps", bps)
 
 
+def _slices_to_look_at(own: DataFrame, ticks: DataFrame, width: int, take_profit_bps: float | None, stale_ms: int | None, z_exit: float, adverse_z: float) -> DataFrame:
+    """own, a row for each slice of time (_slice) in which a barrier can be met, up to the first in which one must be."""
+    basis, lead = log_basis_bps(F.col("leader_mid"), F.col("mid"), 1.0), F.ln("leader_mid")
+    late = F.lit(False) if stale_ms is None else F.col("leader_ts").isNull() | (F.col("ts") - F.col("leader_ts") > stale_ms)
+    extremes = ticks.groupBy("symbol", F.floor(F.col("ts") / width).alias("_slice")).agg(
+        F.bool_or(late).alias("_late"), F.max("bid").alias("_bid"), F.min("ask").alias("_ask"), F.min(basis).alias("_lo"), F.max(basis).alias("_hi"), F.min(lead).alias("_lead_lo"), F.max(lead).alias("_lead_hi")
+    )
+    first, last = F.floor(F.col("entry_ts_ms") / width), F.floor(F.col("expires_ts_ms") / width)
+    spread = own.withColumn("_slice", F.explode(F.sequence(first, last))).join(extremes, ["symbol", "_slice"])
+    buy = F.col("side") == "buy"
+    profit = F.lit(False) if take_profit_bps is None else pnl_values("side", "entry_price", F.when(buy, F.col("_bid")).otherwise(F.col("_ask")), "qty", 0.0)[3] >= take_profit_bps
+    tilt = 10000.0 * (1.0 - F.coalesce(F.nullif(F.col("beta"), F.lit(0.0)), F.lit(1.0)))
+    low = F.col("_lo") + F.least(tilt * F.col("_lead_lo"), tilt * F.col("_lead_hi")) - 1e-6  # bounds of the basis, a little wider than rounding
+    high = F.col("_hi") + F.greatest(tilt * F.col("_lead_lo"), tilt * F.col("_lead_hi")) + 1e-6
+    z_low, z_high = (low - F.col("mean")) / F.col("sigma"), (high - F.col("mean")) / F.col("sigma")
+    returns = F.when(buy, (z_high >= -z_exit) | (z_low <= -adverse_z)).otherwise((z_low <= z_exit) | (z_high >= adverse_z))
+    returns = (F.col("model") == "residual_zscore") & (F.col("sigma") > 0) & returns
+    met = F.coalesce(F.col("_late") | profit, F.lit(False))
+    whole = (F.col("_slice") * width > F.col("entry_ts_ms")) & ((F.col("_slice") + 1) * width <= F.col("expires_ts_ms"))
+    found = spread.where(met | F.coalesce(returns, F.lit(False))).groupBy("entry_id").agg(F.collect_list("_slice").alias("_all"), F.min(F.when(met & whole, F.col("_slice"))).alias("_sure"))
+    found = found.select("entry_id", F.explode(F.filter("_all", lambda x: F.col("_sure").isNull() | (x <= F.col("_sure")))).alias("_slice"))
+    return own.join(found, "entry_id")
+
+
 def residual_exit_z() -> Column:
     """Current z of an entry's residual at a later tick, from the moments stored at entry; null without a positive sigma."""
     basis = log_basis_bps(F.col("leader_mid"), F.col("mid"), 1.0) + 10000.0 * (1.0 - F.coalesce(F.nullif(F.col("beta"), F.lit(0.0)), F.lit(1.0))) * F.ln("leader_mid")
