@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import BROADCAST_IDS, forget, written
+from tickloom.llm.tables import BROADCAST_IDS, forget, only_ids, written
 from tickloom.llm.textcodes import Texts, mix64, slices, span_hash
 
 LENGTH, GRAM, BLOCK = 400, 100, 16
@@ -245,7 +245,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
     shared = None
     if passage:
         wide = both.where("block < 0").select("id", "tag", "core")
-        shared = written(wide.join(wide.groupBy("core").count().where("count > 1").select("core"), "core", "left_semi").select("id", "tag").distinct(), "shared")
+        known = written(wide.groupBy("core").count().where("count > 1").select("core"), "common_cores")  # by itself, so that the join can split a hot core
+        shared = written(only_ids(wide, known, "core").select("id", "tag").distinct(), "shared")
+        forget(known)
     blocks = both.where("block >= 0")
     spans = written(blocks.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "place")).alias("first")), "spans")
     cores = spans.groupBy("core").agg(F.sum("n").alias("of_core"), F.count("*").alias("variants"))
