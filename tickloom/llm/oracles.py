@@ -98,3 +98,13 @@ def mixing(levels: list[str], weights: dict[str, dict[str, float]], share: float
  pl AS (SELECT {keys}, CAST(floor(floor(round(budget, 6)) / tokens) AS BIGINT) AS full_, CAST(floor(round(budget, 6)) AS BIGINT) - CAST(floor(floor(round(budget, 6)) / tokens) AS BIGINT) * tokens AS rest FROM {above} JOIN leaf USING ({keys})),
  o AS (SELECT d.*, full_, rest, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY md5('{seed}:' || full_ || ':' || doc_id), CAST(doc_id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN pl USING ({keys}))
  SELECT doc_id, {keys}, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch FROM (SELECT *, unnest(range(0, full_ + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM o)"""
+
+
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("text")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+ g AS (SELECT lang, k, x, count(*) AS c FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i+k-1])) AS x FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 10),
+ c AS (SELECT * FROM g WHERE k > 1), t AS (SELECT lang, x, unnest([x[1:2], x[2:3]]) AS y, c FROM g WHERE k = 3), m AS (SELECT lang, y, max(c) AS longer FROM t GROUP BY 1, 2),
+ s AS (SELECT c.lang, c.x, c.c AS a, j, l.c AS l, r.c AS r, (CAST(1000000 AS HUGEINT) * c.c * c.c) // (CAST(l.c AS HUGEINT) * r.c) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN g l ON l.lang = c.lang AND l.x = c.x[1:c.j] JOIN g r ON r.lang = c.lang AND r.x = c.x[c.j+1:c.k]),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, j) = 1),
+ f AS (SELECT b.*, array_to_string(b.x, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.y = b.x WHERE m.longer IS NULL OR 100 * m.longer < 50 * b.a)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM f JOIN n USING (lang) QUALIFY rank <= 2000"""

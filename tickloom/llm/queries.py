@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tickloom.llm import oracles
 from tickloom.llm.chat import TURN_TOOLS, calls_from_turns, link_tool_calls
+from tickloom.llm.collocations import collocations
 from tickloom.llm.decontaminate import longest_matches
 from tickloom.llm.html import extract_text, train
 from tickloom.llm.language import held_out, identify_language, language_prototypes
@@ -82,6 +83,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_tool_calls": op8_chat_tool_calls,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -103,4 +109,5 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": oracles.mixing(corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS),
     "op7_quality_rules": oracles.QUALITY,
     "op8_chat_tool_calls": oracles.CHAT,
+    "op13_phrase_collocations": oracles.COLLOCATIONS,
 }
