@@ -123,7 +123,9 @@ def _pointers(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: int, h
     held = Held(4)  # language, first, second and third word (0: none)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        lang, a, b, c, n = held.take()
+        rows = held.take()
+        near = np.argsort(rows[1])  # pointers of one leading word lie together, which packs well
+        lang, a, b, c, n = (x[near] for x in rows)
         names = languages.names(lang)
         seeds = _language_codes(names)
         part = np.zeros(len(n), np.int32)
@@ -178,12 +180,12 @@ def equal_parts(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.n
     and last pointer. Parts that weigh less than `least` are abandoned; an equal part is sorted on by the next key.
     """
     depth_of, row_of, size_of = [], [], []
-    pointer = np.flatnonzero(keys[0] >= 0)
+    flat, pointer = keys.ravel(), np.flatnonzero(keys[0] >= 0)
     starts, depth = np.zeros(min(len(pointer), 1), np.int64), np.zeros(min(len(pointer), 1), np.int64)
     while len(pointer):
         sizes = np.diff(np.append(starts, len(pointer)))
         own = np.repeat(np.arange(len(starts)), sizes)
-        key = keys[depth[own], pointer]
+        key = flat.take(depth[own] * keys.shape[1] + pointer)
         picks = np.stack([key[starts], key[starts + sizes // 2], key[starts + sizes - 1]])
         pivot = np.sort(picks, axis=0)[1][own]
         side = np.where(key < pivot, 0, np.where(key == pivot, 1, 2))
@@ -213,7 +215,7 @@ def equal_parts(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.n
         on = enough & (deep < len(keys))
         kept = np.repeat(on, counts)
         pointer, part, deep = pointer[kept], np.repeat(np.arange(on.sum()), counts[on]), deep[on]
-        ends = keys[deep[part], pointer] < 0  # rows that end before the next key
+        ends = flat.take(deep[part] * keys.shape[1] + pointer) < 0  # rows that end before the next key
         pointer, part = pointer[~ends], part[~ends]
         counts = np.bincount(part, minlength=len(deep))
         depth, counts = deep[counts > 0], counts[counts > 0]

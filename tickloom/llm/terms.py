@@ -13,6 +13,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Rows that a task holds before it merges those that are alike.
 HELD = 1 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def span_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -24,13 +25,17 @@ def span_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Arra
 
 
 def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts equal rows together, and where in it each run of equal rows begins."""
-    order = np.lexsort(keys[::-1])
-    fresh = np.zeros(len(order), bool)
-    fresh[:1] = True
-    for k in keys:
-        k = k[order]
-        fresh[1:] |= k[1:] != k[:-1]
+    """An order that puts equal rows together, and where in it each run of equal rows begins.
+
+    Rows are compared by a 64-bit hash of all their keys, so one sort of integers does.
+    """
+    whole = keys[0].astype(np.uint64)
+    for k in keys[1:]:
+        whole = mix64(whole * _STEP + k.astype(np.uint64))
+    order = np.argsort(whole)
+    whole = whole[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = whole[1:] != whole[:-1]
     return order, np.flatnonzero(fresh)
 
 
@@ -110,4 +115,4 @@ def chunks(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatc
 
 def seeded(code: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """Codes told apart by a second code, such as that of a language."""
-    return mix64(code + seed * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(code + seed * _STEP)
