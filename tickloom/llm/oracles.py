@@ -108,3 +108,14 @@ COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(rege
  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, j) = 1),
  f AS (SELECT b.*, array_to_string(b.x, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.y = b.x WHERE m.longer IS NULL OR 100 * m.longer < 50 * b.a)
  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM f JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+_SHARE = "1 + (CAST(1000000000 AS HUGEINT) * ({c} + 2)) // ({n} + 2 * {v})"
+DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_lower("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ t AS (SELECT id, lang, source, unnest(w) AS term FROM d), k AS (SELECT lang, term, count(*) AS lc FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10), g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT t.lang, t.source, t.term, count(*) AS gc FROM t JOIN k USING (lang, term) GROUP BY ALL), nl AS (SELECT lang, sum(lc) AS n_lang, count(*) AS v FROM k GROUP BY 1), ng AS (SELECT lang, source, sum(gc) AS n FROM c GROUP BY 1, 2),
+ f AS (SELECT g.lang, g.source, k.term, coalesce(c.gc, 0) AS gc, CAST({_SHARE.format(c="coalesce(c.gc, 0)", n="coalesce(ng.n, 0)", v="nl.v")} AS HUGEINT) AS p, CAST({_SHARE.format(c="k.lc", n="nl.n_lang", v="nl.v")} AS HUGEINT) AS q
+  FROM g JOIN nl USING (lang) JOIN k ON k.lang = g.lang LEFT JOIN ng ON ng.lang = g.lang AND ng.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM f WHERE gc > 0 AND p > q)
+ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10"""

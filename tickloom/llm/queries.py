@@ -12,6 +12,7 @@ from tickloom.llm import oracles
 from tickloom.llm.chat import TURN_TOOLS, calls_from_turns, link_tool_calls
 from tickloom.llm.collocations import collocations
 from tickloom.llm.decontaminate import longest_matches
+from tickloom.llm.divergence import source_divergence
 from tickloom.llm.html import extract_text, train
 from tickloom.llm.language import held_out, identify_language, language_prototypes
 from tickloom.llm.licenses import scan_licenses
@@ -20,8 +21,12 @@ from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.quality import repetition
 from tickloom.llm.suffix_dedup import repeated_bytes
 from tickloom.llm.tables import new_path
+from tickloom.llm.token_files import read_token_files, token_ids, write_token_files
 from tickloom.llm.warc import page_records, read_records, write_archives
 
+#: The id that op12 appends to every document.
+END_OF_TEXT = 2
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +88,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token_files")
+    write_token_files(token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT), path)
+    found = read_token_files(spark, path)
+    n_tokens = F.octet_length("ids").cast("long") / 4
+    return found.select(F.col("id").alias("doc_id"), "start", n_tokens.cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -98,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_tool_calls": op8_chat_tool_calls,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_files": op12_token_files,
     "op13_phrase_collocations": op13_phrase_collocations,
     "pipeline": corpus_pipeline.run,
 }
@@ -109,5 +130,6 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": oracles.mixing(corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS),
     "op7_quality_rules": oracles.QUALITY,
     "op8_chat_tool_calls": oracles.CHAT,
+    "op11_source_divergence": oracles.DIVERGENCE,
     "op13_phrase_collocations": oracles.COLLOCATIONS,
 }
