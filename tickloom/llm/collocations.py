@@ -1,8 +1,8 @@
 """Phrases that hold together, by language: multikey three-way quicksort of suffix pointers.
 
-A suffix pointer is the place of a word together with the words after it, up to the greatest depth. Single
-words are counted first. Pointers whose leading words cannot be part of a frequent phrase are abandoned where they stand,
-by a filter of bounded size over the frequent words, and equal ones are merged with their number. The rest are
+A suffix pointer is the place of a word together with the words after it, up to the greatest depth. A sketch
+counts all pairs and triples of words by some bits of their hashes; what shares its bits with too few cannot be frequent and
+is abandoned where it stands, so only the rest is shuffled. Equal pointers are merged with their number and
 routed by language and their two leading words, so that all pointers that share a phrase meet in one task. There they are sorted
 word by word in three parts, below, equal to and above a pivot: an equal part holds one phrase and its
 size is the phrase's count; parts that are too small are not sorted further.
@@ -18,16 +18,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import bounded_batches, written
-from tickloom.llm.terms import Held, Lexicon, Numbers, chunks, runs_of, seeded
+from tickloom.llm.tables import bounded_batches, forget, written
+from tickloom.llm.terms import HELD, Held, Lexicon, Numbers, chunks, runs_of, seeded
 from tickloom.llm.textcodes import Texts, byte_class, mix64, slices
 
 #: Words are runs of anything but space and tab, inside pieces.
 WORD = byte_class([(0x09, 0x0D), (0x20, 0x20), (0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F)])
 #: Bytes that end a piece.
 ENDS = ~byte_class([(0x0A, 0x0D), (0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F)])
-#: Bits of the filter of frequent words for each such word, and at most.
-FILTER_BITS, FILTER_MOST = 16, 1 << 27
+#: Binary logarithm of the most bits of the filter, and of the bits of one piece of it. Pairs and triples that a task sketches at a time.
+FILTER_BITS, PIECE_BITS, SKETCHED = 28, 16, 1 << 22
 #: A pair of words with more than one in so many of all words is hot; there are at most so many of them.
 HOT_SHARE = 1024
 #: Parts that the pointers of a hot pair are dealt into, by their third word.
@@ -55,63 +55,109 @@ def _language_codes(column: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x) for x in coded.dictionary.to_pylist()] or [0], np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-_COUNTED = "lang string, w1 string, w2 string, code long, n long"
+_COUNTED = "lang string, w1 string, n long"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts and codes, and the pairs that are hot among the words of a flush (w2 is null for words)."""
-    languages, lexicon = Numbers(), Lexicon()
-    singles, pairs, seen = Held(3), Held(3), 0
+    languages, lexicon, held = Numbers(), Lexicon(), Held(2)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        lang, code, seed, n = singles.take()
-        words = lexicon.words(code)
-        yield from chunks(pa.RecordBatch.from_arrays([languages.names(lang), words, pa.nulls(len(code), pa.large_string()), pa.array(seed.view(np.int64)), pa.array(n)], ["lang", "w1", "w2", "code", "n"]))
-        lang, a, b, n = pairs.take() or [code[:0]] * 4
-        hot = n > seen // HOT_SHARE
-        lang, a, b, n = lang[hot], a[hot], b[hot], n[hot]
-        yield pa.RecordBatch.from_arrays([languages.names(lang), lexicon.words(a), lexicon.words(b), pa.nulls(len(n), pa.int64()), pa.array(n)], ["lang", "w1", "w2", "code", "n"])
+        lang, code, n = held.take()
+        yield from chunks(pa.RecordBatch.from_arrays([languages.names(lang), lexicon.words(code), pa.array(n)], ["lang", "w1", "n"]))
         lexicon.clear()
 
-    for texts, words, lang, owner, joined in _pieces(batches):
-        own, seeds = languages(lang)[owner], seeded(words.code, _language_codes(lang)[owner])
+    for texts, words, lang, owner, _ in _pieces(batches):
+        own = languages(lang)[owner]
         order, at = runs_of(own, words.code)
-        singles.add(own[order[at]], words.code[order[at]], seeds[order[at]], np.diff(np.append(at, len(order))))
+        held.add(own[order[at]], words.code[order[at]], np.diff(np.append(at, len(order))))
         lexicon.add(texts.buf, words.start, words.end, words.code)
-        i = np.flatnonzero(joined)
-        both = (own[i], words.code[i], words.code[i + 1])
-        order, at = runs_of(*both)
-        pairs.add(*(k[order[at]] for k in both), np.diff(np.append(at, len(order))))
-        seen += len(own)
-        if singles.full() | pairs.full():
+        if held.full():
             yield from flush()
-            seen = 0
-    if seen:
+    if held.rows:
         yield from flush()
 
 
-def _spots(code: Column, bits: int) -> list[Column]:
-    """The two bits of a word in the filter, counted from one as the bitmap functions do."""
-    return [F.pmod(code, F.lit(bits)) + 1, F.pmod(F.shiftright(code, 20), F.lit(bits)) + 1]
+def _phrase_codes(words, lang: pa.Array, owner: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of words that another follows in their piece, codes of these pairs, where a third follows, and codes of those triples."""
+    i = np.flatnonzero(joined)
+    pair = mix64(seeded(words.code[i], _language_codes(lang)[owner[i]]) * _PAIR + words.code[i + 1])
+    deep = np.flatnonzero(joined[i + 1])
+    return i, pair, deep, mix64(pair[deep] * _PAIR + words.code[i[deep] + 2])
+
+
+def _packed(spots: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending spots as gaps of a byte each; a gap of 255 and count 0 carries on."""
+    gaps = np.diff(spots, prepend=0)
+    more = gaps // 255
+    ends = np.cumsum(more + 1) - 1
+    gap, count = np.full(ends[-1] + 1, 255, np.uint8), np.zeros(ends[-1] + 1, np.uint8)
+    gap[ends], count[ends] = gaps % 255, np.minimum(counts, 255)
+    return gap.tobytes(), count.tobytes()
+
+
+_SKETCHED = "piece int, gaps binary, counts binary, code long, n long"
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of all pairs and triples by the leading bits of their codes, and the codes of pairs that are hot in a flush."""
+    pairs: list[np.ndarray] = []
+    triples: list[np.ndarray] = []
+    held = 0
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        pair = np.sort(np.concatenate(pairs))
+        at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        n = np.diff(np.append(at, len(pair)))
+        hot = n > len(pair) // HOT_SHARE
+        rows = [(-1, None, None, c, k) for c, k in zip(pair[at[hot]].view(np.int64).tolist(), n[hot].tolist(), strict=True)]
+        spots = (np.sort(np.concatenate((pair, *triples))) >> np.uint64(64 - bits)).astype(np.int64)
+        at = np.flatnonzero(np.append(True, spots[1:] != spots[:-1]))
+        counts, spots = np.diff(np.append(at, len(spots))), spots[at]
+        cuts = np.flatnonzero(np.append(True, spots[1:] >> PIECE_BITS != spots[:-1] >> PIECE_BITS)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(spots)], strict=True):
+            rows.append((int(spots[lo]) >> PIECE_BITS, *_packed(spots[lo:hi] & (1 << PIECE_BITS) - 1, counts[lo:hi]), None, None))
+        pairs.clear()
+        triples.clear()
+        columns = zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["piece", "gaps", "counts", "code", "n"])
+
+    for _, words, lang, owner, joined in _pieces(batches):
+        _, pair, _, triple = _phrase_codes(words, lang, owner, joined)
+        if len(pair):
+            pairs.append(pair)
+            triples.append(triple)
+            held += len(pair) + len(triple)
+        if held > SKETCHED:
+            yield from flush()
+            held = 0
+    if held:
+        yield from flush()
 
-def _filter_of(words: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap with the bits of all words set; it is gathered in pieces of 4 KB, at most FILTER_MOST bits in all."""
-    spots = words.select(F.explode(F.array(*_spots(F.col("code"), bits))).alias("spot"))
-    pieces = spots.groupBy(F.bitmap_bucket_number("spot").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    out = np.zeros((bits + 32767) // 32768 * 4096, np.uint8)
-    for row in pieces.toLocalIterator():
-        at = (row["piece"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return out
+
+def _merge_sketches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A bitmap of the spots of each piece that were counted `least` times or more; all of a piece is in one task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        pieces = batch.column("piece").to_pylist()
+        for k, piece in enumerate(pieces):
+            if piece < 0:
+                continue
+            own = total.setdefault(piece, np.zeros(1 << PIECE_BITS, np.int64))
+            gap, count = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in ("gaps", "counts"))
+            spot, real = np.cumsum(gap, dtype=np.int64), count > 0
+            own[spot[real]] += count[real]
+        alone = np.flatnonzero(np.array(pieces) < 0)
+        if len(alone):
+            mine = batch.take(pa.array(alone))
+            yield pa.RecordBatch.from_arrays([mine.column("piece"), pa.nulls(len(alone), pa.binary()), mine.column("code"), mine.column("n")], ["piece", "bits", "code", "n"])
+    for piece, own in total.items():
+        bits = np.packbits(own >= min(least, 255), bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([bits], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["piece", "bits", "code", "n"])
 
 
-def _in_filter(table: np.ndarray, bits: int, code: np.ndarray) -> np.ndarray:
-    code = code.view(np.int64)
-    found = np.ones(len(code), bool)
-    for spot in (code % bits, (code >> 20) % bits):
-        found &= (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-    return found
+def _passes(table: np.ndarray, bits: int, code: np.ndarray) -> np.ndarray:
+    spot = (code >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
 
 _POINTERS = "lang string, w1 string, w2 string, w3 string, part int, n long"
@@ -120,59 +166,47 @@ _POINTERS = "lang string, w1 string, w2 string, w3 string, part int, n long"
 def _pointers(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Suffix pointers of two and three words that may be frequent, merged; part is not 0 for those of hot pairs."""
     languages, lexicon = Numbers(), Lexicon()
-    held = Held(4)  # language, first, second and third word (0: none)
+    held = Held(5, HELD // 4)  # language, first, second and third word (0: none), part
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows = held.take()
         near = np.argsort(rows[1])  # pointers of one leading word lie together, which packs well
-        lang, a, b, c, n = (x[near] for x in rows)
-        names = languages.names(lang)
-        seeds = _language_codes(names)
-        part = np.zeros(len(n), np.int32)
-        if len(hot):
-            is_hot = np.isin(_pair_code(seeded(a, seeds), b), hot)
-            part = np.where(is_hot & (c != 0), 1 + (mix64(c) % np.uint64(HOT_PARTS)).astype(np.int32), 0).astype(np.int32)
-            if is_hot.any():  # a hot pair itself is counted apart from its parts
-                order, at = runs_of(lang[is_hot], a[is_hot], b[is_hot])
-                total = np.add.reduceat(n[is_hot][order], at)
-                alone = np.flatnonzero(~(is_hot & (c == 0)))
-                lang, a, b, c, n, part = (
-                    np.concatenate((x[alone], y))
-                    for x, y in zip((lang, a, b, c, n, part), (*(x[is_hot][order[at]] for x in (lang, a, b)), np.zeros(len(at), np.uint64), total, np.zeros(len(at), np.int32)), strict=True)
-                )
-                names = languages.names(lang)
+        lang, a, b, c, part, n = (x[near] for x in rows)
         third = np.flatnonzero(c != 0)
         word = lexicon.words(np.concatenate((a, b, c[third])))
         at = np.full(len(c), -1)
         at[third] = np.arange(len(third)) + 2 * len(a)
-        yield from chunks(pa.RecordBatch.from_arrays([names, word.slice(0, len(a)), word.slice(len(a), len(a)), word.take(pa.array(at, mask=at < 0)), pa.array(part), pa.array(n)], ["lang", "w1", "w2", "w3", "part", "n"]))
+        columns = [languages.names(lang), word.slice(0, len(a)), word.slice(len(a), len(a)), word.take(pa.array(at, mask=at < 0)), pa.array(part, pa.int32()), pa.array(n)]
+        yield from chunks(pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "w3", "part", "n"]))
         lexicon.clear()
 
+    none = np.uint64(0)
     for texts, words, lang, owner, joined in _pieces(batches):
-        own = languages(lang)[owner]
-        frequent = _in_filter(table, bits, seeded(words.code, _language_codes(lang)[owner]))
-        joined = joined & frequent
-        joined[:-1] &= frequent[1:]
-        joined[-1:] = False
-        i = np.flatnonzero(joined)
+        i, pair, deep, triple = _phrase_codes(words, lang, owner, joined)
+        own, third = languages(lang)[owner], np.full(len(i), none)
+        on = deep[_passes(table, bits, triple)]
+        third[on] = words.code[i[on] + 2]
+        kept = _passes(table, bits, pair)
+        i, pair, third = i[kept], pair[kept], third[kept]
         if not len(i):
             continue
-        code = np.append(words.code, np.uint64(0))
-        third = np.where(joined[i + 1], code[np.minimum(i + 2, len(words.code))], np.uint64(0))
-        held.add(own[i], words.code[i], words.code[i + 1], third, np.ones(len(i), np.int64))
         used = np.zeros(len(own), bool)
         used[i] = used[i + 1] = True
+        used[i[third != 0] + 2] = True
         lexicon.add(texts.buf, words.start[used], words.end[used], words.code[used])
+        is_hot = np.isin(pair, hot)
+        if is_hot.any():  # a hot pair is counted in a part of its own, and its triples in others
+            held.add(own[i[is_hot]], words.code[i[is_hot]], words.code[i[is_hot] + 1], np.full(is_hot.sum(), none), np.zeros(is_hot.sum(), np.int64), np.ones(is_hot.sum(), np.int64))
+            kept = ~is_hot | (third != 0)
+            i, third, is_hot = i[kept], third[kept], is_hot[kept]
+        part = np.where(is_hot, 1 + (mix64(third) % np.uint64(HOT_PARTS)).astype(np.int64), 0)
+        held.add(own[i], words.code[i], words.code[i + 1], third, part, np.ones(len(i), np.int64))
         if held.full():
             yield from flush()
     if held.rows:
         yield from flush()
 
 
-def _pair_code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix64(first * _PAIR + second)
-
-
 def equal_parts(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multikey three-way quicksort of rows of keys (-1: the row ends there); depth, a row and weight of each equal part.
 
@@ -250,38 +284,34 @@ def _sort_pointers(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
         yield from chunks(pa.RecordBatch.from_arrays([*out, pa.array(size, pa.int64())], [*names, "a"]))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 10, text_col: str = "text", lang_col: str = "lang", filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent single words (lang, w1, a), phrases of two and three words (lang, w1, w2, w3, a), and words in all (lang, n).
 
-    `least` must be positive. A null text is empty, a null language `und`; a language without words has no rows.
+    `least` must be positive. The filter has a bit for each word, 2^filter_bits at most; a fuller one lets more pointers
+    pass, which are then counted and abandoned, so results do not depend on it. A null text is empty, a null language `und`; a language without words has no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = source.mapInArrow(_count_words, _COUNTED).groupBy("lang", "w1", "w2").agg(F.first("code", True).alias("code"), F.sum("n").alias("n"))
-    counted = written(found, "words")
-    single = counted.where("w2 IS NULL")
-    totals = single.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = single.where(F.col("n") >= least).select("lang", "w1", "code", F.col("n").alias("a"))
-    n_words, n_all = words.count(), totals.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(1 << 15, n_words * FILTER_BITS), FILTER_MOST)
-    table = _filter_of(words, bits)
-    # at least one flush counts a pair whose share is above one in HOT_SHARE; there are fewer than 2 * HOT_SHARE of half that share
-    common = counted.where(F.col("w2").isNotNull() & (F.col("n") > n_all // (2 * HOT_SHARE))).select("lang", "w1", "w2").collect()
-    hot = _hot_codes([tuple(r) for r in common])
+    words = written(source.mapInArrow(_count_words, _COUNTED).groupBy("lang", "w1").agg(F.sum("n").alias("a")), "words")
+    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
+    n_all = totals.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(n_all - 1, 1).bit_length(), filter_bits)
+    bits = max(bits, PIECE_BITS)
+    sketch = source.mapInArrow(lambda it: _sketch(it, bits), _SKETCHED).repartition("piece", "code")
+    sketch = written(sketch.mapInArrow(lambda it: _merge_sketches(it, least), "piece int, bits binary, code long, n long"), "sketch")
+    table = np.zeros(1 << bits - 3, np.uint8)  # 2^filter_bits bits at most
+    for row in sketch.where("piece >= 0").select("piece", "bits").toLocalIterator():
+        at = row["piece"] << PIECE_BITS - 3
+        table[at : at + (1 << PIECE_BITS - 3)] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    # a pair above one in HOT_SHARE is above it in a flush at least; fewer than 4 * HOT_SHARE pairs can have a quarter of that share
+    common = sketch.where("piece < 0").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > n_all // (4 * HOT_SHARE)).select("code").collect()
+    hot = np.array(sorted(r["code"] for r in common), np.int64).view(np.uint64)
     pointers = source.mapInArrow(lambda it: _pointers(it, table, bits, hot), _POINTERS)
     routed = pointers.repartition("lang", "w1", "w2", "part")
-    phrases = routed.mapInArrow(lambda it: _sort_pointers(it, least), "lang string, w1 string, w2 string, w3 string, a long")
-    return words.drop("code"), written(phrases, "phrases"), totals
-
-
-def _hot_codes(pairs: list[tuple[str, str, str]]) -> np.ndarray:
-    """Codes of hot pairs, as the pointers of a task have them."""
-    if not pairs:
-        return np.zeros(0, np.uint64)
-    lang, first, second = (pa.array(x, pa.large_string()) for x in zip(*pairs, strict=True))
-    code = lambda x: Texts(x).words(np.ones(256, bool)).code
-    return np.unique(_pair_code(seeded(code(first), _language_codes(lang)), code(second)))
+    phrases = written(routed.mapInArrow(lambda it: _sort_pointers(it, least), "lang string, w1 string, w2 string, w3 string, a long"), "phrases")
+    forget(sketch)
+    return words.where(F.col("a") >= least), phrases, totals
 
 
 def _score(left: str, right: str) -> Column:
