@@ -189,11 +189,12 @@ def test_token_files(spark):
     model = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(model)
     rng = random.Random(8)
-    words = ["Alpha", "beta", "\U0001f600", "ß", "123", "\n", "<|endoftext|>", "x" * 50]
+    words = ["Alpha", "beta", "\U0001f600", "ß", "123", "\n", "<|endoftext|>", "x" * 50, "end.", "it's,", "é.", "don't", "a..", "1,", ".", ",.", "x\u00a0y.", "\u0301.", "A\u0301", "\u2028"]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 300]))), None, None) for k in rng.sample(range(-50, 400), 300)]
     rows += [(1000, None, None, None), (1001, "long " * 200_000, None, None), (None, "no id", None, None), (None, None, None, None)]
     path = new_path(spark, "token_files")
-    token_files.write_token_files(token_files.token_ids(table(spark, rows).repartition(7), model, 2), path, shards=5)
+    token_files.write_token_files(token_files.token_ids(table(spark, rows).repartition(7), model, 2, by_word=True), path, shards=5)
+    whole = {r.id: bytes(r.ids) for r in token_files.token_ids(table(spark, rows), model, 2).where("id IS NOT NULL").collect()}
     got = token_files.read_token_files(spark, path).withColumn("crc", F.crc32("ids")).collect()
     at, want = 0, {}
     for key, text, _, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -202,6 +203,7 @@ def test_token_files(spark):
             want[key] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert {r.id: (r.start, len(r.ids) // 4, r.crc) for r in got if r.id is not None} == want
+    assert {r.id: bytes(r.ids) for r in got if r.id is not None} == whole
     assert sorted(len(r.ids) // 4 for r in got if r.id is None) == sorted(len([*own.encode(t or "", add_special_tokens=False).ids, 2]) for k, t, _, _ in rows if k is None)
     files = [f for f in Path(path.removeprefix("file://"), "blocks").glob("part-*")]
     assert 1 < len(files)

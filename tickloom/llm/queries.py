@@ -96,7 +96,7 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "token_files")
-    write_token_files(token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT), path)
+    write_token_files(token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_OF_TEXT, by_word=True), path)
     found = read_token_files(spark, path)
     n_tokens = F.octet_length("ids").cast("long") / 4
     return found.select(F.col("id").alias("doc_id"), "start", n_tokens.cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -16,11 +16,12 @@ HELD = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def span_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The bytes of each span as a string, A-Z as a-z; spans must hold whole characters."""
+def span_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = LOWER) -> pa.Array:
+    """The bytes of each span as a string, mapped by a table (A-Z as a-z, unless told otherwise); spans must hold whole characters."""
     sizes = end - start
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    data = LOWER[buf[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])]]
+    data = buf[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    data = data if table is None else table[data]
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
 
 

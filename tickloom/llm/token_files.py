@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import bounded_batches, forget, written
-from tickloom.llm.textcodes import slices
+from tickloom.llm.tables import BROADCAST_IDS, bounded_batches, forget, written
+from tickloom.llm.terms import span_strings
+from tickloom.llm.textcodes import BYTE_CODES, SPACED, Texts, byte_class, slices, span_hash
 
 MAGIC = b"TLHB"
 _HEAD = struct.Struct("<4sIIIQQQI")
@@ -33,6 +34,10 @@ _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 MAX_BITS = 20
 #: Ids between two checkpoints, ids after which a block ends with its document, and blocks of a file.
 CHECKPOINT, BLOCK_IDS, FILE_BLOCKS = 256, 1 << 16, 32
+#: Words whose ids a task keeps before it begins anew.
+KNOWN_WORDS = 1 << 20
+_LETTER = ~byte_class([(0x41, 0x5A), (0x61, 0x7A)])
+_MARK = ~byte_class([(0x2C, 0x2C), (0x2E, 0x2E)])
 #: Ids that a tokenizer may have: the table of counts that the driver sees has no more rows.
 MOST_IDS = 1 << MAX_BITS
 
@@ -116,33 +121,104 @@ class Coder:
         return out[np.arange(out.shape[1]) < counts[:, None]]
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch], model: str, end: int | None) -> Iterator[pa.RecordBatch]:
+def _tokenizer(model: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(model)
+    return Tokenizer.from_file(model)
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch], model: str, end: int | None) -> Iterator[pa.RecordBatch]:
+    tokenizer = _tokenizer(model)
     for batch in batches:
         for part in slices(batch, "text"):
-            found = tokenizer.encode_batch_fast(part.column("text").fill_null("").to_pylist(), add_special_tokens=False)
+            found = tokenizer.encode_batch(part.column("text").fill_null("").to_pylist(), add_special_tokens=False)
             ids = [np.array(x.ids if end is None else [*x.ids, end], "<u4").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
 
-def token_ids(docs: DataFrame, model: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class _Words:
+    """Ids of the words that a task has met; each is encoded once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.codes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted codes, and each one's place in bounds
+        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def __call__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has."""
+        own, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.codes, own)
+        known = self.codes[np.minimum(place, len(self.codes) - 1)] == own if len(self.codes) else np.zeros(len(own), bool)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            found = self.tokenizer.encode_batch(span_strings(buf, start[first[new]], end[first[new]], None).to_pylist(), add_special_tokens=False)
+            sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
+            at = np.arange(len(new)) + len(self.bounds) - 1
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
+            self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x.ids), np.uint32, int(sizes.sum()))))
+            self.codes, self.at = np.insert(self.codes, place[new], own[new]), np.insert(self.at, place[new], at)
+            place = np.searchsorted(self.codes, own)
+        at = self.at[place][inverse]
+        sizes = self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.bounds[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
+def _tokenize_words(batches: Iterator[pa.RecordBatch], model: str, end: int | None) -> Iterator[pa.RecordBatch]:
+    tokenizer = _tokenizer(model)
+    known = _Words(tokenizer)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = Texts(part.column("text"))
+            words = texts.words(SPACED, BYTE_CODES)
+            start, stop = words.start, words.end
+            marked = np.flatnonzero((stop - start > 1) & _MARK[texts.buf[stop - 1]] & _LETTER[texts.buf[np.maximum(stop - 2, 0)]])
+            start, stop = np.insert(start, marked + 1, stop[marked] - 1), np.insert(stop, marked, stop[marked] - 1)
+            ids, sizes = known(texts.buf, start, stop, span_hash(texts.prefix(), start, stop))
+            cuts = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(start, texts.offsets)]
+            if end is not None:
+                ids = np.insert(ids, cuts[1:], end)
+                cuts = cuts + np.arange(len(cuts))
+            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(4 * cuts), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+            yield pa.RecordBatch.from_arrays([part.column("id"), values.cast(pa.binary())], ["id", "ids"])
+            if len(known.codes) > KNOWN_WORDS:
+                known = _Words(tokenizer)
+
+
+def token_ids(docs: DataFrame, model: str, end: int | None = None, by_word: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (32-bit little-endian) of every text by the tokenizer file `model`, with the id `end` after each text.
 
-    `model` is a path that every executor has. Nulls are empty texts.
+    `model` is a path that every executor has. by_word is for tokenizers that drop white space and end a token where letters
+    end: then each task encodes every word between ASCII white space once, and a last stop or comma apart from the ASCII letter
+    before it; ids are the same as those of whole texts. Nulls are empty texts; texts are taken whole.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(lambda it: _tokenize(it, model, end), "id long, ids binary")
+    encode = _tokenize_words if by_word else _tokenize
+    return source.mapInArrow(lambda it: encode(it, model, end), "id long, ids binary")
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids of 16 bits where all of a document are that small, after a byte that says which."""
+    for batch in batches:
+        out = []
+        for one in batch.column("ids"):
+            ids = np.frombuffer(one.as_buffer() or b"", "<u4") if one.is_valid else np.zeros(0, "<u4")
+            out.append(b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "ids"])
+
+
+def _wide(one: pa.Scalar) -> np.ndarray:
+    data = memoryview(one.as_buffer())
+    return np.frombuffer(data[1:], "<u2").astype(np.uint32) if data[0] == 2 else np.frombuffer(data[1:], "<u4")
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for batch in batches:
         for one in batch.column("ids"):
-            own = np.bincount(np.frombuffer(one.as_buffer(), "<u4"), minlength=len(counts))
+            own = np.bincount(_wide(one), minlength=len(counts))
             own[: len(counts)] += counts
             counts = own
     ids = np.flatnonzero(counts)
@@ -170,7 +246,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], ids: np.ndarray, lengths: np.ndar
 
     for batch in batches:
         for key, one in zip(batch.column("id").to_pylist(), batch.column("ids"), strict=True):
-            parts.append(np.frombuffer(one.as_buffer(), "<u4"))
+            parts.append(_wide(one))
             docs.append((key or 0, key is None, len(parts[-1])))
             held += len(parts[-1])
             if held >= BLOCK_IDS:
@@ -186,7 +262,8 @@ def write_token_files(tokens: DataFrame, path: str, shards: int | None = None) -
     """
     spark = tokens.sparkSession
     bounded_batches(spark)
-    held = written(tokens.withColumn("tie", F.xxhash64("ids")), "tokens")
+    narrow = tokens.select("id", "ids").mapInArrow(_narrow, "id long, ids binary")
+    held = written(narrow.withColumn("tie", F.xxhash64("ids")), "tokens")
     counted = held.select("ids").mapInArrow(_count_ids, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy("token")
     rows = counted.limit(MOST_IDS + 1).collect()  # no more rows than the tokenizer has ids
     ids, counts = (np.array([r[k] for r in rows], np.int64) for k in ("token", "n"))
@@ -248,4 +325,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     starts = found.groupBy("shard").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
     starts = starts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if starts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        starts = F.broadcast(starts)
     return found.join(starts, "shard").select("id", (F.col("base") + F.col("at")).alias("start"), "ids")
