@@ -8,6 +8,9 @@ still bridged. With chunk_ms=None a key is one window, which reads a small input
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,90 @@ def running_last(df: DataFrame, keys: list[str], ts: str, order: list[Column], v
     return out.select(*(c for c in df.columns if c not in (*values, "_chunk")), *(F.coalesce(f"_own_{n}", f"_in_{n}").alias(n) for n in values))
 
 
+def running_two(df: DataFrame, keys: list[str], ts: str, order: list[Column], values: dict[str, Column], last_only: dict[str, Column] | None = None, counted: Column | None = None, chunk_ms: int = DAY_MS) -> DataFrame:
+    """df with the last non-null value of each expression up to each row, and as <name>_before the non-null value before that one.
+
+    Of last_only there are last values alone. With counted, position is the number of earlier rows for which it holds
+    and all values are known, or -1 on rows of which that is not true. One sort of each chunk serves all of this; what earlier
+    chunks hand on comes from one aggregate of the same sorted rows. A chunk counts its rows for every set of values
+    that may have been known before it, since only the chunks before tell which were.
+    """
+    last_only, sets = last_only or {}, [c for k in range(len(values) + 1) for c in combinations(values, k)] if counted is not None else []
+    df = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms))
+    chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    until, before = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow), chunk.rowsBetween(Window.unboundedPreceding, -1)
+    own = df.select("*", *(F.last(v, True).over(before).alias(f"_prev_{n}") for n, v in values.items()), *(F.last(v, True).over(until).alias(f"_own_{n}") for n, v in last_only.items()))
+    own = own.select("*", *(F.last(F.when(v.isNotNull(), F.struct(v.alias("now"), F.col(f"_prev_{n}").alias("prev"))), True).over(until).alias(f"_own_{n}") for n, v in values.items()))
+    mark = "_n_{}".format
+    for k, known in enumerate(sets):  # rows that count if these are known from before
+        need = counted
+        for n in values:
+            need = need if n in known else need & F.col(f"_own_{n}").isNotNull()
+        own = own.withColumn(mark(k), F.when(need, 1).otherwise(0))
+    place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
+    ends = own.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*(f"_own_{n}" for n in (*values, *last_only))), place).alias("_end"), *(F.sum(mark(k)).alias(mark(k)) for k in range(len(sets))))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    filled = ends.select("*", *(F.last(f"_end._own_{n}.now", True).over(earlier).alias(f"_past_{n}") for n in values))
+    two = {n: F.when(F.col(f"_end._own_{n}").isNotNull(), F.struct(F.col(f"_end._own_{n}.now").alias("now"), F.coalesce(f"_end._own_{n}.prev", f"_past_{n}").alias("prev"))) for n in values}
+    filled = filled.select("*", *(F.last(v, True).over(earlier).alias(f"_in_{n}") for n, v in two.items()), *(F.last(f"_end._own_{n}", True).over(earlier).alias(f"_in_{n}") for n in last_only))
+    chosen = lambda column: F.coalesce(*(F.when(_all_known(known), column(k)) for k, known in reversed(list(enumerate(sets)))))
+    if sets:
+        filled = filled.withColumn("_base", F.coalesce(F.sum(chosen(lambda k: F.col(mark(k)))).over(earlier), F.lit(0)))
+        own = own.select("*", *(F.sum(mark(k)).over(until).alias(f"_c_{k}") for k in range(len(sets))))
+    carried = filled.select(*keys, "_chunk", *(f"_in_{n}" for n in (*values, *last_only)), *(["_base"] if sets else []))
+    out = own.join(carried, [*keys, "_chunk"])
+    columns = [c for c in df.columns if c != "_chunk" and c not in (*values, *last_only)]
+    for n in values:
+        here = F.col(f"_own_{n}").isNotNull()
+        columns += [F.coalesce(f"_own_{n}.now", f"_in_{n}.now").alias(n), F.when(here, F.coalesce(f"_own_{n}.prev", f"_in_{n}.now")).otherwise(F.col(f"_in_{n}.prev")).alias(f"{n}_before")]
+    if sets:
+        columns.append(F.when(chosen(lambda k: F.col(mark(k))) == 1, F.col("_base") + chosen(lambda k: F.col(f"_c_{k}")) - 1).otherwise(-1).cast("long").alias("position"))
+    return out.select(*columns, *(F.coalesce(f"_own_{n}", f"_in_{n}").alias(n) for n in last_only))
+
+
+def _all_known(names: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(f"_in_{n}").isNotNull()
+    return out
+
+
+@dataclass(frozen=True)
+class Timeline:
+    """Values in time that other rows look up: of rows at one time the last by order counts; a strict one is seen only by later rows."""
+
+    rows: DataFrame
+    value: Column
+    ts: str = "local_ts_ms"
+    order: tuple[str, ...] = ("row_no",)
+    strict: bool = False
+
+
+def merged(left: DataFrame, rights: dict[str, Timeline], keys: list[str], left_ts: str | Column, left_order: list[Column] | None = None) -> tuple[DataFrame, list[Column], dict[str, Column]]:
+    """left and any number of timelines as one union, the order to sort it by, and the value of each timeline.
+
+    Rows of left have _side 1; their further order is left_order, whose columns other rows lack.
+    """
+    ts = F.col(left_ts) if isinstance(left_ts, str) else left_ts
+    both = left.select("*", ts.alias("_t"), F.lit(1).alias("_side"))
+    for n, right in rights.items():
+        tie = F.struct(*(F.col(c) for c in right.order)).alias(f"_tie_{n}")
+        rows = right.rows.select(*keys, F.col(right.ts).alias("_t"), F.lit(2 if right.strict else 0).alias("_side"), tie, right.value.alias(f"_v_{n}"))
+        both = both.unionByName(rows, allowMissingColumns=True)
+    order = [F.col("_t"), F.col("_side"), *(F.col(f"_tie_{n}") for n in rights), *(left_order or [])]
+    return both.where("_t IS NOT NULL"), order, {n: F.col(f"_v_{n}") for n in rights}
+
+
+def asof_many(left: DataFrame, rights: dict[str, Timeline], keys: list[str], left_ts: str | Column = "local_ts_ms", chunk_ms: int | None = DAY_MS) -> DataFrame:
+    """left with the latest value of every timeline at or before left_ts (before it, if strict): one union and one sort for all of them.
+
+    Rows of left without a time leave.
+    """
+    both, order, values = merged(left, rights, keys, left_ts)
+    out = running_last(both, keys, "_t", order, values, chunk_ms=chunk_ms)
+    return out.where("_side = 1").select(*(c for c in left.columns if c not in rights), *rights)
+
+
 def asof_backward(
     left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, left_ts: str | Column = "local_ts_ms", right_ts: str | Column = "local_ts_ms", right_order: list[str] | None = None, strict: bool = False, chunk_ms: int | None = DAY_MS
 ) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import LAGGER, LEADER, bps_move, event_order, mid, spread_bps
-from tickloom.operators.asof import asof_backward, asof_lookback, latest_pair, running_last
-from tickloom.operators.windows import basis_samples, cooldown_thin, ewm_basis, rolling_basis_mean
+from tickloom.operators.asof import Timeline, asof_lookback
+from tickloom.operators.windows import basis_samples, cooldown_thin, ewm_basis, pair_frame, rolling_basis_mean, with_basis
 
 
 @dataclass(frozen=True)
@@ -32,10 +32,7 @@ def residual_frame(quotes: DataFrame, window_ms: int = 180_000, samples: int = 1
     mean = F.coalesce(F.nullif(F.col("prior_mean"), F.lit(0.0)), F.col("rolling_mean"), F.lit(0.0))
     sigma = F.greatest(F.sqrt(F.greatest(F.coalesce("prior_var", F.lit(0.0)), F.lit(0.0))), F.lit(min_sigma))
     own = own.withColumn("mean", mean).withColumn("sigma", sigma).withColumn("z", (F.col("basis") - F.col("mean")) / F.col("sigma"))
-    leads = quotes.where(F.col("venue") == leader).withColumn("mid", mid())
-    leads = running_last(leads, ["symbol"], "local_ts_ms", event_order(), {"before": F.col("mid")}, current=False)
-    moves = leads.select(F.col("row_no").alias("leader_row"), "symbol", F.when(F.col("before").isNotNull(), bps_move(F.col("mid"), F.col("before"))).alias("leader_move_bps"))
-    return own.withColumn("leader_row", F.col("leader.row_no")).join(moves, ["symbol", "leader_row"])
+    return own.withColumn("leader_move_bps", F.when(F.col("leader_before").isNotNull(), bps_move(F.col("leader.mid"), F.col("leader_before.mid"))))
 
 
 def residual_signals(
@@ -54,11 +51,11 @@ def residual_signals(
     return cooldown_thin(rows, cooldown_ms)
 
 
-def impulse_frame(quotes: DataFrame, windows_ms: tuple[int, ...] = (50, 100, 200, 500), leader: str = LEADER, lagger: str = LAGGER) -> DataFrame:
-    """Each tick with both venues' latest quotes, each with its own stream's mids one window back."""
+def impulse_frame(quotes: DataFrame, windows_ms: tuple[int, ...] = (50, 100, 200, 500), leader: str = LEADER, lagger: str = LAGGER, timelines: dict[str, Timeline] | None = None) -> DataFrame:
+    """Each tick with both venues' latest quotes, each with its own stream's mids one window back, and the latest values of timelines."""
     backs = {f"back_{w}": w for w in windows_ms}
     own = asof_lookback(quotes.withColumn("mid", mid()), backs, F.col("mid"))
-    return latest_pair(own, leader, lagger, event_order(), ["local_ts_ms", "row_no", "mid", "bid", "ask", *backs]).where("leader IS NOT NULL AND lagger IS NOT NULL")
+    return pair_frame(own, leader, lagger, ["local_ts_ms", "row_no", "mid", "bid", "ask", *backs], timelines).where("position >= 0")
 
 
 def impulse_signals(
@@ -70,11 +67,12 @@ def impulse_signals(
     With min_trade_qty the leader's latest trade, and with min_imbalance its latest book (imbalance column), must
     agree and be no older than the window.
     """
-    own = impulse_frame(quotes, windows_ms).withColumn("ts", F.greatest("leader.local_ts_ms", "lagger.local_ts_ms"))
+    timelines = {}
     if min_trade_qty is not None:
-        own = asof_backward(own, trades.where(F.col("venue") == LEADER), ["symbol"], F.struct("local_ts_ms", "side", "qty"), "trade")
+        timelines["trade"] = Timeline(trades.where(F.col("venue") == LEADER), F.struct("local_ts_ms", "side", "qty"))
     if min_imbalance is not None:
-        own = asof_backward(own, depth.where(F.col("venue") == LEADER), ["symbol"], F.struct("local_ts_ms", "imbalance"), "book")
+        timelines["book"] = Timeline(depth.where(F.col("venue") == LEADER), F.struct("local_ts_ms", "imbalance"))
+    own = impulse_frame(quotes, windows_ms, timelines=timelines).withColumn("ts", F.greatest("leader.local_ts_ms", "lagger.local_ts_ms"))
     found = F.coalesce(*(_window_signal(w, min_impulse_bps, beta, costs.total, min_edge_bps, min_trade_qty, min_imbalance) for w in windows_ms))
     rows = own.withColumn("s", found).where("s IS NOT NULL")
     side = F.when(F.col("s.impulse_bps") > 0, "buy").otherwise("sell")
@@ -100,24 +98,24 @@ def _window_signal(w: int, min_impulse: float, beta: float, cost: float, min_edg
     return F.when(passes, F.struct(F.lit(w).alias("window_ms"), impulse.alias("impulse_bps"), moved.alias("lagger_move_bps"), lag.alias("lag_bps"), edge.alias("edge_bps")))
 
 
-def feature_snapshots(quotes: DataFrame, depth: DataFrame | None = None, residuals: DataFrame | None = None) -> DataFrame:
-    """A feature row per tick: impulse, spread, latency, volatility and, with books, imbalance; with residuals, residual_bps.
+def feature_snapshots(quotes: DataFrame, depth: DataFrame | None = None, residual_window_ms: int | None = None, beta: float = 1.0) -> DataFrame:
+    """A feature row per tick: impulse, spread, latency, volatility and, with books, imbalance; with a window, residual_bps.
 
-    residuals: row_no, symbol and residual_bps of ticks, as residual_frame gives basis less mean; other ticks have none.
-
-    Latency is the distance of the venues' clocks, or while only one venue is known its own clock against the exchange's.
+    The residual is the basis less its weighted mean before the tick: null where that mean is 0, but the basis itself at the first
+    sample of a symbol. Latency is the distance of the venues' clocks, or while only one venue is known its own clock against the exchange's.
     """
-    own = running_last(quotes.withColumn("mid", mid()), ["symbol", "venue"], "local_ts_ms", event_order(), {"before": F.col("mid")}, current=False)
-    pairs = latest_pair(own, LEADER, LAGGER, event_order(), ["local_ts_ms", "exchange_ts_ms", "mid", "before", "bid", "ask"])
-    if depth is not None:
-        pairs = asof_backward(pairs, depth.where(F.col("venue") == LEADER), ["symbol"], F.col("imbalance"), "imbalance")
-    if residuals is not None:
-        pairs = pairs.join(residuals.select("symbol", "row_no", "residual_bps"), ["symbol", "row_no"], "left")
+    books = {"book": Timeline(depth.where(F.col("venue") == LEADER), F.struct("imbalance"))} if depth is not None else {}
+    pairs = pair_frame(quotes.withColumn("mid", mid()), LEADER, LAGGER, ["local_ts_ms", "exchange_ts_ms", "mid", "bid", "ask"], books)
+    pairs = pairs.withColumn("imbalance", F.col("book.imbalance")) if books else pairs
+    if residual_window_ms is not None:
+        own = ewm_basis(with_basis(pairs, beta).withColumn("ts", F.coalesce("ts", F.col("local_ts_ms"))), residual_window_ms)
+        residual = F.when(F.col("position") == 0, F.col("basis")).when(F.col("prior_mean") != 0, F.col("basis") - F.col("prior_mean"))
+        pairs = own.withColumn("residual_bps", residual)
     one_clock = lambda v: F.when(F.col(v).isNotNull() & F.col(f"{v}.exchange_ts_ms").isNotNull(), F.col(f"{v}.local_ts_ms") - F.col(f"{v}.exchange_ts_ms"))
     both = F.col("leader").isNotNull() & F.col("lagger").isNotNull()
     latency = F.when(both, F.abs(F.col("leader.local_ts_ms") - F.col("lagger.local_ts_ms"))).otherwise(F.coalesce(one_clock("leader"), one_clock("lagger")))
     return pairs.select(
-        "row_no", "symbol", F.col("local_ts_ms").alias("ts"), bps_move(F.col("leader.mid"), F.col("leader.before")).alias("impulse_bps"),
-        F.when(F.col("lagger").isNotNull(), spread_bps("lagger.bid", "lagger.ask")).alias("spread_bps"), F.abs(bps_move(F.col("lagger.mid"), F.col("lagger.before"))).alias("volatility_bps"),
-        latency.alias("latency_ms"), *(["imbalance"] if depth is not None else []), *(["residual_bps"] if residuals is not None else []),
+        "row_no", "symbol", F.col("local_ts_ms").alias("ts"), bps_move(F.col("leader.mid"), F.col("leader_before.mid")).alias("impulse_bps"),
+        F.when(F.col("lagger").isNotNull(), spread_bps("lagger.bid", "lagger.ask")).alias("spread_bps"), F.abs(bps_move(F.col("lagger.mid"), F.col("lagger_before.mid"))).alias("volatility_bps"),
+        latency.alias("latency_ms"), *(["imbalance"] if depth is not None else []), *(["residual_bps"] if residual_window_ms is not None else []),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import bps_move, event_order, log_basis_bps, mid
-from tickloom.operators.asof import DAY_MS, latest_pair, running_last
+from tickloom.operators.asof import DAY_MS, Timeline, merged, running_last, running_two
 
 #: Rows of one key that a block of a rows-frame holds.
 BLOCK_ROWS = 4096
@@ -70,17 +70,34 @@ def running_sums(df: DataFrame, keys: list[str], ts: str, order: list[Column], s
     return inner.select(*(c for c in df.columns if c not in (*sums, "_chunk")), *((F.coalesce(f"_own_{n}", F.lit(0)) + F.col(f"_in_{n}") + F.col(f"_up_{n}")).alias(n) for n in sums))
 
 
+def pair_frame(quotes: DataFrame, leader: str, lagger: str, columns: list[str], timelines: dict[str, Timeline] | None = None) -> DataFrame:
+    """Each tick of either venue with the latest quote of both (structs leader, lagger: this tick included), the quotes before those
+    (leader_before, lagger_before), the latest value of each timeline at its time, and position: the number of earlier ticks at which
+    both were known, -1 before. Everything comes out of one sort of a union.
+    """
+    own = quotes.where(F.col("venue").isin(leader, lagger))
+    timelines = timelines or {}
+    both, order, values = merged(own, timelines, ["symbol"], "local_ts_ms", event_order())
+    quote = F.struct(*columns)
+    of = lambda v: F.when((F.col("_side") == 1) & (F.col("venue") == v), quote)
+    out = running_two(both, ["symbol"], "_t", order, {"leader": of(leader), "lagger": of(lagger)}, values, counted=F.col("_side") == 1)
+    return out.where("_side = 1").select(*own.columns, "leader", "leader_before", "lagger", "lagger_before", "position", *timelines)
+
+
 def basis_samples(quotes: DataFrame, leader: str = "binance", lagger: str = "mexc", beta: float = 1.0) -> DataFrame:
     """A basis sample for each tick of either venue once both are known: ts is the later of their two clocks.
 
-    Columns: row_no, symbol, venue, local_ts_ms, exchange_ts_ms, ts, basis, leader, lagger and position.
+    Columns: row_no, symbol, venue, local_ts_ms, exchange_ts_ms, ts, basis, leader, lagger, leader_before and position, the
+    number of earlier samples.
     """
-    own = quotes.withColumn("mid", mid())
-    pairs = latest_pair(own, leader, lagger, event_order(), ["local_ts_ms", "mid", "bid", "ask", "row_no"]).where("leader IS NOT NULL AND lagger IS NOT NULL")
-    pairs = pairs.select(
-        "row_no", "symbol", "venue", "local_ts_ms", "exchange_ts_ms", F.greatest("leader.local_ts_ms", "lagger.local_ts_ms").alias("ts"), log_basis_bps(F.col("leader.mid"), F.col("lagger.mid"), beta).alias("basis"), "leader", "lagger"
-    )
-    return with_position(pairs, ["symbol"], "local_ts_ms", event_order())
+    pairs = pair_frame(quotes.withColumn("mid", mid()), leader, lagger, ["local_ts_ms", "mid", "bid", "ask", "row_no"])
+    return with_basis(pairs, beta).where("position >= 0").drop("lagger_before", "mid")
+
+
+def with_basis(pairs: DataFrame, beta: float = 1.0) -> DataFrame:
+    """pairs with ts, the later of the two clocks, and basis; null before both venues are known."""
+    known = F.col("position") >= 0
+    return pairs.withColumn("ts", F.when(known, F.greatest("leader.local_ts_ms", "lagger.local_ts_ms"))).withColumn("basis", F.when(known, log_basis_bps(F.col("leader.mid"), F.col("lagger.mid"), beta)))
 
 
 def rolling_basis_mean(samples: DataFrame, n: int = 120, block: int = BLOCK_ROWS) -> DataFrame:
@@ -97,33 +114,59 @@ def rolling_basis_mean(samples: DataFrame, n: int = 120, block: int = BLOCK_ROWS
     return own.where("_home = _block").drop("_home", "_block")
 
 
-def ewm_basis(samples: DataFrame, window_ms: int = 180_000) -> DataFrame:
+def ewm_basis(samples: DataFrame, window_ms: int = 180_000, chunk_ms: int = DAY_MS) -> DataFrame:
     """samples with ewm_mean and ewm_var after each sample and prior_mean and prior_var before it.
 
-    The weight of a sample is 1 - exp(-dt / window); one at an unchanged time does not count. Both moments are
-    scaled prefix sums. Exponents stay small since sums run in blocks of 300 windows, each with the block before
-    it; what is older weighs less than e^-300.
+    samples: symbol, ts, position and basis; rows without a basis, which may come before the first, have no moments.
+    The weight of a sample is 1 - exp(-dt / window); one at an unchanged time does not count. The mean of x and that of
+    x^2 are the same affine map of what was before, a factor that depends on time alone and an offset. The variance is their
+    difference. Each chunk is composed into one such map by an aggregate, the maps are composed in order over the
+    chunks of a symbol, and rows are prefix sums of their chunk, scaled so that exponents stay below 300 windows.
+    """
+    w = F.lit(float(window_ms))
+    chunk_ms = max(1, min(chunk_ms, 300 * window_ms))
+    own = samples.withColumn("_chunk", F.floor(F.col("ts") / chunk_ms))
+    start = F.col("_chunk") * chunk_ms
+    chunk = Window.partitionBy("symbol", "_chunk").orderBy("ts", "position")
+    sampled = F.col("basis").isNotNull()
+    own = own.withColumn("_at", (F.col("ts") - start) / w).withColumn("_last", F.last(F.when(sampled, F.col("ts")), True).over(chunk.rowsBetween(Window.unboundedPreceding, -1)))
+    # offsets of all samples but a chunk's first, whose weight depends on the chunk before
+    weight = (1 - F.exp(-(F.col("ts") - F.col("_last")) / w)) * F.exp("_at")
+    own = own.withColumn("_x", F.coalesce(weight * F.col("basis"), F.lit(0.0))).withColumn("_xx", F.coalesce(weight * F.col("basis") * F.col("basis"), F.lit(0.0)))
+    first = F.min_by(F.struct("ts", "basis", "_at"), F.when(sampled, F.struct("ts", "position")))
+    maps = own.groupBy("symbol", "_chunk").agg(first.alias("_first"), F.max(F.when(sampled, F.col("ts"))).alias("_end"), F.sum("_x").alias("_sum_x"), F.sum("_xx").alias("_sum_xx"))
+    earlier = Window.partitionBy("symbol").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.withColumn("_until", F.last("_end", True).over(earlier))
+    alpha = F.when(F.col("_until").isNull(), 1.0).otherwise(1 - F.exp(-(F.col("_first.ts") - F.col("_until")) / w))
+    lift = alpha * F.exp("_first._at")
+    maps = maps.withColumn("_first_x", F.coalesce(lift * F.col("_first.basis"), F.lit(0.0))).withColumn("_first_xx", F.coalesce(lift * F.col("_first.basis") * F.col("_first.basis"), F.lit(0.0)))
+    maps = _composed(maps, {"_in_x": F.col("_sum_x") + F.col("_first_x"), "_in_xx": F.col("_sum_xx") + F.col("_first_xx")}, window_ms, chunk_ms)
+    # the state at the end of the chunk before, undecayed
+    for n in ("x", "xx"):
+        maps = maps.withColumn(f"_end_{n}", F.last((F.col(f"_in_{n}") + F.col(f"_sum_{n}") + F.col(f"_first_{n}")) * F.exp((start - F.col("_end")) / w), True).over(earlier))
+    out = own.join(maps.select("symbol", "_chunk", "_in_x", "_in_xx", "_first_x", "_first_xx", "_end_x", "_end_xx"), ["symbol", "_chunk"])
+    until = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n in ("x", "xx"):
+        out = out.withColumn(f"_now_{n}", F.when(sampled, F.exp(-F.col("_at")) * (F.col(f"_in_{n}") + F.col(f"_first_{n}") + F.sum(f"_{n}").over(until))))
+    for n in ("x", "xx"):
+        out = out.withColumn(f"_old_{n}", F.when(F.col("_last").isNull(), F.col(f"_end_{n}")).otherwise(F.lag(f"_now_{n}").over(chunk)))
+    spread = lambda x, xx: F.greatest(F.col(xx) - F.col(x) * F.col(x), F.lit(0.0))
+    return out.select(*samples.columns, F.col("_now_x").alias("ewm_mean"), spread("_now_x", "_now_xx").alias("ewm_var"), F.col("_old_x").alias("prior_mean"), F.when(F.col("_old_x").isNotNull(), spread("_old_x", "_old_xx")).alias("prior_var"))
+
+
+def _composed(maps: DataFrame, offsets: dict[str, Column], window_ms: int, chunk_ms: int) -> DataFrame:
+    """maps, a row for each chunk of a symbol, with what all earlier chunks amount to at its start.
+
+    An offset, given at the scale of its chunk's start, decays with time. Sums run in blocks of 300 windows, each with the block
+    before it as well; what is older weighs less than e^-300. Only the rows of chunks are doubled for that, not the samples.
     """
-    order = [F.col("ts"), F.col("position")]
-    own = running_last(samples, ["symbol"], "ts", order, {"_before": F.col("ts")}, current=False)
-    alpha = F.when(F.col("_before").isNull(), 1.0).otherwise(1 - F.exp(-(F.col("ts") - F.col("_before")) / F.lit(float(window_ms))))
-    own = own.withColumn("_alpha", alpha)
-    own = _scaled_sum(own, F.col("_alpha") * F.col("basis"), "ewm_mean", window_ms)
-    own = running_last(own, ["symbol"], "ts", order, {"prior_mean": F.col("ewm_mean")}, current=False)
-    step = F.coalesce((1 - F.col("_alpha")) * F.col("_alpha") * F.pow(F.col("basis") - F.col("prior_mean"), 2), F.lit(0.0))
-    own = _scaled_sum(own, step, "ewm_var", window_ms)
-    own = running_last(own, ["symbol"], "ts", order, {"prior_var": F.col("ewm_var")}, current=False)
-    return own.drop("_before", "_alpha")
-
-
-def _scaled_sum(df: DataFrame, term: Column, name: str, window_ms: int) -> DataFrame:
-    block_ms = 300 * window_ms
-    home = F.floor(F.col("ts") / block_ms)
-    spread = df.withColumn("_home", home).withColumn("_block", F.explode(F.array(home, home + 1)))
-    g = (F.col("ts") - (F.col("_block") - 1) * block_ms) / F.lit(float(window_ms))
-    frame = Window.partitionBy("symbol", "_block").orderBy("ts", "position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spread = spread.withColumn(name, F.exp(-g) * F.sum(term * F.exp(g)).over(frame))
-    return spread.where("_home = _block").drop("_home", "_block")
+    block_ms = -(-300 * window_ms // chunk_ms) * chunk_ms
+    home = F.floor(F.col("_chunk") * chunk_ms / block_ms)
+    spread = maps.select("symbol", "_chunk", *(v.alias(n) for n, v in offsets.items()), home.alias("_home"), F.explode(F.array(home, home + 1)).alias("_block"))
+    g = (F.col("_chunk") * chunk_ms - (F.col("_block") - 1) * block_ms) / F.lit(float(window_ms))
+    before = Window.partitionBy("symbol", "_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.select("symbol", "_chunk", "_home", "_block", *((F.exp(-g) * F.coalesce(F.sum(F.col(n) * F.exp(g)).over(before), F.lit(0.0))).alias(n) for n in offsets)).where("_home = _block")
+    return maps.join(sums.drop("_home", "_block"), ["symbol", "_chunk"])
 
 
 def cooldown_thin(candidates: DataFrame, cooldown_ms: int, keys: list[str] | None = None) -> DataFrame:

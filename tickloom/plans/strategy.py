@@ -82,8 +82,7 @@ def impulse_confirmation(t: Tables) -> DataFrame:
     "quotes",
 )
 def feature_snapshots(t: Tables) -> DataFrame:
-    frame = signals.residual_frame(t.quotes, 12 * HOUR, samples=1)
-    own = signals.feature_snapshots(t.quotes, residuals=frame.where("prior_mean <> 0 OR position = 0").select("symbol", "row_no", (F.col("basis") - F.coalesce("prior_mean", F.lit(0.0))).alias("residual_bps")))
+    own = signals.feature_snapshots(t.quotes, residual_window_ms=12 * HOUR)
     return own.select("row_no", F.round("residual_bps", 3).alias("residual_bps"), *(F.round(c, 4).alias(c) for c in ("impulse_bps", "spread_bps", "volatility_bps")), "latency_ms")
 
 

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import first_set
+from tickloom.functions.scratch import scratch  # noqa: F401
 from tickloom.operators.reports import DECISION, EXIT
 from tickloom.sources.events import quotes_from_events, trades_from_events
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, a temporary one is set, but in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _folder(spark: SparkSession, path: str, **partition: str | None) -> tuple:
     """File system and path of a partition's folder, named as Spark's writer names it."""
     names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
