@@ -193,3 +193,74 @@ def test_empty_tables(spark):
     assert signals.residual_signals(none).count() == 0
     assert signals.impulse_signals(none).count() == 0
     assert leadlag.leadership(none, [100]).count() == 0
+
+
+def greedy(rows, cooldown):
+    last, out = {}, []
+    for ts, row_no, key in sorted(rows, key=lambda r: (str(r[2]), r[0], r[1])):
+        if key not in last or ts - last[key] >= cooldown:
+            last[key] = ts
+            out.append(row_no)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("stride", "fold", "cooldown"), [(64, 1 << 16, 10), (8, 100, 1), (8, 60, 70)])
+def test_cooldown_against_loop(spark, stride, fold, cooldown):
+    rng = random.Random(cooldown)
+    rows, ts = [], {"a": -500, "b": 10_000, None: 0}
+    for i in range(1500):
+        key = rng.choice(["a", "a", "b", None])
+        ts[key] += rng.choice([0, 0, 1, 1, 2, 9, 60, 900])
+        rows.append((ts[key], i, key))
+    df = spark.createDataFrame(rows, "ts long, row_no long, symbol string").withColumn("model", F.lit("m"))
+    assert sorted(r["row_no"] for r in windows.cooldown_thin(df, cooldown, stride=stride, fold_rows=fold).collect()) == greedy(rows, cooldown)
+
+
+def test_a_million_dense_candidates_of_one_key(spark):
+    df = spark.range(1_000_000).select(F.col("id").alias("row_no"), (F.col("id") * 3 % 1_000_003).alias("ts"), F.lit("S").alias("symbol"), F.lit("m").alias("model"))
+    got = windows.cooldown_thin(df, 1000)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    times = sorted(k * 3 % 1_000_003 for k in range(1_000_000))
+    want, last = 0, None
+    for ts in times:
+        if last is None or ts - last >= 1000:
+            want, last = want + 1, ts
+    assert got.count() == want
+
+
+def test_each_source_is_read_four_times_at_most(spark, tmp_path):
+    """Steps share one sort of a chunk; a plan that grows with every step would read the source again and again."""
+    spark.createDataFrame(random_quotes(200, 5), QUOTE).write.parquet(str(tmp_path / "q"))
+    q = spark.read.parquet(str(tmp_path / "q"))
+    frames = {
+        "pairs": (windows.basis_samples(q), 2), "moments": (windows.ewm_basis(windows.basis_samples(q), 7), 4), "residual": (signals.residual_frame(q, 7), 4),
+        "impulse": (signals.impulse_frame(q, (5, 50)), 4), "features": (signals.feature_snapshots(q, residual_window_ms=7), 4), "signals": (signals.residual_signals(q), 0),
+    }
+    for name, (df, most) in frames.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len([line for line in plan.splitlines() if "FileScan" in line and str(tmp_path) in line]) <= most, name
+
+
+def test_many_timelines_in_one_sort(spark):
+    rows = random_quotes(300, seed=9)
+    df = spark.createDataFrame(rows, QUOTE)
+    left, a, b = df.where("venue = 'binance'"), df.where("venue = 'mexc'"), df.where("venue = 'mexc' AND row_no % 3 = 0")
+    many = asof.asof_many(left, {"x": asof.Timeline(a, F.col("row_no")), "y": asof.Timeline(b, F.col("bid"), strict=True)}, ["symbol"], chunk_ms=50)
+    one = asof.asof_backward(left, a, ["symbol"], F.col("row_no"), "x", chunk_ms=None)
+    two = asof.asof_backward(one, b, ["symbol"], F.col("bid"), "y", strict=True, chunk_ms=None)
+    assert sorted(map(str, many.collect())) == sorted(map(str, two.select(many.columns).collect()))
+
+
+def test_last_two_values_and_positions(spark):
+    rows = random_quotes(300, seed=11)
+    got = {r["row_no"]: r for r in windows.pair_frame(spark.createDataFrame(rows, QUOTE), "binance", "mexc", ["row_no"]).collect()}
+    last, count = {}, {}
+    for i, ts, ex, v, s, *_ in sorted(rows, key=lambda r: (r[1] or r[2], r[2], r[3], r[4], r[0])):
+        own = last.setdefault(s, {"binance": [], "mexc": []})
+        own[v].append(i)
+        for name, venue in (("leader", "binance"), ("lagger", "mexc")):
+            now, before = ([None, None] + own[venue])[-1], ([None, None] + own[venue])[-2]
+            assert (got[i][name] and got[i][name]["row_no"]) == now and (got[i][f"{name}_before"] and got[i][f"{name}_before"]["row_no"]) == before
+        known = bool(own["binance"] and own["mexc"])
+        assert got[i]["position"] == (count.get(s, 0) if known else -1)
+        count[s] = count.get(s, 0) + known

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import bps_move, event_order, log_basis_bps, mid
+from tickloom.functions.scratch import kept
 from tickloom.operators.asof import DAY_MS, Timeline, merged, running_last, running_two
 
 #: Rows of one key that a block of a rows-frame holds.
@@ -162,34 +165,76 @@ def _composed(maps: DataFrame, offsets: dict[str, Column], window_ms: int, chunk
     """
     block_ms = -(-300 * window_ms // chunk_ms) * chunk_ms
     home = F.floor(F.col("_chunk") * chunk_ms / block_ms)
-    spread = maps.select("symbol", "_chunk", *(v.alias(n) for n, v in offsets.items()), home.alias("_home"), F.explode(F.array(home, home + 1)).alias("_block"))
+    spread = maps.select("*", *(v.alias(n) for n, v in offsets.items()), home.alias("_home"), F.explode(F.array(home, home + 1)).alias("_block"))
     g = (F.col("_chunk") * chunk_ms - (F.col("_block") - 1) * block_ms) / F.lit(float(window_ms))
     before = Window.partitionBy("symbol", "_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = spread.select("symbol", "_chunk", "_home", "_block", *((F.exp(-g) * F.coalesce(F.sum(F.col(n) * F.exp(g)).over(before), F.lit(0.0))).alias(n) for n in offsets)).where("_home = _block")
-    return maps.join(sums.drop("_home", "_block"), ["symbol", "_chunk"])
+    sums = spread.select(*maps.columns, "_home", "_block", *((F.exp(-g) * F.coalesce(F.sum(F.col(n) * F.exp(g)).over(before), F.lit(0.0))).alias(n) for n in offsets))
+    return sums.where("_home = _block").drop("_home", "_block")
 
 
-def cooldown_thin(candidates: DataFrame, cooldown_ms: int, keys: list[str] | None = None) -> DataFrame:
-    """Greedy thinning: a candidate stays if cooldown_ms have passed since the last one that stayed, by key.
+def cooldown_thin(candidates: DataFrame, cooldown_ms: int, keys: list[str] | None = None, stride: int = 64, fold_rows: int = 1 << 16) -> DataFrame:
+    """Greedy thinning: a candidate stays if cooldown_ms (positive) have passed since the last one that stayed, by key.
 
-    After a pause of at least the cooldown a candidate always stays, so stretches between pauses are independent and
-    only their timestamps are folded. Of candidates at one time the first by row_no counts.
+    Of candidates at one time the first by row_no counts. After a candidate the next that stays is the first one a cooldown later; these
+    links are followed at growing strides. Time is cut into chunks of `stride` cooldowns. A chain can enter a chunk only at its
+    times within the first cooldown or at the first time after that, so a chunk shrinks to these entries, each linked to where the chain
+    that enters there is free again beyond the chunk. Entries shrink in the same way, in chunks `stride` times longer, until no
+    key has more than fold_rows of them. These are followed one by one, and what they visit is handed down level by level.
+    Each level is about `stride` times smaller than the one before, so a key of any density costs a few shuffles of its times alone;
+    a task holds the distinct times of one chunk. The candidates are written once, since they are read several times.
     """
     keys = keys or ["symbol", "model"]
-    order = [F.col("ts"), F.col("row_no")]
-    own = running_last(candidates, keys, "ts", order, {"_before": F.col("ts")}, current=False)
-    fresh = F.col("_before").isNull() | (F.col("ts") - F.col("_before") >= cooldown_ms)
-    own = running_last(own.withColumn("_fresh", fresh), keys, "ts", order, {"_stretch": F.when(F.col("_fresh"), F.struct("ts", "row_no"))})
-    item = F.struct(F.col("ts").cast("long").alias("ts"), F.col("row_no").cast("long").alias("row_no"), F.struct(*(F.col(f"`{c}`") for c in candidates.columns)).alias("row"))
-    own = own.select(*keys, "_stretch", item.alias("_item"))
-    nothing = F.filter(F.array(F.lit(None).cast(own.schema["_item"].dataType)), lambda x: x.isNotNull())
-
-    def step(state: Column, x: Column) -> Column:
-        stays = (F.size(state) == 0) | (x["ts"] - F.element_at(state, -1)["ts"] >= cooldown_ms)
-        return F.when(stays, F.concat(state, F.array(x))).otherwise(state)
-
-    kept = own.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list("_item")).alias("_items")).withColumn("_k", F.explode(F.aggregate("_items", nothing, step)))
-    return kept.select("_k.row.*")
+    own, cool = kept(candidates, "candidates"), int(cooldown_ms)
+    types = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keys) + ", entry long, free long, row_no long"
+    rows = own.select(*keys, F.col("ts").cast("long").alias("entry"), (F.col("ts").cast("long") + cool).alias("free"), F.col("row_no").cast("long").alias("row_no"))
+    levels, span, columns = [], cool * stride, [*keys, "entry", "free", "row_no"]
+    while (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > fold_rows:
+        rows = rows.withColumn("chunk", F.floor(F.col("entry") / span))
+        levels.append(rows)
+        rows = kept(rows.groupBy(*keys, "chunk").applyInPandas(_shrinking(columns, span, cool), types), "entries")
+        span *= stride
+    found = rows.groupBy(*keys).applyInPandas(lambda g: _follow(g)[columns], types)
+    for rows in reversed(levels):
+        span //= stride
+        entered = found.select(*keys, "entry", F.floor(F.col("entry") / span).alias("chunk"))
+        found = rows.groupBy(*keys, "chunk").cogroup(entered.groupBy(*keys, "chunk")).applyInPandas(lambda g, e: _follow(g, e)[columns], types)
+    found = found.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("entry").alias("_ts"), F.col("row_no").alias("_row_no"))
+    same = (F.col("ts").cast("long") == F.col("_ts")) & (F.col("row_no") == F.col("_row_no"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(found, same, "left_semi")
+
+
+def _links(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The group's distinct times, each with its first row, and for each the place of the first one at or after it is free."""
+    group = group.sort_values(["entry", "row_no"]).drop_duplicates("entry")
+    return group, np.searchsorted(group["entry"].to_numpy(), group["free"].to_numpy())
+
+
+def _entries(group: pd.DataFrame, span: int, cooldown: int) -> pd.DataFrame:
+    """The entries of a chunk, free where their chains leave it."""
+    group, following = _links(group)
+    last = np.where(following < len(group), following, np.arange(len(group)))
+    while (last[last] != last).any():  # jumps double until every chain is at its end
+        last = last[last]
+    entry = group["entry"].to_numpy()
+    late = np.searchsorted(entry, int(entry[0]) // span * span + cooldown)
+    return group.assign(free=group["free"].to_numpy()[last]).iloc[: late + 1]
+
+
+def _shrinking(columns: list[str], span: int, cooldown: int):
+    return lambda group: _entries(group, span, cooldown)[columns]
+
+
+def _follow(group: pd.DataFrame, entered: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The times that a chain stays at, from the entry of the chunk, or from the first time; nothing if it does not enter."""
+    group, following = _links(group)
+    at = 0 if entered is None else int(np.searchsorted(group["entry"].to_numpy(), entered["entry"].min())) if len(entered) else len(group)
+    stays, following = [], following.tolist()
+    while at < len(following):
+        stays.append(at)
+        at = following[at]
+    return group.iloc[stays]
 
 
 def rolling_tail(rows: DataFrame, n: int = 2000, keys: list[str] | None = None) -> DataFrame:
