@@ -189,7 +189,7 @@ def test_token_files(spark):
     model = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(model)
     rng = random.Random(8)
-    words = ["Alpha", "beta", "\U0001f600", "ß", "123", "\n", "<|endoftext|>", "x" * 50, "end.", "it's,", "é.", "don't", "a..", "1,", ".", ",.", "x\u00a0y.", "\u0301.", "A\u0301", "\u2028"]
+    words = ["Alpha", "beta", "\U0001f600", "ß", "123", "\n", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>B", "DON'T", "x" * 50, "end.", "it's,", "é.", "don't", "a..", "1,", ".", ",.", "x\u00a0y.", "\u0301.", "A\u0301", "\u2028"]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 300]))), None, None) for k in rng.sample(range(-50, 400), 300)]
     rows += [(1000, None, None, None), (1001, "long " * 200_000, None, None), (None, "no id", None, None), (None, None, None, None)]
     path = new_path(spark, "token_files")

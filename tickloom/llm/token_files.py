@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.tables import BROADCAST_IDS, bounded_batches, forget, written
 from tickloom.llm.terms import span_strings
-from tickloom.llm.textcodes import BYTE_CODES, SPACED, Texts, byte_class, slices, span_hash
+from tickloom.llm.textcodes import BYTE_CODES, LOWER_CODES, SPACED, Texts, byte_class, slices, span_hash
 
 MAGIC = b"TLHB"
 _HEAD = struct.Struct("<4sIIIQQQI")
@@ -34,8 +34,8 @@ _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 MAX_BITS = 20
 #: Ids between two checkpoints, ids after which a block ends with its document, and blocks of a file.
 CHECKPOINT, BLOCK_IDS, FILE_BLOCKS = 256, 1 << 16, 32
-#: Words whose ids a task keeps before it begins anew.
-KNOWN_WORDS = 1 << 20
+#: Words whose ids a worker keeps.
+KNOWN_WORDS = 1 << 21
 _LETTER = ~byte_class([(0x41, 0x5A), (0x61, 0x7A)])
 _MARK = ~byte_class([(0x2C, 0x2C), (0x2E, 0x2E)])
 #: Ids that a tokenizer may have: the table of counts that the driver sees has no more rows.
@@ -138,7 +138,10 @@ def _tokenize(batches: Iterator[pa.RecordBatch], model: str, end: int | None) ->
 
 
 class _Words:
-    """Ids of the words that a task has met; each is encoded once."""
+    """Ids of words; each is encoded once. Of more than KNOWN_WORDS words the later ones are not kept."""
+
+    #: By model: a Python worker keeps its words from task to task.
+    of_model: dict[str, _Words] = {}
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -150,7 +153,9 @@ class _Words:
         own, first, inverse = np.unique(code, return_index=True, return_inverse=True)
         place = np.searchsorted(self.codes, own)
         known = self.codes[np.minimum(place, len(self.codes) - 1)] == own if len(self.codes) else np.zeros(len(own), bool)
+        before = None
         if not known.all():
+            before = self.codes, self.at, self.bounds, self.ids
             new = np.flatnonzero(~known)
             found = self.tokenizer.encode_batch(span_strings(buf, start[first[new]], end[first[new]], None).to_pylist(), add_special_tokens=False)
             sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
@@ -160,14 +165,19 @@ class _Words:
             self.codes, self.at = np.insert(self.codes, place[new], own[new]), np.insert(self.at, place[new], at)
             place = np.searchsorted(self.codes, own)
         at = self.at[place][inverse]
+        out = self._joined(at)
+        if len(self.codes) > KNOWN_WORDS and before is not None:
+            self.codes, self.at, self.bounds, self.ids = before
+        return out
+
+    def _joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.bounds[at + 1] - self.bounds[at]
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.bounds[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
 
 def _tokenize_words(batches: Iterator[pa.RecordBatch], model: str, end: int | None) -> Iterator[pa.RecordBatch]:
-    tokenizer = _tokenizer(model)
-    known = _Words(tokenizer)
+    known = _Words.of_model.get(model) or _Words.of_model.setdefault(model, _Words(_tokenizer(model)))
     for batch in batches:
         for part in slices(batch, "text"):
             texts = Texts(part.column("text"))
@@ -175,23 +185,25 @@ def _tokenize_words(batches: Iterator[pa.RecordBatch], model: str, end: int | No
             start, stop = words.start, words.end
             marked = np.flatnonzero((stop - start > 1) & _MARK[texts.buf[stop - 1]] & _LETTER[texts.buf[np.maximum(stop - 2, 0)]])
             start, stop = np.insert(start, marked + 1, stop[marked] - 1), np.insert(stop, marked, stop[marked] - 1)
-            ids, sizes = known(texts.buf, start, stop, span_hash(texts.prefix(), start, stop))
+            code = span_hash(texts.prefix(LOWER_CODES), start, stop)
+            signs = np.concatenate(([0], np.cumsum(texts.buf == ord("<"))))
+            special = signs[stop] > signs[start]  # special tokens are told apart by case
+            code[special] = ~span_hash(texts.prefix(), start[special], stop[special])
+            ids, sizes = known(texts.buf, start, stop, code)
             cuts = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(start, texts.offsets)]
             if end is not None:
                 ids = np.insert(ids, cuts[1:], end)
                 cuts = cuts + np.arange(len(cuts))
             values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(4 * cuts), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
             yield pa.RecordBatch.from_arrays([part.column("id"), values.cast(pa.binary())], ["id", "ids"])
-            if len(known.codes) > KNOWN_WORDS:
-                known = _Words(tokenizer)
 
 
 def token_ids(docs: DataFrame, model: str, end: int | None = None, by_word: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (32-bit little-endian) of every text by the tokenizer file `model`, with the id `end` after each text.
 
-    `model` is a path that every executor has. by_word is for tokenizers that drop white space and end a token where letters
-    end: then each task encodes every word between ASCII white space once, and a last stop or comma apart from the ASCII letter
-    before it; ids are the same as those of whole texts. Nulls are empty texts; texts are taken whole.
+    `model` is a path that every executor has. by_word is for tokenizers that drop white space, fold case and end a token
+    where letters end: then a worker encodes every word between ASCII white space once, whatever the case of A-Z, and a last stop
+    or comma apart from the ASCII letter before it; ids are the same as those of whole texts. Nulls are empty texts; texts are taken whole.
     """
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
