@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import exprs as E
-from tickloom.operators import asof, health, leadlag, orders, outcomes, reports, signals, windows
+from tickloom.operators import asof, health, leadlag, orders, outcomes, reports, risk, signals, windows
 from tickloom.sources import store
 
 QUOTE = "row_no long, local_ts_ms long, exchange_ts_ms long, venue string, symbol string, bid double, ask double, bid_size double, ask_size double"
@@ -264,3 +264,28 @@ def test_last_two_values_and_positions(spark):
         known = bool(own["binance"] and own["mexc"])
         assert got[i]["position"] == (count.get(s, 0) if known else -1)
         count[s] = count.get(s, 0) + known
+
+
+def test_a_rejection_keeps_its_reason(spark):
+    raw = spark.createDataFrame([(1, '{"Type":"OrderUpdate","Data":{"ClientId":"a","Status":"rejected","Reason":"no margin"}}'), (2, '{"Data":{"Orders":[{"ClientId":"b","Status":"error","message":"too small"}]}}')], "row_no long, body string")
+    known = spark.createDataFrame([("a", "S", 2.0, "accepted"), ("b", "S", 2.0, "accepted")], "client_order_id string, symbol string, qty double, status string")
+    updates = orders.updates_of_orders(orders.classify_private_updates(orders.expand_private_updates(raw)))
+    got = {r["client_order_id"]: (r["after_status"], r["reject_reason"]) for r in orders.order_state_timeline(known, updates).collect()}
+    assert got == {"a": ("rejected", "no margin"), "b": ("rejected", "too small")}
+
+
+def test_entry_state_against_loop(spark):
+    rng = random.Random(4)
+    day = 86_400_000
+    fills = [(i, rng.choice("AB"), rng.choice(["buy", "sell"]), rng.randint(1, 90), (e := rng.randrange(0, 4 * day, 1_800_000)), rng.choice([None, e + rng.randrange(0, 2 * day, 1_800_000)]), rng.randint(-9, 9)) for i in range(60)]
+    intents = [(i, rng.choice("ABC"), rng.choice(["buy", "sell"]), rng.randrange(0, 6 * day, 1_800_000)) for i in range(80)]
+    fdf = spark.createDataFrame(fills, "position_id long, symbol string, side string, notional int, entry_ts_ms long, exit_ts_ms long, pnl int").withColumn("notional", F.col("notional").cast("decimal(18,2)")).withColumn("realized_pnl_usd", F.col("pnl").cast("decimal(18,2)"))
+    got = {r["n"]: r for r in risk.entry_state(spark.createDataFrame(intents, "n long, symbol string, side string, created_ts_ms long"), fdf).collect()}
+    assert len(got) == len(intents)
+    for i, s, side, ts in intents:
+        live = [f for f in fills if f[4] <= ts and (f[5] is None or f[5] > ts)]
+        mine = [f for f in live if f[1] == s]
+        closed = [f for f in fills if f[5] is not None and f[5] <= ts and f[5] // day == ts // day]
+        r = got[i]
+        assert (r["open_positions"], r["active_symbols"], r["direction_count"], r["symbol_active"]) == (len(live), len({f[1] for f in live}), len([f for f in mine if f[2] == side]), bool(mine))
+        assert (int(r["total_notional"]), int(r["symbol_notional"]), int(r["daily_pnl"])) == (sum(f[3] for f in live), sum(f[3] for f in mine), sum(f[6] for f in closed))

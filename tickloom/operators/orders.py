@@ -20,6 +20,7 @@ ALIASES = {
     "available": ["Available", "available", "Free", "free", "AvailableBalance", "availableBalance"],
     "total": ["Total", "total", "Balance", "balance", "Equity", "equity"],
     "connection_id": ["ConnectionId", "connectionId", "connection_id"],
+    "reason": ["Reason", "reason", "Message", "message"],
 }
 LISTS = ["Orders", "orders", "Positions", "positions", "Balances", "balances", "Finreses", "finreses"]
 PAYLOADS = ["Data", "data", "Payload", "payload"]
@@ -78,12 +79,17 @@ def classify_private_updates(rows: DataFrame, body: str = "body") -> DataFrame:
     for n in ("filled_qty", "avg_fill_price", "qty", "avg_price", "available", "total"):
         own = own.withColumn(n, F.expr(f"try_cast({n} AS DOUBLE)"))
     own = own.withColumn("ts_ms", F.coalesce(F.expr("try_cast(ts_ms AS BIGINT)"), F.lit(0)))
-    own = own.withColumn("client_order_id", F.nullif("client_order_id", F.lit(""))).withColumn("order_event", order_event_type(F.col("status"), F.coalesce("filled_qty", F.lit(0.0))))
+    own = own.withColumn("client_order_id", F.nullif("client_order_id", F.lit(""))).withColumn("reason", F.nullif("reason", F.lit(""))).withColumn("order_event", order_event_type(F.col("status"), F.coalesce("filled_qty", F.lit(0.0))))
     known = F.col("client_order_id").isNotNull() & F.col("order_event").isNotNull()
     kind = F.when(F.col("_text").contains("position"), "position").when(F.col("_text").contains("balance") | F.col("_text").contains("wallet"), "balance").when(known, "order").otherwise("unknown")
     return own.withColumn("kind", kind).drop("_text", "_fields")
 
 
+def updates_of_orders(classified: DataFrame) -> DataFrame:
+    """The order updates among classified rows, as the order folds take them."""
+    return classified.where("kind = 'order'").select("row_no", "item_no", "client_order_id", F.col("order_event").alias("event_type"), F.coalesce("filled_qty", F.lit(0.0)).alias("filled_qty"), "avg_fill_price", "venue_order_id", "reason", "ts_ms")
+
+
 def orders_from_submissions(audit: DataFrame, ttl_ms: int) -> DataFrame:
     """Initial order states: unknown and accepted submissions are open until now + ttl, dry runs planned, others rejected."""
     unknown, decision = F.coalesce("unknown_status", F.lit(False)), F.col("decision_result")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import orders, risk, universe
-from tickloom.operators.asof import asof_backward
+from tickloom.operators.asof import Timeline, asof_many
 from tickloom.plans.market import HOUR
 from tickloom.plans.registry import Tables, query
 
@@ -112,22 +112,36 @@ def feed_risk_flags(t: Tables) -> DataFrame:
     return risk.feed_risk_flags(t.intents, t.quotes, 3 * HOUR).select("intent_id", "leader_stale", "lagger_stale")
 
 
+# positions of every third intent, some still open
+_POSITIONS = f"""po AS (SELECT intent_no AS position_id, symbol, side, CAST(floor(qty * price_cap) AS DECIMAL(18,2)) AS notional, created_ts_ms + 1 AS entry_ts, CASE WHEN intent_no % 11 > 0 THEN created_ts_ms + (1 + intent_no % 7) * {6 * HOUR} END AS exit_ts, CAST(intent_no % 10 - 6 AS DECIMAL(18,2)) AS pnl FROM intents WHERE intent_no % 3 = 0),
+ mv AS (SELECT position_id, symbol, side, notional, CAST(0 AS DECIMAL(18,2)) AS pnl, entry_ts AS ts, 1 AS c FROM po UNION ALL SELECT position_id, symbol, side, -notional, pnl, exit_ts, -1 FROM po WHERE exit_ts IS NOT NULL),
+ un AS (SELECT NULL AS intent_no, symbol, side AS way, ts, 0 AS rk, c, position_id, notional, pnl FROM mv UNION ALL SELECT intent_no, symbol, NULL, created_ts_ms, 1, NULL, NULL, NULL, NULL FROM intents),
+ us AS (SELECT *, coalesce(sum(notional) OVER w, 0) AS sym, coalesce(sum(CASE WHEN way = 'buy' THEN c END) OVER w, 0) AS lc, coalesce(sum(CASE WHEN way <> 'buy' THEN c END) OVER w, 0) AS sc FROM un WINDOW w AS (PARTITION BY symbol ORDER BY ts, rk, c, position_id ROWS UNBOUNDED PRECEDING)),
+ ua AS (SELECT *, CASE WHEN c > 0 AND lc + sc = 1 THEN 1 WHEN c < 0 AND lc + sc = 0 THEN -1 ELSE 0 END AS woke FROM us),
+ ug AS (SELECT intent_no, sym, lc, sc, coalesce(sum(c) OVER w, 0) AS op, coalesce(sum(notional) OVER w, 0) AS tot, sum(woke) OVER w AS active, coalesce(sum(pnl) OVER d, 0) AS day_pnl FROM ua WINDOW w AS (ORDER BY ts, rk, c, position_id ROWS UNBOUNDED PRECEDING), d AS (PARTITION BY ts // 86400000 ORDER BY ts, rk, c, position_id ROWS UNBOUNDED PRECEDING))"""
+
+
 @query(
     "risk_gate",
-    f"""WITH lg AS (SELECT symbol, local_ts_ms AS ts FROM quotes WHERE venue = 'mexc' GROUP BY ALL), i1 AS (SELECT i.*, lg.ts AS mt FROM intents i ASOF LEFT JOIN lg ON i.symbol = lg.symbol AND i.created_ts_ms >= lg.ts),
- s AS (SELECT *, intent_no % 4 AS op, CAST(intent_no % 6 AS DOUBLE) * 100 AS tot, CAST(intent_no % 3 AS DOUBLE) * 100 AS sym, CAST(intent_no % 10 AS DOUBLE) - 8 AS pnl FROM i1)
- SELECT intent_id, CASE WHEN intent_no % 50 = 0 THEN 'manual_kill_switch' WHEN mt IS NULL OR created_ts_ms - mt > {3 * HOUR} THEN 'mexc_feed_stale' WHEN intent_no % 41 = 0 THEN 'bridge_disconnected' WHEN expected_edge_bps <= 0 THEN 'non_positive_edge' WHEN pnl <= -7 THEN 'max_daily_loss_reached'
- WHEN op >= 3 THEN 'max_open_positions_reached' WHEN intent_no % 13 = 0 THEN 'symbol_direction_position_exists' WHEN sym = 0 AND op >= 2 THEN 'max_active_symbols_reached' WHEN tot + abs(qty * price_cap) > 700 THEN 'max_total_notional_reached' WHEN sym + abs(qty * price_cap) > 450 THEN 'max_symbol_notional_reached' ELSE 'ok' END AS risk_reason FROM s""",
+    f"""WITH {_POSITIONS}, lg AS (SELECT symbol, local_ts_ms AS ts FROM quotes WHERE venue = 'mexc' GROUP BY ALL), i1 AS (SELECT i.*, lg.ts AS mt FROM intents i ASOF LEFT JOIN lg ON i.symbol = lg.symbol AND i.created_ts_ms >= lg.ts),
+ s AS (SELECT i1.*, ug.* EXCLUDE (intent_no), CASE WHEN side = 'buy' THEN lc ELSE sc END AS dir FROM i1 JOIN ug ON ug.intent_no = i1.intent_no)
+ SELECT intent_id, CASE WHEN i1_no % 50 = 0 THEN 'manual_kill_switch' WHEN mt IS NULL OR created_ts_ms - mt > {6 * HOUR} THEN 'mexc_feed_stale' WHEN i1_no % 41 = 0 THEN 'bridge_disconnected' WHEN expected_edge_bps <= 0 THEN 'non_positive_edge' WHEN day_pnl <= -9 THEN 'max_daily_loss_reached'
+ WHEN op >= 9 THEN 'max_open_positions_reached' WHEN dir > 0 THEN 'symbol_direction_position_exists' WHEN lc + sc = 0 AND active >= 5 THEN 'max_active_symbols_reached' WHEN tot + abs(qty * price_cap) > 2500 THEN 'max_total_notional_reached' WHEN sym + abs(qty * price_cap) > 700 THEN 'max_symbol_notional_reached' ELSE 'ok' END AS risk_reason,
+ CAST(op AS BIGINT) AS open_positions, CAST(active AS BIGINT) AS active_symbols, CAST(dir AS BIGINT) AS direction_count, CAST(tot AS DOUBLE) AS total_notional, CAST(sym AS DOUBLE) AS symbol_notional, CAST(day_pnl AS DOUBLE) AS daily_pnl FROM (SELECT *, intent_no AS i1_no FROM s)""",
     "intents", "quotes",
 )
 def risk_gate(t: Tables) -> DataFrame:
-    own = asof_backward(t.intents, t.quotes.where("venue = 'mexc'"), ["symbol"], F.col("local_ts_ms"), "last_ts", left_ts="created_ts_ms")
+    """Intents against the exposure that fills have built up by then, the lagging feed and switches."""
     n = F.col("intent_no")
-    stale = F.col("last_ts").isNull() | (F.col("created_ts_ms") - F.col("last_ts") > 3 * HOUR)
-    own = own.withColumn("flags", F.create_map(F.lit("kill_switch"), n % 50 == 0, F.lit("mexc_feed_stale"), stale)).withColumn("bridge_connected", n % 41 != 0)
-    own = own.withColumn("daily_pnl", (n % 10).cast("double") - 8).withColumn("open_positions", n % 4).withColumn("direction_count", F.when(n % 13 == 0, 1).otherwise(0)).withColumn("active_symbols", n % 4)
-    own = own.withColumn("symbol_notional", (n % 3).cast("double") * 100).withColumn("total_notional", (n % 6).cast("double") * 100).withColumn("symbol_active", F.col("symbol_notional") > 0)
-    return risk.risk_gate(own, 7.0, 3, 2, 700.0, 450.0).select("intent_id", "risk_reason")
+    fills = t.intents.where(n % 3 == 0).select(
+        n.alias("position_id"), "symbol", "side", F.floor(F.col("qty") * F.col("price_cap")).cast("decimal(18,2)").alias("notional"), (F.col("created_ts_ms") + 1).alias("entry_ts_ms"),
+        F.when(n % 11 > 0, F.col("created_ts_ms") + (1 + n % 7) * 6 * HOUR).alias("exit_ts_ms"), (n % 10 - 6).cast("decimal(18,2)").alias("realized_pnl_usd"),
+    )
+    own = asof_many(t.intents, {"last_ts": Timeline(t.quotes.where("venue = 'mexc'"), F.col("local_ts_ms"))}, ["symbol"], "created_ts_ms")
+    stale = F.col("last_ts").isNull() | (F.col("created_ts_ms") - F.col("last_ts") > 6 * HOUR)
+    own = risk.entry_state(own.withColumn("flags", F.create_map(F.lit("kill_switch"), n % 50 == 0, F.lit("mexc_feed_stale"), stale)).withColumn("bridge_connected", n % 41 != 0), fills)
+    gated = risk.risk_gate(own, 9.0, 9, 5, 2500.0, 700.0)
+    return gated.select("intent_id", "risk_reason", *(F.col(c).cast("long").alias(c) for c in ("open_positions", "active_symbols", "direction_count")), *(F.col(c).cast("double").alias(c) for c in ("total_notional", "symbol_notional", "daily_pnl")))
 
 
 @query(
@@ -158,10 +172,17 @@ _MIXED = """mx AS (SELECT u.row_no, u.client_order_id, CASE WHEN u.row_no % 17 =
     "order_updates", "open_orders",
 )
 def order_state_timeline(t: Tables) -> DataFrame:
+    return orders.order_state_timeline(t.open_orders, mixed_updates(t)).select("row_no", "filled_max", "before_status", "after_status", "open_after", "avg_fill_price", "venue_order_id", "reject_reason")
+
+
+def mixed_updates(t: Tables) -> DataFrame:
     n = F.col("row_no")
     updates = t.order_updates.withColumn("event_type", F.when(n % 17 == 0, "rejected").when(n % 19 == 0, "noted").otherwise(F.col("event_type"))).withColumn("avg_fill_price", F.when(n % 5 == 0, 0.0).otherwise(F.col("avg_fill_price")))
-    updates = updates.withColumn("venue_order_id", F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("v"), n.cast("string")))).withColumn("reason", F.when(n % 2 == 0, F.concat(F.lit("r"), n.cast("string"))))
-    return orders.order_state_timeline(t.open_orders, updates).select("row_no", "filled_max", "before_status", "after_status", "open_after", "avg_fill_price", "venue_order_id", "reject_reason")
+    return updates.withColumn("venue_order_id", F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("v"), n.cast("string")))).withColumn("reason", F.when(n % 2 == 0, F.concat(F.lit("r"), n.cast("string"))))
+
+
+#: The last state of every order that has updates.
+MIXED_FINAL = f"""WITH {_MIXED} SELECT client_order_id, after_status AS status, fm AS filled_qty, last_price AS avg_fill_price, venue_order_id, CASE WHEN rejected_at % 2 = 0 THEN concat('r', rejected_at) END AS reject_reason, after_status IN ('accepted', 'partially_filled') AS open FROM ml QUALIFY row_number() OVER (PARTITION BY client_order_id ORDER BY row_no DESC) = 1"""
 
 
 _FINAL = f"""{_TL}, l AS (SELECT client_order_id, max_by(after_status, row_no) AS st, max(fm) AS fm FROM tl GROUP BY 1), fin AS (SELECT o.client_order_id, coalesce(l.st, o.status) AS status, coalesce(l.fm, 0) AS filled_qty, coalesce(l.st, o.status) IN ('accepted', 'partially_filled') AS open, o.expires_ts_ms FROM open_orders o LEFT JOIN l USING (client_order_id))"""
@@ -206,7 +227,7 @@ def orders_from_submissions(t: Tables) -> DataFrame:
 def raw_updates(t: Tables, *extra: Column) -> DataFrame:
     """Private updates as JSON in the shapes that the bridge sends, out of the order updates."""
     n, i = F.col("row_no"), F.col("client_order_id")
-    single = F.to_json(F.struct(F.lit("OrderUpdate").alias("Type"), F.struct(i.alias("ClientId"), F.when(F.col("event_type") == "cancelled", "canceled").otherwise(F.col("event_type")).alias("Status"), F.when(F.col("event_type") == "fill", F.col("filled_qty")).alias("FilledQty"), F.col("ts_ms").alias("Timestamp")).alias("Data")))
+    single = F.to_json(F.struct(F.lit("OrderUpdate").alias("Type"), F.struct(i.alias("ClientId"), F.when(F.col("event_type") == "cancelled", "canceled").otherwise(F.col("event_type")).alias("Status"), F.when(F.col("event_type") == "fill", F.col("filled_qty")).alias("FilledQty"), F.col("ts_ms").alias("Timestamp"), F.when(n % 4 == 0, F.concat(F.lit("r"), n.cast("string"))).alias("Reason"), F.when(n % 3 == 0, F.concat(F.lit("m"), n.cast("string"))).alias("message")).alias("Data")))
     link = F.when(n % 20 == 1, '"ConnectionId":7').otherwise('"connectionId":"c7"')
     listed = F.concat(F.lit('{"Type":"Positions","Data":{'), link, F.lit(',"Positions":[{"Symbol":"A","Qty":'), F.col("filled_qty").cast("int").cast("string"), F.lit('},{"Symbol":"B","Size":"2"}]}}'))
     balance = F.concat(F.lit('{"type":"wallet","data":{"Asset":"USDT","Free":"'), F.col("filled_qty").cast("int").cast("string"), F.lit('"}}'))
@@ -223,12 +244,12 @@ def expand_private_updates(t: Tables) -> DataFrame:
 
 @query(
     "classify_private_updates",
-    "SELECT row_no, i AS item_no, CASE row_no % 10 WHEN 1 THEN 'position' WHEN 2 THEN 'balance' WHEN 3 THEN 'unknown' ELSE 'order' END AS kind, CASE WHEN row_no % 10 = 1 THEN CASE WHEN i = 0 THEN floor(filled_qty) ELSE 2 END END AS qty, CASE WHEN row_no % 10 = 2 THEN floor(filled_qty) END AS available FROM order_updates, (VALUES (0), (1)) AS v(i) WHERE i = 0 OR row_no % 10 = 1",
+    "SELECT row_no, i AS item_no, CASE row_no % 10 WHEN 1 THEN 'position' WHEN 2 THEN 'balance' WHEN 3 THEN 'unknown' ELSE 'order' END AS kind, CASE WHEN row_no % 10 = 1 THEN CASE WHEN i = 0 THEN floor(filled_qty) ELSE 2 END END AS qty, CASE WHEN row_no % 10 = 2 THEN floor(filled_qty) END AS available, CASE WHEN row_no % 10 IN (1, 2, 3) THEN NULL WHEN row_no % 4 = 0 THEN concat('r', row_no) WHEN row_no % 3 = 0 THEN concat('m', row_no) END AS reason FROM order_updates, (VALUES (0), (1)) AS v(i) WHERE i = 0 OR row_no % 10 = 1",
     "order_updates",
 )
 def classify_private_updates(t: Tables) -> DataFrame:
     own = orders.classify_private_updates(orders.expand_private_updates(raw_updates(t)))
-    return own.select("row_no", F.col("item_no").cast("long").alias("item_no"), "kind", F.when(F.col("kind") == "position", F.col("qty")).alias("qty"), F.when(F.col("kind") == "balance", F.col("available")).alias("available"))
+    return own.select("row_no", F.col("item_no").cast("long").alias("item_no"), "kind", F.when(F.col("kind") == "position", F.col("qty")).alias("qty"), F.when(F.col("kind") == "balance", F.col("available")).alias("available"), "reason")
 
 
 @query("order_event_type", "SELECT row_no, event_type FROM order_updates WHERE row_no % 10 > 3 OR row_no % 10 = 0", "order_updates")

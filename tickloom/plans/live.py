@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.plans import desk
 from tickloom.plans.market import HOUR
 from tickloom.plans.registry import ORACLES, Tables, query
 from tickloom.plans.reporting import _HEALTH
-from tickloom.plans.desk import _FINAL
 from tickloom.sources.store import scratch
 from tickloom.streaming import online
 
@@ -67,10 +67,11 @@ def stream_stale_alerts(t: Tables) -> DataFrame:
     return _appended(t, online.stream_stale_alerts(_landed(t, t.quotes, "local_ts_ms", 4), 3 * HOUR, _landed(t, required)))
 
 
-@query("stream_order_state", f"WITH {_FINAL} SELECT client_order_id, status, filled_qty FROM fin WHERE client_order_id IN (SELECT client_order_id FROM order_updates)", "order_updates", "open_orders")
+@query("stream_order_state", desk.MIXED_FINAL, "order_updates", "open_orders")
 def stream_order_state(t: Tables) -> DataFrame:
-    own = online.stream_order_state(_landed(t, t.order_updates, "row_no", 2), t.open_orders)
-    return _updated(t, own, ["client_order_id"], "updates").select("client_order_id", "status", "filled_qty")
+    """Updates of all kinds, with venue ids, reasons and prices of 0, in two batches."""
+    own = online.stream_order_state(_landed(t, desk.mixed_updates(t), "row_no", 2), t.open_orders)
+    return _updated(t, own, ["client_order_id"], "updates").drop("updates")
 
 
 @query("stream_signals")

@@ -113,21 +113,44 @@ def stream_stale_alerts(quotes: DataFrame, stale_ms: int, required: DataFrame |
     return own.groupBy("venue", "symbol").applyInPandasWithState(update, _ALERT, "last long, seen boolean, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+_ORDER = "client_order_id string, status string, filled_qty double, avg_fill_price double, venue_order_id string, reject_reason string, open boolean, updates long"
+_ORDER_STATE = "status string, filled double, price double, venue_order_id string, reason string, open boolean, n long"
+
+
 def stream_order_state(updates: DataFrame, known: DataFrame) -> DataFrame:
-    """Order states folded from updates in arrival order; known orders (a static table) give quantity and first status."""
-    own = updates.join(known.select("client_order_id", "qty", "status"), "client_order_id").select("client_order_id", "row_no", "event_type", "filled_qty", "qty", "status")
+    """Order states folded from updates in arrival order, as order_state_timeline folds them; known orders (a static table) give
+    quantity and first state. Kinds that are no order event change nothing.
+
+    updates may lack avg_fill_price, venue_order_id and reason; known may lack venue_order_id and open.
+    """
+    own = updates
+    for name, kind in (("avg_fill_price", "double"), ("venue_order_id", "string"), ("reason", "string")):
+        own = own if name in own.columns else own.withColumn(name, F.lit(None).cast(kind))
+    given = known.select(
+        "client_order_id", "qty", "status", (F.col("venue_order_id") if "venue_order_id" in known.columns else F.lit(None).cast("string")).alias("venue_id"), (F.col("open") if "open" in known.columns else F.col("status").isin("accepted", "unknown")).alias("open")
+    )
+    own = own.select("client_order_id", "row_no", "event_type", "filled_qty", "avg_fill_price", "venue_order_id", "reason").join(given, "client_order_id")
+    fields = ["row_no", "event_type", "filled_qty", "avg_fill_price", "venue_order_id", "reason", "qty", "status", "venue_id", "open"]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("row_no")
-        status, filled, n = state.get if state.exists else (rows["status"].iloc[0], 0.0, 0)
-        for kind, qty_filled, qty in zip(rows["event_type"], rows["filled_qty"], rows["qty"], strict=True):
+        rows = sorted((r for f in frames for r in zip(*(f[c].tolist() for c in fields), strict=True)), key=lambda r: r[0])
+        status, filled, price, venue_id, reason, is_open, n = state.get if state.exists else (rows[0][7], 0.0, None, rows[0][8], None, rows[0][9], 0)
+        for _, kind, qty_filled, paid, own_id, why, qty, *_ in rows:
+            qty_filled, paid = (None if x != x else x for x in (qty_filled, paid))  # numbers that are null arrive as NaN
             if kind == "fill":
-                filled = max(filled, 0.0 if qty_filled is None else float(qty_filled))
-            status = ("filled" if filled >= qty else "partially_filled") if kind == "fill" else kind
-        state.update((status, filled, n + len(rows)))
-        yield pd.DataFrame([(key[0], status, filled, n + len(rows))], columns=["client_order_id", "status", "filled_qty", "updates"])
+                filled = max(filled, qty_filled or 0.0)
+                status, price = ("filled" if filled >= qty else "partially_filled"), paid or price
+            elif kind in ("accepted", "cancelled", "rejected"):
+                status = kind
+            else:
+                continue
+            venue_id, reason = (venue_id, why) if kind == "rejected" else (own_id or venue_id, reason)
+            is_open = status in ("accepted", "partially_filled")
+        now = (status, filled, price, venue_id, reason, is_open, n + len(rows))
+        state.update(now)
+        yield pd.DataFrame([(key[0], *now)], columns=[c.split()[0] for c in _ORDER.split(", ")])
 
-    return own.groupBy("client_order_id").applyInPandasWithState(update, "client_order_id string, status string, filled_qty double, updates long", "status string, filled double, n long", "update", GroupStateTimeout.NoTimeout)
+    return own.groupBy("client_order_id").applyInPandasWithState(update, _ORDER, _ORDER_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 _SIGNAL = "row_no long, symbol string, ts long, side string, edge_bps double, z_score double"
