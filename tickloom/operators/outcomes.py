@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import LAGGER, LEADER, event_order, log_basis_bps, mid, pnl_values
+from tickloom.functions.scratch import kept
 from tickloom.operators.asof import HOUR_MS, asof_backward, asof_forward, latest_pair
 from tickloom.operators.windows import running_sums
 
@@ -76,6 +77,8 @@ def label_exits(entries: DataFrame, quotes: DataFrame, ttl_ms: int, take_profit_
     """
     pairs = latest_pair(quotes.withColumn("mid", mid()), leader, lagger, event_order(), ["local_ts_ms", "mid"]).where(F.col("venue") == lagger)
     ticks = pairs.select("symbol", "row_no", F.col("local_ts_ms").alias("ts"), "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), F.col("leader.local_ts_ms").alias("leader_ts"), F.col("leader.mid").alias("leader_mid"))
+    ticks = kept(ticks, "ticks")  # both are read three times: by slices, by the ticks looked at and by those at the end of lives
+    entries = kept(entries, "entries")
     own = entries.withColumn("expires_ts_ms", F.col("entry_ts_ms") + ttl_ms)
     asked = _slices_to_look_at(own, ticks, max(1, ttl_ms // SLICES), take_profit_bps, stale_ms, z_exit, adverse_z)
     early = asked.join(ticks.withColumn("_slice", F.floor(F.col("ts") / max(1, ttl_ms // SLICES))), ["symbol", "_slice"]).where("ts > entry_ts_ms AND ts < expires_ts_ms")
@@ -156,9 +159,9 @@ def exposure_timeline(fills: DataFrame) -> DataFrame:
     fills: position_id, symbol, side, notional, entry_ts_ms, exit_ts_ms (null while open) and realized_pnl_usd.
     At one time closings come first.
     """
-    base = fills.select("position_id", "symbol", "side", "notional", F.lit(0).cast(fills.schema["realized_pnl_usd"].dataType).alias("pnl"), F.col("entry_ts_ms").alias("ts"), F.lit(1).alias("change"))
-    ends = fills.where("exit_ts_ms IS NOT NULL").select("position_id", "symbol", "side", "notional", F.col("realized_pnl_usd").alias("pnl"), F.col("exit_ts_ms").alias("ts"), F.lit(-1).alias("change"))
-    moves = base.unionByName(ends)
+    pnl = F.col("realized_pnl_usd")
+    ends = F.array(F.struct(F.lit(0).cast(fills.schema["realized_pnl_usd"].dataType).alias("pnl"), F.col("entry_ts_ms").alias("ts"), F.lit(1).alias("change")), F.struct(pnl.alias("pnl"), F.col("exit_ts_ms").alias("ts"), F.lit(-1).alias("change")))
+    moves = fills.select("position_id", "symbol", "side", "notional", F.explode(ends).alias("m")).select("position_id", "symbol", "side", "notional", "m.*").where("change = 1 OR ts IS NOT NULL")
     order = [F.col("ts"), F.col("change"), F.col("position_id")]
     delta = F.col("change") * F.col("notional")
     long = F.when(F.col("side") == "buy", F.col("change")).otherwise(0)

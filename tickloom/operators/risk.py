@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import is_multiple
+from tickloom.functions.scratch import kept
 from tickloom.operators.asof import DAY_MS, HOUR_MS, Timeline, asof_many
 from tickloom.operators.health import RISK_FLAGS, reason_of
 from tickloom.operators.windows import running_sums
@@ -32,8 +33,10 @@ def entry_state(intents: DataFrame, fills: DataFrame) -> DataFrame:
 
     fills: position_id, symbol, side, notional, entry_ts_ms, exit_ts_ms (null while open) and realized_pnl_usd, the amounts as
     decimals so that sums are exact. At one time closings come first, then openings, then intents. Intents and both ends of fills are one
-    union, summed once by symbol and once over all symbols by the hour. Intents without a time leave.
+    union, summed once by symbol and once over all symbols by the hour. The intents and their sums are written, since both are
+    read several times. Intents without a time leave.
     """
+    intents = kept(intents, "intents")
     ends = F.explode(F.array(F.struct(F.col("entry_ts_ms").alias("ts"), F.lit(1).alias("change")), F.struct(F.col("exit_ts_ms").alias("ts"), F.lit(-1).alias("change"))))
     moves = fills.select("position_id", "symbol", F.col("side").alias("_way"), "notional", "realized_pnl_usd", ends.alias("_m"))
     amount = F.col("_m.change") * F.col("notional")
@@ -49,7 +52,7 @@ def entry_state(intents: DataFrame, fills: DataFrame) -> DataFrame:
     days = fills.where("exit_ts_ms IS NOT NULL").groupBy(day("exit_ts_ms").alias("_day")).agg(F.sum("realized_pnl_usd").alias("_of_day"))
     days = days.select("_day", F.sum("_of_day").over(Window.orderBy("_day")).alias("_until"))  # a row for each day
     spans = days.select("_day", F.lead("_day").over(Window.orderBy("_day")).alias("_next"), "_until")
-    own = own.where("_rank = 1").withColumn("_own_day", day("_t"))
+    own = kept(own.where("_rank = 1").withColumn("_own_day", day("_t")), "states")
     asked = own.select("_own_day").distinct().join(spans, (F.col("_day") < F.col("_own_day")) & (F.coalesce("_next", F.col("_own_day")) >= F.col("_own_day")), "left").select("_own_day", "_until")
     own = own.join(asked, "_own_day").withColumn("daily_pnl", F.col("_realized") - F.coalesce("_until", F.lit(0)))
     side = F.when(F.col("side") == "buy", F.col("_long")).otherwise(F.col("_short"))

@@ -13,8 +13,6 @@ from tickloom.operators.asof import DAY_MS, Timeline, merged, running_last, runn
 
 #: Rows of one key that a block of a rows-frame holds.
 BLOCK_ROWS = 4096
-#: Chunks of time whose totals are summed together before they are carried on.
-UPPER = 256
 
 
 def previous_quote(quotes: DataFrame) -> DataFrame:
@@ -53,24 +51,18 @@ def with_position(df: DataFrame, keys: list[str], ts: str, order: list[Column],
 def running_sums(df: DataFrame, keys: list[str], ts: str, order: list[Column], sums: dict[str, Column], chunk_ms: int | None = DAY_MS) -> DataFrame:
     """df with running sums, the current row included; chunks of time run apart and get the totals of those before.
 
-    Totals are carried in two levels, so that no window holds more than UPPER chunks or a chunk in UPPER of a key.
+    The totals of a key, a row for each chunk of its history, are one window; rows are never in one window but by chunk.
     """
     if chunk_ms is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select(*(c for c in df.columns if c not in sums), *(F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(n) for n, v in sums.items()))
     df = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_ms))
     totals = df.groupBy(*keys, "_chunk").agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in sums.items()))
-    totals = totals.withColumn("_upper", F.floor(F.col("_chunk") / UPPER))
-
-    def earlier(parts: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
-        before = Window.partitionBy(*(within or [F.lit(0)])).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return parts.select(*keys, *{by: None, "_upper": None}, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{name}{n}") for n in sums))
-
-    uppers = totals.groupBy(*keys, "_upper").agg(*(F.sum(n).alias(n) for n in sums))
-    carried = earlier(totals, [*keys, "_upper"], "_chunk", "_in_").join(earlier(uppers, keys, "_upper", "_up_"), [*keys, "_upper"])
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "_chunk", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_in_{n}") for n in sums))
     own = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = df.select("*", *(F.sum(v).over(own).alias(f"_own_{n}") for n, v in sums.items())).join(carried, [*keys, "_chunk"])
-    return inner.select(*(c for c in df.columns if c not in (*sums, "_chunk")), *((F.coalesce(f"_own_{n}", F.lit(0)) + F.col(f"_in_{n}") + F.col(f"_up_{n}")).alias(n) for n in sums))
+    return inner.select(*(c for c in df.columns if c not in (*sums, "_chunk")), *((F.coalesce(f"_own_{n}", F.lit(0)) + F.col(f"_in_{n}")).alias(n) for n in sums))
 
 
 def pair_frame(quotes: DataFrame, leader: str, lagger: str, columns: list[str], timelines: dict[str, Timeline] | None = None) -> DataFrame:

@@ -112,8 +112,8 @@ def feed_risk_flags(t: Tables) -> DataFrame:
     return risk.feed_risk_flags(t.intents, t.quotes, 3 * HOUR).select("intent_id", "leader_stale", "lagger_stale")
 
 
-# positions of every third intent, some still open
-_POSITIONS = f"""po AS (SELECT intent_no AS position_id, symbol, side, CAST(floor(qty * price_cap) AS DECIMAL(18,2)) AS notional, created_ts_ms + 1 AS entry_ts, CASE WHEN intent_no % 11 > 0 THEN created_ts_ms + (1 + intent_no % 7) * {6 * HOUR} END AS exit_ts, CAST(intent_no % 10 - 6 AS DECIMAL(18,2)) AS pnl FROM intents WHERE intent_no % 3 = 0),
+# positions that intents open, some still open at the end
+_POSITIONS = f"""po AS (SELECT intent_no AS position_id, symbol, side, CAST(floor(qty * price_cap) AS DECIMAL(18,2)) AS notional, created_ts_ms + 1 AS entry_ts, CASE WHEN intent_no % 211 > 0 THEN created_ts_ms + (1 + intent_no % 7) * {HOUR} END AS exit_ts, CAST(intent_no % 11 - 6 AS DECIMAL(18,2)) AS pnl FROM intents WHERE intent_no % 5 = 0),
  mv AS (SELECT position_id, symbol, side, notional, CAST(0 AS DECIMAL(18,2)) AS pnl, entry_ts AS ts, 1 AS c FROM po UNION ALL SELECT position_id, symbol, side, -notional, pnl, exit_ts, -1 FROM po WHERE exit_ts IS NOT NULL),
  un AS (SELECT NULL AS intent_no, symbol, side AS way, ts, 0 AS rk, c, position_id, notional, pnl FROM mv UNION ALL SELECT intent_no, symbol, NULL, created_ts_ms, 1, NULL, NULL, NULL, NULL FROM intents),
  us AS (SELECT *, coalesce(sum(notional) OVER w, 0) AS sym, coalesce(sum(CASE WHEN way = 'buy' THEN c END) OVER w, 0) AS lc, coalesce(sum(CASE WHEN way <> 'buy' THEN c END) OVER w, 0) AS sc FROM un WINDOW w AS (PARTITION BY symbol ORDER BY ts, rk, c, position_id ROWS UNBOUNDED PRECEDING)),
@@ -125,22 +125,22 @@ _POSITIONS = f"""po AS (SELECT intent_no AS position_id, symbol, side, CAST(floo
     "risk_gate",
     f"""WITH {_POSITIONS}, lg AS (SELECT symbol, local_ts_ms AS ts FROM quotes WHERE venue = 'mexc' GROUP BY ALL), i1 AS (SELECT i.*, lg.ts AS mt FROM intents i ASOF LEFT JOIN lg ON i.symbol = lg.symbol AND i.created_ts_ms >= lg.ts),
  s AS (SELECT i1.*, ug.* EXCLUDE (intent_no), CASE WHEN side = 'buy' THEN lc ELSE sc END AS dir FROM i1 JOIN ug ON ug.intent_no = i1.intent_no)
- SELECT intent_id, CASE WHEN i1_no % 50 = 0 THEN 'manual_kill_switch' WHEN mt IS NULL OR created_ts_ms - mt > {6 * HOUR} THEN 'mexc_feed_stale' WHEN i1_no % 41 = 0 THEN 'bridge_disconnected' WHEN expected_edge_bps <= 0 THEN 'non_positive_edge' WHEN day_pnl <= -9 THEN 'max_daily_loss_reached'
- WHEN op >= 9 THEN 'max_open_positions_reached' WHEN dir > 0 THEN 'symbol_direction_position_exists' WHEN lc + sc = 0 AND active >= 5 THEN 'max_active_symbols_reached' WHEN tot + abs(qty * price_cap) > 2500 THEN 'max_total_notional_reached' WHEN sym + abs(qty * price_cap) > 700 THEN 'max_symbol_notional_reached' ELSE 'ok' END AS risk_reason,
+ SELECT intent_id, CASE WHEN i1_no % 50 = 0 THEN 'manual_kill_switch' WHEN mt IS NULL OR created_ts_ms - mt > {6 * HOUR} THEN 'mexc_feed_stale' WHEN i1_no % 41 = 0 THEN 'bridge_disconnected' WHEN expected_edge_bps <= 0 THEN 'non_positive_edge' WHEN day_pnl <= -6 THEN 'max_daily_loss_reached'
+ WHEN op >= 8 THEN 'max_open_positions_reached' WHEN dir > 0 THEN 'symbol_direction_position_exists' WHEN lc + sc = 0 AND active >= 5 THEN 'max_active_symbols_reached' WHEN tot + abs(qty * price_cap) > 2500 THEN 'max_total_notional_reached' WHEN sym + abs(qty * price_cap) > 700 THEN 'max_symbol_notional_reached' ELSE 'ok' END AS risk_reason,
  CAST(op AS BIGINT) AS open_positions, CAST(active AS BIGINT) AS active_symbols, CAST(dir AS BIGINT) AS direction_count, CAST(tot AS DOUBLE) AS total_notional, CAST(sym AS DOUBLE) AS symbol_notional, CAST(day_pnl AS DOUBLE) AS daily_pnl FROM (SELECT *, intent_no AS i1_no FROM s)""",
     "intents", "quotes",
 )
 def risk_gate(t: Tables) -> DataFrame:
     """Intents against the exposure that fills have built up by then, the lagging feed and switches."""
     n = F.col("intent_no")
-    fills = t.intents.where(n % 3 == 0).select(
+    fills = t.intents.where(n % 5 == 0).select(
         n.alias("position_id"), "symbol", "side", F.floor(F.col("qty") * F.col("price_cap")).cast("decimal(18,2)").alias("notional"), (F.col("created_ts_ms") + 1).alias("entry_ts_ms"),
-        F.when(n % 11 > 0, F.col("created_ts_ms") + (1 + n % 7) * 6 * HOUR).alias("exit_ts_ms"), (n % 10 - 6).cast("decimal(18,2)").alias("realized_pnl_usd"),
+        F.when(n % 211 > 0, F.col("created_ts_ms") + (1 + n % 7) * HOUR).alias("exit_ts_ms"), (n % 11 - 6).cast("decimal(18,2)").alias("realized_pnl_usd"),
     )
     own = asof_many(t.intents, {"last_ts": Timeline(t.quotes.where("venue = 'mexc'"), F.col("local_ts_ms"))}, ["symbol"], "created_ts_ms")
     stale = F.col("last_ts").isNull() | (F.col("created_ts_ms") - F.col("last_ts") > 6 * HOUR)
     own = risk.entry_state(own.withColumn("flags", F.create_map(F.lit("kill_switch"), n % 50 == 0, F.lit("mexc_feed_stale"), stale)).withColumn("bridge_connected", n % 41 != 0), fills)
-    gated = risk.risk_gate(own, 9.0, 9, 5, 2500.0, 700.0)
+    gated = risk.risk_gate(own, 6.0, 8, 5, 2500.0, 700.0)
     return gated.select("intent_id", "risk_reason", *(F.col(c).cast("long").alias(c) for c in ("open_positions", "active_symbols", "direction_count")), *(F.col(c).cast("double").alias(c) for c in ("total_notional", "symbol_notional", "daily_pnl")))
 
 
