@@ -138,6 +138,8 @@ def test_decontamination(spark, monkeypatch, block, blocks, joined):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], sorted({str(x["item_id"]) for x in r["spans"]})) for r in decontaminate.longest_matches(docs(spark, rows), bench).collect())))
     assert got == sorted(map(str, ((i, *hits(t, items)[:2], sorted(hits(t, items)[2])) for i, t in rows)))
+    short = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], sorted(map(str, r["items"]))) for r in decontaminate.matched_items(docs(spark, rows), bench).collect())))
+    assert short == got
     left = decontaminate.decontaminated(docs(spark, rows), bench)
     assert left.columns == ["doc_id", "text", "id", "n"]
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == sorted((str(i), t or "") for i, t in rows if not hits(t, items)[1])
@@ -145,6 +147,21 @@ def test_decontamination(spark, monkeypatch, block, blocks, joined):
     assert decontaminate.decontaminated(clash, bench).columns == ["doc_id", "text", "spans", "n_hit"]
 
 
+def test_shared_openings_are_not_multiplied():
+    """2,000 items that share an opening, in 2,000 places of one text: places and items are listed, not their pairs."""
+    opening = " ".join(f"w{k}" for k in range(10))
+    block = decontaminate.Block([(str(k), f"{opening} item{k}") for k in range(2000)], 10)
+    part = pa.RecordBatch.from_arrays([pa.array([f"{opening} x " * 2000, "clean"]), pa.array([[], []], pa.list_(pa.struct([("doc_word", pa.int64()), ("n_words", pa.int64())]))), pa.array([[], []], pa.list_(pa.string()))], ["text", "runs", "items"])
+    tracemalloc.start()
+    n_words, n_hit, runs, items = decontaminate._hits(part, [block], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert (n_words.tolist(), n_hit.tolist()) == ([22_000, 1], [20_000, 0])
+    assert sorted(items[0].as_py(), key=int) == [str(k) for k in range(2000)] and items[1].as_py() == []
+    assert len(runs[0]) == 2000 and runs[0][1].as_py() == {"doc_word": 11, "n_words": 10}
+
+
 def test_longest_match_is_whole(spark):
     item = " ".join(f"w{k}" for k in range(30))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")

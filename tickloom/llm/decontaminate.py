@@ -27,6 +27,7 @@ BLOCK_BYTES, PASS_BLOCKS = 2 << 20, 16
 #: Windows that are searched, and places by items that are joined, at a time.
 SEARCHED, JOINED = 1 << 16, 1 << 20
 SPANS = "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
+HITS = {"runs": "array<struct<doc_word:long,n_words:long>>", "items": "array<string>"}
 
 
 class Suffixes:
@@ -112,10 +113,8 @@ class Block:
         self.heads = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
         return start, length, owner
 
-    def places(self, table: Suffixes) -> Iterator[tuple[np.ndarray, ...]]:
-        """Text, word in the table, item, word of the item and length of each place of a window, about JOINED at a time, texts whole."""
-        start, length, owner = self.windows()
-        sizes = np.diff(np.append(self.heads, len(start)))
+    def found(self, table: Suffixes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Text, word in the table and distinct window of each place where one stands, by text."""
         number = table.known(self.code)
         unknown = np.concatenate(([0], np.cumsum(number == 0)))
         first, long = start[self.heads], length[self.heads]
@@ -130,11 +129,36 @@ class Block:
             doc.append(table.doc[place])
             word.append(table.word[place])
             group.append(np.repeat(part, count))
-        if not doc:
-            return
-        doc, word, group = (np.concatenate(x) for x in (doc, word, group))
+        doc, word, group = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, word, group))
         order = np.argsort(doc, kind="stable")
-        doc, word, group = doc[order], word[order], group[order]
+        return doc[order], word[order], group[order]
+
+    def hits(self, table: Suffixes) -> tuple[np.ndarray, ...]:
+        """Word in the table and length of each place of a window; and text and item, once for each item with a window in a text.
+
+        Windows that many items share are listed by place once, and by text once, not by place and item.
+        """
+        start, length, owner = self.windows()
+        sizes = np.diff(np.append(self.heads, len(start)))
+        doc, word, group = self.found(table, start, length)
+        n_items, n_groups = len(self.bounds), max(len(self.heads), 1)
+        met = np.unique(doc * n_groups + group)
+        pairs, step = [np.zeros(0, np.int64)], max(1, JOINED // max(int(sizes.max(initial=1)), 1))
+        for lo in range(0, len(met), step):  # the items of a window are listed for a bounded number of texts at a time
+            at_doc, own = met[lo : lo + step] // n_groups, met[lo : lo + step] % n_groups
+            count = sizes[own]
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.heads[own], count)
+            pairs.append(np.unique(np.repeat(at_doc, count) * n_items + owner[at]))
+        pairs = np.unique(np.concatenate(pairs))
+        return word, length[self.heads[group]], pairs // n_items, pairs % n_items
+
+    def places(self, table: Suffixes) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, word in the table, item, word of the item and length of each place of a window, about JOINED at a time, texts whole."""
+        start, length, owner = self.windows()
+        sizes = np.diff(np.append(self.heads, len(start)))
+        doc, word, group = self.found(table, start, length)
+        if not len(doc):
+            return
         total = np.cumsum(sizes[group])
         lo = 0
         while lo < len(doc):
@@ -181,15 +205,64 @@ def _spans(part: pa.RecordBatch, blocks: list[Block], window: int) -> tuple[np.n
     begin = np.asarray(at) + words.bounds[doc]
     np.add.at(step, begin, 1)
     np.add.at(step, begin + np.asarray(size), -1)
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(step[:-1]) > 0)))[words.bounds]
+    hit = _covered(step)[words.bounds]
     return np.diff(words.bounds), np.diff(hit), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), structs)
 
 
+def _covered(step: np.ndarray) -> np.ndarray:
+    """Words hit up to each word, from the number of hits that begin less those that end there."""
+    return np.concatenate(([0], np.cumsum(np.cumsum(step[:-1]) > 0)))
+
+
+def _hits(part: pa.RecordBatch, blocks: list[Block], window: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Words, hit words, runs of hit words and distinct items of each text; those of earlier passes come along in part."""
+    words = Texts(part.column("text")).words(ALNUM)
+    runs, items = part.column("runs"), part.column("items")
+    flat, of_run = runs.flatten(), np.repeat(np.arange(len(runs)), np.diff(np.asarray(runs.offsets)))
+    step = np.zeros(len(words.code) + 1, np.int64)
+    begin = np.asarray(flat.field(0)) + words.bounds[of_run]
+    np.add.at(step, begin, 1)
+    np.add.at(step, begin + np.asarray(flat.field(1)), -1)
+    docs, names = [np.repeat(np.arange(len(items)), np.diff(np.asarray(items.offsets)))], [items.flatten()]
+    if len(words.code):
+        table = Suffixes(words.code, words.bounds, window)
+        for block in blocks:
+            word, size, doc, owner = block.hits(table)
+            np.add.at(step, word, 1)
+            np.add.at(step, word + size, -1)
+            docs.append(doc)
+            names.append(block.ids.take(pa.array(owner)))
+    doc, name = np.concatenate(docs), pa.concat_arrays(names).dictionary_encode()
+    code = name.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((code, doc))
+    doc, code = doc[order], code[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+    kept = order[fresh]
+    own = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[fresh], np.arange(part.num_rows + 1)), pa.int32()), name.take(pa.array(kept)).dictionary_decode())
+    inside = np.cumsum(step[:-1]) > 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = words.bounds[:-1][np.diff(words.bounds) > 0]
+    first[heads] = inside[heads]
+    last = np.append(inside[:-1] & (~inside[1:] | first[1:]), inside[-1:])
+    at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    text = np.searchsorted(words.bounds, at, "right") - 1
+    found = pa.StructArray.from_arrays([pa.array(at - words.bounds[text], pa.int64()), pa.array(end - at, pa.int64())], ["doc_word", "n_words"])
+    cuts = np.searchsorted(at, words.bounds)
+    return np.diff(words.bounds), np.diff(_covered(step)[words.bounds]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found), own
+
+
 def _search(batches: Iterator[pa.RecordBatch], blocks: list[Block], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
-            n_words, n_hit, spans = _spans(part, blocks, window)
-            own = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "spans": spans}
+            if "spans" in names:
+                n_words, n_hit, spans = _spans(part, blocks, window)
+                own = {"spans": spans}
+            else:
+                n_words, n_hit, runs, items = _hits(part, blocks, window)
+                own = {"runs": runs, "items": items}
+            own |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())}
             yield pa.RecordBatch.from_arrays([own[n] if n in own else part.column(n) for n in names], names)
 
 
@@ -202,17 +275,17 @@ def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, batch.column(c)) for c in ("item", "text")], ["item", "text"])
 
 
-def _matched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, keep_text: bool) -> DataFrame:
-    """rows (text and any columns but these) with n_words, n_hit and spans."""
+def _matched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, state: dict[str, str]) -> DataFrame:
+    """rows (text and any columns but these) with n_words, n_hit and the columns of state: spans, or runs and items."""
     bounded_batches(rows.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
     packed = written(items.mapInArrow(lambda it: _packed(it, BLOCK_BYTES), "item array<string>, text array<string>"), "benchmark")
-    out, held = rows.withColumn("spans", F.array().cast(SPANS)), []
+    out, held = rows.withColumns({n: F.array().cast(kind) for n, kind in state.items()}), []
 
     def one_pass(df: DataFrame, blocks: list[Block], last: bool) -> DataFrame:
-        fields = [f for f in df.schema if f.name not in ("spans", *(() if keep_text or not last else ("text",)))]
-        names = [*(f.name for f in fields), *(("n_words", "n_hit") if last else ()), "spans"]
-        kinds = {f.name: f.dataType.simpleString() for f in fields} | {"n_words": "long", "n_hit": "long", "spans": SPANS}
+        fields = [f for f in df.schema if f.name not in (*state, *(("text",) if last else ()))]
+        names = [*(f.name for f in fields), *(("n_words", "n_hit") if last else ()), *state]
+        kinds = {f.name: f.dataType.simpleString() for f in fields} | {"n_words": "long", "n_hit": "long"} | state
         return df.mapInArrow(lambda it: _search(it, blocks, window, names), ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
     for r in packed.toLocalIterator():  # a pass carries a bounded part of the benchmark
@@ -235,11 +308,20 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     Empty tables give no rows, or rows without matches.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _matched(rows, benchmark, item_col, item_text_col, window, False).withColumnRenamed("id", id_col)
+    return _matched(rows, benchmark, item_col, item_text_col, window, {"spans": SPANS}).withColumnRenamed("id", id_col)
+
+
+def matched_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """id_col, n_words, n_hit, runs of hit words (doc_word, n_words) and the distinct ids of the items that match, without their places.
+
+    As longest_matches, but what it holds grows with places and with items, not with their product, where many items share a passage.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _matched(rows, benchmark, item_col, item_text_col, window, HITS).withColumnRenamed("id", id_col)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs without the rows that have a verbatim match, whatever their ids; all columns stay. Texts and items as in longest_matches."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string"))
-    return _matched(rows, benchmark, item_col, item_text_col, window, False).where("n_hit = 0").select(*names).toDF(*docs.columns)
+    return _matched(rows, benchmark, item_col, item_text_col, window, HITS).where("n_hit = 0").select(*names).toDF(*docs.columns)

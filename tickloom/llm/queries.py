@@ -11,7 +11,7 @@ import corpus_pipeline
 from tickloom.llm import oracles
 from tickloom.llm.chat import TURN_TOOLS, calls_from_turns, link_tool_calls
 from tickloom.llm.collocations import collocations
-from tickloom.llm.decontaminate import longest_matches
+from tickloom.llm.decontaminate import matched_items
 from tickloom.llm.divergence import source_divergence
 from tickloom.llm.html import extract_text, train
 from tickloom.llm.language import held_out, identify_language, language_prototypes
@@ -42,8 +42,8 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = longest_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct("spans.item_id"))
+    found = matched_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort("items")
     return found.select(
         "doc_id",
         "n_words",
