@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import BROADCAST_IDS, written
+from tickloom.llm.tables import BROADCAST_IDS, forget, written
 
 NONE = "(none)"
 #: First hex digits of the shuffle key; a leaf's documents fall into 4096 such buckets.
@@ -103,6 +103,7 @@ def mix(
     upto = F.sum("n_tokens").over(Window.partitionBy(*path).orderBy("order", "key"))
     stop = edge.withColumn("upto", upto).where("upto > room").groupBy(*path).agg(F.min(F.struct("order", "key")).alias("stop"))
     stop = written(plan.join(ends, path, "left").join(stop, path, "left").select(*path, "full", "stop"), "stops")
+    forget(sized, leaves, plan, ends)
 
     own = marked.join(F.broadcast(stop) if few else stop, path).withColumn("order", order)
     in_prefix = F.col("stop").isNull() | (F.struct("order", "key") < F.col("stop"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import BROADCAST_IDS, written
+from tickloom.llm.tables import BROADCAST_IDS, forget, written
 
 MAGIC = "WARC/1."
 #: Bytes of a file whose candidates one group holds.
@@ -46,9 +46,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     digests = written(rows.select("id", "digest").where("id IS NOT NULL"), "digests")
     first = written(digests.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).where("least < refers_to").select("digest", "refers_to"), "first_seen")
     revisits = written(digests.join(first, "digest").where("id < refers_to").distinct(), "revisits")
-    if revisits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        revisits = F.broadcast(revisits)
-    rows = rows.join(revisits, ["id", "digest"], "left")
+    few = revisits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(revisits) if few else revisits, ["id", "digest"], "left")
     revisit = F.col("refers_to").isNotNull()
     length = F.octet_length("html")
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -71,6 +70,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     )
     # the writer's line separator is the last line break of a record
     rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    forget(digests, first, revisits)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -158,9 +158,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     pieces = written(_pieces(spark, path).mapInArrow(_candidates, ", ".join(f"{k} {'string' if t == pa.string() else 'long'}" for k, t in _CANDIDATE.items())), "pieces")
     order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = pieces.groupBy("file", "split").agg(F.sum("size").alias("bytes")).withColumn("base", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
-    located = pieces.join(written(bases.drop("bytes"), "bases"), ["file", "split"])
+    bases = written(bases.drop("bytes"), "bases")
+    located = pieces.join(bases, ["file", "split"])
     located = located.withColumn("offset", F.col("base") + F.col("place") - len(MAGIC)).withColumn("following", F.expr("offset + head + length + 4"))
     located = written(located.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).drop("base"), "located")
+    forget(pieces, bases)
     links = located.where("head IS NOT NULL AND offset >= 0").select("file", "stretch", "offset", "following")
 
     # contract each stretch, then jump from the start of every file
@@ -171,17 +173,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     reached = written(start, "reached")
     longest = links.agg(F.max("stretch")).first()[0] or 0
     for _ in range(math.ceil(math.log2(longest + 2))):
+        before = reached, jumps
         reached = written(reached.unionByName(reached.join(jumps, ["file", "offset"]).select("file", F.col("away").alias("offset"))).distinct(), "reached")
         hop = jumps.select("file", F.col("offset").alias("away"), F.col("away").alias("further"))
         jumps = written(jumps.join(hop, ["file", "away"], "left").select("file", "offset", F.coalesce("further", "away").alias("away")), "jumps")
+        forget(*before)
     entries = reached.join(links.select("file", "offset", "stretch"), ["file", "offset"]).select("file", "stretch", F.col("offset").alias("entry"))
     on_chain = links.join(entries.groupBy("file", "stretch").agg(F.min("entry").alias("entry")), ["file", "stretch"])
     on_chain = written(on_chain.groupBy("file", "stretch").applyInPandas(_walk, "file string, offset long"), "on_chain")
     records = written(located.join(on_chain, ["file", "offset"]), "records")
+    forget(away, jumps, reached, on_chain)
 
     split_up = written(records.where("payload_digest IS NULL").select("file", F.col("offset").alias("record"), "head", "length", "following"), "split_up")
     if not split_up.isEmpty():
         records = records.join(_reassembled(spark, path, located, split_up), ["file", "offset"], "left").withColumn("payload_digest", F.coalesce("payload_digest", "whole_digest"))
+    forget(located)
     return records.select(*(x.split()[0] for x in RECORD.split(", ")))
 
 
