@@ -15,7 +15,7 @@ from tickloom.llm.decontaminate import decontaminated
 from tickloom.llm.language import UNKNOWN, held_out, language_prototypes, with_language
 from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import one_of_each
-from tickloom.llm.suffix_dedup import PASSAGE, without_repeats
+from tickloom.llm.suffix_dedup import without_repeats
 from tickloom.llm.tables import new_path
 
 LEVELS = ["domain", "lang", "source"]
@@ -47,11 +47,11 @@ def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE bytes or more that stand elsewhere too go from all texts; n_chars follows.
+    """Strings of 400 bytes or more that stand elsewhere too go from all texts; n_chars follows.
 
     Texts of which nothing but spaces is left go; null and shorter texts stay as they are. Null ids count like others.
     """
-    cut = without_repeats(docs, length=PASSAGE)
+    cut = without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

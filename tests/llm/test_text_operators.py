@@ -501,7 +501,7 @@ def test_pipeline(spark):
     assert two == {i: rows[i] for i, x in components(list(texts(one).items())).items() if x[2]}
     kept = before.where(F.col("doc_id").isin(list(two)))
     three = corpus_pipeline.cut_repeats(spark, kept, path)
-    want = without(list(two.items()), suffix_dedup.PASSAGE)
+    want = without(list(two.items()), suffix_dedup.LENGTH)
     assert texts(three) == want and {r["n_chars"] for r in three.where("length(text) <> n_chars").collect()} == set()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
     four = corpus_pipeline.decontaminate(spark, three, path)
@@ -526,7 +526,7 @@ def test_stages_on_odd_rows(spark):
     """Null ids, texts, languages and sources, repeated rows, columns that clash with inner names, and no rows at all."""
     path = "/root/testdata/sf0.001"
     rng = random.Random(9)
-    some = [prose(rng, 40) for _ in range(4)]
+    some = [prose(rng, n) for n in (40, 120, 40, 40)]
     rows = [(1, some[0], "en", "src1"), (1, some[0], "en", "src1"), (None, some[0], None, None), (None, some[1], "de", None), (None, some[1], "de", None), (5, None, "en", "src2"), (6, "", None, "s"), (7, "12 34", "en", "src3"), (8, some[2], "fr", "src5"), (None, None, None, None)]
     table = spark.createDataFrame([(*r, 5, "x", "y", "z") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, spans string, row string")
     for docs_ in (table, table.limit(0)):
@@ -541,7 +541,11 @@ def test_stages_on_odd_rows(spark):
                 assert got == sorted(str(r[:2]) for r in rows if any(c.isalpha() for c in r[1] or ""))
             elif name == "near_dedup":
                 assert got == sorted(str(r[:2]) for r in rows if r[:2] != (None, some[0]))
-            elif name == "suffix_dedup":  # texts under the length of a passage stay
-                assert len(some[0]) >= suffix_dedup.PASSAGE or got == sorted(str(r[:2]) for r in rows)
+            elif name == "suffix_dedup":  # of the repeated texts one has over 400 bytes and goes, each copy; shorter ones stay
+                assert len(some[0]) < suffix_dedup.LENGTH < len(some[1])
+                assert got == sorted(str(r[:2]) for r in rows if r[1] != some[1])
             elif name == "decontamination":
                 assert got == sorted(str(r[:2]) for r in rows)
+            else:  # every row is whole, and all together stay within the budget
+                cost = {str(r[:2]): len(words(r[1])) for r in rows}
+                assert set(got) <= set(cost) and 0 < sum(cost[g] for g in got) <= sum(len(words(r[1])) for r in rows) * 0.5

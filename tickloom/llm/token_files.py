@@ -179,7 +179,7 @@ class _Words:
 def _tokenize_words(batches: Iterator[pa.RecordBatch], model: str, end: int | None) -> Iterator[pa.RecordBatch]:
     known = _Words.of_model.get(model) or _Words.of_model.setdefault(model, _Words(_tokenizer(model)))
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):  # known words are copied once a slice
             texts = Texts(part.column("text"))
             words = texts.words(SPACED, BYTE_CODES)
             start, stop = words.start, words.end
