@@ -289,3 +289,18 @@ def test_entry_state_against_loop(spark):
         r = got[i]
         assert (r["open_positions"], r["active_symbols"], r["direction_count"], r["symbol_active"]) == (len(live), len({f[1] for f in live}), len([f for f in mine if f[2] == side]), bool(mine))
         assert (int(r["total_notional"]), int(r["symbol_notional"]), int(r["daily_pnl"])) == (sum(f[3] for f in live), sum(f[3] for f in mine), sum(f[6] for f in closed))
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 100_000])
+def test_first_trade_through_against_loop(spark, chunk):
+    rng = random.Random(6)
+    trades = [(i, rng.randrange(0, 3000, 3), rng.choice("AB"), rng.choice([None, *range(90, 110)]), float(rng.randint(1, 5))) for i in range(400)]
+    intents = [(i, rng.choice("ABC"), rng.choice(["buy", "sell"]), rng.choice([None, *(float(x) for x in range(85, 115))]), 3.0, rng.randrange(0, 3000, 3)) for i in range(300)]
+    tdf = spark.createDataFrame([(i, ts, s, None if p is None else float(p), q) for i, ts, s, p, q in trades], "row_no long, local_ts_ms long, symbol string, price double, qty double")
+    idf = spark.createDataFrame(intents, "intent_id long, symbol string, side string, price_cap double, qty double, created_ts_ms long")
+    got = {r["intent_id"]: r for r in outcomes.first_trade_through(idf, tdf, 200, chunk_ms=chunk).collect()}
+    assert len(got) == len(intents)
+    for i, s, side, cap, qty, ts in intents:
+        own = sorted((t[1], t[0], t[3], t[4]) for t in trades if t[2] == s and t[3] is not None and cap is not None and ts < t[1] <= ts + 200 and (t[3] <= cap if side == "buy" else t[3] >= cap))
+        r = got[i]
+        assert (r["filled"], r["trade_row"], r["fill_ts_ms"], r["fill_price"], r["fill_qty"]) == ((True, own[0][1], own[0][0], float(own[0][2]), min(qty, own[0][3])) if own else (False, None, None, None, None))

@@ -32,16 +32,16 @@ def feed_decision(streams: DataFrame, required: DataFrame, stale_ms: int, now_ms
     If any stream is missing the reason is missing_stream and staleness is not looked at. now is the latest
     time seen unless given.
     """
-    own = required.select("venue", "symbol").distinct().join(streams.select("venue", "symbol", "last_ts_ms"), ["venue", "symbol"], "left")
-    now = streams.agg(F.lit(now_ms).cast("long").alias("now") if now_ms is not None else F.max("last_ts_ms").alias("now"), F.lit(True).alias("_one"))
-    own = own.crossJoin(F.broadcast(now))
-    any_missing = own.agg(F.coalesce(F.bool_or(F.col("last_ts_ms").isNull()), F.lit(False)).alias("any_missing"))
-    own = own.crossJoin(F.broadcast(any_missing))
-    state = F.when(F.col("last_ts_ms").isNull(), "missing").when(~F.col("any_missing") & (F.col("now") - F.col("last_ts_ms") > stale_ms), "stale").otherwise("ok")
-    own = own.withColumn("state", state)
-    worst = own.agg(F.min(F.when(F.col("state") == "missing", 0).when(F.col("state") == "stale", 1).otherwise(2)).alias("worst"))
-    reason = F.when(F.col("worst") == 0, "missing_stream").when(F.col("worst") == 1, "stale_stream").otherwise("ok")
-    return own.crossJoin(F.broadcast(worst)).select("venue", "symbol", "last_ts_ms", "state", reason.alias("reason"), (F.col("worst") == 2).alias("healthy"))
+    asked = required.select("venue", "symbol", F.lit(True).alias("_asked")).distinct()
+    own = asked.join(streams.select("venue", "symbol", "last_ts_ms"), ["venue", "symbol"], "full")
+    mine = F.col("_asked").isNotNull()
+    now = F.lit(now_ms).cast("long") if now_ms is not None else F.max("last_ts_ms")
+    whole = own.agg(now.alias("now"), F.coalesce(F.bool_or(mine & F.col("last_ts_ms").isNull()), F.lit(False)).alias("any_missing"), F.min(F.when(mine, F.col("last_ts_ms"))).alias("oldest"))  # one row
+    own = own.where(mine).crossJoin(F.broadcast(whole))
+    old = lambda c: ~F.col("any_missing") & (F.col("now") - F.col(c) > stale_ms)
+    state = F.when(F.col("last_ts_ms").isNull(), "missing").when(old("last_ts_ms"), "stale").otherwise("ok")
+    reason = F.when(F.col("any_missing"), "missing_stream").when(old("oldest"), "stale_stream").otherwise("ok")
+    return own.select("venue", "symbol", "last_ts_ms", state.alias("state"), reason.alias("reason"), (reason == "ok").alias("healthy"))
 
 
 def feed_alerts(decisions: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,20 +53,62 @@ def fill_model_diagnostics(fills: DataFrame) -> DataFrame:
     return fills.groupBy("intent_id", "symbol").agg(differs.alias("has_difference"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("fill_model", result)))).alias("models"))
 
 
-def first_trade_through(intents: DataFrame, trades: DataFrame, ttl_ms: int) -> DataFrame:
+def first_trade_through(intents: DataFrame, trades: DataFrame, ttl_ms: int, chunk_ms: int = HOUR_MS) -> DataFrame:
     """intents with the first later trade, within ttl_ms, at or beyond their cap: fill_price, fill_qty, fill_ts_ms and trade_row.
 
-    The range join meets in buckets of ttl_ms, of which each intent looks into two.
+    Intents meet the trades of their chunk of time (ttl_ms at least) and of the ttl_ms after it, so a trade is dealt out twice
+    at most and no intent is paired with the trades of its life. In a task the next price at or beyond a cap is found by
+    bisection over running extremes of 1, 2, 4, ... trades. Trades without a price or time, and intents without a cap, match nothing.
     """
-    bucket = lambda c: F.floor(c / ttl_ms)
-    asks = intents.select("intent_id", "symbol", "side", "price_cap", "qty", "created_ts_ms").withColumn("_b", F.explode(F.array(bucket(F.col("created_ts_ms")), bucket(F.col("created_ts_ms")) + 1)))
-    hits = trades.select("symbol", F.col("row_no").alias("trade_row"), F.col("local_ts_ms").alias("fill_ts_ms"), "price", F.col("qty").alias("trade_qty"), bucket(F.col("local_ts_ms")).alias("_b"))
-    through = F.when(F.col("side") == "buy", F.col("price") <= F.col("price_cap")).otherwise(F.col("price") >= F.col("price_cap"))
-    timed = (F.col("fill_ts_ms") > F.col("created_ts_ms")) & (F.col("fill_ts_ms") <= F.col("created_ts_ms") + ttl_ms)
-    first = asks.join(hits, ["symbol", "_b"]).where(through & timed).groupBy("intent_id").agg(
-        F.min_by(F.struct(F.col("price").alias("fill_price"), F.least("qty", "trade_qty").alias("fill_qty"), "fill_ts_ms", "trade_row"), F.struct("fill_ts_ms", "trade_row")).alias("f")
-    )
-    return intents.join(first, "intent_id", "left").select(*intents.columns, F.col("f").isNotNull().alias("filled"), "f.fill_price", "f.fill_qty", "f.fill_ts_ms", "f.trade_row")
+    width = max(int(ttl_ms), int(chunk_ms))
+    key = intents.schema["intent_id"].dataType.simpleString()
+    asks = intents.where("price_cap IS NOT NULL AND created_ts_ms IS NOT NULL").select(F.col("intent_id").cast("string").alias("intent_id"), F.lit(-1).cast("long").alias("row_no"), "symbol", (F.col("side") == "buy").alias("buy"), F.col("price_cap").cast("double").alias("cap"), F.col("created_ts_ms").alias("ts"), F.floor(F.col("created_ts_ms") / width).alias("chunk"))
+    chunk = lambda back: F.floor((F.col("local_ts_ms") - back) / width)
+    hits = trades.where("price IS NOT NULL AND local_ts_ms IS NOT NULL").select("symbol", "row_no", F.col("local_ts_ms").alias("ts"), F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty"), F.explode(F.array_distinct(F.array(chunk(int(ttl_ms)), chunk(1)))).alias("chunk"))
+    both = asks.unionByName(hits, allowMissingColumns=True).repartition("symbol", "chunk").sortWithinPartitions("symbol", "chunk")
+    found = both.mapInPandas(lambda frames: _through_by_chunk(frames, int(ttl_ms)), "intent_id string, fill_price double, _trade_qty double, fill_ts_ms long, trade_row long")
+    found = found.withColumn("intent_id", F.col("intent_id").cast(key))
+    out = intents.join(found, "intent_id", "left")
+    return out.select(*intents.columns, F.col("trade_row").isNotNull().alias("filled"), "fill_price", F.when(F.col("trade_row").isNotNull(), F.least("qty", "_trade_qty")).alias("fill_qty"), "fill_ts_ms", "trade_row")
+
+
+def _through_by_chunk(frames: Iterator[pd.DataFrame], ttl_ms: int, rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Whole chunks together, about `rows` rows at a time; frames come in the order of chunks."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) < rows:
+            continue
+        whole = pd.concat(held)
+        last = ((whole["symbol"] == whole["symbol"].iloc[-1]) & (whole["chunk"] == whole["chunk"].iloc[-1])).to_numpy()
+        held = [whole[last]]
+        if not last.all():
+            yield _first_through(whole[~last], ttl_ms)
+    if held:
+        yield _first_through(pd.concat(held), ttl_ms)
+
+
+def _first_through(both: pd.DataFrame, ttl_ms: int) -> pd.DataFrame:
+    """For each intent the first trade of its chunk, later and within ttl_ms, at or beyond its cap."""
+    both = both.assign(part=both.groupby(["symbol", "chunk"], sort=False, dropna=False).ngroup(), at=both["ts"] - both["ts"].min())
+    reach = int(both["at"].max()) + ttl_ms + 2
+    both["at"] += both["part"] * reach  # one axis of time on which chunks do not touch
+    asks, hits = both[both["intent_id"].notna()], both[both["intent_id"].isna()].sort_values(["at", "row_no"])
+    time, n, out = hits["at"].to_numpy(), len(hits), []
+    for buy in (True, False) if n else ():
+        own = asks[asks["buy"] == buy]
+        sign = 1.0 if buy else -1.0
+        lowest, caps, ts = [sign * hits["price"].to_numpy()], sign * own["cap"].to_numpy(), own["at"].to_numpy()
+        while 1 << len(lowest) <= n:  # the least of twice as many trades; beyond the last there is none
+            half = 1 << len(lowest) - 1
+            lowest.append(np.minimum(lowest[-1], np.concatenate((lowest[-1][half:], np.full(half, np.inf)))))
+        at = np.searchsorted(time, ts, "right")
+        for k in range(len(lowest) - 1, -1, -1):
+            at = at + np.where((at < n) & (lowest[k][np.minimum(at, n - 1)] > caps), 1 << k, 0)
+        met = at < np.searchsorted(time, ts + ttl_ms, "right")
+        row = hits.iloc[at[met]]
+        out.append(pd.DataFrame({"intent_id": own["intent_id"].to_numpy()[met], "fill_price": row["price"].to_numpy(), "_trade_qty": row["qty"].to_numpy(), "fill_ts_ms": row["ts"].to_numpy(), "trade_row": row["row_no"].to_numpy()}))
+    return pd.concat(out) if out else pd.DataFrame({"intent_id": [], "fill_price": [], "_trade_qty": [], "fill_ts_ms": [], "trade_row": []})
 
 
 def label_exits(entries: DataFrame, quotes: DataFrame, ttl_ms: int, take_profit_bps: float | None, stale_ms: int | None, z_exit: float = 0.4, adverse_z: float = 4.0, cost_bps: float = 0.0, leader: str = LEADER, lagger: str = LAGGER) -> DataFrame:
