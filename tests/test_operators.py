@@ -304,3 +304,21 @@ def test_first_trade_through_against_loop(spark, chunk):
         own = sorted((t[1], t[0], t[3], t[4]) for t in trades if t[2] == s and t[3] is not None and cap is not None and ts < t[1] <= ts + 200 and (t[3] <= cap if side == "buy" else t[3] >= cap))
         r = got[i]
         assert (r["filled"], r["trade_row"], r["fill_ts_ms"], r["fill_price"], r["fill_qty"]) == ((True, own[0][1], own[0][0], float(own[0][2]), min(qty, own[0][3])) if own else (False, None, None, None, None))
+
+
+@pytest.mark.parametrize("chunk", [1, 200, 100_000])
+def test_aligned_returns_against_loop(spark, chunk):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("AB"), rng.choice(["binance", "mexc", "other"]), rng.randrange(0, 3000, 4), float(rng.randint(-9, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_no long, symbol string, venue string, ts long, ret double")
+    lags = [0, 25, 110]
+    got = sorted((r["symbol"], r["direction"], r["ts"], r["x"], r["lag_ms"], r["y"]) for r in leadlag.aligned_returns(df, lags, 9, chunk_ms=chunk).collect())
+    want = []
+    for _, s, v, ts, x in rows:
+        for lag in lags if v != "other" else []:
+            near = min(((t, i, y) for i, o, w, t, y in rows if o == s and w not in (v, "other") and abs(t - lag - ts) <= 9), default=None)
+            want += [(s, v, ts, x, lag, near[2])] if near else []
+    assert want and got == sorted(want)
+    plan = leadlag.leadership_scores(spark.createDataFrame(random_quotes(50, 1), QUOTE), lags)._jdf.queryExecution().executedPlan().toString()
+    more = leadlag.leadership_scores(spark.createDataFrame(random_quotes(50, 1), QUOTE), lags * 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == more.count("Exchange hashpartitioning")

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import LAGGER, LEADER
-from tickloom.operators.asof import asof_tolerance
+from tickloom.operators.asof import DAY_MS
 from tickloom.operators.windows import midpoint_returns
 
 
-def aligned_returns(returns: DataFrame, lags_ms: list[int], tolerance_ms: int) -> DataFrame:
-    """symbol, direction (the venue taken as leader), lag_index, lag_ms, x and y: leader and shifted lagger returns that meet."""
-    lags = F.explode(F.array(*(F.struct(F.lit(i).alias("lag_index"), F.lit(lag).cast("long").alias("lag_ms")) for i, lag in enumerate(lags_ms))))
-    spread = returns.where(F.col("venue").isin(LEADER, LAGGER)).withColumn("lag", lags).select("row_no", "symbol", "venue", "ts", "ret", "lag.lag_index", "lag.lag_ms")
-    other = F.when(F.col("venue") == LEADER, LAGGER).otherwise(LEADER)
-    left = spread.select("symbol", F.col("venue").alias("direction"), "lag_index", "lag_ms", "ts", F.col("ret").alias("x"))
-    right = spread.select("row_no", "symbol", other.alias("direction"), "lag_index", (F.col("ts") - F.col("lag_ms")).alias("ts"), "ret")
-    return asof_tolerance(left, right, ["symbol", "direction", "lag_index"], F.col("ret"), "y", tolerance_ms).where("y IS NOT NULL")
+def aligned_returns(returns: DataFrame, lags_ms: list[int], tolerance_ms: int, chunk_ms: int = DAY_MS) -> DataFrame:
+    """symbol, direction (the venue taken as leader), lag_index, lag_ms, x and y: leader and shifted lagger returns that meet.
+
+    y is the other venue's first return within the tolerance of lag_ms later. All lags are frames over one sort of a symbol's
+    returns, so what is shuffled does not grow with their number. A chunk of time gets the returns in reach of it too.
+    """
+    reach = max(lags_ms) + tolerance_ms
+    back = max(0, tolerance_ms - min(lags_ms))
+    chunk_ms = max(chunk_ms, reach + 1, back + 1)
+    home = F.floor(F.col("ts") / chunk_ms)
+    early = F.when(F.col("ts") <= home * chunk_ms + reach, home - 1)  # in reach of the chunk before
+    late = F.when(F.col("ts") >= (home + 1) * chunk_ms - back, home + 1)
+    own = returns.where(F.col("venue").isin(LEADER, LAGGER)).withColumn("_home", home).withColumn("_chunk", F.explode(F.array_compact(F.array(home, early, late))))
+    item, stream = F.struct("ts", "row_no", "ret"), Window.partitionBy("symbol", "_chunk").orderBy("ts")
+
+    def met(i: int, lag: int) -> Column:
+        frame = stream.rangeBetween(lag - tolerance_ms, lag + tolerance_ms)
+        first = lambda v: F.min(F.when(F.col("venue") == v, item)).over(frame)["ret"]
+        return F.struct(F.lit(i).alias("lag_index"), F.lit(lag).cast("long").alias("lag_ms"), F.when(F.col("venue") == LEADER, first(LAGGER)).otherwise(first(LEADER)).alias("y"))
+
+    own = own.select("symbol", F.col("venue").alias("direction"), "ts", F.col("ret").alias("x"), "_home", "_chunk", F.array(*(met(i, lag) for i, lag in enumerate(lags_ms))).alias("_lags"))
+    own = own.where("_home = _chunk").select("symbol", "direction", "ts", "x", F.explode("_lags").alias("_lag"))
+    return own.select("symbol", "direction", "_lag.lag_index", "_lag.lag_ms", "ts", "x", "_lag.y").where("y IS NOT NULL")
 
 
 def leadership_scores(quotes: DataFrame, lags_ms: list[int], tolerance_ms: int = 5, min_pairs: int = 5) -> DataFrame:
