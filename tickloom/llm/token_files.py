@@ -34,6 +34,8 @@ _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 MAX_BITS = 20
 #: Ids between two checkpoints, ids after which a block ends with its document, and blocks of a file.
 CHECKPOINT, BLOCK_IDS, FILE_BLOCKS = 256, 1 << 16, 32
+#: What stands between words that are encoded as one text, and how many they are.
+SIGN, LOT = "0", 256
 #: Words whose ids a worker keeps.
 KNOWN_WORDS = 1 << 21
 _LETTER = ~byte_class([(0x41, 0x5A), (0x61, 0x7A)])
@@ -145,6 +147,8 @@ class _Words:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        sign = tokenizer.encode(SIGN, add_special_tokens=False).ids
+        self.sign = sign[0] if len(sign) == 1 else None
         self.codes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted codes, and each one's place in bounds
         self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -157,11 +161,10 @@ class _Words:
         if not known.all():
             before = self.codes, self.at, self.bounds, self.ids
             new = np.flatnonzero(~known)
-            found = self.tokenizer.encode_batch(span_strings(buf, start[first[new]], end[first[new]], None).to_pylist(), add_special_tokens=False)
-            sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
-            at = np.arange(len(new)) + len(self.bounds) - 1
+            ids, sizes, at = self._encoded(span_strings(buf, start[first[new]], end[first[new]], None).to_pylist())
+            at = at + len(self.bounds) - 1
             self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
-            self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x.ids), np.uint32, int(sizes.sum()))))
+            self.ids = np.concatenate((self.ids, ids))
             self.codes, self.at = np.insert(self.codes, place[new], own[new]), np.insert(self.at, place[new], at)
             place = np.searchsorted(self.codes, own)
         at = self.at[place][inverse]
@@ -170,6 +173,31 @@ class _Words:
             self.codes, self.at, self.bounds, self.ids = before
         return out
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words one after another, how many each has, and the place of each word among them.
+
+        Many words are encoded as one text, with a sign between that none of them holds.
+        """
+        plain = [k for k, w in enumerate(words) if SIGN not in w] if self.sign is not None else []
+        lots = [plain[lo : lo + LOT] for lo in range(0, len(plain), LOT)]
+        alone = sorted(set(range(len(words))).difference(plain))
+        ids, sizes, order = [], [], []
+        for lot, found in zip(lots, self.tokenizer.encode_batch_fast([f" {SIGN} ".join(words[k] for k in lot) for lot in lots], add_special_tokens=False), strict=True):
+            own = np.array(found.ids, np.uint32)
+            cuts = np.flatnonzero(own == self.sign)
+            if len(cuts) != len(lot) - 1:
+                alone += lot
+                continue
+            ids.append(own[own != self.sign])
+            sizes.append(np.diff(np.concatenate(([-1], cuts, [len(own)]))) - 1)
+            order += lot
+        for found in self.tokenizer.encode_batch([words[k] for k in alone], add_special_tokens=False):
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.array([len(found.ids)]))
+        place = np.empty(len(words), np.int64)
+        place[order + alone] = np.arange(len(words))
+        return np.concatenate(ids), np.concatenate(sizes), place
+
     def _joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.bounds[at + 1] - self.bounds[at]
         ends = np.cumsum(sizes)
