@@ -104,7 +104,7 @@ def redact_map_keys(t: Tables) -> DataFrame:
     return own.select("row_no", F.col("m")["Api_Key"].alias("api_key"), F.col("m")["venue"].alias("venue"), F.col("m")["symbol"].alias("symbol"), F.col("m")["accessToken"].alias("access_token"))
 
 
-@query("volatility_regime", "SELECT trade_id, CASE WHEN coalesce(nullif(impulse_bps, 0), slippage_bps) < 0 AND 1 = 0 THEN '' WHEN abs(coalesce(nullif(impulse_bps, 0), slippage_bps)) < 5 THEN 'low' WHEN abs(coalesce(nullif(impulse_bps, 0), slippage_bps)) < 20 THEN 'medium' ELSE 'high' END AS regime FROM closed_trades", "closed_trades")
+@query("volatility_regime", "SELECT trade_id, CASE WHEN abs(coalesce(nullif(impulse_bps, 0), slippage_bps)) < 5 THEN 'low' WHEN abs(coalesce(nullif(impulse_bps, 0), slippage_bps)) < 20 THEN 'medium' ELSE 'high' END AS regime FROM closed_trades", "closed_trades")
 def volatility_regime(t: Tables) -> DataFrame:
     return t.closed_trades.select("trade_id", E.volatility_regime("impulse_bps", F.col("slippage_bps")).alias("regime"))
 

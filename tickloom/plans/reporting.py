@@ -288,14 +288,26 @@ def health_alerts(t: Tables) -> DataFrame:
     return parts.unionByName(feeds.select(F.lit(-1).cast("long").alias("run"), "alert_type", "reason", "severity"))
 
 
+# alerts of all kinds: those of components, feeds of either venue, latencies and lost bridges
+_ALL_ALERTS = f"""SELECT run, alert_type, reason, NULL AS venue, NULL AS latency_ms, run AS row_no FROM ({_ALERTS}) UNION ALL SELECT row_no, CASE WHEN row_no % 2 = 0 THEN 'feed_stale' ELSE 'feed_missing' END, NULL, venue, NULL, row_no FROM ticks WHERE row_no % 5 = 1
+ UNION ALL SELECT row_no - row_no % 3, 'feed_latency', NULL, venue, local_ts_ms - exchange_ts_ms, row_no FROM ticks WHERE row_no % 7 > 3 UNION ALL SELECT row_no, 'bridge_disconnect', NULL, NULL, NULL, row_no FROM ticks WHERE row_no % 13 = 0"""
+
+
 @query(
     "alerts_to_risk_flags",
-    "SELECT run, false AS feed_latency_high, false AS mexc_feed_stale, true AS bridge_connected, coalesce(string_agg(CASE WHEN alert_type = 'risk_stop' THEN CASE WHEN reason = 'manual_kill_switch' THEN 'kill_switch' ELSE reason END END, ',' ORDER BY CASE WHEN reason = 'manual_kill_switch' THEN 'kill_switch' ELSE reason END), '') AS stops FROM (" + _ALERTS + ") GROUP BY 1",
+    f"""SELECT run, bool_or(alert_type = 'feed_latency') AS feed_latency_high, max_by(latency_ms, CASE WHEN alert_type = 'feed_latency' THEN row_no END) AS feed_latency_ms, bool_or(alert_type IN ('feed_stale', 'feed_missing') AND venue IS NOT DISTINCT FROM 'binance') AS binance_feed_stale,
+ bool_or(alert_type IN ('feed_stale', 'feed_missing') AND venue IS NOT DISTINCT FROM 'mexc') AS mexc_feed_stale, NOT bool_or(alert_type = 'bridge_disconnect') AS bridge_connected,
+ coalesce(string_agg(CASE WHEN alert_type = 'risk_stop' THEN CASE WHEN reason = 'manual_kill_switch' THEN 'kill_switch' ELSE reason END END, ',' ORDER BY CASE WHEN reason = 'manual_kill_switch' THEN 'kill_switch' ELSE reason END), '') AS stops FROM ({_ALL_ALERTS}) GROUP BY 1""",
     "ticks",
 )
 def alerts_to_risk_flags(t: Tables) -> DataFrame:
-    alerts = health.component_alerts(health.component_health(_runs(t))).select("run", "alert_type", "reason", F.lit(None).cast("string").alias("venue"), F.lit(None).cast("long").alias("latency_ms"), F.col("run").alias("row_no"))
-    return health.alerts_to_risk_flags(alerts).select("run", "feed_latency_high", "mexc_feed_stale", "bridge_connected", F.array_join("stops", ",").alias("stops"))
+    none, n = F.lit(None).cast("string"), F.col("row_no")
+    late = F.lit(None).cast("long")
+    parts = health.component_alerts(health.component_health(_runs(t))).select("run", "alert_type", "reason", none.alias("venue"), late.alias("latency_ms"), F.col("run").alias("row_no"))
+    feeds = t.ticks.where(n % 5 == 1).select(n.alias("run"), F.when(n % 2 == 0, "feed_stale").otherwise("feed_missing").alias("alert_type"), none.alias("reason"), "venue", late.alias("latency_ms"), "row_no")
+    slow = t.ticks.where(n % 7 > 3).select((n - n % 3).alias("run"), F.lit("feed_latency").alias("alert_type"), none.alias("reason"), "venue", (F.col("local_ts_ms") - F.col("exchange_ts_ms")).alias("latency_ms"), "row_no")
+    lost = t.ticks.where(n % 13 == 0).select(n.alias("run"), F.lit("bridge_disconnect").alias("alert_type"), none.alias("reason"), none.alias("venue"), late.alias("latency_ms"), "row_no")
+    return health.alerts_to_risk_flags(parts.unionByName(feeds).unionByName(slow).unionByName(lost)).withColumn("stops", F.array_join("stops", ","))
 
 
 @query(

@@ -24,13 +24,13 @@ def _quote_columns(df: DataFrame) -> DataFrame:
 _QUOTES = "SELECT row_no, local_ts_ms, venue, symbol, round(bid, 6) AS bid, round(ask, 6) AS ask, bid_size FROM quotes"
 
 
-@query("append_events_jsonl", "SELECT event_type, count(*) AS events FROM (SELECT 'book_ticker' AS event_type FROM quotes UNION ALL SELECT 'trade' FROM trades UNION ALL SELECT DISTINCT 'orderbook_depth' || substr(CAST(row_no AS VARCHAR), 1, 0) FROM depth_levels WHERE false UNION ALL SELECT 'orderbook_depth' FROM depth_levels WHERE lvl = 1) GROUP BY 1", "quotes", "trades", "depth_levels")
+@query("append_events_jsonl", "SELECT 'book_ticker' AS event_type, row_no, venue, symbol, local_ts_ms FROM quotes UNION ALL SELECT 'trade', row_no, venue, symbol, local_ts_ms FROM trades UNION ALL SELECT 'orderbook_depth', row_no, venue, symbol, local_ts_ms FROM depth_levels WHERE lvl = 1", "quotes", "trades", "depth_levels")
 def append_events_jsonl(t: Tables) -> DataFrame:
     path = store.scratch(t.spark, "events-jsonl")
     own = _events(t)
     ev.append_events_jsonl(own.where("event_type = 'book_ticker'"), path)
     ev.append_events_jsonl(own.where("event_type <> 'book_ticker'"), path)
-    return ev.read_events_jsonl(t.spark, path).groupBy("event_type").agg(F.count("*").alias("events"))
+    return ev.read_events_jsonl(t.spark, path).select("event_type", "row_no", "venue", "symbol", "local_ts_ms")
 
 
 @query("read_events_jsonl", _QUOTES, "quotes")
@@ -40,12 +40,11 @@ def read_events_jsonl(t: Tables) -> DataFrame:
     return _quote_columns(ev.quotes_from_events(ev.read_events_jsonl(t.spark, [path])))
 
 
-@query("write_events_parquet", "SELECT strftime(make_timestamp(local_ts_ms * 1000), '%Y-%m-%d') AS day, venue, count(*) AS events FROM quotes GROUP BY ALL", "quotes")
+@query("write_events_parquet", "SELECT strftime(make_timestamp(local_ts_ms * 1000), '%Y-%m-%d') AS day, venue, row_no, symbol, exchange_ts_ms, round(bid, 6) AS bid FROM quotes", "quotes")
 def write_events_parquet(t: Tables) -> DataFrame:
     path = store.scratch(t.spark, "events")
     ev.write_events_parquet(ev.events_from_typed(t.quotes), path)
-    own = t.spark.read.parquet(path)
-    return own.groupBy(F.col("day").cast("string").alias("day"), "venue").agg(F.count("*").alias("events"))
+    return t.spark.read.parquet(path).select(F.col("day").cast("string").alias("day"), "venue", "row_no", "symbol", "exchange_ts_ms", F.round(F.col("bid_price").cast("double"), 6).alias("bid"))
 
 
 @query("read_events_parquet", _QUOTES, "quotes")
@@ -55,12 +54,12 @@ def read_events_parquet(t: Tables) -> DataFrame:
     return _quote_columns(ev.quotes_from_events(ev.read_events_parquet(t.spark, path)))
 
 
-@query("convert_jsonl_to_parquet", "SELECT (SELECT count(*) FROM quotes) + (SELECT count(*) FROM trades) AS converted, (SELECT count(*) FROM quotes) + (SELECT count(*) FROM trades) AS stored", "quotes", "trades")
+@query("convert_jsonl_to_parquet", "SELECT *, (SELECT count(*) FROM quotes) + (SELECT count(*) FROM trades) AS converted FROM (SELECT 'book_ticker' AS event_type, row_no, symbol, local_ts_ms FROM quotes UNION ALL SELECT 'trade', row_no, symbol, local_ts_ms FROM trades)", "quotes", "trades")
 def convert_jsonl_to_parquet(t: Tables) -> DataFrame:
     source, target = store.scratch(t.spark, "events-jsonl"), store.scratch(t.spark, "events")
     ev.append_events_jsonl(ev.events_from_typed(t.quotes, t.trades), source)
     n = ev.convert_jsonl_to_parquet(t.spark, source, target)
-    return t.spark.read.parquet(target).agg(F.lit(n).cast("long").alias("converted"), F.count("*").alias("stored"))
+    return t.spark.read.parquet(target).select("event_type", "row_no", "symbol", "local_ts_ms", F.lit(n).cast("long").alias("converted"))
 
 
 @query("write_audit_jsonl", "SELECT row_no, symbol, CAST(gross_pnl_usd AS DOUBLE) AS gross_pnl_usd, risk_allowed FROM audit", "audit")
@@ -212,12 +211,12 @@ def replace_by_source(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("source", "row_no")
 
 
-@query("delete_source", "SELECT symbol AS source, count(*) AS rows FROM trades WHERE symbol <> 'S1USDT' GROUP BY 1", "trades")
+@query("delete_source", "SELECT symbol AS source, row_no, venue FROM trades WHERE symbol <> 'S1USDT'", "trades")
 def delete_source(t: Tables) -> DataFrame:
     path = store.scratch(t.spark, "by-source")
     store.replace_by_source(t.trades.withColumn("source", F.col("symbol")), path)
     store.delete_source(t.spark, path, "S1USDT")
-    return t.spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("rows"))
+    return t.spark.read.parquet(path).select("source", "row_no", "venue")
 
 
 @query("upsert_by_key", "SELECT client_order_id, CASE WHEN CAST(substr(client_order_id, 5) AS BIGINT) % 3 = 0 THEN 'filled' ELSE status END AS status FROM open_orders UNION ALL SELECT 'new-' || client_order_id, 'filled' FROM open_orders WHERE CAST(substr(client_order_id, 5) AS BIGINT) % 3 = 0", "open_orders")
