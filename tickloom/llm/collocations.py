@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.tables import bounded_batches, forget, written
-from tickloom.llm.terms import Held, Lexicon, Numbers, chunks, runs_of, seeded
+from tickloom.llm.terms import HELD, Held, Lexicon, Numbers, chunks, runs_of, seeded
 from tickloom.llm.textcodes import Texts, byte_class, mix64, slices
 
 #: Words are runs of anything but space and tab, inside pieces.
@@ -166,7 +166,7 @@ _POINTERS = "lang string, w1 string, w2 string, w3 string, part int, n long"
 def _pointers(batches: Iterator[pa.RecordBatch], table: np.ndarray, bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Suffix pointers of two and three words that may be frequent, merged; part is not 0 for those of hot pairs."""
     languages, lexicon = Numbers(), Lexicon()
-    held = Held(5)  # language, first, second and third word (0: none), part
+    held = Held(5, 2 * HELD)  # language, first, second and third word (0: none), part
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows = held.take()
