@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.scratch import scratch
 from tickloom.operators import leadlag
+from tickloom.plans import live
+from tickloom.plans.registry import Tables
+from tickloom.streaming import online
 
 
 def plan_of(df) -> str:
@@ -25,3 +30,35 @@ def test_aligned_returns_of_dense_ticks(spark):
     df = spark.range(30_000).select(F.col("id").alias("row_no"), F.lit("A").alias("symbol"), F.when(F.col("id") % 2 == 0, "binance").otherwise("mexc").alias("venue"), (F.col("id") % 10).alias("ts"), F.col("id").cast("double").alias("ret"))
     got = leadlag.aligned_returns(df, [0], 20).groupBy("direction").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
     assert {tuple(r) for r in got} == {("binance", 15_000, 1.0, 1.0), ("mexc", 15_000, 0.0, 0.0)}
+
+
+def test_stretches_land_by_many_tasks(spark, monkeypatch):
+    """What lands is not drawn through one task, and each stretch is a batch of its own."""
+    seen, checkpoint, landed = [], scratch(spark, "checkpoint"), scratch(spark, "landed")
+    monkeypatch.setattr(live, "scratch", lambda *_: landed)
+    write = lambda batch, n: seen.append((n, *batch.agg(F.count("*"), F.min("id"), F.max("id")).first()))
+    live._fed(Tables(spark, ""), spark.range(0, 8000, numPartitions=4), "id", 2, lambda stream: online.run_batches(stream, write, checkpoint, "append"))
+    assert [s[0] for s in seen] == [0, 1] and sum(s[1] for s in seen) == 8000 and seen[0][3] < seen[1][2]
+    assert len(list(Path(landed.removeprefix("file:")).glob("*.parquet"))) > 2
+
+
+def test_order_states_over_batches_without_python(spark):
+    """Arrival is the batch first, then row_no; what an order's batches leave open stays as it was."""
+    known = spark.createDataFrame([("a", 5.0, "accepted", "k", True), ("b", 2.0, "unknown", None, True), ("c", 2.0, "planned", "z", False)], "client_order_id string, qty double, status string, venue_order_id string, open boolean")
+    schema = "client_order_id string, row_no long, event_type string, filled_qty double, avg_fill_price double, venue_order_id string, reason string"
+    batches = [
+        [("a", 9, "fill", 4.0, 7.0, "v", None), ("a", 8, "rejected", 9.0, 3.0, "w", "r"), ("b", 5, "noted", 1.0, 1.0, "n", "n"), ("x", 1, "fill", 1.0, 1.0, "x", None)],
+        [("a", 3, "fill", 1.0, 0.0, "", None), ("b", 2, "fill", None, None, None, None), ("c", 1, "noted", 1.0, 1.0, "n", "n")],
+        [("a", 1, "fill", 5.0, float("nan"), "u", "q"), ("b", 1, "rejected", None, None, "n", None)],
+    ]
+    path, checkpoint, got = scratch(spark, "landed"), scratch(spark, "checkpoint"), []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        own = online.stream_order_state(online.stream_quotes(spark, path, spark.createDataFrame([], schema).schema), known)
+        online.run_batches(own, lambda batch, n: got.append(sorted(tuple(r) for r in batch.collect())), checkpoint, many_keys=True)
+    assert got == [
+        [("a", "partially_filled", 4.0, 7.0, "v", "r", True, 2), ("b", "unknown", 0.0, None, None, None, True, 1)],
+        [("a", "partially_filled", 4.0, 7.0, "v", "r", True, 3), ("b", "partially_filled", 0.0, None, None, None, True, 2), ("c", "planned", 0.0, None, "z", None, False, 1)],
+        [("a", "filled", 5.0, 7.0, "u", "r", False, 4), ("b", "rejected", 0.0, None, None, None, False, 3)],
+    ]
+    assert "Pandas" not in plan_of(online.stream_order_state(spark.createDataFrame(batches[0], schema), known))

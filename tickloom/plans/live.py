@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.scratch import kept
 from tickloom.plans import desk
 from tickloom.plans.market import HOUR
 from tickloom.plans.registry import ORACLES, Tables, query
@@ -13,17 +16,24 @@ from tickloom.sources.store import scratch
 from tickloom.streaming import online
 
 
-def _landed(t: Tables, df: DataFrame, order: str | None = None, files: int = 1) -> DataFrame:
-    """A stream over df, written as `files` files in ascending order."""
+def _landed(t: Tables, df: DataFrame) -> DataFrame:
+    """A stream over df, written whole."""
     path = scratch(t.spark, "landed")
-    if order is None or files == 1:
-        df.write.parquet(path)
-        return online.stream_quotes(t.spark, path, df.schema)
-    cuts = [None, *df.approxQuantile(order, [k / files for k in range(1, files)], 0.01), None]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):  # a file is a batch, so a stretch of time is one file
-        part = df if lo is None else df.where(F.col(order) >= lo)
-        (part if hi is None else part.where(F.col(order) < hi)).coalesce(1).write.mode("append").parquet(path)
-    return online.stream_quotes(t.spark, path, df.schema, max_files=1)
+    df.write.parquet(path)
+    return online.stream_quotes(t.spark, path, df.schema)
+
+
+def _fed(t: Tables, df: DataFrame, order: str, stretches: int, run: Callable[[DataFrame], object]) -> None:
+    """Lands df in ascending stretches of order; after each, run takes up the stream from its checkpoint, so a stretch is a batch.
+
+    The rows are computed once, and tasks write the files of a stretch side by side.
+    """
+    own, path = kept(df, "arriving"), scratch(t.spark, "landed")
+    cuts = [None, *own.approxQuantile(order, [k / stretches for k in range(1, stretches)], 0.01), None]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        part = own if lo is None else own.where(F.col(order) >= lo)
+        (part if hi is None else part.where(F.col(order) < hi)).write.mode("append").parquet(path)
+        run(online.stream_quotes(t.spark, path, own.schema))
 
 
 def _appended(t: Tables, df: DataFrame) -> DataFrame:
@@ -32,12 +42,20 @@ def _appended(t: Tables, df: DataFrame) -> DataFrame:
     return t.spark.read.schema(df.schema).parquet(target)
 
 
-def _updated(t: Tables, df: DataFrame, keys: list[str], newest: str) -> DataFrame:
-    """The last row of each key of an update-mode stream."""
-    target = scratch(t.spark, "updates")
-    online.run_batches(df, lambda batch, n: batch.write.mode("overwrite").parquet(online.batch_path(target, n)), scratch(t.spark, "checkpoint"))
-    own = t.spark.read.schema(df.schema).parquet(target)
-    return own.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), newest).alias("s")).select(*keys, "s.*")
+def _appended_fed(t: Tables, df: DataFrame, order: str, stretches: int, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that the stream of(landed rows) has appended when all of df has landed."""
+    target, checkpoint = scratch(t.spark, "appended"), scratch(t.spark, "checkpoint")
+    _fed(t, df, order, stretches, lambda landed: online.run_available(of(landed), target, checkpoint))
+    return t.spark.read.schema(of(df).schema).parquet(target)
+
+
+def _updated_fed(t: Tables, df: DataFrame, order: str, stretches: int, of: Callable[[DataFrame], DataFrame], keys: list[str], newest: str, many_keys: bool = False) -> DataFrame:
+    """The last row of each key of the update-mode stream of(landed rows)."""
+    target, checkpoint = scratch(t.spark, "updates"), scratch(t.spark, "checkpoint")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(online.batch_path(target, n))
+    _fed(t, df, order, stretches, lambda landed: online.run_batches(of(landed), write, checkpoint, many_keys=many_keys))
+    own = t.spark.read.schema(of(df).schema).parquet(target)
+    return own.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in own.columns if c not in (*keys, "batch"))), newest).alias("s")).select(*keys, "s.*")
 
 
 @query("stream_quotes", "SELECT row_no, symbol FROM quotes", "quotes")
@@ -52,7 +70,7 @@ def stream_latency_alerts(t: Tables) -> DataFrame:
 
 @query("stream_feed_health", f"WITH {_HEALTH} SELECT * FROM h", "quotes")
 def stream_feed_health(t: Tables) -> DataFrame:
-    return _updated(t, online.stream_feed_health(_landed(t, t.quotes, "local_ts_ms", 3), 3 * HOUR), ["venue", "symbol"], "event_count")
+    return _updated_fed(t, t.quotes, "local_ts_ms", 3, lambda q: online.stream_feed_health(q, 3 * HOUR), ["venue", "symbol"], "event_count")
 
 
 @query(
@@ -64,26 +82,27 @@ def stream_feed_health(t: Tables) -> DataFrame:
 def stream_stale_alerts(t: Tables) -> DataFrame:
     streams = t.quotes.select("venue", "symbol").distinct().unionByName(t.spark.createDataFrame([("binance", "NEWUSDT")], "venue string, symbol string"))
     required = streams.crossJoin(t.quotes.agg(F.min("local_ts_ms").alias("from_ts_ms")))
-    return _appended(t, online.stream_stale_alerts(_landed(t, t.quotes, "local_ts_ms", 4), 3 * HOUR, _landed(t, required)))
+    required = _landed(t, required)
+    return _appended_fed(t, t.quotes, "local_ts_ms", 4, lambda q: online.stream_stale_alerts(q, 3 * HOUR, required))
 
 
 @query("stream_order_state", desk.MIXED_FINAL, "order_updates", "open_orders")
 def stream_order_state(t: Tables) -> DataFrame:
     """Updates of all kinds, with venue ids, reasons and prices of 0, in two batches."""
-    own = online.stream_order_state(_landed(t, desk.mixed_updates(t), "row_no", 2), t.open_orders)
-    return _updated(t, own, ["client_order_id"], "updates").drop("updates")
+    return _updated_fed(t, desk.mixed_updates(t), "row_no", 2, lambda u: online.stream_order_state(u, t.open_orders), ["client_order_id"], "updates", many_keys=True).drop("updates")
 
 
 @query("stream_signals")
 def stream_signals(t: Tables) -> DataFrame:
-    """Both models over the same landed ticks."""
-    quotes = _landed(t, t.quotes, "local_ts_ms", 3)
+    """Both models over the same ticks."""
+    quotes = t.quotes
 
     def of(found: DataFrame, model: str, strength: str, digits: int) -> DataFrame:
         return found.select(F.lit(model).alias("model"), "row_no", "symbol", "ts", "side", F.round("edge_bps", digits).alias("edge_bps"), F.round(strength, digits).alias("strength"))
 
-    residual = of(_appended(t, online.stream_signals(quotes, 1.5, 12 * HOUR, 2 * HOUR)), "residual_zscore", "z_score", 3)
-    return residual.unionByName(of(_appended(t, online.stream_impulse_signals(quotes, strategy.WINDOWS, 20.0, 2 * HOUR)), "impulse_transfer", "impulse_bps", 4))
+    fed = lambda f: _appended_fed(t, quotes, "local_ts_ms", 3, f)
+    residual = of(fed(lambda q: online.stream_signals(q, 1.5, 12 * HOUR, 2 * HOUR)), "residual_zscore", "z_score", 3)
+    return residual.unionByName(of(fed(lambda q: online.stream_impulse_signals(q, strategy.WINDOWS, 20.0, 2 * HOUR)), "impulse_transfer", "impulse_bps", 4))
 
 
 @query("stream_audit_sink", "SELECT row_no, symbol, decision_result FROM audit", "audit")
@@ -96,8 +115,9 @@ def stream_audit_sink(t: Tables) -> DataFrame:
 
 @query("stream_run_summary", "SELECT count(*) FILTER (event_type = 'replay_signal_decision') AS intents, count(*) FILTER (event_type = 'replay_position_exit') AS closed_positions, round(sum(realized_pnl_usd), 2) AS realized_pnl_usd FROM audit", "audit")
 def stream_run_summary(t: Tables) -> DataFrame:
-    target = scratch(t.spark, "summaries")
-    online.stream_run_summary(_landed(t, t.audit, "timestamp_ms", 3), target, scratch(t.spark, "checkpoint"))
+    target, checkpoint = scratch(t.spark, "summaries"), scratch(t.spark, "checkpoint")
+    audit = t.audit.select("timestamp_ms", "event_type", "risk_allowed", "fill_filled", "gross_pnl_usd", "cost_usd", "realized_pnl_usd")
+    _fed(t, audit, "timestamp_ms", 3, lambda landed: online.stream_run_summary(landed, target, checkpoint))
     return t.spark.read.parquet(target).agg(F.sum("intents").alias("intents"), F.sum("closed_positions").alias("closed_positions"), F.round(F.sum("realized_pnl_usd"), 2).alias("realized_pnl_usd"))
 
 
@@ -107,7 +127,7 @@ def stream_run_summary(t: Tables) -> DataFrame:
     "audit",
 )
 def stream_hourly_slippage(t: Tables) -> DataFrame:
-    own = _appended(t, online.stream_hourly_slippage(_landed(t, t.audit, "timestamp_ms", 2)))
+    own = _appended_fed(t, t.audit.select("timestamp_ms", "fill_filled", "slippage_bps"), "timestamp_ms", 2, online.stream_hourly_slippage)
     return own.select(F.unix_millis("hour").alias("hour_ms"), "fills", F.round("total_slippage_bps", 4).alias("total_slippage_bps"))
 
 
