@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tickloom.functions.scratch import scratch
-from tickloom.operators import leadlag
+from tickloom.operators import leadlag, orders
 from tickloom.plans import live
 from tickloom.plans.registry import Tables
 from tickloom.streaming import online
@@ -62,3 +62,12 @@ def test_order_states_over_batches_without_python(spark):
         [("a", "filled", 5.0, 7.0, "u", "r", False, 4), ("b", "rejected", 0.0, None, None, None, False, 3)],
     ]
     assert "Pandas" not in plan_of(online.stream_order_state(spark.createDataFrame(batches[0], schema), known))
+
+
+def test_private_updates_read_each_text_once(spark):
+    """A filter on the kind does not repeat the reading of the text for each mention of a field."""
+    raw = spark.createDataFrame([(1, '{"Type":"OrderUpdate","Data":{"ClientId":"a","Status":"new"}}')], "row_no long, body string")
+    own = orders.classify_private_updates(orders.expand_private_updates(raw)).where("kind = 'order'")
+    assert [r["client_order_id"] for r in own.collect()] == ["a"]
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 0 and plan.count("from_json(MapType") + plan.count("map<string,string>") + plan.count("JsonToStructsEvaluator") <= 4

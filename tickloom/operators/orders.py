@@ -32,31 +32,39 @@ STATUS_EVENTS = {
 }
 
 
-def _field(json: str, *names: str) -> Column:
-    return F.coalesce(*(F.get_json_object(json, f"$.{n}") for n in names))
+def _with_fields(rows: DataFrame, json: str, names: list[str], prefix: str) -> DataFrame:
+    """rows with the named top-level fields of a JSON text, as prefix and number, out of one reading of it."""
+    return rows.select("*", F.json_tuple(json, *names).alias(*(f"{prefix}{i}" for i in range(len(names)))))
 
 
 def expand_private_updates(raw: DataFrame, body: str = "body") -> DataFrame:
     """Updates with a list payload as one row an item, which inherits the connection under either spelling; others pass through.
 
     Adds item_no, type (the outer one) and payload (JSON text). Items that are no objects leave; a list
-    without objects passes through whole.
+    without objects passes through whole. Each text is read once, and for connections only where there are items.
     """
-    outer = F.coalesce(*(F.when(F.get_json_object(body, f"$.{p}").startswith("{"), F.get_json_object(body, f"$.{p}")) for p in PAYLOADS), F.col(body))
-    own = raw.withColumn("_p", outer).withColumn("type", _field(body, "Type", "type"))
-    listed = F.coalesce(*(F.when(F.get_json_object("_p", f"$.{n}").startswith("["), F.get_json_object("_p", f"$.{n}")) for n in LISTS))
+    n = len(PAYLOADS)
+    own = _with_fields(raw, body, [*PAYLOADS, "Type", "type"], "_o")
+    outer = F.coalesce(*(F.when(F.col(f"_o{i}").startswith("{"), F.col(f"_o{i}")) for i in range(n)), F.col(body))
+    own = own.select(*(c for c in raw.columns if c not in ("_p", "type")), outer.alias("_p"), F.coalesce(f"_o{n}", f"_o{n + 1}").alias("type"))
+    columns = own.columns
+    own = _with_fields(own, "_p", LISTS, "_l")
+    listed = F.coalesce(*(F.when(F.col(f"_l{i}").startswith("["), F.col(f"_l{i}")) for i in range(len(LISTS))))
     items = F.filter(F.from_json(listed, "array<string>"), lambda x: x.startswith("{"))
-    own = own.withColumn("_items", F.when(F.size(items) > 0, items))
+    own = own.select(*columns, F.explode(F.array(items)).alias("_items"))  # a step of its own, so that no reader of it reads the text again
+    own = own.withColumn("_items", F.when(F.size("_items") > 0, F.col("_items")))
+    links = ("ConnectionId", "connectionId")
+    for i, name in enumerate(links):  # values keep their JSON type
+        own = own.withColumn(f"_link{i}", F.when(F.col("_items").isNotNull(), F.expr(f"to_json(variant_get(try_parse_json(_p), '$.{name}', 'variant'))")))
     rows = own.select("*", F.posexplode_outer("_items").alias("item_no", "_item"))
     given = []
-    for name in ("ConnectionId", "connectionId"):  # values keep their JSON type
-        link = F.expr(f"to_json(variant_get(try_parse_json(_p), '$.{name}', 'variant'))")
+    for i, name in enumerate(links):
         there = F.expr(f"variant_get(try_parse_json(_item), '$.{name}', 'variant') IS NOT NULL")
-        given.append(F.when(~F.coalesce(there, F.lit(False)), F.concat(F.lit(f'"{name}":'), link)))
-    rows = rows.withColumn("_given", F.concat_ws(",", *given))
+        given.append(F.when(F.col(f"_link{i}").isNotNull() & ~F.coalesce(there, F.lit(False)), F.concat(F.lit(f'"{name}":'), f"_link{i}")))
+    rows = rows.withColumn("_given", F.when(F.col("_item").isNotNull(), F.concat_ws(",", *given)))
     rest = F.when(F.regexp_like("_item", F.lit(r"^\{\s*\}$")), "}").otherwise(F.concat(F.lit(","), F.substring("_item", 2, 1 << 30)))
-    inherit = F.when(F.col("_item").isNotNull() & (F.col("_given") != ""), F.concat(F.lit("{"), "_given", rest)).otherwise(F.col("_item"))
-    return rows.withColumn("payload", F.coalesce(inherit, "_p")).withColumn("item_no", F.coalesce("item_no", F.lit(0))).drop("_p", "_items", "_item", "_given")
+    inherit = F.when(F.col("_given") != "", F.concat(F.lit("{"), "_given", rest)).otherwise(F.col("_item"))
+    return rows.withColumn("payload", F.coalesce(inherit, "_p")).withColumn("item_no", F.coalesce("item_no", F.lit(0))).drop("_p", "_items", "_item", "_given", *(f"_link{i}" for i in range(len(links))))
 
 
 def order_event_type(status: Column, filled_qty: Column) -> Column:
@@ -70,10 +78,11 @@ def order_event_type(status: Column, filled_qty: Column) -> Column:
 
 def classify_private_updates(rows: DataFrame, body: str = "body") -> DataFrame:
     """Expanded rows with kind (position, balance, order or unknown) and typed columns; the first that fits in this order."""
-    outer = [F.get_json_object(body, f"$.{n}") for n in ("Type", "type", "Event", "event", "Channel", "channel")]
-    inner = [F.get_json_object("payload", f"$.{n}") for n in ("Type", "type")]
-    text = F.lower(F.concat_ws(" ", "type", *outer, *inner))
-    own = rows.withColumn("_text", text).withColumn("_fields", F.from_json("payload", "map<string,string>"))
+    own = _with_fields(rows, body, ["Type", "type", "Event", "event", "Channel", "channel"], "_o")
+    own = _with_fields(own, "payload", ["Type", "type"], "_i")
+    text = F.lower(F.concat_ws(" ", "type", *(f"_o{i}" for i in range(6)), "_i0", "_i1"))
+    # the fields are a step of their own: filters on what is made of them would read the text again for each mention
+    own = own.select(*rows.columns, text.alias("_text"), F.explode(F.array(F.from_json("payload", "map<string,string>"))).alias("_fields"))
     first = lambda names: F.get(F.filter(F.transform(F.array(*(F.lit(n) for n in names)), lambda n: F.try_element_at("_fields", n)), lambda x: x.isNotNull()), 0)
     own = own.withColumns({n: first(names) for n, names in ALIASES.items()})
     for n in ("filled_qty", "avg_fill_price", "qty", "avg_price", "available", "total"):
