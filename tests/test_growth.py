@@ -11,6 +11,7 @@ from tickloom.functions.scratch import scratch
 from tickloom.operators import leadlag, orders
 from tickloom.plans import live
 from tickloom.plans.registry import Tables
+from tickloom.sources import events
 from tickloom.streaming import online
 
 
@@ -71,3 +72,10 @@ def test_private_updates_read_each_text_once(spark):
     assert [r["client_order_id"] for r in own.collect()] == ["a"]
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("get_json_object") == 0 and plan.count("from_json(MapType") + plan.count("map<string,string>") + plan.count("JsonToStructsEvaluator") <= 4
+
+
+def test_audit_lines_are_compressed(spark):
+    path = scratch(spark, "audit")
+    events.write_audit_jsonl(spark.range(1000).select(F.col("id").alias("row_no"), F.lit(0.1).alias("pnl")), path)
+    assert all(f.name.endswith(".json.gz") for f in Path(path.removeprefix("file:")).glob("part-*"))
+    assert spark.read.json(path).where("pnl = '0.1'").count() == 1000

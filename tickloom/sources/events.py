@@ -174,9 +174,9 @@ def normalize_book_snapshots(raw: DataFrame) -> DataFrame:
 
 
 def write_audit_jsonl(audit: DataFrame, path: str) -> None:
-    """Audit rows as JSON lines; floating numbers are written as text, so no digit is lost."""
+    """Audit rows as gzipped JSON lines; floating numbers are written as text, so no digit is lost."""
     own = audit.select(*(F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) else F.col(f.name) for f in audit.schema.fields))
-    own.write.mode("append").option("ignoreNullFields", "false").json(path)
+    own.write.mode("append").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def report_history(spark: SparkSession, path: str) -> DataFrame:
