@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import scratch as folders
 from tickloom.functions.scratch import scratch
 from tickloom.operators import leadlag, orders
 from tickloom.plans import live
@@ -43,6 +44,17 @@ def test_stretches_land_by_many_tasks(spark, monkeypatch):
     assert len(list(Path(landed.removeprefix("file:")).glob("*.parquet"))) > 2
 
 
+def test_kept_rows_are_aggregated_in_small_parts(spark, monkeypatch):
+    """A task's aggregate is bounded by the bytes it reads, however few shuffle partitions the session has, and the session's settings stay."""
+    monkeypatch.setattr(folders, "PART_BYTES", 1 << 20, raising=False)
+    before = dict(spark.conf.getAll)
+    own = folders.kept(spark.range(2_000_000).select((F.col("id") * 3).alias("id")).groupBy("id").agg(F.max("id").alias("most")), "parts")
+    assert own.count() == 2_000_000 and own.agg(F.sum("most")).first()[0] == 3 * sum(range(2_000_000))
+    sizes = [r["count"] for r in own.groupBy(F.input_file_name()).count().collect()]
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < len(sizes) and max(sizes) < 400_000
+    assert dict(spark.conf.getAll) == before
+
+
 def test_order_states_over_batches_without_python(spark):
     """Arrival is the batch first, then row_no; what an order's batches leave open stays as it was."""
     known = spark.createDataFrame([("a", 5.0, "accepted", "k", True), ("b", 2.0, "unknown", None, True), ("c", 2.0, "planned", "z", False)], "client_order_id string, qty double, status string, venue_order_id string, open boolean")

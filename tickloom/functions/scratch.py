@@ -20,8 +20,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes that a task reads at most, of files or of a shuffle, while rows are kept.
+PART_BYTES = 16 << 20
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, computed once and written: what reads them several times does not compute them again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df, computed once and written: what reads them several times does not compute them again.
+
+    A task reads parts of PART_BYTES, so what it holds (of an aggregate, a row for nearly each row read) does not grow with the input.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    own = {"spark.sql.files.maxPartitionBytes": PART_BYTES, "spark.sql.adaptive.advisoryPartitionSizeInBytes": PART_BYTES, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, str(value))
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
