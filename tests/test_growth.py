@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from pathlib import Path
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scratch as folders
 from tickloom.functions.scratch import scratch
-from tickloom.operators import leadlag, orders
+from tickloom.functions.exprs import event_order, mid
+from tickloom.operators import leadlag, orders, outcomes
+from tickloom.operators.asof import latest_pair
 from tickloom.plans import live
 from tickloom.plans.registry import Tables
 from tickloom.sources import events
@@ -91,3 +94,40 @@ def test_audit_lines_are_compressed(spark):
     events.write_audit_jsonl(spark.range(1000).select(F.col("id").alias("row_no"), F.lit(0.1).alias("pnl")), path)
     assert all(f.name.endswith(".json.gz") for f in Path(path.removeprefix("file:")).glob("part-*"))
     assert spark.read.json(path).where("pnl = '0.1'").count() == 1000
+
+
+_ENTRY = "entry_id string, symbol string, side string, qty double, entry_price double, entry_ts_ms long, model string, mean double, sigma double, beta double"
+_TICK = "row_no long, symbol string, venue string, local_ts_ms long, exchange_ts_ms long, bid double, ask double"
+
+
+def test_exits_of_dense_ticks(spark):
+    """20,000 entries and 20,000 ticks within a second; each entry is met by the last tick alone, so pairs of both are 400 million."""
+    ticks = spark.range(20_001).select("id", F.lit("S").alias("symbol"), F.lit("mexc").alias("venue"), (F.col("id") / 20).cast("long").alias("local_ts_ms"), F.lit(0).cast("long").alias("exchange_ts_ms"), F.when(F.col("id") == 20_000, 110.0).otherwise(100.0).alias("bid"))
+    ticks = ticks.select(F.col("id").alias("row_no"), *ticks.columns[1:], (F.col("bid") + 1).alias("ask"))
+    entries = spark.range(20_000).select(F.col("id").cast("string").alias("entry_id"), F.lit("S").alias("symbol"), F.lit("buy").alias("side"), F.lit(1.0).alias("qty"), F.lit(101.0).alias("entry_price"), (F.col("id") / 20).cast("long").alias("entry_ts_ms"), F.lit("impulse_transfer").alias("model"))
+    entries = entries.select(*entries.columns, *(F.lit(None).cast("double").alias(c) for c in ("mean", "sigma", "beta")))
+    found = outcomes._first_met(entries.withColumn("expires_ts_ms", F.col("entry_ts_ms") + 32_000), ticks.select("symbol", "row_no", F.col("local_ts_ms").alias("ts"), "bid", "ask", F.col("bid").alias("mid"), F.col("local_ts_ms").alias("leader_ts"), F.lit(100.0).alias("leader_mid")), 32_000, 40.0, None, 0.4, 4.0)
+    assert "Join" not in plan_of(found)
+    assert {tuple(r) for r in found.groupBy("row_no", "ts").count().collect()} == {(20_000, 1000, 20_000)}
+
+
+def test_exits_against_all_pairs(spark):
+    """Nulls, NaN, prices that do not move, both signs of a quantity, any beta, and lives across chunks."""
+    rng, nan = random.Random(3), float("nan")
+    rows = [(k, rng.choice("ST"), rng.choice(["binance", "mexc", "mexc"]), rng.randrange(20_000) * 1000, 0, rng.choice([100.0 + rng.gauss(0, 1)] * 30 + [None, nan]), rng.choice([101.0 + rng.gauss(0, 1)] * 30 + [None, nan])) for k in range(3000)]
+    entries = []
+    for k in range(1500):
+        sigma, beta, mean = rng.choice([30.0, 10.0, 90.0, 400.0, 0.0, None, nan]), rng.choice([1.0, 1.0, 0.9, 1.1, 0.0, None, nan]), rng.choice([0.0, 50.0, -70.0, 100.0, -100.0, 50.0, None, nan])
+        if beta in (0.9, 1.1):
+            mean = (1 - beta) * 46_060 + rng.gauss(0, 200)
+        price, at = rng.choice([100.0 + rng.gauss(0, 2)] * 30 + [None, nan, 0.0]), rng.choice([rng.randrange(20_000) * 1000] * 30 + [None])
+        entries.append((str(k), rng.choice("ST"), rng.choice(["buy", "sell", "buy", "sell", None]), rng.choice([1.0, 2.0, -1.0, 0.0, None]), price, at, rng.choice(["residual_zscore", "impulse_transfer", None]), mean, sigma, beta))
+    quotes, entries = spark.createDataFrame(rows, _TICK), spark.createDataFrame(entries, _ENTRY)
+    pairs = latest_pair(quotes.withColumn("mid", mid()), "binance", "mexc", event_order(), ["local_ts_ms", "mid"]).where("venue = 'mexc'")
+    ticks = pairs.select("symbol", "row_no", F.col("local_ts_ms").alias("ts"), "bid", "ask", mid().alias("mid"), F.col("leader.local_ts_ms").alias("leader_ts"), F.col("leader.mid").alias("leader_mid"))
+    for ttl, profit, stale in ((2_000_000, 150.0, 60_000), (9_000_000, 300.0, None), (500_000, None, 90_000), (300_000, -5.0, None), (9_000_000, None, None)):
+        all_pairs = entries.withColumn("expires_ts_ms", F.col("entry_ts_ms") + ttl).join(ticks, "symbol").where("ts > entry_ts_ms").withColumn("reason", outcomes._exit_reason(profit, stale, 0.4, 4.0)).where("reason IS NOT NULL")
+        first = all_pairs.groupBy("entry_id").agg(F.min_by(F.struct("reason", "row_no"), F.struct("ts", "row_no")).alias("x"))
+        want = {r["entry_id"]: tuple(r["x"]) if r["x"] else (None, None) for r in entries.select("entry_id").join(first, "entry_id", "left").collect()}
+        got = outcomes.label_exits(entries, quotes, ttl, profit, stale).collect()
+        assert {r["entry_id"]: (r["exit_reason"], r["exit_row"]) for r in got} == want and len(got) == len(want)
