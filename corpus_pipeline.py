@@ -16,8 +16,10 @@ from tickloom.llm.language import UNKNOWN, held_out, language_prototypes, with_l
 from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import one_of_each
 from tickloom.llm.suffix_dedup import without_repeats
-from tickloom.llm.tables import new_path
+from tickloom.llm.tables import new_path, written
 
+#: Words that texts may share in a row; a passage of more is a repeat, however many bytes it has.
+MAX_WORDS = 50
 LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
 
@@ -55,6 +57,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of more than MAX_WORDS words that stand elsewhere too go from all texts, then strings as in cut_repeats; n_chars follows.
+
+    Texts of which nothing but white space is left go. The rest as in cut_repeats.
+    """
+    return cut_repeats(spark, written(without_repeats(docs, length=MAX_WORDS + 1, words=True), "without_runs"), sf_dir)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verbatim match of the benchmark, whatever their ids; null and empty texts and items match nothing."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -71,7 +81,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify),
     ("near_dedup", dedupe),
-    ("suffix_dedup", cut_repeats),
+    ("suffix_dedup", remove_repeats),
     ("decontamination", decontaminate),
     ("mixing", mix_sources),
 ]

@@ -213,6 +213,47 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.repeated_bytes(docs(spark, [])).count() == 0
 
 
+def without_runs(rows, length):
+    """Texts without their runs of words that also stand elsewhere, by brute force; those of white space alone leave."""
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    named = [[t[a:b] for a, b in own] for (_, t), own in zip(rows, spans, strict=True)]
+    count = collections.Counter(tuple(w[k : k + length]) for w in named for k in range(len(w) - length + 1))
+    out = []
+    for (i, t), own, w in zip(rows, spans, named, strict=True):
+        gone = [False] * len(t or "")
+        for k in range(len(w) - length + 1):
+            if count[tuple(w[k : k + length])] > 1:
+                gone[own[k][0] : own[k + length - 1][1]] = [True] * (own[k + length - 1][1] - own[k][0])
+        rest = "".join(c for c, g in zip(t or "", gone, strict=True) if not g)
+        if not any(gone) or rest.strip(" \t\n\v\f\r"):
+            out.append((i, rest if any(gone) else t))
+    return out
+
+
+def test_runs_of_words(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 400) for _ in range(4)]
+    run = lambda k, a, b: " ".join(words(texts[k])[a:b])
+    rows = [
+        (1, texts[0]), (2, "x " + run(0, 50, 101) + "\ty"), (3, "z\n" + run(0, 50, 101).replace(" ", " \n", 7) + " é"), (4, "q " + run(0, 200, 250) + " q"), (5, texts[1]), (5, run(1, 10, 90)), (None, run(1, 300, 360)), (6, None), (7, ""), (8, " \n" + run(2, 0, 70) + "\n"),
+        (9, texts[2]), (10, run(3, 0, 49) + " ü"), (11, run(3, 0, 49) + " ä"), (12, "a b c d e " * 40), (13, texts[3][:-1]), (14, run(1, 10, 60) + "," + run(1, 60, 130)), (15, run(0, 100, 140) + " " + run(0, 60, 130)), (16, "w " * 50), (17, "v " * 51), (18, texts[2]),
+    ]
+    for length, gram in ((51, 12), (28, 12), (40, 5)):
+        got = [(r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(docs(spark, rows), length=length, gram=gram, words=True).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, without_runs(rows, length)))
+
+
+def test_pipeline_removes_passages_of_words(spark):
+    """A passage of 51 short words, under 400 bytes, goes from both texts; one of 50 words stays."""
+    rng = random.Random(12)
+    short = [" ".join(str(rng.randrange(10_000)) for _ in range(51)) for _ in range(2)]
+    assert max(map(len, short)) < suffix_dedup.LENGTH
+    fifty = short[1].rsplit(" ", 1)[0]
+    rows = [(1, f"one {short[0]} two"), (2, f"three {short[0]} four"), (3, f"five {fifty} six"), (4, f"seven {fifty} eight"), (5, short[0])]
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs(spark, rows), "").collect()}
+    assert got == {1: "one  two", 2: "three  four", 3: rows[2][1], 4: rows[3][1]}
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows = [(1, None), (2, ""), (3, "a b\na b\n\n\n a b\na b"), (4, prose(rng, 60)), (5, (prose(rng, 9) + "\n") * 6), (6, "x " * 40), (7, "é#* $% |<>&\n" * 3), (8, prose(rng, 30) + " " + "one two three four five six seven eight nine " * 2), (4, "tail"), (None, "a")]

@@ -13,6 +13,8 @@ Ranks then grow as in prefix doubling, and what is unique leaves:
   3. in blocks that are still open, single starts ranked by their 400 bytes.
 Ranks are 64-bit hashes of the bytes, grouped by Spark; equal texts are one node throughout.
 
+Strings may be runs of words as well: the same steps on the hashes of words in place of bytes.
+
 Passages shorter than `length` but of `passage` bytes at least are only marked: anchors are sampled as
 densely as those need, and a text that shares the core of a block of their starts is marked.
 """
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.tables import BROADCAST_IDS, forget, only_ids, written
-from tickloom.llm.textcodes import Texts, mix64, slices, span_hash
+from tickloom.llm.textcodes import BYTE_CODES, SPACED, Texts, mix64, position_hashes, slices, span_hash
 
 LENGTH, GRAM, BLOCK = 400, 100, 16
+#: The gram of a run of words, in words.
+WORD_GRAM = 12
 #: Bytes of a passage that is marked, which few passages of over 50 words fall below, and the starts in a block of them.
 PASSAGE, WIDE = 272, 32
 #: Places in a slice of texts, as many as Arrow strings have.
@@ -38,6 +42,35 @@ PLACES = 1 << 31
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+class _Bytes(Texts):
+    """Texts as strings of bytes."""
+
+    def span(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return first, last + 1
+
+
+class _Words:
+    """Texts as strings of words (anything but white space), each by its hash."""
+
+    def __init__(self, column: pa.Array):
+        words = Texts(column).words(SPACED, BYTE_CODES)
+        self.buf, self.offsets, self.start, self.end = words.code, words.bounds, words.start, words.end
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def prefix(self) -> np.ndarray:
+        return position_hashes(self.buf)
+
+    def span(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes from the first word's start to the last one's end."""
+        return self.start[first], self.end[last]
+
+
+def _units(column: pa.Array, words: bool) -> _Bytes | _Words:
+    return _Words(column) if words else _Bytes(column)
+
+
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Least of every `width` neighbours, from least values up to and from the edges of blocks."""
     n = len(x) - width + 1
@@ -51,7 +84,7 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 class _Grams:
     """The grams of a slice of texts by hash; the lower bits tell them apart, alike in every slice."""
 
-    def __init__(self, texts: Texts, gram: int):
+    def __init__(self, texts: _Bytes | _Words, gram: int):
         self.texts, self.gram, self.prefix = texts, gram, texts.prefix()
         at = np.arange(max(0, len(texts.buf) - gram + 1), dtype=np.int64)
         self.packed = (span_hash(self.prefix, at, at + gram) & ~np.uint64(PLACES - 1)) | at.astype(np.uint64)
@@ -98,11 +131,11 @@ def _long_list(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            texts = Texts(part.column("text"))
-            runs = _Runs(_Grams(texts, gram), length)
+            units, texts = _units(part.column("text"), words), Texts(part.column("text"))
+            runs = _Runs(_Grams(units, gram), length)
             code = span_hash(runs.prefix, runs.anchor, runs.anchor + gram)
             cuts = np.searchsorted(runs.doc, np.arange(len(texts) + 1))
             raw = memoryview(np.ascontiguousarray(texts.buf))
@@ -111,12 +144,12 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
                 [
                     part.column("id"),
                     part.column("tag"),
-                    pa.array(np.diff(texts.offsets), pa.int64()),
+                    pa.array(np.diff(units.offsets), pa.int64()),
                     pa.array(sha, pa.string()),
                     _long_list(code.view(np.int64), cuts, pa.int64()),
                     _long_list(runs.local(), cuts, pa.int32()),
                 ],
-                ["id", "tag", "n_bytes", "sha", "codes", "places"],
+                ["id", "tag", "size", "sha", "codes", "places"],
             )
 
 
@@ -129,11 +162,11 @@ def _block_rows(runs: _Runs, pick: np.ndarray, size: int) -> tuple[np.ndarray, .
     return row, block, runs.anchor[pick][row] - size * block
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int | None) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int | None, words: bool) -> Iterator[pa.RecordBatch]:
     """Blocks of starts of strings; those of passages have the number -1 and a core alone."""
     for batch in batches:
         for part in slices(batch, "text"):
-            grams, wanted = _Grams(Texts(part.column("text")), gram), _lists(part.column("places"))
+            grams, wanted = _Grams(_units(part.column("text"), words), gram), _lists(part.column("places"))
             runs = _Runs(grams, length)
             pick = runs.chosen(wanted)
             row, block, last = _block_rows(runs, pick, BLOCK)
@@ -156,10 +189,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage:
             )
 
 
-def _starts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _starts(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            texts = Texts(part.column("text"))
+            texts = _units(part.column("text"), words)
             runs = _Runs(_Grams(texts, gram), length)
             ends = np.searchsorted(runs.doc, np.arange(len(texts) + 1))
             local = runs.local()
@@ -190,16 +223,18 @@ def _starts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
             )
 
 
-def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], length: int, words: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            texts = Texts(part.column("text"))
+            units, texts = _units(part.column("text"), words), Texts(part.column("text"))
             removed, spans, sha, kept = [], [], [], []
             for i, (first, last) in enumerate(zip(_lists(part.column("firsts")), _lists(part.column("lasts")), strict=True)):
                 own = texts.buf[texts.offsets[i] : texts.offsets[i + 1]]
                 step = np.zeros(len(own) + 1, np.int32)
-                np.add.at(step, first, 1)
-                np.add.at(step, last.astype(np.int64) + length, -1)
+                base = units.offsets[i]
+                begin, end = units.span(base + first.astype(np.int64), base + last.astype(np.int64) + length - 1)
+                np.add.at(step, begin - texts.offsets[i], 1)
+                np.add.at(step, end - texts.offsets[i], -1)
                 gone = np.cumsum(step[:-1]) > 0
                 rest = own[~gone].tobytes()
                 removed.append(int(gone.sum()))
@@ -219,29 +254,29 @@ def _texts_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
     return source.join(nodes, ["id", "tag"])
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, passage: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """All rows (id, tag, n_bytes, sha), the nodes (id, tag, copies), what changes in nodes, and the nodes that share a passage."""
+def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, passage: int | None = None, words: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """All rows (id, tag, size, sha), the nodes (id, tag, copies), what changes in nodes, and the nodes that share a passage."""
     # a null id takes part as the smallest one; the tag tells apart different texts under one id
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(ids.alias("id"), F.hash(text).alias("tag"), text.alias("text"))
     least = passage or length
-    anchored = written(source.mapInArrow(lambda it: _anchors(it, least, gram), "id long, tag int, n_bytes long, sha string, codes array<long>, places array<int>"), "anchors")
+    anchored = written(source.mapInArrow(lambda it: _anchors(it, least, gram, words), "id long, tag int, size long, sha string, codes array<long>, places array<int>"), "anchors")
     nodes = written(anchored.groupBy("sha").agg(F.min("id").alias("id"), F.min("tag").alias("tag"), F.count("*").alias("copies")).select("id", "tag", "copies"), "nodes")
 
     # rank by the anchor's bytes
-    each = anchored.where(f"n_bytes >= {least}").join(nodes.select("id", "tag"), ["id", "tag"])
+    each = anchored.where(f"size >= {least}").join(nodes.select("id", "tag"), ["id", "tag"])
     each = each.select("id", "tag", F.explode(F.arrays_zip("codes", "places")).alias("x")).select("id", "tag", F.col("x.codes").alias("code"), F.col("x.places").alias("place"))
     each = written(each, "each_anchor")
     common = written(each.groupBy("code").count().where("count > 1").select("code"), "common_anchors")
     alive = written(each.join(common, "code", "left_semi").groupBy("id", "tag").agg(F.collect_list("place").alias("places")), "alive")
-    rows = written(anchored.select("id", "tag", "n_bytes", "sha"), "rows")
+    rows = written(anchored.select("id", "tag", "size", "sha"), "rows")
     forget(each, common, anchored)
     touched = written(_texts_of(source, alive), "touched")
     forget(alive)
 
     # rank blocks of strings by the bytes that they share and span
-    both = written(touched.mapInArrow(lambda it: _blocks(it, length, gram, passage), "id long, tag int, place int, block int, core long, span long"), "blocks")
+    both = written(touched.mapInArrow(lambda it: _blocks(it, length, gram, passage, words), "id long, tag int, place int, block int, core long, span long"), "blocks")
     shared = None
     if passage:
         wide = both.where("block < 0").select("id", "tag", "core")
@@ -264,7 +299,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
     # rank the starts of open blocks by their whole bytes
     asked = judged.where("open").groupBy("id", "tag").agg(F.collect_list(F.struct("place", "block")).alias("x"))
     asked = asked.select("id", "tag", F.col("x.place").alias("open_places"), F.col("x.block").alias("open_blocks"))
-    starts = touched.select("id", "tag", "text").join(asked, ["id", "tag"]).mapInArrow(lambda it: _starts(it, length, gram), "id long, tag int, start int, code long")
+    starts = touched.select("id", "tag", "text").join(asked, ["id", "tag"]).mapInArrow(lambda it: _starts(it, length, gram, words), "id long, tag int, start int, code long")
     starts = written(starts, "starts")
     again = written(starts.groupBy("code").count().where("count > 1").select("code"), "repeated_starts")
     found = starts.join(again, "code", "left_semi").select("id", "tag", F.col("start").alias("first"), F.col("start").alias("last"))
@@ -272,7 +307,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
     found = found.unionByName(judged.where("settled").select("id", "tag", (end - F.lit(BLOCK - 1)).alias("first"), end.alias("last")))
     found = found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("x")).select("id", "tag", F.col("x.first").alias("firsts"), F.col("x.last").alias("lasts"))
     changed = touched.select("id", "tag", "text").join(found, ["id", "tag"])
-    changed = changed.mapInArrow(lambda it: _remove(it, length), "id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    changed = changed.mapInArrow(lambda it: _remove(it, length, words), "id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     changed = written(changed, "changed")
     forget(touched, judged, starts, again)
     return rows, nodes, changed, shared
@@ -290,6 +325,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not gram < passage - WIDE <= passage <= length:
         raise ValueError("a passage is longer than a gram and a block of starts, and no longer than the strings removed")
     rows, nodes, changed, shared = _repeats(docs, id_col, text_col, length, gram, passage)
+    rows = rows.withColumnRenamed("size", "n_bytes")
     own = rows.join(nodes, ["id", "tag"], "left").join(changed.drop("kept_text").dropDuplicates(["id", "tag"]), ["id", "tag"], "left")
     own = own.join(shared.withColumn("shared", F.lit(True)), ["id", "tag"], "left")
     several = F.expr("copies IS NULL OR copies > 1")
@@ -305,13 +341,18 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, words: bool = False) -> DataFrame:
     """docs with the repeated bytes cut out of text_col; rows of which nothing is left go, others keep all columns.
 
+    words: length and gram count words, and runs of `length` equal words go, whatever white space parts them; length must be
+    gram + BLOCK at least. Of bytes a text of spaces is nothing, of words one of any white space.
     Where a cut splits a character, the rest of that character goes too. Nulls, repeats and empty tables as in repeated_bytes.
     """
-    rows, nodes, changed, _ = _repeats(docs, id_col, text_col, length, gram)
-    copies = rows.where(f"n_bytes >= {length}").join(nodes, ["id", "tag"], "left").where("copies IS NULL OR copies > 1")
+    gram = gram or (WORD_GRAM if words else GRAM)
+    if length < gram + BLOCK:
+        raise ValueError("a string is at least as long as a gram and a block of starts")
+    rows, nodes, changed, _ = _repeats(docs, id_col, text_col, length, gram, words=words)
+    copies = rows.where(f"size >= {length}").join(nodes, ["id", "tag"], "left").where("copies IS NULL OR copies > 1")
     new = copies.select("id", "tag", F.lit("").alias("kept_text")).unionByName(changed.select("id", "tag", "kept_text"))
     new = written(new.groupBy("id", "tag").agg(F.min("kept_text").alias("kept_text")), "new_texts")
     forget(rows, nodes, changed)
@@ -325,5 +366,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = new.select("id", "tag")
     same = marked.join(F.broadcast(keys) if few else keys, ["id", "tag"], "left_anti").select("row.*")
     cut = (marked.join(F.broadcast(keys), ["id", "tag"], "left_semi") if few else marked).join(new, ["id", "tag"])
-    cut = cut.withColumn("row", F.col("row").withField(f"`{text_col}`", F.col("kept_text"))).where(F.length(F.trim("kept_text")) > 0).select("row.*")
+    cut = cut.withColumn("row", F.col("row").withField(f"`{text_col}`", F.col("kept_text"))).where(F.length(F.btrim("kept_text", F.lit(" \t\n\v\f\r" if words else " "))) > 0).select("row.*")
     return same.unionByName(cut)

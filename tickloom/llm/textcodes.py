@@ -69,15 +69,20 @@ class Texts:
         return len(self.offsets) - 1
 
     def prefix(self, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-        power, _ = _ladder(len(self.buf))
-        out = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(codes[self.buf] * power[: len(self.buf)], out=out[1:])
-        return out
+        return position_hashes(codes[self.buf])
 
     def words(self, is_word: np.ndarray, codes: np.ndarray = LOWER_CODES) -> Words:
         return Words(self, is_word, codes)
 
 
+def position_hashes(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial of the codes, out of which span_hash takes spans."""
+    power, _ = _ladder(len(codes))
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=out[1:])
+    return out
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes [start, end): equal for equal bytes, wherever they stand."""
     _, inverse = _ladder(len(prefix))
